@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import Scratch
+
 MAX_POSITIVE = 3000
 MAX_UNLABELLED = 6000
 MIN_TEXTS = 3
@@ -85,30 +87,27 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_po
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([sorted(features(t)) for t in batch.column(0).to_pylist()], pa.list_(pa.string()))], ["y", "words"])
 
-    got = ids.join(F.broadcast(chosen), "id").select("text", "y").mapInArrow(words, "y int, words array<string>").collect()
-    pos, unl = [set(r.words) for r in got if r.y == 1], [set(r.words) for r in got if r.y == 0]
-    if not pos or not unl:
+    got = Scratch(docs.sparkSession, "toxicity").save(ids.join(F.broadcast(chosen), "id").select("text", "y").mapInArrow(words, "y int, words array<string>"), "sample")
+    n = {r.y: r.n for r in got.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    n_p, n_u = n.get(1, 0), n.get(0, 0)
+    if not n_p or not n_u:
         return None
-    seen: dict[str, int] = {}
-    for r in pos:
-        for x in r:
-            seen[x] = seen.get(x, 0) + 1
-    base: dict[str, int] = {}
-    for r in unl:
-        for x in r & seen.keys():
-            base[x] = base.get(x, 0) + 1
-    least = min(MIN_TEXTS, len(pos))
-
-    def z(x: str) -> float:
-        """By how many standard errors positives have the word more often than unlabelled texts."""
-        p, u = seen[x] / len(pos), base.get(x, 0) / len(unl)
-        q = (seen[x] + base.get(x, 0) + 1) / (len(pos) + len(unl) + 2)
-        return (p - u) / np.sqrt(q * (1 - q) * (1 / len(pos) + 1 / len(unl)))
-
-    vocab = sorted((x for x, n in seen.items() if n >= least and z(x) >= MIN_Z), key=lambda x: (-z(x), x))[:MAX_WORDS]
+    # words that positives have more often than unlabelled texts, by MIN_Z standard errors; the driver gets these alone
+    p, u = F.col("p") / n_p, F.col("u") / n_u
+    q = (F.col("p") + F.col("u") + 1) / (n_p + n_u + 2)
+    z = (p - u) / F.sqrt(q * (1 - q) * (1 / n_p + 1 / n_u))
+    counts = got.select("y", F.explode("words").alias("word")).groupBy("word").agg(F.sum("y").cast("long").alias("p"), F.sum(1 - F.col("y")).cast("long").alias("u"))
+    chosen_words = counts.withColumn("z", z).where((F.col("p") >= min(MIN_TEXTS, n_p)) & (F.col("z") >= MIN_Z)).orderBy(F.col("z").desc(), "word").limit(MAX_WORDS)
+    vocab = [r.word for r in chosen_words.select("word").collect()]
     index = {x: i for i, x in enumerate(vocab)}
-    coded = lambda rows: [sorted(index[x] for x in r if x in index) for r in rows]
-    w, b = fit_nnpu(coded(pos), coded(unl), len(vocab), min(max(share.p, 1e-3), 0.999))
+
+    def code(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sorted(index[x] for x in r if x in index) for r in batch.column(1).to_pylist()], pa.list_(pa.int32()))], ["y", "ids"])
+
+    rows = got.mapInArrow(code, "y int, ids array<int>").collect()
+    coded = {y: sorted(r.ids for r in rows if r.y == y) for y in (0, 1)}  # sorted: sums don't depend on the order of tasks
+    w, b = fit_nnpu(coded[1], coded[0], len(vocab), min(max(share.p, 1e-3), 0.999))
     return {x: float(w[i]) for x, i in index.items()}, b
 
 
