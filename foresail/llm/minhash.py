@@ -63,8 +63,9 @@ class Shingler:
         known = self.known
         if len(known) > self.most:
             known.clear()
-        for w in set(words) - known.keys():
-            known[w] = xxhash.xxh3_64_intdigest(w)
+        for w in set(words):
+            if w not in known:
+                known[w] = xxhash.xxh3_64_intdigest(w)
         h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
         if len(h) < SHINGLE:
             acc = np.full(1, len(h), np.uint64)
