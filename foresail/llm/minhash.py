@@ -3,7 +3,7 @@
 Texts are split into words, A-Z lower-cased, and a document's set has its distinct five-word shingles as 64-bit hashes. Documents with equal
 sets collapse into one class first. Each class has two collections of ``BANDS`` band keys of ``ROWS`` minhashes; the tables
 are all pairs (i, j) of a key of the first collection with one of the second, so BANDS * BANDS tables need only
-2 * BANDS * ROWS minhashes. Two classes are candidates if they meet in a table, share at least ``LEAST`` of the 2 * BANDS keys, and their sizes
+2 * BANDS * ROWS minhashes. Two classes are candidates if they meet in a table, agree on at least ``LEAST`` of the minhashes, and their sizes
 allow the similarity. Tables are built in two steps: classes meet by a key of the first collection, which drops those that meet nobody, and
 within such a bucket by the keys of the second.
 
@@ -12,7 +12,8 @@ the next ranks only where the two are still in different components, until no ra
 of one text costs a few comparisons a member, and no candidate is left out that could join two components. Components
 come from label propagation with pointer jumping over the verified links.
 
-At a similarity of exactly 0.75 a pair meets in no table, or shares too few keys, with a probability of about 4e-4; at 0.8, 3e-5.
+At a similarity of exactly 0.75 a pair meets in no table with a probability of about 1e-4 (at 0.8, 4e-6) and agrees on too few of 108 minhashes,
+where 81 are expected, with one of about 2e-5.
 
 Null or empty texts have no shingles, link with nothing, and are kept. Texts of fewer than five words have one shingle, the whole sequence.
 Repeated ids: rows stand for themselves, and the smallest id of a component names it. A null id is never the smallest unless alone.
@@ -23,14 +24,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .common import Scratch
 
 SHINGLE = 5
 ROWS = 3
-BANDS = 16
-LEAST = 3
+BANDS = 18
+LEAST = 62
 PERCENT = 75
 FIRST_RANKS = 3
 NEXT_RANKS = 24
@@ -45,96 +46,104 @@ def _mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Shingler:
-    """Distinct shingle hashes of texts; word hashes are kept in a bounded table."""
-
-    def __init__(self, most: int = 400_000):
-        self.known: dict[bytes, int] = {}
-        self.most = most
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        import xxhash
-
-        if not text:
-            return np.empty(0, np.uint64)
-        words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
-        if not words:
-            return np.empty(0, np.uint64)
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        for w in set(words):
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
-        if len(h) < SHINGLE:
-            acc = np.full(1, len(h), np.uint64)
-            for x in h:
-                acc = _mix64(acc * _P + x)
-            return acc
-        n = len(h) - SHINGLE + 1
-        acc = np.full(n, SHINGLE, np.uint64)
-        for k in range(SHINGLE):
-            acc = _mix64(acc * _P + h[k : k + n])
-        return np.unique(acc)
-
-
-_SEEDS = _mix64(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * _P) | np.uint64(1)
-
-
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """2 * BANDS keys of 32 bits: first those of the first collection, then those of the second."""
-    low = np.full(len(_SEEDS), np.iinfo(np.uint64).max, np.uint64)
-    for a in range(0, len(shingles), 4096):
-        part = shingles[a : a + 4096]
-        for k, seed in enumerate(_SEEDS):
-            x = part * seed
-            x ^= x >> np.uint64(32)
-            x *= seed
-            low[k] = min(low[k], x.min())
-    acc = np.arange(2 * BANDS, dtype=np.uint64)
+_IN_WORD = np.ones(256, bool)
+_IN_WORD[[0x20, *range(0x09, 0x0E)]] = False
+_OF_BYTE = _mix64(np.arange(1, 257, dtype=np.uint64) * _P)
+_OF_PLACE = _mix64(np.arange(5001, 5001 + 4096, dtype=np.uint64) * _P) | np.uint64(1)
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """A 64-bit hash of each word: the sum of a random number by byte times one by place in the word, mixed with the length."""
+    b = np.frombuffer(data, np.uint8)
+    inside = _IN_WORD[b]
+    at = np.flatnonzero(inside)
+    if not len(at):
+        return np.empty(0, np.uint64)
+    starts = np.flatnonzero(np.diff(at, prepend=at[0] - 2) > 1)
+    lengths = np.diff(starts, append=len(at))
+    place = np.arange(len(at)) - np.repeat(starts, lengths)
+    longest = int(lengths.max())
+    of_place = _OF_PLACE if longest <= len(_OF_PLACE) else _mix64(np.arange(5001, 5001 + longest, dtype=np.uint64) * _P) | np.uint64(1)
+    sums = np.add.reduceat(_OF_BYTE[b[at]] * of_place[place], starts)
+    return _mix64(sums + lengths.astype(np.uint64) * _P)
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """The distinct shingle hashes of a whole text, sorted."""
+    h = word_hashes(text.encode("utf-8", "surrogatepass").translate(_LOWER)) if text else np.empty(0, np.uint64)
+    if not len(h):
+        return h
+    if len(h) < SHINGLE:
+        acc = np.full(1, len(h), np.uint64)
+        for x in h:
+            acc = _mix64(acc * _P + x)
+        return acc
+    n = len(h) - SHINGLE + 1
+    acc = np.full(n, SHINGLE, np.uint64)
+    for k in range(SHINGLE):
+        acc = _mix64(acc * _P + h[k : k + n])
+    return np.unique(acc)
+
+
+_SEEDS = (_mix64(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * _P) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+_TURNS = (_mix64(np.arange(1001, 1001 + 2 * BANDS * ROWS, dtype=np.uint64) * _P) >> np.uint64(32)).astype(np.uint32)
+
+
+def minhashes(shingles: np.ndarray) -> np.ndarray:
+    """2 * BANDS * ROWS minhashes of 32 bits; the first half makes the first collection."""
+    low = np.full(len(_SEEDS), np.iinfo(np.uint32).max, np.uint32)
+    x = (shingles >> np.uint64(32)).astype(np.uint32)
+    for a in range(0, len(x), 1024):
+        h = x[None, a : a + 1024] ^ _TURNS[:, None]
+        h *= _SEEDS[:, None]
+        np.minimum(low, h.min(axis=1), out=low)
+    return low
+
+
+def first_keys(low: np.ndarray) -> np.ndarray:
+    """The BANDS keys of the first collection, of 32 bits."""
+    acc = np.arange(BANDS, dtype=np.uint64)
     for r in range(ROWS):
-        acc = _mix64(acc * _P + low[r::ROWS])
+        acc = _mix64(acc * _P + low[r : BANDS * ROWS : ROWS])
     return (acc >> np.uint64(32)).astype(np.uint32)
 
 
+def sketch(low: np.ndarray) -> bytes:
+    """The low bytes of all minhashes: what tells candidates apart inside a bucket."""
+    return low.astype(np.uint8).tobytes()
+
+
 def _set_id(s: np.ndarray) -> bytes:
     import hashlib
 
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """(id, n, cls): cls is the digest of the set, null for empty sets."""
-
-    def run(batches):
-        cut = Shingler()
-        for batch in batches:
-            sets = [cut(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array([_set_id(s) if len(s) else None for s in sets], pa.binary())], ["id", "n", "cls"])
-
-    kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "text").mapInArrow(run, f"id {kind}, n bigint, cls binary")
-
-
 def _keys(docs: DataFrame) -> DataFrame:
-    """(cls, n, keys, body) by row: band keys and the compressed text. Rows of a task that repeat a set come once."""
+    """(id, n, cls, keys, sketch, body) for every row: cls is the digest of the set, null for empty sets. The band keys, the sketch
+    and the compressed text come with the first row of a set in a task."""
 
     def run(batches):
-        cut, seen = Shingler(), set()
+        seen = set()
         pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             out = []
-            for t in batch.column(0).to_pylist():
-                s = cut(t)
-                if len(s) and (c := _set_id(s)) not in seen:
-                    if len(seen) > 500_000:
-                        seen.clear()
-                    seen.add(c)
-                    out.append((c, len(s), band_keys(s).astype(">u4").tobytes(), pack.compress(t.encode("utf-8", "surrogatepass"))))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.binary()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.binary()), pa.array([r[3] for r in out], pa.binary())], ["cls", "n", "keys", "body"])
+            for t in batch.column(1).to_pylist():
+                s = shingle_set(t)
+                c = _set_id(s) if len(s) else None
+                if c is None or c in seen:
+                    out.append((len(s), c, None, None, None))
+                    continue
+                if len(seen) > 500_000:
+                    seen.clear()
+                seen.add(c)
+                low = minhashes(s)
+                out.append((len(s), c, first_keys(low).astype(">u4").tobytes(), sketch(low), pack.compress(t.encode("utf-8", "surrogatepass"))))
+            n, *rest = zip(*out, strict=True) if out else [()] * 5
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in rest)], ["id", "n", "cls", "keys", "sketch", "body"])
 
-    return docs.select("text").mapInArrow(run, "cls binary, n bigint, keys binary, body binary")
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.select("id", "text").mapInArrow(run, f"id {kind}, n bigint, cls binary, keys binary, sketch binary, body binary")
 
 
 def _groups(batches):
@@ -157,19 +166,21 @@ def _groups(batches):
 def bucket_pairs(n: np.ndarray, keys: np.ndarray, low: int, high: int, comp: np.ndarray | None, block: int = 512):
     """(member, partner) of candidates in one bucket whose rank among a member's candidates is in [low, high).
 
-    A member's candidates come before it in the order of the bucket; the rank goes by shared keys, most first, then by order. With
+    A member's candidates come before it in the order of the bucket; the rank goes by shared minhashes, most first, then by order. With
     comp, pairs of one component are passed over. Blocks bound memory.
     """
     m = len(n)
+    by_hash = np.ascontiguousarray(keys.T)
     for a in range(0, m, block):
         b = min(m, a + block)
         shared = np.zeros((b - a, b), np.uint8)
         second = np.zeros((b - a, b), bool)
-        for k in range(keys.shape[1]):
-            eq = keys[a:b, k, None] == keys[None, :b, k]
-            shared += eq
-            if k >= BANDS:
-                second |= eq
+        for k in range(0, 2 * BANDS * ROWS, ROWS):
+            eq = [by_hash[k + r, a:b, None] == by_hash[k + r, None, :b] for r in range(ROWS)]
+            for x in eq:
+                shared += x
+            if k >= BANDS * ROWS:
+                second |= np.logical_and.reduce(eq)
         x, y = n[a:b, None], n[None, :b]
         ok = second & (shared >= LEAST) & (100 * np.minimum(x, y) >= PERCENT * np.maximum(x, y)) & (np.arange(b)[None, :] < np.arange(a, b)[:, None])
         if comp is not None:
@@ -183,23 +194,23 @@ def bucket_pairs(n: np.ndarray, keys: np.ndarray, low: int, high: int, comp: np.
 
 
 def _bucket_links(members: DataFrame, low: int, high: int) -> DataFrame:
-    """Candidate pairs (a, b) of classes from rows (key, rank, cls, n, keys, comp)."""
+    """Candidate pairs (a, b) of classes from rows (key, cls, n, sketch, comp)."""
 
     def run(batches):
         for g in _groups(batches):
             if g.num_rows < 2:
                 continue
-            cls = g.column(2).to_pylist()
-            n = g.column(3).to_numpy()
-            keys = np.frombuffer(b"".join(g.column(4).to_pylist()), ">u4").reshape(len(cls), 2 * BANDS).astype(np.uint32)
-            comp = np.unique(np.array([bytes(c) for c in g.column(5).to_pylist()], dtype=object), return_inverse=True)[1] if low else None
+            cls = g.column(1).to_pylist()
+            n = g.column(2).to_numpy()
+            keys = np.frombuffer(b"".join(g.column(3).to_pylist()), np.uint8).reshape(len(cls), 2 * BANDS * ROWS)
+            comp = np.unique(np.array([bytes(c) for c in g.column(4).to_pylist()], dtype=object), return_inverse=True)[1] if low else None
             if comp is not None and comp.max() == 0:
                 continue
             pairs = list(bucket_pairs(n, keys, low, high, comp))
             if pairs:
                 yield pa.RecordBatch.from_arrays([pa.array([min(cls[i], cls[j]) for i, j in pairs], pa.binary()), pa.array([max(cls[i], cls[j]) for i, j in pairs], pa.binary())], ["a", "b"])
 
-    rows = members.repartition("key").sortWithinPartitions("key", "n", "cls").select("key", F.lit(0).alias("rank"), "cls", "n", "keys", "comp")
+    rows = members.repartition("key").sortWithinPartitions("key", "n", "cls").select("key", "cls", "n", "sketch", "comp")
     return rows.mapInArrow(run, "a binary, b binary").distinct()
 
 
@@ -212,8 +223,8 @@ def _verify(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def run(batches):
-        cut, unpack = Shingler(), zstandard.ZstdDecompressor()
-        of = lambda body: cut(unpack.decompress(body).decode("utf-8", "surrogatepass"))
+        unpack = zstandard.ZstdDecompressor()
+        of = lambda body: shingle_set(unpack.decompress(body).decode("utf-8", "surrogatepass"))
         key = own = None
         for batch in batches:
             out = []
@@ -259,19 +270,18 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spark = df.sparkSession
     sc = Scratch(spark, "minhash")
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    # one row for each class and task; classes then meet, and the fullest work goes on by class only
     raw = sc.save(_keys(docs), "raw")
-    classes = raw.groupBy("cls").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
+    own = raw.where("keys IS NOT NULL")
+    classes = own.select("cls", "n", "keys", "sketch").distinct()
     classes = sc.save(classes, "classes")
     key = lambda i: F.concat(F.lit(bytes([i])), F.substring("keys", 4 * i + 1, 4))
-    by_key = classes.select("cls", "n", "keys", F.explode(F.array(*map(key, range(BANDS)))).alias("key"))
+    # keys are counted, and met, by slim rows; sketches join only what has met
+    by_key = classes.select("cls", F.explode(F.array(*map(key, range(BANDS)))).alias("key"))
     met = by_key.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    buckets = sc.save(by_key.join(met, "key").select("key", "cls", "n", "keys"), "buckets")
+    buckets = sc.save(by_key.join(met, "key").join(classes.select("cls", "n", "sketch"), "cls").select("key", "cls", "n", "sketch"), "buckets")
     sc.drop("classes")
-    wanted = buckets.select("cls").distinct()
-    bodies = raw.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("body").alias("body"))
+    bodies = own.select("cls", "body").join(buckets.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("body").alias("body"))
     bodies = sc.save(bodies, "bodies")
-    sc.drop("raw")
     links, comp = None, None
     ranks = [(0, FIRST_RANKS), (FIRST_RANKS, NEXT_RANKS), (NEXT_RANKS, 1 << 31)]
     for r, (low, high) in enumerate(ranks):
@@ -280,14 +290,17 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         else:
             members = buckets.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
         pairs = sc.save(_bucket_links(members, low, high), f"pairs{r}")
+        if comp is not None and pairs.isEmpty():
+            continue
         good = sc.save(_verify(pairs, bodies), f"good{r}")
+        if comp is not None and good.isEmpty():
+            continue
         links = good if links is None else links.unionByName(good)
         comp = components(links, sc, f"c{r}")
     sc.drop("bodies", "buckets")
-    rows = _sets(docs)
-    if comp is not None:
-        rows = sc.save(rows, "rows")
-        name = rows.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        least = name.where(F.col("comp").isNotNull()).groupBy("comp").agg(F.min("id").alias("least"))
-        out = name.join(least, "comp", "left").withColumn("component_id", F.when(F.col("comp").isNull(), F.col("id")).otherwise(F.col("least")))
+    name = raw.select("id", "n", "cls").join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    name = sc.save(name.select("id", "n", "comp"), "named")
+    sc.drop("raw")
+    least = name.where(F.col("comp").isNotNull()).groupBy("comp").agg(F.min("id").alias("least"))
+    out = name.join(least, "comp", "left").withColumn("component_id", F.when(F.col("comp").isNull(), F.col("id")).otherwise(F.col("least")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
