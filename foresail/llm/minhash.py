@@ -7,10 +7,10 @@ are all pairs (i, j) of a key of the first collection with one of the second, so
 allow the similarity. Tables are built in two steps: classes meet by a key of the first collection, which drops those that meet nobody, and
 within such a bucket by the keys of the second.
 
-Verification compares full sets. It goes in rounds: each class is compared with its best candidates of each bucket first, and with
-the next ranks only where the two are still in different components, until no ranks are left. So a bucket of thousands of copies
-of one text costs a few comparisons a member, and no candidate is left out that could join two components. Components
-come from label propagation with pointer jumping over the verified links.
+Verification compares full sets. First each class is compared with its best candidate in each bucket, and components are formed. Then
+only candidates in different components are left: each bucket's members that have some are compared exactly, in blocks, and
+give one link for each two components that meet. So a bucket of thousands of copies of one text costs one comparison a member, and no
+candidate is left out that could join two components. Components come from label propagation with pointer jumping over the verified links.
 
 At a similarity of exactly 0.75 a pair meets in no table with a probability of about 1e-4 (at 0.8, 4e-6) and agrees on too few of 108 minhashes,
 where 81 are expected, with one of about 2e-5.
@@ -33,8 +33,6 @@ ROWS = 3
 BANDS = 18
 LEAST = 62
 PERCENT = 75
-FIRST_RANKS = 3
-NEXT_RANKS = 24
 _P = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -163,54 +161,139 @@ def _groups(batches):
         yield pa.Table.from_batches([rest])
 
 
-def bucket_pairs(n: np.ndarray, keys: np.ndarray, low: int, high: int, comp: np.ndarray | None, block: int = 512):
-    """(member, partner) of candidates in one bucket whose rank among a member's candidates is in [low, high).
+def _candidates(n: np.ndarray, sketches: np.ndarray, comp: np.ndarray | None, table: int | None, block: int = 256):
+    """(a, scores): for the members of a bucket from a on, their agreement with each member before them, 0 if they aren't candidates.
 
-    A member's candidates come before it in the order of the bucket; the rank goes by shared minhashes, most first, then by order. With
-    comp, pairs of one component are passed over. Blocks bound memory.
+    With comp, pairs of one component are no candidates; with table, neither are pairs that meet by an earlier key of the first collection.
     """
-    m = len(n)
-    by_hash = np.ascontiguousarray(keys.T)
-    for a in range(0, m, block):
-        b = min(m, a + block)
+    by_hash = np.ascontiguousarray(sketches.T)
+    for a in range(0, len(n), block):
+        b = min(len(n), a + block)
         shared = np.zeros((b - a, b), np.uint8)
         second = np.zeros((b - a, b), bool)
-        for k in range(0, 2 * BANDS * ROWS, ROWS):
-            eq = [by_hash[k + r, a:b, None] == by_hash[k + r, None, :b] for r in range(ROWS)]
+        earlier = np.zeros((b - a, b), bool)
+        for k in range(2 * BANDS):
+            eq = [by_hash[k * ROWS + r, a:b, None] == by_hash[k * ROWS + r, None, :b] for r in range(ROWS)]
             for x in eq:
                 shared += x
-            if k >= BANDS * ROWS:
+            if k >= BANDS:
                 second |= np.logical_and.reduce(eq)
+            elif table is not None and k < table:
+                earlier |= np.logical_and.reduce(eq)
         x, y = n[a:b, None], n[None, :b]
-        ok = second & (shared >= LEAST) & (100 * np.minimum(x, y) >= PERCENT * np.maximum(x, y)) & (np.arange(b)[None, :] < np.arange(a, b)[:, None])
+        ok = second & ~earlier & (shared >= LEAST) & (100 * np.minimum(x, y) >= PERCENT * np.maximum(x, y)) & (np.arange(b)[None, :] < np.arange(a, b)[:, None])
         if comp is not None:
             ok &= comp[a:b, None] != comp[None, :b]
-        score = np.where(ok, shared, 0)
-        for i in np.flatnonzero(ok.any(axis=1)):
-            cand = np.flatnonzero(ok[i])
-            cand = cand[np.argsort(-score[i, cand].astype(np.int16), kind="stable")]
-            for j in cand[low:high]:
-                yield a + i, int(j)
+        yield a, np.where(ok, shared, 0)
 
 
-def _bucket_links(members: DataFrame, low: int, high: int) -> DataFrame:
-    """Candidate pairs (a, b) of classes from rows (key, cls, n, sketch, comp)."""
+def _columns(g: pa.Table):
+    cls = g.column(1).to_pylist()
+    sketches = np.frombuffer(b"".join(g.column(3).to_pylist()), np.uint8).reshape(len(cls), 2 * BANDS * ROWS)
+    return cls, g.column(2).to_numpy(), sketches
+
+
+def _best_pairs(buckets: DataFrame) -> DataFrame:
+    """Pairs (a, b): each class of a bucket with the earlier member that agrees with it most."""
 
     def run(batches):
         for g in _groups(batches):
             if g.num_rows < 2:
                 continue
-            cls = g.column(1).to_pylist()
-            n = g.column(2).to_numpy()
-            keys = np.frombuffer(b"".join(g.column(3).to_pylist()), np.uint8).reshape(len(cls), 2 * BANDS * ROWS)
-            comp = np.unique(np.array([bytes(c) for c in g.column(4).to_pylist()], dtype=object), return_inverse=True)[1] if low else None
-            if comp is not None and comp.max() == 0:
-                continue
-            pairs = list(bucket_pairs(n, keys, low, high, comp))
+            cls, n, sketches = _columns(g)
+            pairs = []
+            for a, score in _candidates(n, sketches, None, None):
+                best = score.argmax(axis=1)
+                pairs += [(cls[a + i], cls[best[i]]) for i in np.flatnonzero(score.max(axis=1))]
             if pairs:
-                yield pa.RecordBatch.from_arrays([pa.array([min(cls[i], cls[j]) for i, j in pairs], pa.binary()), pa.array([max(cls[i], cls[j]) for i, j in pairs], pa.binary())], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs], pa.binary()), pa.array([max(p) for p in pairs], pa.binary())], ["a", "b"])
+
+    rows = buckets.repartition("key").sortWithinPartitions("key", "n", "cls").select("key", "cls", "n", "sketch")
+    return rows.mapInArrow(run, "a binary, b binary").distinct()
+
+
+def _codes(g: pa.Table, at: int) -> np.ndarray:
+    index: dict[bytes, int] = {}
+    return np.array([index.setdefault(c, len(index)) for c in g.column(at).to_pylist()])
+
+
+def _open_members(members: DataFrame) -> DataFrame:
+    """(key, cls) of members that have a candidate in another component, each pair at the first key by which it meets."""
+
+    def run(batches):
+        for g in _groups(batches):
+            comp = _codes(g, 4)
+            if comp.max() == 0:
+                continue
+            key = g.column(0)[0].as_py()
+            cls, n, sketches = _columns(g)
+            open_ = np.zeros(len(cls), bool)
+            for a, score in _candidates(n, sketches, comp, key[0]):
+                open_[a : a + len(score)] |= score.any(axis=1)
+                open_[: score.shape[1]] |= score.any(axis=0)
+            out = [cls[i] for i in np.flatnonzero(open_)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(out), pa.binary()), pa.array(out, pa.binary())], ["key", "cls"])
 
     rows = members.repartition("key").sortWithinPartitions("key", "n", "cls").select("key", "cls", "n", "sketch", "comp")
+    return rows.mapInArrow(run, "key binary, cls binary")
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int = 8192) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets, exact: products of 0/1 matrices over shingles that both sides have, in strips."""
+    both = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    out = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, len(both), width):
+        strip = both[at : at + width]
+        mats = []
+        for sets in (left, right):
+            m = np.zeros((len(sets), len(strip)), np.float32)
+            for i, s in enumerate(sets):
+                own = s[np.searchsorted(s, strip[0]) : np.searchsorted(s, strip[-1], side="right")]
+                k = np.searchsorted(strip, own)
+                m[i, k[strip[k] == own]] = 1
+            mats.append(m)
+        out += mats[0] @ mats[1].T
+    return out
+
+
+def _exact_links(members: DataFrame) -> DataFrame:
+    """Links (a, b) between components among the open members of each bucket, from their full sets; one for each pair of components joined."""
+
+    def run(batches):
+        unpack = zstandard.ZstdDecompressor()
+        for g in _groups(batches):
+            cls, n, sketches = _columns(g)
+            comp = _codes(g, 4)
+            body = g.column(5)
+            sets = lambda ids: [shingle_set(unpack.decompress(body[int(i)].as_py()).decode("utf-8", "surrogatepass")) for i in ids]
+            root = list(range(int(comp.max()) + 1))
+
+            def find(x):
+                while root[x] != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            pairs = []
+            for a, score in _candidates(n, sketches, comp, g.column(0)[0].as_py()[0], block=64):
+                for c in range(0, score.shape[1], 64):
+                    part = score[:, c : c + 64] > 0
+                    rows, cols = np.flatnonzero(part.any(axis=1)), np.flatnonzero(part.any(axis=0))
+                    if not len(rows):
+                        continue
+                    inter = overlaps(sets(a + rows), sets(c + cols))
+                    hit = part[np.ix_(rows, cols)] & (100 * inter >= PERCENT * (n[a + rows, None] + n[None, c + cols] - inter))
+                    for i, j in zip(*np.nonzero(hit), strict=True):
+                        x, y = a + int(rows[i]), c + int(cols[j])
+                        u, v = find(comp[x]), find(comp[y])
+                        if u != v:
+                            root[max(u, v)] = min(u, v)
+                            pairs.append((min(cls[x], cls[y]), max(cls[x], cls[y])))
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], ["a", "b"])
+
+    rows = members.repartition("key").sortWithinPartitions("key", "n", "cls").select("key", "cls", "n", "sketch", "comp", "body")
     return rows.mapInArrow(run, "a binary, b binary").distinct()
 
 
@@ -282,21 +365,15 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     sc.drop("classes")
     bodies = own.select("cls", "body").join(buckets.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("body").alias("body"))
     bodies = sc.save(bodies, "bodies")
-    links, comp = None, None
-    ranks = [(0, FIRST_RANKS), (FIRST_RANKS, NEXT_RANKS), (NEXT_RANKS, 1 << 31)]
-    for r, (low, high) in enumerate(ranks):
-        if comp is None:
-            members = buckets.withColumn("comp", F.col("cls"))
-        else:
-            members = buckets.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        pairs = sc.save(_bucket_links(members, low, high), f"pairs{r}")
-        if comp is not None and pairs.isEmpty():
-            continue
-        good = sc.save(_verify(pairs, bodies), f"good{r}")
-        if comp is not None and good.isEmpty():
-            continue
-        links = good if links is None else links.unionByName(good)
-        comp = components(links, sc, f"c{r}")
+    links = sc.save(_verify(sc.save(_best_pairs(buckets), "pairs"), bodies), "good")
+    comp = components(links, sc, "c0")
+    placed = lambda rows: rows.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    still = sc.save(_open_members(placed(buckets)), "open")
+    if not still.isEmpty():
+        members = placed(still.join(buckets.select("key", "cls", "n", "sketch"), ["key", "cls"])).join(bodies, "cls")
+        more = sc.save(_exact_links(members), "more")
+        if not more.isEmpty():
+            comp = components(links.unionByName(more), sc, "c1")
     sc.drop("bodies", "buckets")
     name = raw.select("id", "n", "cls").join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     name = sc.save(name.select("id", "n", "comp"), "named")
