@@ -52,18 +52,19 @@ def paths(tree: DataFrame, sc: Scratch, most: int = 64) -> DataFrame:
     base = nodes.join(there, ["t", "parent"], "left")
     # up: the ancestor so far, null at a root's own; depth and total count the nodes from it (itself left out) to the node
     state = base.select("t", "node", F.when(F.col("there"), F.col("parent")).alias("up"), F.col("node").alias("top"), F.lit(1).cast("bigint").alias("depth"), F.coalesce("score", F.lit(0.0)).alias("total"))
-    state = sc.save(state, "paths-0")
+    # each round joins only the nodes whose ancestor isn't a root yet
+    active = sc.save(state, "paths-0")
+    done = active.where("up IS NULL")
+    active = active.where("up IS NOT NULL")
     for i in range(1, most):
-        if state.where("up IS NOT NULL").isEmpty():
+        if active.isEmpty():
             break
-        above = state.select("t", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("top").alias("top2"), F.col("depth").alias("depth2"), F.col("total").alias("total2"))
-        state = state.join(above, ["t", "up"], "left").select(
-            "t", "node", F.col("up2").alias("up"), F.coalesce("top2", "top").alias("top"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total")
-        )
-        state = sc.save(state, f"paths-{i}")
-        sc.drop(f"paths-{i - 1}")
+        above = done.unionByName(active).select("t", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("top").alias("top2"), F.col("depth").alias("depth2"), F.col("total").alias("total2"))
+        new = active.join(above, ["t", "up"]).select("t", "node", F.col("up2").alias("up"), F.col("top2").alias("top"), (F.col("depth") + F.col("depth2")).alias("depth"), (F.col("total") + F.col("total2")).alias("total"))
+        new = sc.save(new, f"paths-{i}")
+        done, active = done.unionByName(new.where("up IS NULL")), new.where("up IS NOT NULL")
     parents = base.where("there").select("t", F.col("parent").alias("node")).distinct().withColumn("inner", F.lit(True))
-    return state.where("up IS NULL").join(parents, ["t", "node"], "left").select("t", "node", F.col("top").alias("root"), "depth", "total", F.col("inner").isNull().alias("is_leaf"))
+    return done.join(parents, ["t", "node"], "left").select("t", "node", F.col("top").alias("root"), "depth", "total", F.col("inner").isNull().alias("is_leaf"))
 
 
 def chosen_leaves(nodes: DataFrame, best: int = 1) -> DataFrame:
