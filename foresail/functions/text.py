@@ -6,6 +6,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 # Character classes and patterns of the tokenizer, in a spelling that Java and RE2 share.
 MARKS = r"\x{0300}-\x{036f}\x{0900}-\x{0903}\x{093a}-\x{094f}\x{0951}-\x{0957}\x{0962}-\x{0963}"
@@ -42,7 +43,7 @@ def by_length(rules):
     return sorted(rules, key=lambda r: -len(r[0]))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
