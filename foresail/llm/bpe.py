@@ -22,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import pieces
+
 LEAF_CHARS = 1 << 15
 WINDOW_CHARS = 64
 
@@ -135,9 +137,14 @@ def bpe_encode(df: DataFrame, id_col: str, text_col: str, vocab_path: str, patte
 
     def run(batches):
         tree = encoder(vocab_path, pattern, leaf_chars)
-        for batch in batches:
-            ids = [tree.encode(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([tree.decode(i) for i in ids], pa.string())], ["id", "ids", "decoded"])
+        for batch in pieces(batches):
+            ids, decoded = [], []
+            for t in batch.column(1).to_pylist():
+                own = tree.encode(t)
+                decoded.append(tree.decode(own))
+                ids.append(np.asarray(own, dtype=np.int32))
+            offsets = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids))), pa.array(decoded, pa.string())], ["id", "ids", "decoded"])
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, f"id {kind}, ids array<int>, decoded string")
@@ -148,7 +155,7 @@ def bpe_digests(df: DataFrame, id_col: str, text_col: str, vocab_path: str, patt
 
     def run(batches):
         tree = encoder(vocab_path, pattern, leaf_chars)
-        for batch in batches:
+        for batch in pieces(batches):
             n, ids_sha, text_sha = [], [], []
             for t in batch.column(1).to_pylist():
                 ids = tree.encode(t)

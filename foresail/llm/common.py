@@ -48,3 +48,10 @@ class Scratch:
 def words_of(text: str | None) -> list[bytes]:
     """Maximal runs of [^\\x20\\x09-\\x0D], as UTF-8: bytes.split() splits at exactly those six characters."""
     return text.encode("utf-8", "surrogatepass").split() if text else []
+
+
+def pieces(batches, rows: int = 512):
+    """Arrow batches in slices of a few rows, so that Python objects of one slice alone are in memory."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -26,7 +26,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch
+from .common import Scratch, pieces
 
 SHINGLE = 5
 ROWS = 3
@@ -124,7 +124,7 @@ def _keys(docs: DataFrame) -> DataFrame:
     def run(batches):
         seen = set()
         pack = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
+        for batch in pieces(batches):
             out = []
             for t in batch.column(1).to_pylist():
                 s = shingle_set(t)
@@ -309,7 +309,7 @@ def _verify(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
         unpack = zstandard.ZstdDecompressor()
         of = lambda body: shingle_set(unpack.decompress(body).decode("utf-8", "surrogatepass"))
         key = own = None
-        for batch in batches:
+        for batch in pieces(batches):
             out = []
             for a, salt, b, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if b is None:

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch, words_of
+from .common import Scratch, pieces, words_of
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -58,7 +58,7 @@ def _measured(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     slim = df.select(df[text_col].alias("text"), *[df[c].alias(f"keep{i}") for i, c in enumerate(keep)])
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             rows = [measure(t) for t in batch.column(0).to_pylist()]
             cols = [pa.array([r[k] for r in rows], pa.int64()) for k in range(5)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *cols], [*batch.schema.names[1:], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"])
@@ -100,7 +100,7 @@ def keep_good(df: DataFrame, text_col: str, host_col: str, max_rate: float = MAX
     at = df.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             ok = []
             for t in batch.column(at).to_pylist():
                 n, _, _, _, rep = measure(t)

@@ -17,6 +17,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import pieces
+
 MIN_RUN = 20
 MAX_CHARS_PER_TOKEN = 2.0
 
@@ -67,7 +69,7 @@ def scan_secrets(df: DataFrame, id_col: str, text_col: str, vocab_path: str, pat
 
     def run(batches):
         enc = _vocabulary(vocab_path, pattern)
-        for batch in batches:
+        for batch in pieces(batches):
             rows = [find_spans(t, enc, max_ratio) for t in batch.column(1).to_pylist()]
             counts = [pa.array([sum(k == i for _, k, _ in r) for r in rows], pa.int64()) for i in range(4)]
             sha = [hashlib.sha256(_joined(s for s in r if s[1] < 3).encode()).hexdigest() for r in rows]
@@ -91,7 +93,7 @@ def redact_secrets(df: DataFrame, text_col: str, vocab_path: str, pattern: str,
 
     def run(batches):
         enc = _vocabulary(vocab_path, pattern)
-        for batch in batches:
+        for batch in pieces(batches):
             texts = pa.array([clean(t, enc) for t in batch.column(at).to_pylist()], batch.column(at).type)
             yield pa.RecordBatch.from_arrays([texts if i == at else c for i, c in enumerate(batch.columns)], batch.schema.names)
 

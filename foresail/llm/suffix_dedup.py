@@ -24,7 +24,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch
+from .common import Scratch, pieces
 
 LENGTH = 400
 GRAM = 32
@@ -81,7 +81,7 @@ def _scan(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         pack = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
+        for batch in pieces(batches):
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             k, n, sha, z, runs = [], [], [], [], []
             for i, t in zip(ids.to_pylist(), texts, strict=True):
@@ -106,7 +106,7 @@ def _digests(rows: DataFrame) -> DataFrame:
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in pieces(batches):
             out = []
             for k, z, runs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = unpack.decompress(z)
@@ -123,7 +123,7 @@ def _contents(rows: DataFrame) -> DataFrame:
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in pieces(batches):
             out = []
             for z, picks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = unpack.decompress(z)
@@ -432,7 +432,7 @@ def dedup_substrings(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def cut(batches):
         unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in pieces(batches):
             out = []
             for z, spans in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 data, merged = unpack.decompress(z), []

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch
+from .common import Scratch, pieces
 
 MAX_POSITIVE = 3000
 MAX_UNLABELLED = 6000
@@ -84,7 +84,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_po
     chosen = toxic.select("id", F.lit(1).alias("y")).unionByName(sample.select("id", F.lit(0).alias("y")))  # bounded by the two limits
 
     def words(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([sorted(features(t)) for t in batch.column(0).to_pylist()], pa.list_(pa.string()))], ["y", "words"])
 
     got = Scratch(docs.sparkSession, "toxicity").save(ids.join(F.broadcast(chosen), "id").select("text", "y").mapInArrow(words, "y int, words array<string>"), "sample")
@@ -102,7 +102,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_po
     index = {x: i for i, x in enumerate(vocab)}
 
     def code(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sorted(index[x] for x in r if x in index) for r in batch.column(1).to_pylist()], pa.list_(pa.int32()))], ["y", "ids"])
 
     rows = got.mapInArrow(code, "y int, ids array<int>").collect()
@@ -117,7 +117,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str, text_col: st
 
     def run(batches):
         weights, b = model or ({}, None)
-        for batch in batches:
+        for batch in pieces(batches):
             z = [math.fsum([b, *(weights[x] for x in features(t) if x in weights)]) if b is not None else -np.inf for t in batch.column(1).to_pylist()]
             s = _sigmoid(np.array(z, dtype=np.float64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], ["id", "score"])
