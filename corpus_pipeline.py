@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from foresail.llm.bpe import bpe_encode
-from foresail.llm.common import Scratch, read_table
+from foresail.llm.common import Scratch, read_table, small_batches
 from foresail.llm.minhash import near_duplicates
 from foresail.llm.mixing import mix, word_count
 from foresail.llm.quality import keep_good
@@ -17,17 +17,20 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules or their host's rate reject go."""
+    small_batches(spark)
     return keep_good(docs.select(*COLUMNS), "text", "source")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: that with the smallest doc_id."""
+    small_batches(spark)
     kept = near_duplicates(docs, "doc_id", "text").where("kept").select(F.col("doc_id").alias("__id")).distinct()
     return docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; n_chars follows the text."""
+    small_batches(spark)
     return redact_secrets(docs.select(*COLUMNS), "text", RANK_VOCAB, PATTERN).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
@@ -39,6 +42,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids)."""
+    small_batches(spark)
     coded = bpe_encode(docs, "doc_id", "text", JSON_VOCAB, PATTERN)
     return coded.select(F.col("id").alias("doc_id"), F.size("ids").cast("bigint").alias("n_tokens"), "ids")
 

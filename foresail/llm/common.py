@@ -10,8 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 _OWN_DIR: list[str] = []
 
 
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts are long rows: Arrow batches of this session get at most BATCH_ROWS of them, which bounds memory on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, by Spark's own reader so that any store works."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
