@@ -24,8 +24,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: that with the smallest doc_id."""
     small_batches(spark)
-    kept = near_duplicates(docs, "doc_id", "text").where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    ids = near_duplicates(docs, "doc_id", "text").groupBy(F.col("doc_id").alias("__id")).agg(F.max("kept").alias("kept"))
+    gone = ids.where("NOT kept").select("__id")  # fewer than what stays
+    return docs.select(*COLUMNS).join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
