@@ -25,7 +25,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: that with the smallest doc_id."""
     small_batches(spark)
     ids = near_duplicates(docs, "doc_id", "text").groupBy(F.col("doc_id").alias("__id")).agg(F.max("kept").alias("kept"))
-    gone = ids.where("NOT kept").select("__id")  # fewer than what stays
+    # written first: the planner then sees its true size, and texts are shuffled only if it is above the broadcast threshold
+    gone = Scratch(spark, "pipeline").save(ids.where("NOT kept").select("__id"), "gone")
     return docs.select(*COLUMNS).join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
 
 
