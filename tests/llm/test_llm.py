@@ -218,6 +218,16 @@ def test_fingerprint_tracks_similarity(spark):
         assert abs(row.j - row.s) < 0.16
 
 
+def test_html_many_hosts(spark):
+    """Hosts that are broadcast and hosts that are joined by salted keys give the same containers."""
+    from foresail.llm.html_extract import _with_wrapper
+
+    pages = spark.createDataFrame([(i, f"u{i}", "<p>x", "hot" if i % 3 else f"h{i}") for i in range(90)], "id long, url string, html string, host string").union(spark.sql("SELECT NULL, NULL, NULL, ''"))
+    wrappers = spark.createDataFrame([("hot", "article "), ("h3", "main "), ("unseen", "div m")], "host string, container string")
+    got = [sorted(map(str, _with_wrapper(pages, wrappers, limit).collect())) for limit in (3, 2)]
+    assert got[0] == got[1] and len(got[0]) == 91
+
+
 def test_toxicity(spark):
     from foresail.llm.toxicity import score_toxicity
 
