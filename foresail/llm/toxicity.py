@@ -1,7 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 Confirmed toxic texts are the positives; texts whose label isn't looked at are the unlabelled. A linear classifier over
-the presence of words is trained in numpy on the risk  p R+(positives) + max(0, R-(unlabelled) - p R-(positives)),  p the class prior,
+the rates of words and of word beginnings of 4 to 6 letters (stems of words that the positives have in other forms) is trained in numpy on the risk  p R+(positives) + max(0, R-(unlabelled) - p R-(positives)),  p the class prior,
 with the corrected gradient step where the bracket turns negative. The prior is the share of toxic labels in the training folds.
 
 Training takes at most ``max_positive`` and ``max_unlabelled`` rows, those with the smallest hash of their id; every text is scored whole.
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +28,21 @@ MAX_WORDS = 50_000
 MIN_Z = 3.0
 THRESHOLD = 0.3
 FOLDS, HELD = 4, 2
+STEMS = (4, 5, 6)
 
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def features(text: str | None) -> set[str]:
-    """The distinct words of a whole text."""
-    return set(_WORD.findall(text.lower())) if text else set()
+def features(text: str | None, known: dict | None = None) -> dict[str, float]:
+    """Words and word beginnings (marked by a dash) of a whole text, or those known, with log(1 + count in a hundred words)."""
+    words = _WORD.findall(text.lower()) if text else []
+    counts: Counter = Counter()
+    for word, n in Counter(words).items():
+        counts[word] += n
+        for k in STEMS:
+            if len(word) > k:
+                counts[word[:k] + "-"] += n
+    return {x: math.log1p(100 * n / len(words)) for x, n in counts.items() if known is None or x in known}
 
 
 def held_out(id_col):
@@ -44,17 +53,18 @@ def _sigmoid(x):
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def fit_nnpu(positive: list[list[int]], unlabelled: list[list[int]], n_words: int, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-3, beta: float = 0.0) -> tuple[np.ndarray, float]:
-    """Weights and intercept; Adam on the corrected risk with the logistic loss, full batches."""
+def fit_nnpu(positive: list[list[tuple[int, float]]], unlabelled: list[list[tuple[int, float]]], n_words: int, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-3, beta: float = 0.0) -> tuple[np.ndarray, float]:
+    """Weights and intercept from rows of (feature, value); Adam on the corrected risk with the logistic loss, full batches."""
     rows = positive + unlabelled
     n_p, n_u = len(positive), len(unlabelled)
     lengths = np.array([len(r) for r in rows])
-    idx = np.fromiter((i for r in rows for i in r), dtype=np.int64, count=int(lengths.sum()))
+    idx = np.fromiter((i for r in rows for i, _ in r), dtype=np.int64, count=int(lengths.sum()))
+    value = np.fromiter((v for r in rows for _, v in r), dtype=np.float64, count=int(lengths.sum()))
     owner = np.repeat(np.arange(len(rows)), lengths)
     w, b = np.zeros(n_words), float(np.log(prior / (1 - prior)))
     m, v, mb, vb = np.zeros(n_words), np.zeros(n_words), 0.0, 0.0
     for t in range(1, steps + 1):
-        s = _sigmoid(np.bincount(owner, w[idx], minlength=len(rows)) + b)
+        s = _sigmoid(np.bincount(owner, w[idx] * value, minlength=len(rows)) + b)
         sp, su = s[:n_p], s[n_p:]
         # logistic loss: positive part has slope s - 1, negative part has slope s
         negative = -np.log1p(-np.clip(su, 0, 1 - 1e-12)).mean() + prior * np.log1p(-np.clip(sp, 0, 1 - 1e-12)).mean()
@@ -62,7 +72,7 @@ def fit_nnpu(positive: list[list[int]], unlabelled: list[list[int]], n_words: in
             g = np.concatenate([prior * sp / n_p, -su / n_u])  # the step back of the correction
         else:
             g = np.concatenate([prior * (sp - 1) / n_p - prior * sp / n_p, su / n_u])
-        gw = np.bincount(idx, g[owner], minlength=n_words) + decay * w
+        gw = np.bincount(idx, g[owner] * value, minlength=n_words) + decay * w
         gb = g.sum()
         m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw**2
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
@@ -85,9 +95,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_po
 
     def words(batches):
         for batch in pieces(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([sorted(features(t)) for t in batch.column(0).to_pylist()], pa.list_(pa.string()))], ["y", "words"])
+            found = [features(t) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([list(f) for f in found], pa.list_(pa.string())), pa.array([list(f.values()) for f in found], pa.list_(pa.float64()))], ["y", "words", "rates"])
 
-    got = Scratch(docs.sparkSession, "toxicity").save(ids.join(F.broadcast(chosen), "id").select("text", "y").mapInArrow(words, "y int, words array<string>"), "sample")
+    got = Scratch(docs.sparkSession, "toxicity").save(ids.join(F.broadcast(chosen), "id").select("text", "y").mapInArrow(words, "y int, words array<string>, rates array<double>"), "sample")
     n = {r.y: r.n for r in got.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n_p, n_u = n.get(1, 0), n.get(0, 0)
     if not n_p or not n_u:
@@ -103,10 +114,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_po
 
     def code(batches):
         for batch in pieces(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sorted(index[x] for x in r if x in index) for r in batch.column(1).to_pylist()], pa.list_(pa.int32()))], ["y", "ids"])
+            rows = [sorted((index[x], v) for x, v in zip(a, b, strict=True) if x in index) for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[i for i, _ in r] for r in rows], pa.list_(pa.int32())), pa.array([[v for _, v in r] for r in rows], pa.list_(pa.float64()))], ["y", "ids", "rates"])
 
-    rows = got.mapInArrow(code, "y int, ids array<int>").collect()
-    coded = {y: sorted(r.ids for r in rows if r.y == y) for y in (0, 1)}  # sorted: sums don't depend on the order of tasks
+    rows = got.mapInArrow(code, "y int, ids array<int>, rates array<double>").collect()
+    coded = {y: sorted(list(zip(r.ids, r.rates, strict=True)) for r in rows if r.y == y) for y in (0, 1)}  # sorted: sums don't depend on the order of tasks
     w, b = fit_nnpu(coded[1], coded[0], len(vocab), min(max(share.p, 1e-3), 0.999))
     return {x: float(w[i]) for x, i in index.items()}, b
 
@@ -118,7 +130,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str, text_col: st
     def run(batches):
         weights, b = model or ({}, None)
         for batch in pieces(batches):
-            z = [math.fsum([b, *(weights[x] for x in features(t) if x in weights)]) if b is not None else -np.inf for t in batch.column(1).to_pylist()]
+            z = [math.fsum([b, *(weights[x] * v for x, v in features(t, weights).items())]) if b is not None else -np.inf for t in batch.column(1).to_pylist()]
             s = _sigmoid(np.array(z, dtype=np.float64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], ["id", "score"])
 
