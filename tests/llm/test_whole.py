@@ -1,0 +1,28 @@
+"""Cases in which an operator did less than its whole job."""
+
+import random
+
+from foresail.llm import queries as Q
+from test_llm import prose
+
+PAGES = "page_id bigint, url string, html string"
+
+
+def extracted(spark, pages):
+    from foresail.llm.html_extract import extract_pages
+
+    return {r.page_id: r.text for r in extract_pages(spark.createDataFrame(pages, PAGES), "page_id", "url", "html").collect()}
+
+
+def test_html_template_texts(spark):
+    """Texts that all pages of a host have go, whatever their classes; copies of one article stay whole, and so does a host of few pages."""
+    r = random.Random(8)
+    own = [[prose(r, r.randint(5, 30)) for _ in range(r.randint(2, 5))] for _ in range(12)]
+    page = "<body><article><h1>T{}</h1><div class=box>Read our <b>terms</b> first</div>{}<ul class=links><li><a>One place</a><li><a>Two places</a></ul></article></body>"
+    html = [page.format(i, "".join(f"<p>{x}</p>" for x in xs) + ("<table><tr><td>cell %d</table>" % i if i % 3 == 0 else "")) for i, xs in enumerate(own)]
+    want = ["\n".join([f"T{i}", *xs, *([f"cell {i}"] if i % 3 == 0 else [])]) for i, xs in enumerate(own)]
+    pages = [(i, f"http://many.example/{i}", x) for i, x in enumerate(html)] + [(100 + i, f"http://few.example/{i}", x) for i, x in enumerate(html[:3])]
+    pages += [(200 + i, f"http://copies.example/{i}", page.format(i, f"<p>{own[0][0]}</p>")) for i in range(9)]
+    got = extracted(spark, pages)
+    assert [got[i] for i in range(12)] == want
+    assert "Read our terms first" in got[100] and all(own[0][0] in got[200 + i] for i in range(9))
