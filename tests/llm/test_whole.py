@@ -26,3 +26,26 @@ def test_html_template_texts(spark):
     got = extracted(spark, pages)
     assert [got[i] for i in range(12)] == want
     assert "Read our terms first" in got[100] and all(own[0][0] in got[200 + i] for i in range(9))
+
+
+def test_html_whole_pages_and_templates(spark):
+    """A container behind more than 4,000 tags is found, and a host's other template doesn't take a page's article."""
+    r = random.Random(9)
+    menu = "<div>" + "".join(f"<div><a>link {i}</a></div>" for i in range(1500)) + "</div>"
+    pages = [(i, f"http://long.example/{i}", f"<body>{menu}<article><p>{prose(r, 20)} {i}</p></article></body>") for i in range(8)]
+    pages += [(100 + i, f"http://two.example/{i}", f"<body><div class=content><p>{prose(r, 9)} plain{i}</p></div></body>") for i in range(40)]
+    pages += [(200, "http://two.example/x", "<body><div class=content><p>first comment</p></div><article><p>the article</p></article></body>")]
+    got = extracted(spark, pages)
+    assert all("link" not in got[i] and got[i].endswith(f" {i}") for i in range(8))
+    assert got[200] == "the article" and all(got[100 + i].endswith(f" plain{i}") for i in range(40))
+
+
+def test_html_long_middles():
+    """Long streams are aligned by their texts; what they share stays outside optional groups."""
+    from foresail.llm.html_extract import align, template_texts
+
+    r = random.Random(2)
+    wild = lambda: [("tag", f"<e{r.randint(0, 10**9)} ") for _ in range(2100)]
+    a, b = ([("tag", "<body "), *wild(), ("text", "k"), *wild(), ("tag", ">body")] for _ in range(2))
+    wrapper = align(a, b)
+    assert template_texts(wrapper) == {"k"} and sum(len(x[1]) if x[0] == "opt" else 1 for x in wrapper) == 3 + 4 * 2100
