@@ -161,10 +161,11 @@ def _groups(batches):
         yield pa.Table.from_batches([rest])
 
 
-def _candidates(n: np.ndarray, sketches: np.ndarray, comp: np.ndarray | None, table: int | None, block: int = 256):
+def _candidates(n: np.ndarray, sketches: np.ndarray, comp: np.ndarray | None, keys: np.ndarray | None, block: int = 256):
     """(a, scores): for the members of a bucket from a on, their agreement with each member before them, 0 if they aren't candidates.
 
-    With comp, pairs of one component are no candidates; with table, neither are pairs that meet by an earlier key of the first collection.
+    With comp, pairs of one component are no candidates; with keys, neither are pairs that share one of them. Those are the members' whole keys
+    of the first collection before the bucket's own: sketches have low bytes only, and can agree where the keys, and so the buckets, differ.
     """
     by_hash = np.ascontiguousarray(sketches.T)
     for a in range(0, len(n), block):
@@ -178,8 +179,8 @@ def _candidates(n: np.ndarray, sketches: np.ndarray, comp: np.ndarray | None, ta
                 shared += x
             if k >= BANDS:
                 second |= np.logical_and.reduce(eq)
-            elif table is not None and k < table:
-                earlier |= np.logical_and.reduce(eq)
+        for of_key in keys.T if keys is not None else ():
+            earlier |= of_key[a:b, None] == of_key[None, :b]
         x, y = n[a:b, None], n[None, :b]
         ok = second & ~earlier & (shared >= LEAST) & (100 * np.minimum(x, y) >= PERCENT * np.maximum(x, y)) & (np.arange(b)[None, :] < np.arange(a, b)[:, None])
         if comp is not None:
@@ -217,6 +218,12 @@ def _codes(g: pa.Table, at: int) -> np.ndarray:
     return np.array([index.setdefault(c, len(index)) for c in g.column(at).to_pylist()])
 
 
+def _earlier_keys(g: pa.Table, at: int) -> np.ndarray:
+    """Each member's keys of the first collection before that of the bucket."""
+    keys = np.frombuffer(b"".join(g.column(at).to_pylist()), ">u4").reshape(g.num_rows, BANDS)
+    return np.ascontiguousarray(keys[:, : g.column(0)[0].as_py()[0]])
+
+
 def _open_members(members: DataFrame) -> DataFrame:
     """(key, cls) of members that have a candidate in another component, each pair at the first key by which it meets."""
 
@@ -228,14 +235,14 @@ def _open_members(members: DataFrame) -> DataFrame:
             key = g.column(0)[0].as_py()
             cls, n, sketches = _columns(g)
             open_ = np.zeros(len(cls), bool)
-            for a, score in _candidates(n, sketches, comp, key[0]):
+            for a, score in _candidates(n, sketches, comp, _earlier_keys(g, 5)):
                 open_[a : a + len(score)] |= score.any(axis=1)
                 open_[: score.shape[1]] |= score.any(axis=0)
             out = [cls[i] for i in np.flatnonzero(open_)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([key] * len(out), pa.binary()), pa.array(out, pa.binary())], ["key", "cls"])
 
-    rows = members.repartition("key").sortWithinPartitions("key", "n", "cls").select("key", "cls", "n", "sketch", "comp")
+    rows = members.repartition("key").sortWithinPartitions("key", "n", "cls").select("key", "cls", "n", "sketch", "comp", "keys")
     return rows.mapInArrow(run, "key binary, cls binary")
 
 
@@ -265,7 +272,7 @@ def _exact_links(members: DataFrame) -> DataFrame:
         for g in _groups(batches):
             cls, n, sketches = _columns(g)
             comp = _codes(g, 4)
-            body = g.column(5)
+            body = g.column(6)
             sets = lambda ids: [shingle_set(unpack.decompress(body[int(i)].as_py()).decode("utf-8", "surrogatepass")) for i in ids]
             root = list(range(int(comp.max()) + 1))
 
@@ -276,7 +283,7 @@ def _exact_links(members: DataFrame) -> DataFrame:
                 return x
 
             pairs = []
-            for a, score in _candidates(n, sketches, comp, g.column(0)[0].as_py()[0], block=64):
+            for a, score in _candidates(n, sketches, comp, _earlier_keys(g, 5), block=64):
                 for c in range(0, score.shape[1], 64):
                     part = score[:, c : c + 64] > 0
                     rows, cols = np.flatnonzero(part.any(axis=1)), np.flatnonzero(part.any(axis=0))
@@ -293,7 +300,7 @@ def _exact_links(members: DataFrame) -> DataFrame:
             if pairs:
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], ["a", "b"])
 
-    rows = members.repartition("key").sortWithinPartitions("key", "n", "cls").select("key", "cls", "n", "sketch", "comp", "body")
+    rows = members.repartition("key").sortWithinPartitions("key", "n", "cls").select("key", "cls", "n", "sketch", "comp", "keys", "body")
     return rows.mapInArrow(run, "a binary, b binary").distinct()
 
 
@@ -358,10 +365,10 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     classes = own.select("cls", "n", "keys", "sketch").distinct()
     classes = sc.save(classes, "classes")
     key = lambda i: F.concat(F.lit(bytes([i])), F.substring("keys", 4 * i + 1, 4))
-    # keys are counted, and met, by slim rows; sketches join only what has met
+    # keys are counted, and met, by slim rows; sketches and all keys join only what has met
     by_key = classes.select("cls", F.explode(F.array(*map(key, range(BANDS)))).alias("key"))
     met = by_key.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    buckets = sc.save(by_key.join(met, "key").join(classes.select("cls", "n", "sketch"), "cls").select("key", "cls", "n", "sketch"), "buckets")
+    buckets = sc.save(by_key.join(met, "key").join(classes, "cls").select("key", "cls", "n", "keys", "sketch"), "buckets")
     sc.drop("classes")
     bodies = own.select("cls", "body").join(buckets.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("body").alias("body"))
     bodies = sc.save(bodies, "bodies")
@@ -370,7 +377,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     placed = lambda rows: rows.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     still = sc.save(_open_members(placed(buckets)), "open")
     if not still.isEmpty():
-        members = placed(still.join(buckets.select("key", "cls", "n", "sketch"), ["key", "cls"])).join(bodies, "cls")
+        members = placed(still.join(buckets, ["key", "cls"])).join(bodies, "cls")
         more = sc.save(_exact_links(members), "more")
         if not more.isEmpty():
             comp = components(links.unionByName(more), sc, "c1")

@@ -49,3 +49,17 @@ def test_html_long_middles():
     a, b = ([("tag", "<body "), *wild(), ("text", "k"), *wild(), ("tag", ">body")] for _ in range(2))
     wrapper = align(a, b)
     assert template_texts(wrapper) == {"k"} and sum(len(x[1]) if x[0] == "opt" else 1 for x in wrapper) == 3 + 4 * 2100
+
+
+def test_minhash_low_bytes():
+    """Two texts that agree in the low bytes of an earlier key, but not in the key, are candidates where they really meet."""
+    import numpy as np
+
+    from foresail.llm.minhash import BANDS, ROWS, _candidates, first_keys
+
+    low = np.tile(np.arange(2 * BANDS * ROWS, dtype=np.uint32), (2, 1))
+    low[1, : 2 * ROWS] += 256
+    keys = np.array([first_keys(x) for x in low])
+    assert [k for k in range(BANDS) if keys[0, k] == keys[1, k]] == list(range(2, BANDS))
+    found = [next(_candidates(np.array([9, 9]), low.astype(np.uint8), np.array([0, 1]), keys[:, :k]))[1][1, 0] for k in range(2, 5)]
+    assert found[0] > 0 and found[1] == found[2] == 0
