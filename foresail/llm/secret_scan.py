@@ -2,7 +2,8 @@
 
 A run of 20 or more token characters whose characters per token under a tiktoken vocabulary fall below a ratio is
 random-looking: words and identifiers of languages merge into long tokens, keys don't. Known digests (pure hexadecimal), UUIDs,
-plain numbers and identifiers of one letter case without digits are excluded, and so is what a pattern has found already.
+plain numbers and identifiers of one letter case without digits, in words of fewer than 20 letters, are excluded. What a pattern has found already is cut out of a run, and each
+part that is left is tested by itself if it has 20 or more characters.
 
 Null texts are empty and have no spans. Each input row has one output row, repeated rows and ids too. Offsets are code points.
 """
@@ -32,6 +33,7 @@ KINDS = ("assign", "access", "hex", "entropy")
 _DIGEST = re.compile(r"[0-9a-fA-F]+")
 _UUID = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}")
 _PLAIN = re.compile(r"[A-Za-z][a-z]*(?:[_/+=-]+[A-Za-z]?[a-z]*)*|[A-Z_/+=-]+|[0-9_/+=-]+")
+_LONG = re.compile(r"[A-Za-z]{%d}" % MIN_RUN)
 
 
 @lru_cache(maxsize=2)
@@ -43,6 +45,16 @@ def _vocabulary(path: str, pattern: str):
     return tiktoken.Encoding("scan", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def _rest(start: int, end: int, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The parts of [start, end) that no span covers."""
+    out = []
+    for a, _, b in sorted(x for x in spans if x[0] < end and start < x[2]):
+        if a > start:
+            out.append((start, a))
+        start = max(start, b)
+    return [*out, (start, end)] if start < end else out
+
+
 def find_spans(text: str | None, enc, max_ratio: float = MAX_CHARS_PER_TOKEN) -> list[tuple[int, int, int]]:
     """(start, index into KINDS, end), sorted."""
     if not text:
@@ -52,11 +64,12 @@ def find_spans(text: str | None, enc, max_ratio: float = MAX_CHARS_PER_TOKEN) ->
     base += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     more = []
     for m in RUN.finditer(text):
-        a, b, run = m.start(), m.end(), m.group()
-        if _DIGEST.fullmatch(run) or _UUID.fullmatch(run) or _PLAIN.fullmatch(run) or any(x < b and a < y for x, _, y in base):
-            continue
-        if len(run) < max_ratio * len(enc.encode_ordinary(run)):
-            more.append((a, 3, b))
+        for a, b in _rest(m.start(), m.end(), base):
+            run = text[a:b]
+            if b - a < MIN_RUN or _DIGEST.fullmatch(run) or _UUID.fullmatch(run) or (_PLAIN.fullmatch(run) and not _LONG.search(run)):
+                continue
+            if len(run) < max_ratio * len(enc.encode_ordinary(run)):
+                more.append((a, 3, b))
     return sorted(base + more)
 
 
