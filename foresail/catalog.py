@@ -477,7 +477,17 @@ def _shown(df):
 
 
 add("suggest", lambda b: _shown(_predictor(b, truecase=True).predict(_requests(b))))
-add("predict_personalised", lambda b: _shown(_predictor(b, users=True, cfg=C.override(growth_tokens=50)).predict(_requests(b, 0))))
+
+
+def _personalised(b):
+    """The buffers of every user."""
+    rows = b.spark.createDataFrame(list(BUFFERS), "req_id bigint, buffer string").crossJoin(b.observed.select("user").distinct())
+    req = predict.requests_from_buffers(rows.select(F.struct("user", "req_id").alias("req_id"), "user", "buffer"))
+    shown = _shown(_predictor(b, users=True, cfg=C.override(growth_tokens=50)).predict(req))
+    return shown.select("req_id.user", "req_id.req_id", "rank", "word", "score", "source", "mode")
+
+
+add("predict_personalised", _personalised)
 add("predict_reranked", lambda b: _predictor(b, tagger=True).predict(_requests(b)).select("req_id", F.col("rank").cast("bigint").alias("rank"), "word", r6("score"), "mode", "tag"))
 add("predict_explain", lambda b: _predictor(b, tagger=True).rank(_predictor(b, tagger=True).scored(_requests(b))).select("req_id", F.col("rank").cast("bigint").alias("rank"), "word", r6("base"), r6("pos"), r6("final", "total"), "tag", "ctx_tag", "known"))
 PN = f"pn AS (SELECT w1, w2, w, p_stupid_backoff AS p, row_number() OVER (PARTITION BY w1, w2 ORDER BY {S.rk('p_stupid_backoff')} DESC, w) AS r FROM pool WHERE w NOT IN ('</s>', '<UNK>', '<s>'))"

@@ -75,3 +75,13 @@ def test_secret_beside_a_pattern():
     assert find_spans(f"x {secret}-{digest}={secret}", enc) == [(2, 3, 42), (42, 2, 58), (58, 3, 98)]
     assert find_spans(f"{digest}/short+rest", enc) == [(0, 2, 16)]
     assert [len(find_spans(x, enc)) for x in ("qzxvkjwpqhgfdbznmxqk", "a_b_c_d_e_f_g_h_i_j_k", "internationalization", "1234567-1234567-1234567")] == [1, 0, 0, 0]
+
+
+def test_personalised_for_all_users(spark):
+    """The buffers of every user are predicted."""
+    from foresail import catalog
+
+    sf_dir = "/root/testdata/sf0.001"
+    got = {(r.user, r.req_id) for r in catalog.queries()["predict_personalised"](spark, sf_dir).collect()}
+    users = {r.user for r in catalog.base(spark, sf_dir).observed.select("user").distinct().collect()}
+    assert len(users) > 1 and {u for u, _ in got} == users and all((u, 2) in got for u in users)
