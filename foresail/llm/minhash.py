@@ -145,20 +145,22 @@ def _keys(docs: DataFrame) -> DataFrame:
 
 
 def _groups(batches):
-    """Rows of batches that are sorted by the first column, as lists of columns by group; a group may span batches."""
-    rest = None
+    """Rows of batches that are sorted by the first column, as tables by group; a group may span batches, and its columns have a chunk for each:
+    one chunk could not hold binary columns of over 2 GiB."""
+    own, last = [], None
     for batch in batches:
         if not batch.num_rows:
             continue
-        table = pa.Table.from_batches([batch] if rest is None else [rest, batch]).combine_chunks()
-        key = table.column(0).to_numpy(zero_copy_only=False)
+        key = batch.column(0).to_numpy(zero_copy_only=False)
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        for a, b in zip(starts[:-1], starts[1:], strict=True):
-            yield table.slice(a, b - a)
-        last = table.slice(starts[-1]).combine_chunks()
-        rest = last.to_batches()[0]
-    if rest is not None:
-        yield pa.Table.from_batches([rest])
+        for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+            if own and key[a] != last:
+                yield pa.Table.from_batches(own)
+                own = []
+            own.append(batch.slice(a, b - a))
+            last = key[a]
+    if own:
+        yield pa.Table.from_batches(own)
 
 
 def _candidates(n: np.ndarray, sketches: np.ndarray, comp: np.ndarray | None, keys: np.ndarray | None, block: int = 256):

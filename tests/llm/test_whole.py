@@ -85,3 +85,16 @@ def test_personalised_for_all_users(spark):
     got = {(r.user, r.req_id) for r in catalog.queries()["predict_personalised"](spark, sf_dir).collect()}
     users = {r.user for r in catalog.base(spark, sf_dir).observed.select("user").distinct().collect()}
     assert len(users) > 1 and {u for u, _ in got} == users and all((u, 2) in got for u in users)
+
+
+def test_minhash_groups_beyond_one_chunk():
+    """A bucket whose binary column passes 2 GiB keeps all its members. The bytes are one untouched buffer, so they take no memory."""
+    import numpy as np
+    import pyarrow as pa
+
+    from foresail.llm.minhash import _groups
+
+    size = 1200 << 20
+    body = pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, size], np.int32)), pa.py_buffer(np.zeros(size, np.uint8))])
+    batches = [pa.RecordBatch.from_arrays([pa.array([k], pa.binary()), body], ["key", "body"]) for k in (b"a", b"b", b"b", b"b", b"c")]
+    assert [g.num_rows for g in _groups(iter(batches))] == [1, 3, 1]
