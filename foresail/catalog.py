@@ -11,10 +11,9 @@ from .functions import text as T
 from .operators import corpus, hmm, lexicon, predict, profile
 from .operators.lm import NgramModel, continuation_counts, context_totals, count_grams, model_stats, positions, prune
 from .plans import sql as S
-from .sources.bundle import materialize
+from .sources.bundle import materialize, state_of
 
 METHODS = ("mle", "laplace", "stupid_backoff", "kneser_ney")
-BUFFERS = ((1, "the "), (2, "and th"), (3, "of the "), (4, "de la "), (5, "th"), (6, "I'd "), (7, "die u"), (8, ""))
 USER_CAP = 40
 _BASES: dict[tuple, Base] = {}
 
@@ -45,8 +44,13 @@ class Base:
         return materialize(corpus.truecase_map(self.sents))
 
     @cached_property
+    def corpus(self):
+        c = corpus.preprocess_corpus(self.sents)
+        return corpus.Corpus(materialize(c.sentences), c.vocab, c.truecase)
+
+    @property
     def parts(self):
-        return materialize(corpus.preprocess(self.sents))
+        return self.corpus.sentences
 
     @cached_property
     def train(self):
@@ -82,7 +86,7 @@ class Base:
 
     @cached_property
     def tag_parts(self):
-        s = corpus.assign_split(self.tagged.select("sid").distinct(), (("train", 0.8), ("test", 0.2)))
+        s = corpus.assign_split(materialize(self.tagged.select("sid").distinct()), (("train", 0.8), ("test", 0.2)))
         return materialize(self.tagged.join(s, "sid"))
 
     @cached_property
@@ -109,7 +113,7 @@ class Base:
 
     @cached_property
     def shape_tagger(self):
-        train = corpus.assign_split(self.shaped.select("sid").distinct(), (("train", 0.8), ("test", 0.2))).where("split = 'train'").drop("split")
+        train = corpus.assign_split(self.sents.select("sid"), (("train", 0.8), ("test", 0.2))).where("split = 'train'").drop("split")
         t = hmm.HMMTagger(materialize(self.shaped.join(train, "sid"))).load()
         t.emissions = materialize(t.emissions)
         return t
@@ -140,7 +144,8 @@ class Base:
 
 
 def base(spark: SparkSession, sf_dir: str) -> Base:
-    key = (spark.sparkContext.applicationId, sf_dir)
+    own = (state_of(spark, f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark", "conversations", "events", "pages"))
+    key = (spark.sparkContext.applicationId, sf_dir, *own)
     if key not in _BASES:
         _BASES.clear()
         _BASES[key] = Base(spark, sf_dir)
@@ -179,25 +184,22 @@ add("corpus_scan_limit", lambda b: b.sents.orderBy("sid").limit(100).select("sid
 add("preprocess_filter", lambda b: b.sents.where(F.size("tokens") >= 2).select("sid", F.size("tokens").cast("bigint").alias("n")), S.sents(), select="SELECT sid, len(tokens)::BIGINT AS n FROM sents WHERE len(tokens) >= 2")
 
 
-def _suffix_sql(rules, tags: bool, w: str) -> str:
-    rows = "".join(f" WHEN ends_with({w}, {S.q(s)}) AND length({w}) >= {len(s) + 2} THEN {S.q(' '.join(t)) if tags else S.q(s)}" for s, t in T.by_length(rules))
-    return f"CASE{rows}{chr(32) + 'ELSE ' + S.q('') if tags else ''} END"
-
-
-_CAND_SQL = f"""CASE WHEN NOT regexp_matches(w, '[\\p{{L}}\\p{{N}}]') THEN {S.q(' '.join(T.PUNCT_TAGS))} WHEN regexp_matches(w, '\\p{{Nd}}') THEN {S.q(' '.join(T.NUM_TAGS))}
-WHEN regexp_matches(w, '[\\x{{0900}}-\\x{{097f}}]') THEN {_suffix_sql(T.DEVANAGARI_RULES, True, 'w')} WHEN NOT f AND regexp_matches(w, '^\\p{{Lu}}') THEN {S.q(' '.join(T.PROPER_TAGS))} ELSE {_suffix_sql(T.SUFFIX_RULES, True, 'lower(w)')} END"""
-add("candidate_tags", lambda b: b.toks.select(F.col("tok").alias("w"), (F.col("pos") == 0).alias("f")).distinct().select("w", "f", F.array_join(T.candidate_tags(F.col("w"), F.col("f")), " ").alias("tags")), S.sents(), S.TOKS, select=f"SELECT w, f, {_CAND_SQL} AS tags FROM (SELECT DISTINCT tok AS w, pos = 0 AS f FROM toks)")
-add("suffix_match", lambda b: b.toks.select("tok").distinct().select("tok", T.match_suffix(F.col("tok")).alias("suffix")), S.sents(), S.TOKS, select=f"SELECT tok, {_suffix_sql(T.SUFFIX_RULES, False, 'tok')} AS suffix FROM (SELECT DISTINCT tok FROM toks)")
+add("candidate_tags", lambda b: b.toks.select(F.col("tok").alias("w"), (F.col("pos") == 0).alias("f")).distinct().select("w", "f", F.array_join(T.candidate_tags(F.col("w"), F.col("f")), " ").alias("tags")), S.sents(), S.TOKS, select=f"SELECT w, f, {S.CANDIDATE_TAGS} AS tags FROM (SELECT DISTINCT tok AS w, pos = 0 AS f FROM toks)")
+add("suffix_match", lambda b: b.toks.select("tok").distinct().select("tok", T.match_suffix(F.col("tok")).alias("suffix")), S.sents(), S.TOKS, select=f"SELECT tok, {S.suffix_case(T.SUFFIX_RULES, False, 'tok')} AS suffix FROM (SELECT DISTINCT tok FROM toks)")
 
 
 def _split_buffers(b):
-    tail, prefix = T.split_buffer(F.col("buffer"), 3)
-    rows = b.table("conversations").select("conv_id", "turn", F.substring("text", 1, 60).alias("buffer"))
-    return rows.select("conv_id", "turn", F.array_join(tail, " ").alias("context"), prefix.alias("prefix"))
+    tail, prefix = T.split_buffer(F.col("text"), 3)
+    return b.table("conversations").select("conv_id", "turn", F.array_join(tail, " ").alias("context"), prefix.alias("prefix"))
 
 
-add("split_buffer", _split_buffers, f"b AS (SELECT conv_id, turn, substring(text, 1, 60) AS buffer, {S.toks('trim(substring(text, 1, 60))')} AS t FROM conversations)",
-    r"o AS (SELECT *, NOT regexp_matches(buffer, '\s$') AND length(buffer) > 0 AND len(t) > 0 AS o FROM b)", select="SELECT conv_id, turn, array_to_string(CASE WHEN o THEN t[greatest(len(t) - 2, 1):len(t) - 1] ELSE t[greatest(len(t) - 1, 1):] END, ' ') AS context, CASE WHEN o THEN t[-1] ELSE '' END AS prefix FROM o")
+add(
+    "split_buffer", _split_buffers,
+    f"b AS (SELECT conv_id, turn, text, {S.toks('trim(text)')} AS t FROM conversations)",
+    r"o AS (SELECT *, NOT regexp_matches(text, '\s$') AND length(text) > 0 AND len(t) > 0 AS o FROM b)",
+    select="""SELECT conv_id, turn, CASE WHEN o THEN t[-1] ELSE '' END AS prefix,
+ array_to_string(CASE WHEN o THEN t[greatest(len(t) - 2, 1):len(t) - 1] ELSE t[greatest(len(t) - 1, 1):] END, ' ') AS context FROM o""",
+)
 add("conll_render", lambda b: b.tagged.groupBy("sid").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "word", "tag"))), lambda x: F.concat(x["word"], F.lit("\t"), x["tag"])), "\n").alias("block")), S.TAGGED, select="SELECT sid, string_agg(word || chr(9) || tag, chr(10) ORDER BY pos) AS block FROM tagged GROUP BY sid")
 
 
@@ -304,26 +306,11 @@ _PP = lambda t, n: " UNION ALL ".join(f"SELECT {n}::BIGINT AS n, '{m}' AS method
 add("perplexity_sweep", _sweep, S.MODEL, S.places("(SELECT * FROM corpus WHERE split = 'dev')", "dp"), "asked AS (SELECT w1, w2, w, count(*) AS n FROM dp GROUP BY ALL)", *_SW, select=" UNION ALL ".join(_PP(f"s{n}", n) for n in (1, 2, 3)))
 
 
-def _prune_report(b, settings=((1, 0), (2, 50))):
-    out = None
-    for a, m in settings:
-        p = NgramModel(prune(b.model.grams, a, m), b.model.vocab, 3)
-        row = _ppl(p.perplexity(b.parts.where("split = 'dev'"), ("stupid_backoff", "kneser_ney")))
-        row = row.crossJoin(p.grams.agg(F.count("*").alias("grams"))).select(F.lit(a).cast("bigint").alias("min_count"), F.lit(m).cast("bigint").alias("most"), "grams", "method", "perplexity")
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
-_PR = lambda a, m, g3, g2, t: " UNION ALL ".join(f"SELECT {a}::BIGINT AS min_count, {m}::BIGINT AS most, (SELECT count(*) FROM g1) + (SELECT count(*) FROM {g2}) + (SELECT count(*) FROM {g3}) AS grams, '{x}' AS method, round(exp(-sum(n * ln(p_{x})) / sum(n)), 4) AS perplexity FROM {t}" for x in ("stupid_backoff", "kneser_ney"))
-_DEV = S.places("(SELECT * FROM corpus WHERE split = 'dev')", "dp") + ", asked AS (SELECT w1, w2, w, count(*) AS n FROM dp GROUP BY ALL)"
-_Q["pruning_report"] = lambda spark, d: _prune_report(base(spark, d))
-_SQL["pruning_report"] = f"SELECT * FROM (WITH {S.MODEL}, {_DEV}, sc AS ({S.score('asked')}) {_PR(1, 0, 'g3', 'g2', 'sc')}) UNION ALL SELECT * FROM (WITH {S.SMALL}, {_DEV}, sc AS ({S.score('asked', 3, 'f3', 'f2')}) {_PR(2, 50, 'f3', 'f2', 'sc')})"
 MASSES = (("<s>", "<s>"), ("<s>", "the"), ("no", "such"), ("of", "the"))
 add("distribution_mass", lambda b: b.model.mass(b.spark.createDataFrame([(list(c),) for c in MASSES], "ctx array<string>")).select(joined("ctx", "ctx"), *[r6(f"mass_{m}") for m in METHODS]), S.MODEL,
     f"asked AS (SELECT c.w1, c.w2, v.w FROM (VALUES {', '.join(str(c) for c in MASSES)}) c(w1, w2) CROSS JOIN (SELECT w FROM g1 UNION ALL SELECT '<s>') v), sc AS ({S.score('asked')})", select="SELECT w1 || ' ' || w2 AS ctx, " + ", ".join(f"round(sum(p_{m}), 6) AS mass_{m}" for m in METHODS) + " FROM sc GROUP BY 1")
 _TOP = "SELECT w1 || ' ' || w2 AS ctx, r AS rank, w AS word, round(p_stupid_backoff, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY w1, w2 ORDER BY " + S.rk("p_stupid_backoff") + " DESC, w) AS r FROM cand) WHERE r <= 10"
 add("candidates", lambda b: b.small.candidates(b.contexts, 10).select(joined("ctx", "ctx"), F.col("rank").cast("bigint").alias("rank"), "word", r6("score")), S.SMALL, S.HELD, S.candidates("hp", 10), select=_TOP)
-add("generate", lambda b: b.model.generate(b.contexts.select("ctx").distinct(), 5).select(joined("ctx", "ctx"), joined("generated", "generated")))
 
 # --- lexicon
 
@@ -348,34 +335,36 @@ add("user_ngram_counts", lambda b: b.user_grams.select("user", F.col("k").cast("
 
 
 def _user_asked(b):
-    """Each user's first turn asks for the words that follow its own contexts."""
-    first = b.observed.groupBy("user").agg(F.min("seq").alias("seq"))
-    rows = b.observed.join(first, ["user", "seq"]).select(F.col("user").alias("sid"), "tokens")
-    return positions(rows, 3).select(F.col("sid").alias("user"), "ctx", "word").distinct()
-
-
-_UA = 'first AS (SELECT "user", min(seq) AS seq FROM obs GROUP BY 1), ua AS (SELECT DISTINCT "user", p[i-2] AS w1, p[i-1] AS w2, p[i] AS w FROM (SELECT "user", p, unnest(range(3, len(p) + 1)) AS i FROM (SELECT o."user", [\'<s>\', \'<s>\'] || tokens || [\'</s>\'] AS p FROM obs o JOIN first f ON o."user" = f."user" AND o.seq = f.seq)))'
-add("user_prob", lambda b: profile.user_prob(_user_asked(b), b.user_grams).select("user", joined("ctx", "ctx"), "word", r6("p_user")), _US(), S.USER_GRAMS, _UA, select=f"SELECT \"user\", w1 || ' ' || w2 AS ctx, w AS word, round(p_user, 6) AS p_user FROM ({S.user_score('ua')})")
-_UC = """uc AS (SELECT DISTINCT a."user", a.w1, a.w2, g.w FROM ua a JOIN ug3 g ON g."user" = a."user" AND g.w1 = a.w1 AND g.w2 = a.w2 UNION SELECT a."user", a.w1, a.w2, g.w FROM ua a JOIN ug2 g ON g."user" = a."user" AND g.w2 = a.w2 UNION SELECT a."user", a.w1, a.w2, g.w FROM ua a JOIN ug1 g ON g."user" = a."user")"""
-
-
-def _user_cands(b):
-    w = profile.user_candidate_words(_user_asked(b), b.user_grams)
-    return profile.user_prob(w, b.user_grams).select("user", joined("ctx", "ctx"), "word", r6("p_user"))
+    """Every user's sentences ask for the words that follow their own contexts."""
+    return positions(b.observed.select(F.col("user").alias("sid"), "tokens"), 3).select(F.col("sid").alias("user"), "ctx", "word").distinct()
 
 
-add("user_candidates", _user_cands, _US(), S.USER_GRAMS, _UA, _UC, select=f"SELECT \"user\", w1 || ' ' || w2 AS ctx, w AS word, round(p_user, 6) AS p_user FROM ({S.user_score('uc')}) WHERE w NOT IN ('<s>', '</s>')")
+_UA = """ua AS (SELECT DISTINCT "user", p[i-2] AS w1, p[i-1] AS w2, p[i] AS w FROM (SELECT "user", p, unnest(range(3, len(p) + 1)) AS i
+ FROM (SELECT "user", ['<s>', '<s>'] || tokens || ['</s>'] AS p FROM obs)))"""
+add(
+    "user_prob", lambda b: profile.user_prob(_user_asked(b), b.user_grams).select("user", joined("ctx", "ctx"), "word", r6("p_user")), _US(), S.USER_GRAMS, _UA,
+    select=f"SELECT \"user\", w1 || ' ' || w2 AS ctx, w AS word, round(p_user, 6) AS p_user FROM ({S.user_score('ua')})",
+)
+add(
+    "user_candidates", lambda b: profile.user_candidates(_user_asked(b), b.user_grams, 10).select("user", joined("ctx", "ctx"), F.col("rank").cast("bigint").alias("rank"), "word", r6("p_user")),
+    _US(), S.USER_GRAMS, _UA, f"uas AS (SELECT DISTINCT \"user\", w1, w2 FROM ua), {S.user_candidates('uas', 10)}",
+    select="SELECT \"user\", w1 || ' ' || w2 AS ctx, r AS rank, w AS word, round(p_user, 6) AS p_user FROM ucr",
+)
 
 
 def _user_complete(b):
-    w = profile.user_words(b.observed).where(F.startswith("word", F.lit("t")) | F.startswith("word", F.lit("de")))
-    rows = w.withColumn("prefix", F.when(F.startswith("word", F.lit("t")), "t").otherwise("de"))
+    """Each user's words by every first letter and pair of letters that they begin with."""
+    w = profile.user_words(b.observed)
+    rows = w.select("user", F.explode(F.array_distinct(F.array(F.substring("word", 1, 1), F.substring("word", 1, 2)))).alias("prefix"), "word", "cnt")
     win = Window.partitionBy("user", "prefix").orderBy(F.col("cnt").desc(), "word")
     return rows.withColumn("rank", F.row_number().over(win).cast("bigint")).where("rank <= 3").select("user", "prefix", "rank", "word", "cnt")
 
 
-add("user_complete", _user_complete, _US(), "w AS (SELECT \"user\", word, count(*) AS cnt FROM (SELECT \"user\", unnest(tokens) AS word FROM obs) GROUP BY ALL), p AS (SELECT *, CASE WHEN starts_with(word, 't') THEN 't' ELSE 'de' END AS prefix FROM w WHERE starts_with(word, 't') OR starts_with(word, 'de'))",
-    select='SELECT "user", prefix, r AS rank, word, cnt FROM (SELECT *, row_number() OVER (PARTITION BY "user", prefix ORDER BY cnt DESC, word) AS r FROM p) WHERE r <= 3')
+add(
+    "user_complete", _user_complete, _US(), "w AS (SELECT \"user\", word, count(*) AS cnt FROM (SELECT \"user\", unnest(tokens) AS word FROM obs) GROUP BY ALL)",
+    "p AS (SELECT DISTINCT \"user\", word, cnt, unnest([substring(word, 1, 1), substring(word, 1, 2)]) AS prefix FROM w)",
+    select="SELECT \"user\", prefix, r AS rank, word, cnt FROM (SELECT *, row_number() OVER (PARTITION BY \"user\", prefix ORDER BY cnt DESC, word) AS r FROM p) WHERE r <= 3",
+)
 
 # --- tagger
 
@@ -409,7 +398,7 @@ add("viterbi_score", lambda b: b.tagger.decode(b.tag_test.select("sid", "pos", "
 
 def _trellis(b):
     names = F.array(*map(F.lit, b.tagger.tags))
-    d = b.tagger.decode(b.tag_test.select("sid", "pos", "word")).select("sid", F.posexplode("trellis").alias("pos", "col"))
+    d = b.tagger.trellis(b.tag_test.select("sid", "pos", "word")).select("sid", F.posexplode("trellis").alias("pos", "col"))
     return d.select("sid", "pos", F.posexplode("col").alias("i", "score")).select("sid", F.col("pos").cast("bigint").alias("pos"), F.get(names, F.col("i")).alias("tag"), r6("score"))
 
 
@@ -426,173 +415,15 @@ add("without_oov", lambda b: b.preds.groupBy("sid").agg(F.every("known").alias("
 add("sequence_logprob", lambda b: b.tagger.sequence_logprob(b.tag_test).select("sid", r6("logprob")), S.HMM,
     "x AS (SELECT *, lag(tag) OVER (PARTITION BY sid ORDER BY pos) AS p, lead(tag) OVER (PARTITION BY sid ORDER BY pos) AS nx FROM te)",
     select="SELECT x.sid, round(sum(coalesce(t.lp, i.lp) + coalesce(e.lp, h.lp) + CASE WHEN nx IS NULL THEN f.lp ELSE 0 END), 6) AS logprob FROM x LEFT JOIN h_trans t ON t.prev = x.p AND t.tag = x.tag JOIN h_init i ON i.tag = x.tag JOIN h_final f ON f.tag = x.tag JOIN h_hap h ON h.tag = x.tag LEFT JOIN h_emit e ON e.word = x.word AND e.tag = x.tag GROUP BY x.sid")
-add("viterbi_underflow", lambda b: b.tagger.underflow(b.tagged.select((F.col("sid") / 1000).cast("bigint").alias("u"), "sid", "pos", "word").select(F.col("u").alias("sid"), (F.row_number().over(Window.partitionBy("u").orderBy("sid", "pos")) - 1).alias("pos"), "word")))
-
-
-def _unknown_grid(b):
-    out = None
-    for prior in ("hapax", "laplace"):
-        for s in ("suffix", "uniform", "most_frequent_tag"):
-            p = _ev(hmm.evaluate(b.tagger.predictions(b.tag_test, strategy=s, prior=prior))).select(F.lit(prior).alias("prior"), F.lit(s).alias("strategy"), "accuracy", "known_accuracy", "unknown_accuracy")
-            out = p if out is None else out.unionByName(p)
-    return out
-
-
-add("unknown_word_ablation", _unknown_grid)
-
-
-def _k_sweep(b, ks=(1.0, 0.1, 0.01)):
-    out = None
-    for k in ks:
-        t = hmm.HMMTagger(b.tag_train, C.override(hmm_k=k)).load()
-        p = _ev(hmm.evaluate(t.predictions(b.tag_test))).select(F.lit(k).alias("k"), "accuracy")
-        out = p if out is None else out.unionByName(p)
-    return out
-
-
-add("smoothing_sweep", _k_sweep)
 add("punctuation_tag", lambda b: hmm.punctuation_tag(b.shaped), S.SHAPED, select="SELECT coalesce((SELECT tag FROM (SELECT tag, count(*) AS c, min({'s': sid, 'p': pos}) AS fs FROM tagged WHERE NOT regexp_matches(word, '[\\p{L}\\p{N}]') GROUP BY tag ORDER BY c DESC, fs LIMIT 1)), '.') AS tag")
 add("clean_tagged", lambda b: hmm.clean_tagged(b.shaped).select("sid", F.col("pos").cast("bigint").alias("pos"), "word", "tag"), S.SHAPED, select="SELECT sid, pos::BIGINT AS pos, word, tag FROM tagged")
 add("tagged_corpus_stats", lambda b: hmm.tagged_stats(b.tagged).select("sentences", "tokens", "types", r6("ttr"), r6("mean_len"), "tags", "most_common_tag"), S.TAGGED, select="SELECT count(DISTINCT sid) AS sentences, count(*) AS tokens, count(DISTINCT word) AS types, round(count(DISTINCT word) / count(*), 6) AS ttr, round(count(*) / count(DISTINCT sid), 6) AS mean_len, count(DISTINCT tag) AS tags, (SELECT tag FROM (SELECT tag, count(*) AS c, min({'s': sid, 'p': pos}) AS fs FROM tagged GROUP BY tag ORDER BY c DESC, fs LIMIT 1)) AS most_common_tag FROM tagged")
 _RULES = ", ".join(f"({S.q(s)}, {list(t)})" for s, t in (*T.SUFFIX_RULES, *T.DEVANAGARI_RULES))
 add("suffix_rule_report", lambda b: hmm.suffix_report(b.shaped).select("suffix", "types", "correct", r6("purity")), S.SHAPED, "gold AS (SELECT word, tag FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY c DESC, fs) AS r FROM (SELECT word, tag, count(*) AS c, min({'s': sid, 'p': pos}) AS fs FROM tagged GROUP BY ALL)) WHERE r = 1)",
-    f"rules AS (SELECT * FROM (VALUES {_RULES}) v(suffix, tags))", f"hit AS (SELECT word, tag, CASE WHEN regexp_matches(word, '[\\x{{0900}}-\\x{{097f}}]') THEN {_suffix_sql(T.DEVANAGARI_RULES, False, 'word')} ELSE {_suffix_sql(T.SUFFIX_RULES, False, 'word')} END AS suffix FROM gold)",
+    f"rules AS (SELECT * FROM (VALUES {_RULES}) v(suffix, tags))", f"hit AS (SELECT word, tag, CASE WHEN regexp_matches(word, '[\\x{{0900}}-\\x{{097f}}]') THEN {S.suffix_case(T.DEVANAGARI_RULES, False, 'word')} ELSE {S.suffix_case(T.SUFFIX_RULES, False, 'word')} END AS suffix FROM gold)",
     select="SELECT h.suffix, count(*) AS types, count(*) FILTER (list_contains(r.tags, h.tag)) AS correct, round(count(*) FILTER (list_contains(r.tags, h.tag)) / count(*), 6) AS purity FROM hit h JOIN rules r USING (suffix) GROUP BY h.suffix")
-add("language_comparison", lambda b: b.toks.join(b.sents.select("sid", "lang"), "sid").groupBy("lang").agg(F.count_distinct("sid").alias("sentences"), F.count("*").alias("tokens"), F.count_distinct("tok").alias("types")), S.sents(), S.TOKS, select="SELECT d.lang, count(DISTINCT t.sid) AS sentences, count(*) AS tokens, count(DISTINCT tok) AS types FROM toks t JOIN documents d ON d.doc_id = t.sid // 1000000 GROUP BY d.lang")
-
 # --- prediction
 
-
-def _requests(b, user=None):
-    rows = b.spark.createDataFrame([(i, user, t) for i, t in BUFFERS], "req_id bigint, user bigint, buffer string")
-    return predict.requests_from_buffers(rows)
-
-
-def _predictor(b, tagger=False, users=False, cfg=C, truecase=False):
-    return predict.Predictor(b.small, b.lexicon, b.truecase if truecase else None, b.user_grams if users else None, profile.user_words(b.observed) if users else None, profile.stats(b.observed) if users else None, b.shape_tagger if tagger else None, cfg)
-
-
-def _shown(df):
-    return df.select("req_id", F.col("rank").cast("bigint").alias("rank"), "word", r6("score"), "source", "mode")
-
-
-add("suggest", lambda b: _shown(_predictor(b, truecase=True).predict(_requests(b))))
-
-
-def _personalised(b):
-    """The buffers of every user."""
-    rows = b.spark.createDataFrame(list(BUFFERS), "req_id bigint, buffer string").crossJoin(b.observed.select("user").distinct())
-    req = predict.requests_from_buffers(rows.select(F.struct("user", "req_id").alias("req_id"), "user", "buffer"))
-    shown = _shown(_predictor(b, users=True, cfg=C.override(growth_tokens=50)).predict(req))
-    return shown.select("req_id.user", "req_id.req_id", "rank", "word", "score", "source", "mode")
-
-
-add("predict_personalised", _personalised)
-add("predict_reranked", lambda b: _predictor(b, tagger=True).predict(_requests(b)).select("req_id", F.col("rank").cast("bigint").alias("rank"), "word", r6("score"), "mode", "tag"))
-add("predict_explain", lambda b: _predictor(b, tagger=True).rank(_predictor(b, tagger=True).scored(_requests(b))).select("req_id", F.col("rank").cast("bigint").alias("rank"), "word", r6("base"), r6("pos"), r6("final", "total"), "tag", "ctx_tag", "known"))
-PN = f"pn AS (SELECT w1, w2, w, p_stupid_backoff AS p, row_number() OVER (PARTITION BY w1, w2 ORDER BY {S.rk('p_stupid_backoff')} DESC, w) AS r FROM pool WHERE w NOT IN ('</s>', '<UNK>', '<s>'))"
-POOL = f"pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY w1, w2 ORDER BY {S.rk('p_stupid_backoff')} DESC, w) AS pr FROM cand) WHERE pr <= {C.pool})"
-NEXT = (S.SMALL, S.HELD, S.candidates("hp", C.pool), POOL, PN)
-
-
-def _all_next(b, cfg=C):
-    asked = predict.asked_positions(b.held)
-    req = asked.select("ctx").distinct().select(F.struct("ctx").alias("req_id"), F.lit(None).cast("bigint").alias("user"), "ctx", F.lit("").alias("prefix"))
-    p = _predictor(b, cfg=cfg)
-    return p.rank(p.scored(req)).select(joined("ctx", "ctx"), F.col("rank").cast("bigint").alias("rank"), "word", r6("score"))
-
-
-_ASKN = "an AS (SELECT w1, w2, w FROM hp WHERE w NOT IN ('<s>', '</s>', '<UNK>'))"
-_NX = "SELECT w1 || ' ' || w2 AS ctx, r AS rank, w AS word, round(p, 6) AS score FROM {} WHERE r <= 3 AND (w1, w2) IN (SELECT (w1, w2) FROM an)"
-add("predict_next_word", _all_next, *NEXT, _ASKN, select=_NX.format("pn"))
-add("predict_no_punct", lambda b: _all_next(b, C.override(suggest_punctuation=False)), *NEXT, _ASKN, f"np AS (SELECT w1, w2, w, p, row_number() OVER (PARTITION BY w1, w2 ORDER BY {S.rk('p')} DESC, w) AS r FROM pn WHERE NOT regexp_matches(w, {S.q(T.PUNCTUATION)}))", select=_NX.format("np"))
-add("hit_at_k_next_word", lambda b: _predictor(b).hit_at_k(predict.asked_positions(b.held)).select("positions", *[r6(f"hit_{k}") for k in (1, 3, 5)]), *NEXT, _ASKN, select="SELECT count(*) AS positions, " + ", ".join(f"round(avg((coalesce(r, 99) <= {k})::INT), 6) AS hit_{k}" for k in (1, 3, 5)) + " FROM an LEFT JOIN pn ON pn.w1 = an.w1 AND pn.w2 = an.w2 AND pn.w = an.w")
-
-
-def _pref_rank(asked: str, out: str) -> str:
-    """out(w1, w2, prefix, w, p, r): ranks of completions among the pool of each prefix."""
-    return f"""{out}_q AS (SELECT DISTINCT prefix FROM {asked}),
-{out}_pool AS (SELECT prefix, word FROM (SELECT pref.prefix, word, row_number() OVER (PARTITION BY pref.prefix ORDER BY cnt DESC, word) AS r FROM pref JOIN {out}_q USING (prefix)) WHERE r <= {C.pool}),
-{out}_c AS (SELECT DISTINCT a.w1, a.w2, a.prefix, p.word AS w FROM {asked} a JOIN {out}_pool p USING (prefix)),
-{out}_s AS ({S.score(out + '_c', 3, 'f3', 'f2')}),
-{out} AS (SELECT w1, w2, prefix, w, p_stupid_backoff AS p, row_number() OVER (PARTITION BY w1, w2, prefix ORDER BY {S.rk('p_stupid_backoff')} DESC, w) AS r FROM {out}_s)"""
-
-
-COMP = (S.SMALL, S.HELD, LEX, PREF)
-
-
-def _all_complete(b):
-    asked = predict.asked_positions(b.held, prefix_len=2)
-    req = asked.select("ctx", "prefix").distinct().select(F.struct("ctx", "prefix").alias("req_id"), F.lit(None).cast("bigint").alias("user"), "ctx", "prefix")
-    p = _predictor(b)
-    return p.rank(p.scored(req)).select(joined("ctx", "ctx"), "prefix", F.col("rank").cast("bigint").alias("rank"), "word", r6("score"))
-
-
-_A2 = "ac AS (SELECT w1, w2, w, substring(w, 1, 2) AS prefix FROM hp WHERE w NOT IN ('<s>', '</s>', '<UNK>') AND length(w) > 2)"
-add("predict_completion", _all_complete, *COMP, _A2, _pref_rank("ac", "pc"), select="SELECT w1 || ' ' || w2 AS ctx, prefix, r AS rank, w AS word, round(p, 6) AS score FROM pc WHERE r <= 3")
-add("completion_hit_at_k", lambda b: _predictor(b).hit_at_k(predict.asked_positions(b.held, prefix_len=2)).select("positions", *[r6(f"hit_{k}") for k in (1, 3, 5)]), *COMP, _A2, _pref_rank("ac", "pc"),
-    select="SELECT count(*) AS positions, " + ", ".join(f"round(avg((coalesce(r, 99) <= {k})::INT), 6) AS hit_{k}" for k in (1, 3, 5)) + " FROM ac LEFT JOIN pc ON pc.w1 = ac.w1 AND pc.w2 = ac.w2 AND pc.prefix = ac.prefix AND pc.w = ac.w")
-_AK = "ak AS (SELECT w1, w2, w, n, substring(w, 1, i) AS prefix, i FROM (SELECT *, unnest(range(1, length(w))) AS i FROM (SELECT w1, w2, w, count(*) AS n FROM hp WHERE w NOT IN ('<s>', '</s>', '<UNK>') GROUP BY ALL)))"
-add("keystroke_savings", lambda b: _predictor(b).keystroke_savings(predict.asked_positions(b.held).select("ctx", "target")).select("words", "baseline", "cost", "accepted", r6("savings")), *COMP, _AK, _pref_rank("ak", "pk"),
-    "hitk AS (SELECT ak.w1, ak.w2, ak.w, min(i) AS i FROM ak JOIN pk ON pk.w1 = ak.w1 AND pk.w2 = ak.w2 AND pk.prefix = ak.prefix AND pk.w = ak.w WHERE r <= 3 GROUP BY ALL), al AS (SELECT w1, w2, w, count(*) AS n FROM hp WHERE w NOT IN ('<s>', '</s>', '<UNK>') GROUP BY ALL)",
-    select="SELECT sum(n)::BIGINT AS words, sum(n * (length(al.w) + 1))::BIGINT AS baseline, sum(n * CASE WHEN i IS NOT NULL THEN i + 1 ELSE length(al.w) + 1 END)::BIGINT AS cost, sum(CASE WHEN i IS NOT NULL THEN n ELSE 0 END)::BIGINT AS accepted, round(1 - sum(n * CASE WHEN i IS NOT NULL THEN i + 1 ELSE length(al.w) + 1 END) / sum(n * (length(al.w) + 1)), 6) AS savings FROM al LEFT JOIN hitk h ON h.w1 = al.w1 AND h.w2 = al.w2 AND h.w = al.w")
-
-
-def _arms(b, alphas):
-    asked, comp, out = predict.asked_positions(b.held), predict.asked_positions(b.held, prefix_len=2), None
-    for a in alphas:
-        p = _predictor(b, tagger=True, cfg=C.override(rerank_alpha=a))
-        for mode, rows in (("next_word", asked), ("completion", comp)):
-            r = p.hit_at_k(rows).select(F.lit(a).alias("alpha"), F.lit(mode).alias("mode"), "positions", *[r6(f"hit_{k}") for k in (1, 3, 5)])
-            out = r if out is None else out.unionByName(r)
-    return out
-
-
-add("rerank_ablation", lambda b: _arms(b, (0.0, C.rerank_alpha)))
-add("alpha_sweep", lambda b: _arms(b, (0.0, 0.05, 0.1, 0.3, 1.0)).where("mode = 'next_word'"))
-add("typical_tag", lambda b: _predictor(b, tagger=True).typical_tags(b.lexicon.select("word")))
-add("context_tag", lambda b: _predictor(b, tagger=True).context_tags(b.contexts.select("ctx").distinct()).select(joined("ctx", "ctx"), "ctx_tag"))
-add("hmm_unknown_emission", lambda b: b.shape_tagger.with_emissions(b.table("benchmark").select(F.col("item_id").alias("sid"), F.posexplode(T.tokenize(F.col("text"))).alias("pos", "word"))).where("NOT known").select("word", (F.col("pos") == 0).alias("is_first"), F.array_join(F.transform("emit", lambda x: F.format_number(x, 6)), " ").alias("emit")).distinct())
-
-
-def _tag_scores(b):
-    p = _predictor(b, tagger=True)
-    tags = p.typical_tags(b.lexicon.select("word"))
-    prev = b.spark.createDataFrame([(None,), *[(t,) for t in b.shape_tagger.tags]], "prev string")
-    return tags.crossJoin(F.broadcast(prev)).select("word", "prev", F.round(p.tag_score(F.col("tag"), F.col("prev"), F.col("known")), 6).alias("score"))
-
-
-add("tag_score", _tag_scores)
-
-
-def _windows(b, sizes=(1, 2, 3, 5)):
-    """Share of held-out places whose tag by a short window differs from that by the whole prefix."""
-    t = _predictor(b, tagger=True)
-    h = b.held.select("sid", F.posexplode("tokens").alias("i", "w"), "tokens").select(F.slice("tokens", F.lit(1), F.col("i") + 1).alias("ctx"))
-    n = h.groupBy("ctx").agg(F.count("*").alias("n"))
-    whole = t.context_tags(n.select("ctx"), 1 << 20).withColumnRenamed("ctx_tag", "whole")
-    out = None
-    for s in sizes:
-        r = n.join(whole, "ctx").join(t.context_tags(n.select("ctx"), s), "ctx")
-        r = r.agg(F.lit(s).cast("bigint").alias("window"), F.round(F.sum(F.when(F.col("whole") != F.col("ctx_tag"), F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("differs"))
-        out = r if out is None else out.unionByName(r)
-    return out
-
-
-add("tag_window_disagreement", _windows)
-
-
-def _agreement(b):
-    p = _predictor(b, tagger=True)
-    rows = b.held.select("sid", F.posexplode("tokens").alias("pos", "word"))
-    path = b.shape_tagger.decode(rows).select("sid", F.posexplode("path").alias("pos", "best"))
-    r = rows.join(path, ["sid", "pos"]).join(p.typical_tags(rows.select("word").distinct()), "word")
-    return r.groupBy("known").agg(F.count("*").alias("n"), F.round(F.avg((F.col("best") == F.col("tag")).cast("double")), 6).alias("agreement"))
-
-
-add("typical_tag_agreement", _agreement)
-
-
 def _percentiles(b):
     """Nearest-rank percentiles by index min(n - 1, floor(n p / 100)), from the histogram of values."""
     h = b.table("events").where("value IS NOT NULL").groupBy("event_type", "value").agg(F.count("*").alias("c"))
@@ -605,6 +436,9 @@ def _percentiles(b):
 add("percentile_nearest_rank", _percentiles, "s AS (SELECT event_type, list(value ORDER BY value) AS v FROM events WHERE value IS NOT NULL GROUP BY 1)", select="SELECT event_type, " + ", ".join(f"v[least(len(v) - 1, len(v) * {p} // 100) + 1] AS p{p}" for p in (50, 95, 99)) + " FROM s")
 
 
+from . import catalog_more  # noqa: E402  adds its queries to these
+
+
 def queries():
     return dict(_Q)
 

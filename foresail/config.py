@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass, fields, replace
+from pathlib import Path
 
 SMOOTHING = ("mle", "laplace", "stupid_backoff", "kneser_ney")
 
 
+# Defaults that results depend on.
 @dataclass(frozen=True)
 class EngineConfig:
     unk: str = "<UNK>"
@@ -63,3 +66,49 @@ class EngineConfig:
 
 
 DEFAULT = EngineConfig()
+
+#: names the file of settings that settings() reads where no path is given
+CONFIG_VARIABLE = "FORESAIL_CONFIG"
+
+
+def load_settings(path: str | None = None) -> dict:
+    """Nested settings of a YAML file, or of the file that the environment names; an empty file has none."""
+    import yaml
+
+    path = path or os.environ.get(CONFIG_VARIABLE)
+    if not path:
+        raise FileNotFoundError(f"give a path or set {CONFIG_VARIABLE}")
+    found = yaml.safe_load(Path(path).read_text(encoding="utf-8")) or {}
+    if not isinstance(found, dict):
+        raise ValueError(f"settings must be a mapping, not {type(found).__name__}")
+    return found
+
+
+_MISSING = object()
+
+
+def setting(settings: dict, key: str, default=_MISSING):
+    """The value of a dotted key; without a default, a missing one is an error."""
+    node = settings
+    for part in key.split("."):
+        node = node.get(part, _MISSING) if isinstance(node, dict) else _MISSING
+        if node is _MISSING:
+            if default is _MISSING:
+                raise KeyError(f"required setting missing: {key!r}")
+            return default
+    return node
+
+
+def from_settings(settings: dict) -> EngineConfig:
+    """A configuration from settings whose last parts of names are parameters, in any nesting; other names are left alone."""
+    names, flat = {f.name for f in fields(EngineConfig)}, {}
+
+    def walk(node):
+        for key, value in node.items():
+            if isinstance(value, dict):
+                walk(value)
+            elif key in names:
+                flat[key] = value
+
+    walk(settings)
+    return EngineConfig(**flat)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import DEFAULT, EngineConfig
@@ -37,13 +39,23 @@ def build_vocab(sents: DataFrame, cfg: EngineConfig = DEFAULT, max_size: int | N
     return v.join(top, "word", "left").withColumn("in_vocab", F.coalesce("top", F.lit(False))).drop("top")
 
 
+def _regrouped(sents: DataFrame, rows: DataFrame, word: Column) -> DataFrame:
+    """Sentences again from their rows (sid, pos, __o, ...); __o holds the other columns, so that nothing is joined back."""
+    t = rows.groupBy("sid").agg(F.first("__o").alias("__o"), F.sort_array(F.collect_list(F.struct("pos", word.alias("w")))).alias("x"))
+    others = [F.col(f"__o.{c}").alias(c) for c in sents.columns if c not in ("sid", "tokens")]
+    return t.select("sid", *others, F.transform("x", lambda x: x["w"]).alias("tokens"))
+
+
+def _exploded(sents: DataFrame) -> DataFrame:
+    others = [F.col(c) for c in sents.columns if c not in ("sid", "tokens")] or [F.lit(0).alias("none")]
+    return sents.select("sid", F.struct(*others).alias("__o"), F.posexplode("tokens").alias("pos", "tok")).withColumn("word", F.lower("tok"))
+
+
 def apply_unk(sents: DataFrame, vocab: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
-    """The sentences with tokens lower-cased, and those outside the vocabulary replaced."""
+    """The sentences with tokens lower-cased, and those outside the vocabulary replaced. Sids are unique."""
     kept = vocab.where("in_vocab").select("word", F.lit(True).alias("known"))
-    t = sents.select("sid", F.posexplode("tokens").alias("pos", "tok")).withColumn("word", F.lower("tok")).join(kept, "word", "left")
-    t = t.select("sid", F.struct("pos", F.when(F.col("known"), F.col("word")).otherwise(F.lit(cfg.unk)).alias("w")).alias("x"))
-    t = t.groupBy("sid").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["w"]).alias("tokens"))
-    return sents.drop("tokens").join(t, "sid")
+    rows = _exploded(sents).join(kept, "word", "left")
+    return _regrouped(sents, rows, F.when(F.col("known"), F.col("word")).otherwise(F.lit(cfg.unk)))
 
 
 def truecase_map(sents: DataFrame) -> DataFrame:
@@ -55,42 +67,76 @@ def truecase_map(sents: DataFrame) -> DataFrame:
 
 
 def apply_truecase(sents: DataFrame, truecase: DataFrame, capitalize_first: bool = False) -> DataFrame:
-    t = tokens(sents).withColumn("lower", F.lower("tok")).join(truecase, "lower", "left")
-    w = F.coalesce("surface", "lower")
+    """The sentences with each token's usual form. Sids are unique."""
+    rows = _exploded(sents).join(truecase.withColumnRenamed("lower", "word"), "word", "left")
+    w = F.coalesce("surface", "word")
     if capitalize_first:
         w = F.when((F.col("pos") == 0) & w.rlike(r"^\p{L}"), F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))).otherwise(w)
-    t = t.groupBy("sid").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", w.alias("w")))), lambda x: x["w"]).alias("tokens"))
-    return sents.drop("tokens").join(t, "sid")
+    return _regrouped(sents, rows, w)
 
 
-def _ordered_rank(df: DataFrame, key: Column, *order: Column) -> DataFrame:
-    """__rank from 1 over the whole table, by buckets: ranks inside buckets plus counts of the buckets before."""
-    rows = df.withColumn("__b", key)
-    before = F.coalesce(F.sum("c").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = rows.groupBy("__b").agg(F.count("*").alias("c")).select("__b", before.alias("__o"))
-    rank = F.row_number().over(Window.partitionBy("__b").orderBy(*order))
-    return rows.withColumn("__rank", rank).join(offsets, "__b").withColumn("__rank", F.col("__rank") + F.col("__o")).drop("__b", "__o")
+SPLIT_BUCKET_ROWS = 200_000
 
 
 def assign_split(sents: DataFrame, fractions: tuple[tuple[str, float], ...] | None = None, cfg: EngineConfig = DEFAULT) -> DataFrame:
-    """The sentences with split: sizes int(n * fraction), the rest to the last, in the order of md5(seed:sid)."""
+    """The sentences with split: sizes int(n * fraction), the rest to the last, in the order of md5(seed:sid); equal sids share a split.
+
+    Only buckets of digests that a cut falls into are ranked, one row a bucket tells the others' side; the number of buckets follows the count.
+    """
     fractions = fractions or (("train", cfg.train), ("dev", cfg.dev), ("test", cfg.test))
-    h = F.md5(F.concat(F.lit(f"{cfg.seed}:"), F.col("sid").cast("string")).cast("binary"))
-    ranked = _ordered_rank(sents.withColumn("__h", h), F.substring("__h", 1, 2), F.col("__h"))
-    ranked = ranked.crossJoin(F.broadcast(sents.agg(F.count("*").alias("__n"))))  # one row
-    out, cut = None, F.lit(0)
-    for name, share in fractions[:-1]:
-        cut = cut + F.floor(F.col("__n") * share)
-        out = F.when(F.col("__rank") <= cut, name) if out is None else out.when(F.col("__rank") <= cut, name)
-    return ranked.withColumn("split", out.otherwise(fractions[-1][0])).drop("__h", "__rank", "__n")
+    if any(x < 0 for _, x in fractions) or abs(sum(x for _, x in fractions) - 1.0) > 1e-6:
+        raise ValueError("split fractions must be 0 or more and sum to 1")
+    digest = F.md5(F.concat(F.lit(f"{cfg.seed}:"), F.col("sid").cast("string")).cast("binary"))
+    n = sents.count()
+    chars = 2
+    while n / 16**chars > SPLIT_BUCKET_ROWS:
+        chars += 1
+    rows = sents.withColumn("__h", digest).withColumn("__b", F.substring("__h", 1, chars))
+    sizes = rows.groupBy("__b").agg(F.count("*").alias("c"))
+    upto = sizes.select("__b", "c", F.sum("c").over(Window.orderBy("__b")).alias("upto"))  # one row a bucket
+    cuts, cut = [], 0
+    for _, share in fractions[:-1]:
+        cut += int(n * share)
+        cuts.append(cut)
+    edge = []
+    for cut in cuts:
+        at = upto.where(f"upto >= {cut}").orderBy("__b").limit(1).select("__b", (F.lit(cut) - F.col("upto") + F.col("c")).alias("r"))
+        own = rows.join(F.broadcast(at), "__b").select("__h", "r")  # one bucket's digests
+        ranked = own.withColumn("k", F.row_number().over(Window.orderBy("__h")))
+        edge.append(ranked.agg(F.coalesce(F.max(F.when(F.col("k") <= F.col("r"), F.col("__h"))), F.lit("")).alias("h")).first()["h"] if cut else "")
+    out = None
+    for (name, _), h in zip(fractions[:-1], edge, strict=True):
+        hit = F.col("__h") <= h
+        out = F.when(hit, name) if out is None else out.when(hit, name)
+    last = F.lit(fractions[-1][0])
+    return rows.withColumn("split", last if out is None else out.otherwise(last)).drop("__h", "__b")
+
+
+@dataclass
+class Corpus:
+    """A preprocessed corpus: sentences (sid, split, tokens), vocabulary (word, cnt, first_seen, in_vocab), truecase map (lower, surface)."""
+
+    sentences: DataFrame
+    vocab: DataFrame
+    truecase: DataFrame
+
+    def part(self, split: str) -> DataFrame:
+        return self.sentences.where(F.col("split") == split)
+
+
+def preprocess_corpus(sents: DataFrame, cfg: EngineConfig = DEFAULT, **overrides) -> Corpus:
+    """Short sentences dropped, split, vocabulary and truecase map from the training split, words outside the vocabulary replaced."""
+    cfg = cfg.override(**overrides) if overrides else cfg
+    long = sents.where(F.size("tokens") >= cfg.min_sentence_tokens)
+    split = assign_split(long.select("sid", "tokens"), cfg=cfg)
+    train = split.where("split = 'train'")
+    vocab = build_vocab(train, cfg)
+    return Corpus(apply_unk(split.select("sid", "split", "tokens"), vocab, cfg), vocab, truecase_map(train))
 
 
 def preprocess(sents: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
-    """(sid, split, tokens): short sentences dropped, split, vocabulary from the training split, the rest replaced."""
-    long = sents.where(F.size("tokens") >= cfg.min_sentence_tokens)
-    split = assign_split(long, cfg=cfg)
-    vocab = build_vocab(split.where("split = 'train'"), cfg)
-    return apply_unk(split.select("sid", "split", "tokens"), vocab, cfg)
+    """(sid, split, tokens) of the preprocessed corpus."""
+    return preprocess_corpus(sents, cfg).sentences
 
 
 def corpus_stats(sents: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -11,6 +12,7 @@ from ..functions import text as T
 
 CONFIDENCE = 0.9
 NEVER = -1e30
+BLOCK = 64
 
 
 def _prev(c: str) -> Column:
@@ -28,34 +30,49 @@ class HMMTagger:
         self.transitions = rows.where("prev IS NOT NULL").groupBy("prev", "tag").agg(F.count("*").alias("cnt"))
         self.emissions = tagged.groupBy("word", "tag").agg(F.count("*").alias("cnt"), F.min(F.struct("sid", "pos")).alias("seen"))
 
+    @classmethod
+    def from_counts(cls, tag_counts: DataFrame, transitions: DataFrame, emissions: DataFrame, cfg: EngineConfig = DEFAULT) -> HMMTagger:
+        """A tagger from saved counts; load() derives the rest."""
+        t = cls.__new__(cls)
+        t.tagged, t.cfg, t.tag_counts, t.transitions, t.emissions = None, cfg, tag_counts, transitions, emissions
+        return t
+
     def load(self) -> HMMTagger:
         """Reads the tag tables, which have one row a tag and pair of tags, to the driver."""
-        k = self.cfg.hmm_k
-        rows = sorted(self.tag_counts.collect(), key=lambda r: r.tag)
+        if not (rows := sorted(self.tag_counts.collect(), key=lambda r: r.tag)):
+            raise ValueError("a tagger needs a tagged corpus; this one has no tokens")
         self.tags = [r.tag for r in rows]
-        n = len(rows)
         self.totals = [r["cnt"] for r in rows]
-        sents = sum(r.starts for r in rows)
-        self.n_words = self.emissions.select("word").distinct().count()
-        trans = {(r.prev, r.tag): r["cnt"] for r in self.transitions.collect()}
+        self.starts, self.finals = [r.starts for r in rows], [r.finals for r in rows]
+        self.trans = {(r.prev, r.tag): r["cnt"] for r in self.transitions.collect()}
+        by_word = self.emissions.groupBy("word").agg(F.sum("cnt").alias("n"), F.min("tag").alias("tag"))
+        once = by_word.groupBy(F.when(F.col("n") == 1, F.col("tag")).alias("tag")).agg(F.count("*").alias("h")).collect()
+        self.n_words = sum(r.h for r in once)
+        self.hapax = {r.tag: r.h for r in once if r.tag is not None}
+        seen = {r.tag: tuple(r.s) for r in self.emissions.groupBy("tag").agg(F.min("seen").alias("s")).collect()}
+        self.most_frequent = min(self.tags, key=lambda t: (-self.totals[self.tags.index(t)], seen[t]))
+        return self._derive()
+
+    def _derive(self) -> HMMTagger:
+        """Smoothed parameters from the counts."""
+        k, n = self.cfg.hmm_k, len(self.tags)
         den = [t + k * (n + 1) for t in self.totals]
-        self.log_initial = [math.log(r.starts + k) - math.log(sents + k * n) for r in rows]
-        self.log_transition = [[math.log(trans.get((a, b), 0) + k) - math.log(den[i]) for b in self.tags] for i, a in enumerate(self.tags)]
-        self.log_final = [math.log(r.finals + k) - math.log(den[i]) for i, r in enumerate(rows)]
+        sents, total, once = sum(self.starts), sum(self.totals), sum(self.hapax.values())
+        self.log_initial = [math.log(x + k) - math.log(sents + k * n) for x in self.starts]
+        self.log_transition = [[math.log(self.trans.get((a, b), 0) + k) - math.log(den[i]) for b in self.tags] for i, a in enumerate(self.tags)]
+        self.log_final = [math.log(x + k) - math.log(den[i]) for i, x in enumerate(self.finals)]
         self.emit_den = [t + k * (self.n_words + 1) for t in self.totals]
-        laplace = [math.log(k) - math.log(d) for d in self.emit_den]
-        once = self.emissions.withColumn("all", F.sum("cnt").over(Window.partitionBy("word"))).where("cnt = 1 AND `all` = 1").groupBy("tag").agg(F.count("*").alias("h")).collect()
-        hapax = {r.tag: r.h for r in once}
-        total = sum(hapax.values())
-        self.unk_laplace = laplace
-        self.unk_hapax = laplace if not total else [math.log((hapax.get(t, 0) + k) / (total + k * n)) - math.log(self.totals[i] / sum(self.totals)) for i, t in enumerate(self.tags)]
-        best = max(self.totals)
-        self.most_frequent = min((r for r in self._first_tags() if r[1] == best), key=lambda r: r[2])[0]
-        self.log_prior = [math.log(t / sum(self.totals)) for t in self.totals]
+        self.unk_laplace = [math.log(k) - math.log(d) for d in self.emit_den]
+        self.log_prior = [math.log(t / total) for t in self.totals]
+        hapax = [math.log((self.hapax.get(t, 0) + k) / (once + k * n)) - self.log_prior[i] for i, t in enumerate(self.tags)] if once else None
+        self.unk_hapax = hapax or self.unk_laplace
         return self
 
-    def _first_tags(self):
-        return [(r.tag, r["cnt"], tuple(r.s)) for r in self.tagged.groupBy("tag").agg(F.count("*").alias("cnt"), F.min(F.struct("sid", "pos")).alias("s")).collect()]
+    def smoothed(self, k: float) -> HMMTagger:
+        """The same counts under another smoothing constant; nothing is counted again."""
+        other = copy.copy(self)
+        other.cfg = self.cfg.override(hmm_k=k)
+        return other._derive()
 
     def emission_table(self) -> DataFrame:
         """(word, emit array<double>) in the order of tags."""
@@ -103,46 +120,87 @@ class HMMTagger:
         kinds = kinds.select("word", "f", F.coalesce(seen, self.unknown_emission(F.col("word"), F.col("f"), strategy, prior)).alias("emit"), seen.isNotNull().alias("known"))
         return rows.withColumn("f", F.col("pos") == 0).join(kinds, ["word", "f"]).drop("f")
 
-    def _fold(self, emits: Column, finish: bool, linear: bool = False) -> Column:
-        """struct<scores, back array<array<int>>, hist>: Viterbi over an array of emissions."""
+    def _fold(self, emits: Column, keep: str = "", linear: bool = False) -> Column:
+        """struct<s array<double>, x array<array<...>>>: Viterbi over an array of emissions. keep: '' last scores only, 'back' pointers,
+        'trellis' the scores of every place. What is kept grows in blocks, so that a long sentence isn't copied at each of its places."""
         n = len(self.tags)
         f = (lambda x: math.exp(x)) if linear else (lambda x: x)
-        init = F.array(*[F.lit(f(x)) for x in self.log_initial])
-        into = [F.array(*[F.lit(f(self.log_transition[i][j])) for i in range(n)]) for j in range(n)]
         op = (lambda a, b: a * b) if linear else (lambda a, b: a + b)
         emit = (lambda e: F.transform(e, lambda x: F.exp(x))) if linear else (lambda e: e)
-        start = F.struct(F.zip_with(init, emit(F.get(emits, 0)), op).alias("s"), F.array().cast("array<array<int>>").alias("b"), F.array(F.zip_with(init, emit(F.get(emits, 0)), op)).alias("h"))
+        into = [F.array(*[F.lit(f(self.log_transition[i][j])) for i in range(n)]) for j in range(n)]
+        first = F.zip_with(F.array(*[F.lit(f(x)) for x in self.log_initial]), emit(F.get(emits, 0)), op)
+        none = F.array().cast({"trellis": "array<array<double>>"}.get(keep, "array<array<int>>"))
 
         def step(acc, e):
             ways = F.array(*[F.zip_with(acc["s"], into[j], op) for j in range(n)])
-            best = F.transform(ways, lambda w: F.array_max(w))
-            s = F.zip_with(best, emit(e), op)
-            return F.struct(s.alias("s"), F.concat(acc["b"], F.array(F.transform(ways, lambda w: (F.array_position(w, F.array_max(w)) - 1).cast("int")))).alias("b"), F.concat(acc["h"], F.array(s)).alias("h"))
+            s = F.zip_with(F.transform(ways, lambda w: F.array_max(w)), emit(e), op)
+            if not keep:
+                return F.struct(s.alias("s"), acc["x"].alias("x"))
+            new = s if keep == "trellis" else F.transform(ways, lambda w: (F.array_position(w, F.array_max(w)) - 1).cast("int"))
+            return F.struct(s.alias("s"), F.concat(acc["x"], F.array(new)).alias("x"))
+
+        if not keep:
+            return F.aggregate(F.slice(emits, F.lit(2), F.greatest(F.size(emits) - 1, F.lit(0))), F.struct(first.alias("s"), none.alias("x")), step)
+
+        def block(acc, at):
+            part = F.slice(emits, at, F.lit(BLOCK))
+            inner = F.aggregate(part, F.struct(acc["s"].alias("s"), none.alias("x")), step)
+            return F.struct(inner["s"].alias("s"), F.concat(acc["x"], F.array(inner["x"])).alias("x"))
+
+        starts = F.when(F.size(emits) > 1, F.sequence(F.lit(2), F.greatest(F.size(emits), F.lit(2)), F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
+        head = F.array(F.array(first)) if keep == "trellis" else F.array().cast("array<array<array<int>>>")
+        return F.aggregate(starts, F.struct(first.alias("s"), head.alias("x")), block)
+
+    def _emit_arrays(self, rows: DataFrame, strategy: str | None = None, prior: str | None = None) -> DataFrame:
+        """(sid, emits), the emissions of each sentence in order."""
+        emitted = self.with_emissions(rows, strategy, prior)
+        s = emitted.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("pos", "emit"))).alias("x"))
+        return s.select("sid", F.transform("x", lambda v: v["emit"]).alias("emits"))
 
-        return F.aggregate(F.slice(emits, F.lit(2), F.greatest(F.size(emits) - 1, F.lit(0))), start, step)
+    def _best(self, scores: str) -> Column:
+        return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
+
+    def names(self) -> Column:
+        return F.array(*map(F.lit, self.tags))
 
     def decode(self, rows: DataFrame, strategy: str | None = None, prior: str | None = None) -> DataFrame:
-        """(sid, path array<string>, score, column array<double>): best tags, their log score, and the last column without the end."""
-        emitted = self.with_emissions(rows, strategy, prior)
-        s = emitted.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("pos", "emit"))).alias("x"))
-        s = s.select("sid", F.transform("x", lambda v: v["emit"]).alias("emits"))
-        s = s.select("sid", self._fold(F.col("emits"), True).alias("v"))
+        """(sid, path array<string>, score): best tags of whole sentences and their log score."""
+        s = self._emit_arrays(rows, strategy, prior).select("sid", self._fold(F.col("emits"), "back").alias("v"))
         final = F.zip_with(F.col("v.s"), F.array(*[F.lit(x) for x in self.log_final]), lambda a, b: a + b)
-        s = s.select("sid", F.col("v.b").alias("back"), F.col("v.s").alias("column"), final.alias("final"), F.col("v.h").alias("trellis"))
-        last = (F.array_position("final", F.array_max("final")) - 1).cast("int")
-        s = s.withColumn("last", last).withColumn("ids", F.aggregate(F.reverse("back"), F.array("last"), lambda acc, b: F.concat(F.array(F.get(b, F.get(acc, 0))), acc)))
-        names = F.array(*map(F.lit, self.tags))
-        return s.select("sid", F.transform("ids", lambda i: F.get(names, i)).alias("path"), F.array_max("final").alias("score"), "column", "trellis")
+        s = s.select("sid", F.col("v.x").alias("back"), final.alias("final")).withColumn("last", self._best("final"))
+
+        def back(acc, blocks):
+            own = F.struct(acc["i"].alias("i"), F.array().cast("array<int>").alias("p"))
+            inner = F.aggregate(F.reverse(blocks), own, lambda a, b: F.struct(F.get(b, a["i"]).alias("i"), F.concat(a["p"], F.array(F.get(b, a["i"]))).alias("p")))
+            return F.struct(inner["i"].alias("i"), F.concat(acc["p"], F.array(inner["p"])).alias("p"))
+
+        start = F.struct(F.col("last").alias("i"), F.array(F.array("last")).alias("p"))
+        ids = F.reverse(F.flatten(F.aggregate(F.reverse("back"), start, back)["p"]))
+        names = self.names()
+        return s.select("sid", F.transform(ids, lambda i: F.get(names, i)).alias("path"), F.array_max("final").alias("score"))
+
+    def trellis(self, rows: DataFrame) -> DataFrame:
+        """(sid, trellis array<array<double>>): the scores of every tag at every place, without the end."""
+        s = self._emit_arrays(rows).select("sid", self._fold(F.col("emits"), "trellis").alias("v"))
+        return s.select("sid", F.flatten("v.x").alias("trellis"))
+
+    def last_tags(self, rows: DataFrame) -> DataFrame:
+        """(sid, tag): the best tag at the last place, the end not counted."""
+        s = self._emit_arrays(rows).select("sid", self._fold(F.col("emits"))["s"].alias("column"))
+        return s.select("sid", F.get(self.names(), self._best("column")).alias("tag"))
 
     def underflow(self, rows: DataFrame) -> DataFrame:
         """(sid, n, underflowed): whether the recursion in plain probabilities ends in zeros only."""
-        emitted = self.with_emissions(rows)
-        s = emitted.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("pos", "emit"))).alias("x"))
-        s = s.select("sid", F.size("x").alias("n"), F.transform("x", lambda v: v["emit"]).alias("emits"))
-        s = s.select("sid", "n", self._fold(F.col("emits"), True, linear=True)["s"].alias("s"))
+        s = self._emit_arrays(rows)
+        s = s.select("sid", F.size("emits").alias("n"), self._fold(F.col("emits"), linear=True)["s"].alias("s"))
         final = F.zip_with("s", F.array(*[F.lit(math.exp(x)) for x in self.log_final]), lambda a, b: a * b)
         return s.select("sid", "n", (F.array_max(final) <= 0).alias("underflowed"))
 
+    def inspect(self) -> dict:
+        """Sizes and settings of the fitted tagger."""
+        return {"tags": len(self.tags), "words": self.n_words, "sentences": sum(self.starts), "tokens": sum(self.totals), "k": self.cfg.hmm_k,
+                "unknown_strategy": self.cfg.unknown_strategy, "unknown_prior": self.cfg.unknown_prior}
+
     def predictions(self, gold: DataFrame, **kw) -> DataFrame:
         """(sid, pos, word, gold, pred, known)."""
         path = self.decode(gold.select("sid", "pos", "word"), **kw).select("sid", F.posexplode("path").alias("i", "pred"))

@@ -10,6 +10,8 @@ from ..config import DEFAULT, EngineConfig
 from ..functions.text import pad
 from ..sources.bundle import materialize
 
+BUCKET_TYPES = 32
+
 
 def positions(sents: DataFrame, order: int, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """(sid, pos, ctx, word): every predicted place with its order - 1 padded tokens before it."""
@@ -141,46 +143,87 @@ class NgramModel:
         return top.where(~F.col("word").isin(self.cfg.bos, self.cfg.unk)).select("word", "cnt", "first_seen")
 
     def candidate_words(self, contexts: DataFrame, k: int, quota: bool = True, exclude=(), unigrams: int | None = 500) -> DataFrame:
-        """(ctx, word): words seen after suffixes of a context, longest first, in order of first appearance, 5k at most."""
-        blocked = [*exclude, self.cfg.bos, self.cfg.unk]
+        """(ctx, word, prio, p): words seen after suffixes of a context, longest first, in order of first appearance, 5k at most.
+
+        p is a word's share after the longest suffix that it follows, and prio how many tokens that suffix lacks. With a quota, a context's
+        first 5k continuations and the first 5k unigrams are all that can be in it, so no more are joined.
+        """
+        blocked, most = [*exclude, self.cfg.bos, self.cfg.unk], 5 * k
         asked = contexts.select("ctx").distinct()
+        totals = self.grams.groupBy("k", "ctx").agg(F.sum("cnt").alias("t"))
+        g = self.grams.join(totals, ["k", "ctx"]).where((F.col("k") > 1) & ~F.col("word").isin(*blocked))
+        if quota:
+            g = g.withColumn("r", F.row_number().over(Window.partitionBy("k", "ctx").orderBy("first_seen"))).where(F.col("r") <= most)
+        g = g.select("k", F.col("ctx").alias("c"), "word", "first_seen", (F.col("cnt") / F.col("t")).alias("p"))
         parts = []
         for o in range(self.order, 1, -1):
             own = asked.withColumn("c", F.slice("ctx", F.lit(self.order - o + 1), F.lit(o - 1)))
-            g = self.grams.where(f"k = {o}").select(F.col("ctx").alias("c"), "word", "first_seen")
-            parts.append(own.join(g, "c").select("ctx", "word", F.lit(self.order - o).alias("prio"), F.lit(0).cast("bigint").alias("neg"), "first_seen"))
-        uni = self.top_unigrams(unigrams) if unigrams else self.grams.where("k = 1")
-        parts.append(asked.crossJoin(F.broadcast(uni.select("word", F.lit(self.order - 1).alias("prio"), (-F.col("cnt")).alias("neg"), "first_seen"))))  # 500 rows at most
-        rows = reduce(DataFrame.unionByName, parts).where(~F.col("word").isin(*blocked))
-        rows = rows.groupBy("ctx", "word").agg(F.min(F.struct("prio", "neg", "first_seen")).alias("o"))
+            rest = (F.lit(self.order - o).alias("prio"), F.lit(0).cast("bigint").alias("neg"), "first_seen", "p")
+            parts.append(own.join(g.where(f"k = {o}"), "c").select("ctx", "word", *rest))
+        single = self.grams.where("k = 1")
+        t1 = single.agg(F.sum("cnt").alias("t"))
+        uni = self.top_unigrams(unigrams) if unigrams else single
+        uni = uni.where(~F.col("word").isin(*blocked)).crossJoin(F.broadcast(t1))  # one row
+        uni = uni.select("word", F.lit(self.order - 1).alias("prio"), (-F.col("cnt")).alias("neg"), "first_seen", (F.col("cnt") / F.col("t")).alias("p"))
         if quota:
-            rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("ctx").orderBy("o"))).where(F.col("r") <= 5 * k)
-        return rows.select("ctx", "word")
+            uni = uni.orderBy("neg", "first_seen").limit(most)
+        # at most 500 unigrams, or 5k; only without both bounds is it the whole vocabulary, which Spark then deals with as it can
+        parts.append(asked.crossJoin(F.broadcast(uni) if unigrams or quota else uni))
+        rows = reduce(DataFrame.unionByName, parts).groupBy("ctx", "word").agg(F.min(F.struct("prio", "neg", "first_seen", "p")).alias("o"))
+        if quota:
+            rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("ctx").orderBy("o"))).where(F.col("r") <= most)
+        return rows.select("ctx", "word", F.col("o.prio").alias("prio"), F.col("o.p").alias("p"))
 
     def candidates(self, contexts: DataFrame, k: int, method: str | None = None) -> DataFrame:
-        """(ctx, rank, word, score): the k best next words of each context."""
+        """(ctx, rank, word, score): the k best next words of each context. Stupid backoff's score is known where a word was found."""
         method = method or self.cfg.smoothing
-        scored = self.score(self.candidate_words(contexts, k), (method,)).withColumnRenamed(f"p_{method}", "score")
+        words = self.candidate_words(contexts, k)
+        if method == "stupid_backoff":
+            alpha = F.element_at(F.array(*[F.lit(float(self.cfg.backoff_alpha**i)) for i in range(self.order)]), F.col("prio") + 1)
+            return top_k(words.select("ctx", "word", (alpha * F.col("p")).alias("score")), ["ctx"], k)
+        scored = self.score(words.select("ctx", "word"), (method,)).withColumnRenamed(f"p_{method}", "score")
         return top_k(scored, ["ctx"], k)
 
+    def sampling_table(self) -> DataFrame:
+        """(k, c, word, lo, hi, b, total, nb): each word's stretch [lo, hi) of its context's counts, once for each of the context's nb
+        buckets of equal mass that the stretch meets. Words stand by the first byte of their digest, then by themselves, so that
+        the running sums of a large context are those of 256 parts and their offsets."""
+        g = self.grams.where(F.col("word") != self.cfg.bos).withColumn("h", F.substring(F.md5("word"), 1, 2))
+        parts = g.groupBy("k", "ctx", "h").agg(F.sum("cnt").alias("m"), F.count("*").alias("types"))
+        own = Window.partitionBy("k", "ctx")
+        before = F.coalesce(F.sum("m").over(own.orderBy("h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        nb = F.ceil(F.sum("types").over(own) / BUCKET_TYPES)
+        parts = parts.select("k", "ctx", "h", before.alias("before"), F.sum("m").over(own).alias("total"), nb.alias("nb"))
+        run = F.sum("cnt").over(Window.partitionBy("k", "ctx", "h").orderBy("word").rowsBetween(Window.unboundedPreceding, 0))
+        rows = g.withColumn("run", run).join(parts, ["k", "ctx", "h"]).withColumn("hi", F.col("before") + F.col("run")).withColumn("lo", F.col("hi") - F.col("cnt"))
+        at = lambda x: F.floor(x * F.col("nb") / F.col("total"))
+        return rows.select("k", F.col("ctx").alias("c"), "word", "lo", "hi", "total", "nb", F.explode(F.sequence(at(F.col("lo")), at(F.col("hi") - 1))).alias("b"))
+
     def generate(self, start: DataFrame, length: int, seed: int = 0) -> DataFrame:
-        """(ctx, generated): words drawn by hash-uniform numbers from the longest context seen, until an end mark or the length."""
+        """(ctx, generated): words drawn by digests of context and step from the longest context seen, until an end mark or the length.
+
+        A draw is a place among a context's counts; contexts meet one bucket of their stretches, never their whole continuations.
+        """
         n, cfg = self.order, self.cfg
-        rows = start.select("ctx", F.col("ctx").alias("now"), F.array().cast("array<string>").alias("generated"))
-        g = self.grams.where(F.col("word") != cfg.bos)
-        w = Window.partitionBy("k", "ctx").orderBy("first_seen")
-        cum = g.withColumn("hi", F.sum("cnt").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("lo", F.col("hi") - F.col("cnt"))
-        cum = materialize(cum.withColumn("total", F.sum("cnt").over(Window.partitionBy("k", "ctx"))))
+        rows = start.select("ctx").distinct().select("ctx", F.col("ctx").alias("now"), F.array().cast("array<string>").alias("generated"))
+        cum = materialize(self.sampling_table())
+        sizes = cum.select("k", "c", "total", "nb").distinct()
         for step in range(length):
-            u = F.pmod(F.xxhash64("ctx", F.lit(seed), F.lit(step)), F.lit(1 << 30)) / float(1 << 30)
-            rows = rows.withColumn("u", u).withColumn("done", F.when(F.size("generated") > 0, F.get("generated", F.size("generated") - 1) == cfg.eos).otherwise(False))
+            key = F.concat(F.lit(f"{seed}:{step}:"), F.array_join("ctx", " "))
+            u = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / float(1 << 32)
+            done = F.coalesce(F.element_at("generated", -1) == cfg.eos, F.lit(False)) if step else F.lit(False)
+            rows = rows.withColumn("u", u).withColumn("done", done).withColumn("new", F.when(F.col("done"), F.lit(cfg.eos)))
             for k in range(n, 0, -1):
                 c = F.slice("now", F.lit(n - k + 1), F.lit(k - 1)) if k > 1 else F.array().cast("array<string>")
-                t = cum.where(f"k = {k}").select(F.col("ctx").alias("c"), F.col("word").alias(f"w{k}"), "lo", "hi", "total")
-                rows = rows.withColumn("c", c).join(t, "c", "left").where(F.col("lo").isNull() | ((F.col("u") * F.col("total") >= F.col("lo")) & (F.col("u") * F.col("total") < F.col("hi")))).drop("c", "lo", "hi", "total")
-            word = F.coalesce(*[F.col(f"w{k}") for k in range(n, 0, -1)])
-            rows = rows.select("ctx", F.when(F.col("done"), F.col("now")).otherwise(F.slice(F.concat("now", F.array(word)), 2, n - 1)).alias("now") if n > 1 else F.col("now"), F.when(F.col("done"), F.col("generated")).otherwise(F.concat("generated", F.array(word))).alias("generated"))
-            rows = materialize(rows)
+                rows = rows.withColumn("c", F.when(F.col("new").isNull(), c))  # null where a longer context gave a word
+                rows = rows.join(sizes.where(f"k = {k}").drop("k"), "c", "left").withColumn("at", F.floor(F.col("u") * F.col("total")))
+                rows = rows.withColumn("b", F.floor(F.col("at") * F.col("nb") / F.col("total"))).drop("total", "nb")
+                t = cum.where(f"k = {k}").select(F.col("c").alias("c2"), F.col("b").alias("b2"), F.col("word").alias("drawn"), "lo", "hi")
+                hit = (F.col("c") == F.col("c2")) & (F.col("b") == F.col("b2")) & (F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi"))
+                rows = rows.join(t, hit, "left").withColumn("new", F.coalesce("new", "drawn")).drop("c", "c2", "b", "b2", "at", "drawn", "lo", "hi")
+            now = F.when(F.col("done"), F.col("now")).otherwise(F.slice(F.concat("now", F.array("new")), 2, n - 1)) if n > 1 else F.col("now")
+            grown = F.when(F.col("done"), F.col("generated")).otherwise(F.concat("generated", F.array("new")))
+            rows = materialize(rows.select("ctx", now.alias("now"), grown.alias("generated")))
         return rows.select("ctx", "generated")
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import DEFAULT, EngineConfig
-from .lm import count_grams
+from .lm import rank_key
 
 
 def observed(sents: DataFrame) -> DataFrame:
@@ -63,15 +63,32 @@ def user_prob(asked: DataFrame, grams: DataFrame, cfg: EngineConfig = DEFAULT) -
     return rows.select(*[F.col(c) for c in asked.columns], out.alias("p_user"))
 
 
-def user_candidate_words(asked: DataFrame, grams: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
-    """(user, ctx, word): all words the user wrote after some suffix of the context."""
-    n, parts = cfg.order, []
+def user_candidates(asked: DataFrame, grams: DataFrame, k: int, cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """(user, ctx, rank, word, p_user): the k best words that the user wrote after some suffix of the context.
+
+    A word scores by the longest suffix it follows, so its own gram gives the score. Words of the empty context come by rank: with m words
+    from longer suffixes, the k + m most frequent ones hold all that can be among the best k.
+    """
+    n, empty = cfg.order, F.array().cast("array<string>")
+    g = grams.where(~F.col("word").isin(cfg.bos, cfg.eos))
+    totals = grams.groupBy("user", "k", "ctx").agg(F.sum("cnt").alias("t"))
+    g = g.join(totals, ["user", "k", "ctx"]).withColumn("p", F.col("cnt") / F.col("t"))
     a = asked.select("user", "ctx").distinct()
-    for k in range(1, n + 1):
-        c = F.slice("ctx", F.lit(n - k + 1), F.lit(k - 1)) if k > 1 else F.array().cast("array<string>")
-        g = grams.where(f"k = {k}").select("user", F.col("ctx").alias("__c"), "word")
-        parts.append(a.withColumn("__c", F.transform(c, lambda x: F.lower(x))).join(g, ["user", "__c"]).select("user", "ctx", "word"))
-    return reduce(DataFrame.unionByName, parts).where(~F.col("word").isin(cfg.bos, cfg.eos)).distinct()
+    parts = []
+    for o in range(n, 1, -1):
+        c = F.transform(F.slice("ctx", F.lit(n - o + 1), F.lit(o - 1)), lambda x: F.lower(x))
+        own = g.where(f"k = {o}").select("user", F.col("ctx").alias("__c"), "word", F.lit(o).alias("o"), (cfg.backoff_alpha ** (n - o) * F.col("p")).alias("p_user"))
+        parts.append(a.withColumn("__c", c).join(own, ["user", "__c"]).select("user", "ctx", "word", "o", "p_user"))
+    none = a.select("user", "ctx", F.lit(None).cast("string").alias("word"), F.lit(0).alias("o"), F.lit(None).cast("double").alias("p_user")).limit(0)
+    higher = reduce(DataFrame.unionByName, parts, none).groupBy("user", "ctx", "word").agg(F.max_by("p_user", "o").alias("p_user"), F.max("o").alias("o"))
+    m = a.join(higher.groupBy("user", "ctx").agg(F.count("*").alias("m")), ["user", "ctx"], "left")
+    places = m.select("user", "ctx", F.explode(F.sequence(F.lit(1), F.coalesce("m", F.lit(0)).cast("int") + k)).alias("place"))
+    w = Window.partitionBy("user").orderBy(F.col("cnt").desc(), "word")
+    single = g.where("k = 1").withColumn("place", F.row_number().over(w)).select("user", "place", "word", (cfg.backoff_alpha ** (n - 1) * F.col("p")).alias("p_user"))
+    low = places.join(single, ["user", "place"]).select("user", "ctx", "word", F.lit(1).alias("o"), "p_user")
+    all_ = higher.unionByName(low).groupBy("user", "ctx", "word").agg(F.max_by("p_user", "o").alias("p_user"))
+    w = Window.partitionBy("user", "ctx").orderBy(rank_key(F.col("p_user")).desc(), "word")
+    return all_.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("user", "ctx", "rank", "word", "p_user")
 
 
 def user_words(obs: DataFrame) -> DataFrame:

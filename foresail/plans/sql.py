@@ -146,39 +146,97 @@ TSPLIT = f"""tsid AS (SELECT DISTINCT sid FROM tagged),
 tsplit AS (SELECT * FROM {split_case('tsid', TWO)}),
 tr AS (SELECT t.* FROM tagged t JOIN tsplit USING (sid) WHERE split = 'train'),
 te AS (SELECT t.* FROM tagged t JOIN tsplit USING (sid) WHERE split = 'test')"""
-K = C.hmm_k
-HMM = f"""{TAGGED}, {TSPLIT},
-trl AS (SELECT *, lag(tag) OVER (PARTITION BY sid ORDER BY pos) AS prev, lead(tag) OVER (PARTITION BY sid ORDER BY pos) AS nxt FROM tr),
+def hmm_tables(k: float = C.hmm_k) -> str:
+    """Counts of tr(sid, pos, word, tag) and the smoothed parameters from them."""
+    return f"""trl AS (SELECT *, lag(tag) OVER (PARTITION BY sid ORDER BY pos) AS prev, lead(tag) OVER (PARTITION BY sid ORDER BY pos) AS nxt FROM tr),
 tc AS (SELECT tag, count(*) AS cnt, count(*) FILTER (prev IS NULL) AS starts, count(*) FILTER (nxt IS NULL) AS finals FROM trl GROUP BY tag),
 dims AS (SELECT count(*) AS nt, sum(starts) AS ns, (SELECT count(DISTINCT word) FROM tr) AS nw, sum(cnt) AS total FROM tc),
 trc AS (SELECT prev, tag, count(*) AS cnt FROM trl WHERE prev IS NOT NULL GROUP BY ALL),
-h_init AS (SELECT tag, ln(starts + {K}) - ln(ns + {K} * nt) AS lp FROM tc, dims),
-h_trans AS (SELECT a.tag AS prev, b.tag AS tag, ln(coalesce(c.cnt, 0) + {K}) - ln(a.cnt + {K} * (nt + 1)) AS lp FROM tc a CROSS JOIN tc b CROSS JOIN dims LEFT JOIN trc c ON c.prev = a.tag AND c.tag = b.tag),
-h_final AS (SELECT tag, ln(finals + {K}) - ln(cnt + {K} * (nt + 1)) AS lp FROM tc, dims),
+h_init AS (SELECT tag, ln(starts + {k}) - ln(ns + {k} * nt) AS lp FROM tc, dims),
+h_trans AS (SELECT a.tag AS prev, b.tag AS tag, ln(coalesce(c.cnt, 0) + {k}) - ln(a.cnt + {k} * (nt + 1)) AS lp FROM tc a CROSS JOIN tc b CROSS JOIN dims LEFT JOIN trc c ON c.prev = a.tag AND c.tag = b.tag),
+h_final AS (SELECT tag, ln(finals + {k}) - ln(cnt + {k} * (nt + 1)) AS lp FROM tc, dims),
 emc AS (SELECT word, tag, count(*) AS cnt FROM tr GROUP BY ALL),
 wds AS (SELECT DISTINCT word FROM tr),
-h_emit AS (SELECT w.word, t.tag, ln(coalesce(e.cnt, 0) + {K}) - ln(t.cnt + {K} * (nw + 1)) AS lp FROM wds w CROSS JOIN tc t CROSS JOIN dims LEFT JOIN emc e ON e.word = w.word AND e.tag = t.tag),
-h_lap AS (SELECT tag, ln({K}) - ln(cnt + {K} * (nw + 1)) AS lp FROM tc, dims),
+h_emit AS (SELECT w.word, t.tag, ln(coalesce(e.cnt, 0) + {k}) - ln(t.cnt + {k} * (nw + 1)) AS lp FROM wds w CROSS JOIN tc t CROSS JOIN dims LEFT JOIN emc e ON e.word = w.word AND e.tag = t.tag),
+h_lap AS (SELECT tag, ln({k}) - ln(cnt + {k} * (nw + 1)) AS lp FROM tc, dims),
 once AS (SELECT word FROM emc GROUP BY word HAVING sum(cnt) = 1),
 hx AS (SELECT tag, count(*) AS h FROM emc WHERE word IN (SELECT word FROM once) GROUP BY tag),
 hxs AS (SELECT coalesce(sum(h), 0) AS s FROM hx),
-h_hap AS (SELECT t.tag, CASE WHEN s = 0 THEN l.lp ELSE ln((coalesce(h, 0) + {K}) / (s + {K} * nt)) - ln(t.cnt / total) END AS lp FROM tc t CROSS JOIN dims CROSS JOIN hxs JOIN h_lap l USING (tag) LEFT JOIN hx USING (tag))"""
+h_hap AS (SELECT t.tag, CASE WHEN s = 0 THEN l.lp ELSE ln((coalesce(h, 0) + {k}) / (s + {k} * nt)) - ln(t.cnt / total) END AS lp FROM tc t CROSS JOIN dims CROSS JOIN hxs JOIN h_lap l USING (tag) LEFT JOIN hx USING (tag))"""
 
 
-def viterbi(rows: str) -> str:
-    """v(sid, pos, tag, score, bp) by recursion, fin, and path; to be put after WITH RECURSIVE."""
-    return f"""em AS (SELECT r.sid, r.pos, t.tag, coalesce(e.lp, h.lp) AS lp FROM {rows} r CROSS JOIN tc t JOIN h_hap h ON h.tag = t.tag LEFT JOIN h_emit e ON e.word = r.word AND e.tag = t.tag),
-v AS (SELECT em.sid, em.pos, em.tag, i.lp + em.lp AS score, CAST(NULL AS VARCHAR) AS bp FROM em JOIN h_init i USING (tag) WHERE em.pos = 0
- UNION ALL SELECT sid, pos, tag, score, bp FROM (SELECT em.sid, em.pos, em.tag, v.score + t.lp + em.lp AS score, v.tag AS bp, row_number() OVER (PARTITION BY em.sid, em.tag ORDER BY v.score + t.lp DESC, v.tag) AS r
-  FROM v JOIN h_trans t ON t.prev = v.tag JOIN em ON em.sid = v.sid AND em.pos = v.pos + 1 AND em.tag = t.tag) WHERE r = 1),
-lastpos AS (SELECT sid, max(pos) AS pos FROM {rows} GROUP BY sid),
-fin AS (SELECT sid, pos, tag, score FROM (SELECT v.sid, v.pos, v.tag, v.score + f.lp AS score, row_number() OVER (PARTITION BY v.sid ORDER BY v.score + f.lp DESC, v.tag) AS r FROM v JOIN lastpos l ON l.sid = v.sid AND l.pos = v.pos JOIN h_final f ON f.tag = v.tag) WHERE r = 1),
-path AS (SELECT sid, pos, tag FROM fin UNION ALL SELECT p.sid, p.pos - 1, v.bp FROM path p JOIN v ON v.sid = p.sid AND v.pos = p.pos AND v.tag = p.tag WHERE p.pos > 0)"""
+HMM = f"{TAGGED}, {TSPLIT},\n{hmm_tables()}"
+
+
+#: emissions of rows by known words and the prior alone
+PLAIN_EMISSIONS = """em AS (SELECT r.sid, r.pos, t.tag, coalesce(e.lp, h.lp) AS lp FROM {rows} r CROSS JOIN tc t JOIN h_hap h ON h.tag = t.tag
+ LEFT JOIN h_emit e ON e.word = r.word AND e.tag = t.tag)"""
+
+
+def viterbi(rows: str, em: str | None = None, n: str = "", key: str = "sid") -> str:
+    """v(sid, pos, tag, score, bp) by recursion, last column lastv, fin, and path; to be put after WITH RECURSIVE."""
+    em = em or PLAIN_EMISSIONS.format(rows=rows)
+    by = f"PARTITION BY v{n}.{key} ORDER BY v{n}.score + f.lp DESC, v{n}.tag"
+    return f"""{em},
+v{n} AS (SELECT em{n}.{key}, em{n}.pos, em{n}.tag, i.lp + em{n}.lp AS score, CAST(NULL AS VARCHAR) AS bp FROM em{n} JOIN h_init i USING (tag) WHERE em{n}.pos = 0
+ UNION ALL SELECT {key}, pos, tag, score, bp FROM (SELECT em{n}.{key}, em{n}.pos, em{n}.tag, v{n}.score + t.lp + em{n}.lp AS score, v{n}.tag AS bp,
+   row_number() OVER (PARTITION BY em{n}.{key}, em{n}.tag ORDER BY v{n}.score + t.lp DESC, v{n}.tag) AS r
+  FROM v{n} JOIN h_trans t ON t.prev = v{n}.tag JOIN em{n} ON em{n}.{key} = v{n}.{key} AND em{n}.pos = v{n}.pos + 1 AND em{n}.tag = t.tag) WHERE r = 1),
+lastpos{n} AS (SELECT {key}, max(pos) AS pos FROM {rows} GROUP BY {key}),
+lastv{n} AS (SELECT {key}, tag FROM (SELECT v{n}.{key}, v{n}.tag, row_number() OVER (PARTITION BY v{n}.{key} ORDER BY v{n}.score DESC, v{n}.tag) AS r
+  FROM v{n} JOIN lastpos{n} l ON l.{key} = v{n}.{key} AND l.pos = v{n}.pos) WHERE r = 1),
+fin{n} AS (SELECT {key}, pos, tag, score FROM (SELECT v{n}.{key}, v{n}.pos, v{n}.tag, v{n}.score + f.lp AS score, row_number() OVER ({by}) AS r
+  FROM v{n} JOIN lastpos{n} l ON l.{key} = v{n}.{key} AND l.pos = v{n}.pos JOIN h_final f ON f.tag = v{n}.tag) WHERE r = 1),
+path{n} AS (SELECT {key}, pos, tag FROM fin{n} UNION ALL SELECT p.{key}, p.pos - 1, v{n}.bp
+  FROM path{n} p JOIN v{n} ON v{n}.{key} = p.{key} AND v{n}.pos = p.pos AND v{n}.tag = p.tag WHERE p.pos > 0)"""
+
+
+def suffix_case(rules, tags: bool, w: str) -> str:
+    """The first of the longest suffixes, or the tags it names."""
+    rows = "".join(
+        f" WHEN ends_with({w}, {q(s)}) AND length({w}) >= {len(s) + 2} THEN {q(' '.join(t)) if tags else q(s)}" for s, t in T.by_length(rules)
+    )
+    return f"CASE{rows}{' ELSE ' + q('') if tags else ''} END"
+
+
+#: names of tags that the shape of a word w suggests, f: whether it is a sentence's first
+CANDIDATE_TAGS = f"""CASE WHEN NOT regexp_matches(w, '[\\p{{L}}\\p{{N}}]') THEN {q(' '.join(T.PUNCT_TAGS))}
+ WHEN regexp_matches(w, '\\p{{Nd}}') THEN {q(' '.join(T.NUM_TAGS))}
+ WHEN regexp_matches(w, '[\\x{{0900}}-\\x{{097f}}]') THEN {suffix_case(T.DEVANAGARI_RULES, True, 'w')}
+ WHEN NOT f AND regexp_matches(w, '^\\p{{Lu}}') THEN {q(' '.join(T.PROPER_TAGS))}
+ ELSE {suffix_case(T.SUFFIX_RULES, True, 'lower(w)')} END"""
+
+
+def emissions(words: str, strategy: str = "suffix", prior: str = "hapax", n: str = "") -> str:
+    """emis(word, f, tag, lp, known) of words(word, f): exact form, lower-case form, else the unseen-word model."""
+    named = {"suffix": f"string_split({CANDIDATE_TAGS}, ' ')", "uniform": "[]::VARCHAR[]",
+             "most_frequent_tag": "[(SELECT tag FROM (SELECT tag, count(*) AS c, min({'s': sid, 'p': pos}) AS fs FROM tr GROUP BY tag ORDER BY c DESC, fs LIMIT 1))]"}[strategy]
+    return f"""xc{n} AS (SELECT w, f, {named} AS tags FROM (SELECT DISTINCT word AS w, f FROM {words})),
+xh{n} AS (SELECT x.w AS word, x.f, t.tag, list_contains(x.tags, t.tag) AS hit, count(*) FILTER (list_contains(x.tags, t.tag)) OVER (PARTITION BY x.w, x.f) AS nh
+ FROM xc{n} x CROSS JOIN tc t),
+emis{n} AS (SELECT x.word, x.f, x.tag, coalesce(e.lp, l.lp, p.lp + CASE WHEN nh = 0 THEN 0 ELSE ln(0.1 + CASE WHEN hit THEN 0.9 / nh ELSE 0 END) END) AS lp,
+  coalesce(e.lp, l.lp) IS NOT NULL AS known
+ FROM xh{n} x JOIN {'h_hap' if prior == 'hapax' else 'h_lap'} p ON p.tag = x.tag
+ LEFT JOIN h_emit e ON e.word = x.word AND e.tag = x.tag LEFT JOIN h_emit l ON l.word = lower(x.word) AND l.tag = x.tag)"""
+
+
+def decoded(rows: str, n: str = "", key: str = "sid", **how) -> str:
+    """Viterbi of rows(key, pos, word) with the unseen-word model."""
+    em = f"em{n} AS (SELECT r.{key}, r.pos, e.tag, e.lp FROM {rows} r JOIN emis{n} e ON e.word = r.word AND e.f = (r.pos = 0))"
+    return f"""ew{n} AS (SELECT DISTINCT word, pos = 0 AS f FROM {rows}),
+{emissions(f'ew{n}', n=n, **how)},
+{viterbi(rows, em, n, key)}"""
+
+
+def windows(contexts: str, size: int = C.tag_window) -> str:
+    """wrows(sid, pos, word) and wkey(w1, w2, sid) of contexts(w1, w2): the last tokens that are no start mark."""
+    return f"""wkey AS (SELECT DISTINCT w1, w2, list_filter([w1, w2], lambda x: x <> '<s>')[-{size}:] AS win, array_to_string(list_filter([w1, w2], lambda x: x <> '<s>')[-{size}:], chr(1)) AS sid FROM {contexts}),
+wrows AS (SELECT DISTINCT sid, generate_subscripts(win, 1) - 1 AS pos, unnest(win) AS word FROM wkey WHERE len(win) > 0)"""
 
 
 #: text tagged by the shape of its words
-SHAPED = f"""{sents()}, {TOKS},
-tagged AS (SELECT sid, pos, tok AS word, CASE WHEN NOT regexp_matches(tok, '[\\p{{L}}\\p{{N}}]') THEN '.' WHEN regexp_matches(tok, '\\p{{Nd}}') THEN 'NUM' WHEN ends_with(tok, 'ly') THEN 'ADV' WHEN ends_with(tok, 'ing') OR ends_with(tok, 'ed') THEN 'VERB' WHEN length(tok) % 3 = 0 THEN 'ADJ' ELSE 'NOUN' END AS tag FROM toks)"""
+SHAPE = f"""tagged AS (SELECT sid, pos, tok AS word, CASE WHEN NOT regexp_matches(tok, '[\\p{{L}}\\p{{N}}]') THEN '.' WHEN regexp_matches(tok, '\\p{{Nd}}') THEN 'NUM' WHEN ends_with(tok, 'ly') THEN 'ADV' WHEN ends_with(tok, 'ing') OR ends_with(tok, 'ed') THEN 'VERB' WHEN length(tok) % 3 = 0 THEN 'ADJ' ELSE 'NOUN' END AS tag FROM toks)"""
+SHAPED = f"{sents()}, {TOKS},\n{SHAPE}"
 
 #: user turns: conversations of one id are a user, its turns arrive in order
 USERS = f"""us_l AS (SELECT conv_id, turn, {pieces(clean('nfc_normalize(text)'))} AS l FROM conversations WHERE role = 'user'),
@@ -198,3 +256,12 @@ FROM {asked} x LEFT JOIN ug3 a3 ON a3."user" = x."user" AND a3.w1 = x.w1 AND a3.
 LEFT JOIN (SELECT "user", w1, w2, sum(cnt) AS t FROM ug3 GROUP BY ALL) b3 ON b3."user" = x."user" AND b3.w1 = x.w1 AND b3.w2 = x.w2
 LEFT JOIN ug2 a2 ON a2."user" = x."user" AND a2.w2 = x.w2 AND a2.w = x.w LEFT JOIN (SELECT "user", w2, sum(cnt) AS t FROM ug2 GROUP BY ALL) b2 ON b2."user" = x."user" AND b2.w2 = x.w2
 LEFT JOIN ug1 a1 ON a1."user" = x."user" AND a1.w = x.w LEFT JOIN (SELECT "user", sum(cnt) AS t FROM ug1 GROUP BY ALL) b1 ON b1."user" = x."user\""""
+
+
+def user_candidates(asked: str, k: int) -> str:
+    """ucr("user", w1, w2, w, p_user, r): the k best of all words the user wrote after some suffix of the context."""
+    return f"""ucw AS (SELECT a."user", a.w1, a.w2, g.w FROM {asked} a JOIN ug3 g ON g."user" = a."user" AND g.w1 = a.w1 AND g.w2 = a.w2
+ UNION SELECT a."user", a.w1, a.w2, g.w FROM {asked} a JOIN ug2 g ON g."user" = a."user" AND g.w2 = a.w2
+ UNION SELECT a."user", a.w1, a.w2, g.w FROM {asked} a JOIN ug1 g ON g."user" = a."user"),
+ucs AS ({user_score('ucw')}),
+ucr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "user", w1, w2 ORDER BY {rk('p_user')} DESC, w) AS r FROM ucs WHERE w NOT IN ('<s>', '</s>')) WHERE r <= {k})"""

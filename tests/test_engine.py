@@ -11,7 +11,7 @@ from foresail.operators import corpus, hmm, lexicon, profile
 from foresail.operators.lm import NgramModel, prune
 from foresail.operators.predict import Predictor, requests_from_buffers
 
-LM_TRAIN = ["the cat sat on the mat", "the cat ate the fish", "the dog sat on the log", "a dog ate the bone", "the cat sat on the log"]
+LINES = ["our boat left at dawn", "our boat came home", "her boat left at noon", "our crew left at dawn", "the crew slept"]
 
 
 def sents(spark, lines):
@@ -20,7 +20,7 @@ def sents(spark, lines):
 
 @pytest.fixture(scope="module")
 def model(spark):
-    return NgramModel.fit(sents(spark, LM_TRAIN), 3).cached()
+    return NgramModel.fit(sents(spark, LINES), 3).cached()
 
 
 def test_config_checks():
@@ -46,13 +46,14 @@ def test_nfc(spark):
 
 
 def test_split_buffer(spark):
-    df = spark.createDataFrame([("i would like to ",), ("i would like to kn",), ("hello",), ("",), ("   ",)], "b string")
+    cases = [("we sail north by ", ["north", "by"], ""), ("we sail north by nor", ["north", "by"], "nor"), ("Ahoy", [], "Ahoy"), ("", [], ""), (" \t ", [], ""), ("tide's up.", ["s", "up"], ".")]
+    df = spark.createDataFrame([(c[0],) for c in cases], "b string")
     c, p = T.split_buffer(F.col("b"), 3)
-    assert [tuple(r) for r in df.select(c, p).collect()] == [(["like", "to"], ""), (["like", "to"], "kn"), ([], "hello"), ([], ""), ([], "")]
+    assert [tuple(r) for r in df.select(c, p).collect()] == [x[1:] for x in cases]
 
 
 def test_candidate_tags(spark):
-    words = [("flumping", True, "VBG"), ("is", True, None), ("!!", True, "."), ("1990", True, "CD"), ("Vinken", False, "NNP"), ("Vinken", True, None), ("लोगों", True, "NN")]
+    words = [("grumbling", True, "VBG"), ("at", True, None), ("?;", True, "."), ("42", True, "CD"), ("Marlow", False, "NNP"), ("Marlow", True, None), ("नावों", True, "NN"), ("calmness", True, "NN")]
     df = spark.createDataFrame([w[:2] for w in words], "w string, f boolean")
     got = [r[0] for r in df.select(F.get(T.candidate_tags(F.col("w"), F.col("f")), 0)).collect()]
     assert got == [w[2] for w in words]
@@ -60,11 +61,29 @@ def test_candidate_tags(spark):
 
 def test_counts_and_scores(model, spark):
     g = {(r.k, tuple(r.ctx), r.word): r["cnt"] for r in model.grams.collect()}
-    assert g[(1, (), "the")] == 9 and g[(2, ("the",), "cat")] == 3 and g[(3, ("<s>", "<s>"), "the")] == 4 and g[(1, (), "</s>")] == 5
-    asked = spark.createDataFrame([(["the", "cat"], "sat"), (["a", "dog"], "fish")], "ctx array<string>, word string")
+    assert g[(1, (), "boat")] == 3 and g[(2, ("our",), "boat")] == 2 and g[(3, ("<s>", "<s>"), "our")] == 3 and g[(1, (), "</s>")] == 5
+    asked = spark.createDataFrame([(["our", "boat"], "left"), (["the", "crew"], "home")], "ctx array<string>, word string")
     s = {r.word: r for r in model.score(asked).collect()}
-    assert s["sat"].p_mle == pytest.approx(2 / 3) and s["sat"].p_laplace == pytest.approx(0.1875)
-    assert s["fish"].p_mle == 0.0
+    assert s["left"].p_mle == pytest.approx(1 / 2) and s["left"].p_laplace == pytest.approx(2 / 16)
+    assert s["home"].p_mle == 0.0
+
+
+def test_candidates_score_like_the_model(model, spark):
+    """The score that the search for candidates gives is that of the general scoring."""
+    ctx = spark.createDataFrame([(["our", "boat"],), (["<s>", "the"],), (["no", "such"],)], "ctx array<string>")
+    got = {(tuple(r.ctx), r.word): r.score for r in model.candidates(ctx, 10).collect()}
+    rows = spark.createDataFrame([(list(c), w) for c, w in got], "ctx array<string>, word string")
+    want = {(tuple(r.ctx), r.word): r.p_stupid_backoff for r in model.score(rows, ("stupid_backoff",)).collect()}
+    assert got == pytest.approx(want) and len({c for c, _ in got}) == 3
+
+
+def test_generate(model, spark):
+    ctx = spark.createDataFrame([(["<s>", "<s>"],), (["no", "such"],), (["the", "crew"],)], "ctx array<string>")
+    got = {tuple(r.ctx): r.generated for r in model.generate(ctx, 6).collect()}
+    again = {tuple(r.ctx): r.generated for r in model.generate(ctx.unionByName(ctx), 6).collect()}
+    assert got == again and len(got) == 3 and got[("the", "crew")] == ["slept", "</s>"]
+    words = {r.word for r in model.grams.where("k = 1").collect()}
+    assert all(set(x) <= words and "</s>" not in x[:-1] for x in got.values())
 
 
 def test_mass_is_one(model, spark):
@@ -74,7 +93,7 @@ def test_mass_is_one(model, spark):
 
 
 def test_perplexity_infinite(model, spark):
-    p = {r.method: r.perplexity for r in model.perplexity(sents(spark, ["the bone sat"])).collect()}
+    p = {r.method: r.perplexity for r in model.perplexity(sents(spark, ["the boat slept"])).collect()}
     assert math.isinf(p["mle"]) and not math.isinf(p["kneser_ney"])
 
 
@@ -85,10 +104,10 @@ def test_prune_keeps_unigrams(model):
 
 
 def test_lexicon(spark):
-    w = spark.createDataFrame([("recommend", 5), ("receive", 3), ("recent", 3), ("cat", 1)], "word string, cnt bigint")
-    asked = spark.createDataFrame([("rec",), ("zz",)], "asked string")
-    assert [r.word for r in lexicon.complete(w, asked, 2).orderBy("rank").collect()] == ["recommend", "receive"]
-    assert {r.asked: r.has_prefix for r in lexicon.lookup(w, asked).collect()} == {"rec": True, "zz": False}
+    w = spark.createDataFrame([("harbour", 5), ("hatch", 3), ("hammock", 3), ("oar", 1)], "word string, cnt bigint")
+    asked = spark.createDataFrame([("ha",), ("zz",)], "asked string")
+    assert [r.word for r in lexicon.complete(w, asked, 2).orderBy("rank").collect()] == ["harbour", "hammock"]
+    assert {r.asked: r.has_prefix for r in lexicon.lookup(w, asked).collect()} == {"ha": True, "zz": False}
 
 
 def test_profile_window_and_stream(spark, tmp_path):
@@ -109,26 +128,149 @@ def test_profile_window_and_stream(spark, tmp_path):
     assert last == batch
 
 
+def test_stream_of_gram_changes(spark, tmp_path):
+    """Deltas of two batches, evictions among them, add up to the counts of what is retained."""
+    from foresail.streaming.profile_stream import current_grams, gram_changes
+
+    cfg = EngineConfig(profile_cap=6)
+    rows = [(u, i, f"Word{i % 3} on deck".split()) for u in (1, 2) for i in range(5)] + [(3, 0, ["", "x"]), (3, 1, [])]
+    df = spark.createDataFrame(rows, "user bigint, seq bigint, tokens array<string>")
+    df.where("seq < 3").coalesce(1).write.parquet(str(tmp_path / "in/a"))
+    df.where("seq >= 3").coalesce(1).write.parquet(str(tmp_path / "in/b"))
+    for part in ("a", "b"):
+        stream = gram_changes(spark.readStream.schema(df.schema).parquet(str(tmp_path / f"in/[a{part}]")), cfg)
+        q = stream.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    key = lambda d: sorted((r.user, r.k, tuple(r.ctx), r.word, r["cnt"]) for r in d.collect())
+    kept = profile.user_grams(profile.retained(profile.observed(df), 6), cfg)
+    assert key(current_grams(spark.read.parquet(str(tmp_path / "out")))) == key(kept)
+
+
+def test_profile_store(spark, tmp_path, model):
+    from foresail.sources.bundle import ProfileStore, load_predictor, save_model
+
+    at = str(tmp_path / "p")
+    store = ProfileStore(spark, at, EngineConfig(profile_cap=4))
+    assert store.observed().count() == 0
+    df = spark.createDataFrame([(1, 0, ["Land", "ho"]), (1, 1, ["sail", "away", "now"]), (2, 0, ["sail"])], "user bigint, seq bigint, tokens array<string>")
+    assert {(r.user, r.tokens) for r in store.observe(df).collect()} == {(1, 5), (2, 1)}
+    words = lexicon.words_of_counts(model.grams.where("k = 1").select("word", "cnt"))
+    added = Predictor(model, words).learn(store, spark.createDataFrame([(2, 5, "Sail on. Sail!")], "user bigint, seq bigint, text string"))
+    assert [tuple(r) for r in added.collect()] == [(2, 5)]
+    back = ProfileStore.load(spark, at)
+    assert back.cfg.profile_cap == 4 and back.observed().count() == 5
+    back.compact()
+    assert sorted((r.user, r.seq) for r in back.observed().collect()) == [(1, 1), (2, 500_001)] or back.observed().where("user = 1").count() == 1
+    save_model(model, str(tmp_path / "m"))
+    p = load_predictor(spark, str(tmp_path / "m"), profile_path=at)
+    req = requests_from_buffers(spark.createDataFrame([(1, 1, "sail ")], "req_id bigint, user bigint, buffer string"))
+    assert "away" in {r.word for r in p.candidates(req).collect()}
+    back.reset(spark.createDataFrame([(1,)], "user bigint"))
+    assert {r.user for r in back.observed().collect()} == {2}
+    back.reset()
+    assert ProfileStore.load(spark, at).observed().count() == 0
+
+
+def test_load_sources(spark, tmp_path):
+    from foresail.sources.corpora import load_sentences, load_tagged
+
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t/a.txt").write_text("Set sail. Mind\nthe reef!", encoding="utf-8")
+    (tmp_path / "t/b.txt").write_text("", encoding="utf-8")
+    assert sorted(" ".join(r.tokens) for r in load_sentences(spark, str(tmp_path / "t")).collect()) == ["Mind the reef !", "Set sail ."]
+    assert load_sentences(spark, "no_such_table", limit=1, fallback=str(tmp_path / "t/a.txt")).count() == 1
+    with pytest.raises(FileNotFoundError):
+        load_sentences(spark, str(tmp_path / "none"))
+    with pytest.raises(FileNotFoundError):
+        load_tagged(spark, str(tmp_path / "none"))
+
+
+def test_settings(tmp_path, monkeypatch):
+    from foresail import config
+
+    f = tmp_path / "c.yaml"
+    f.write_text("ngram:\n  order: 2\n  backoff_alpha: 0.5\nother: {x: 1}\n")
+    monkeypatch.setenv(config.CONFIG_VARIABLE, str(f))
+    s = config.load_settings()
+    assert config.setting(s, "ngram.order") == 2 and config.setting(s, "ngram.none", 7) == 7 and config.from_settings(s).backoff_alpha == 0.5
+    with pytest.raises(KeyError):
+        config.setting(s, "ngram.none")
+
+
+def test_guards(spark):
+    empty = spark.createDataFrame([], "sid bigint, pos int, word string, tag string")
+    with pytest.raises(ValueError):
+        hmm.HMMTagger(empty).load()
+    for wrong in ({"hmm_k": 0.0}, {"unknown_strategy": "x"}, {"unknown_prior": "x"}, {"train": 0.9}):
+        with pytest.raises(ValueError):
+            EngineConfig(**wrong)
+    with pytest.raises(ValueError):
+        corpus.assign_split(empty.select("sid"), (("train", 1.2), ("test", -0.2)))
+    with pytest.raises(ValueError):
+        T.pad(F.lit(None), 0, "a", "b")
+
+
+def test_nothing_asked(spark, model):
+    words = lexicon.words_of_counts(model.grams.where("k = 1").select("word", "cnt"))
+    p, none = Predictor(model, words), spark.createDataFrame([], "ctx array<string>, prefix string, target string")
+    assert tuple(p.keystroke_savings(none).first()) == (0, 0, 0, 0, 0.0)
+    assert p.hit_at_k(none).first().positions == 0
+
+
+def test_splits(spark):
+    ids = spark.range(1000).withColumnRenamed("id", "sid")
+    got = {r.split: r["count"] for r in corpus.assign_split(ids).groupBy("split").count().collect()}
+    assert got == {"train": 800, "dev": 100, "test": 100}
+    assert corpus.assign_split(ids.limit(0)).count() == 0
+
+
 def test_viterbi_brute_force(spark):
     import itertools
 
-    text = [[("the", "DET"), ("dog", "NOUN"), ("runs", "VERB")], [("the", "DET"), ("cat", "NOUN"), ("runs", "VERB")], [("runs", "NOUN"), ("help", "VERB")], [("a", "DET"), ("dog", "NOUN"), ("walks", "VERB")]]
+    text = [[("our", "DET"), ("crew", "NOUN"), ("rows", "VERB")], [("our", "DET"), ("mate", "NOUN"), ("rows", "VERB")], [("rows", "NOUN"), ("tilt", "VERB")], [("her", "DET"), ("crew", "NOUN"), ("rests", "VERB")]]
     df = spark.createDataFrame([(i, j, w, t) for i, s in enumerate(text) for j, (w, t) in enumerate(s)], "sid bigint, pos int, word string, tag string")
     t = hmm.HMMTagger(df, EngineConfig(hmm_k=0.1)).load()
     for row in t.log_transition:
         i = t.log_transition.index(row)
         assert sum(map(math.exp, row)) + math.exp(t.log_final[i]) == pytest.approx(1.0)
-    ask = spark.createDataFrame([(0, 0, "the"), (0, 1, "dog"), (0, 2, "zorping")], "sid bigint, pos int, word string")
+    ask = spark.createDataFrame([(0, 0, "our"), (0, 1, "crew"), (0, 2, "heaving")], "sid bigint, pos int, word string")
     e = {r.pos: r.emit for r in t.with_emissions(ask).collect()}
     best = max(itertools.product(range(3), repeat=3), key=lambda p: t.log_initial[p[0]] + t.log_transition[p[0]][p[1]] + t.log_transition[p[1]][p[2]] + t.log_final[p[2]] + sum(e[i][x] for i, x in enumerate(p)))
     got = t.decode(ask).first()
     assert got.path == [t.tags[i] for i in best]
+    columns = t.trellis(ask).first().trellis
+    assert t.last_tags(ask).first().tag == t.tags[columns[-1].index(max(columns[-1]))] and len(columns) == 3
+
+
+def test_viterbi_long_and_short(spark):
+    """A sentence of several blocks and one of one word, against a plain loop."""
+    import random
+
+    r = random.Random(5)
+    rows = [(0, i, r.choice("abc"), r.choice("XYZ")) for i in range(300)]
+    t = hmm.HMMTagger(spark.createDataFrame(rows, "sid bigint, pos int, word string, tag string")).load()
+    ask = [[r.choice("abcd") for _ in range(n)] for n in (1, 2, 64, 65, 66, 200)]
+    df = spark.createDataFrame([(i, j, w) for i, s in enumerate(ask) for j, w in enumerate(s)], "sid bigint, pos int, word string")
+    emit = {(x.sid, x.pos): x.emit for x in t.with_emissions(df).collect()}
+    got = {x.sid: x.path for x in t.decode(df).collect()}
+    n = range(len(t.tags))
+    for sid, s in enumerate(ask):
+        v, back = [t.log_initial[j] + emit[sid, 0][j] for j in n], []
+        for pos in range(1, len(s)):
+            ways = [[v[i] + t.log_transition[i][j] for i in n] for j in n]
+            back.append([w.index(max(w)) for w in ways])
+            v = [max(ways[j]) + emit[sid, pos][j] for j in n]
+        end = [v[j] + t.log_final[j] for j in n]
+        path = [end.index(max(end))]
+        for b in reversed(back):
+            path.insert(0, b[path[0]])
+        assert got[sid] == [t.tags[i] for i in path]
 
 
 def test_rerank_alpha_zero_is_identity(spark, model):
     words = lexicon.words_of_counts(model.grams.where("k = 1 AND word NOT IN ('<s>', '</s>')").select("word", "cnt"))
-    tagged = corpus.tokens(sents(spark, LM_TRAIN)).select("sid", "pos", F.col("tok").alias("word"), F.when(F.col("tok").isin("the", "a"), "DET").otherwise("NOUN").alias("tag"))
-    buffers = spark.createDataFrame([(1, None, "the "), (2, None, "the c"), (3, None, "")], "req_id bigint, user bigint, buffer string")
+    tagged = corpus.tokens(sents(spark, LINES)).select("sid", "pos", F.col("tok").alias("word"), F.when(F.col("tok").isin("the", "a"), "DET").otherwise("NOUN").alias("tag"))
+    buffers = spark.createDataFrame([(1, None, "our "), (2, None, "our c"), (3, None, "")], "req_id bigint, user bigint, buffer string")
     req = requests_from_buffers(buffers)
     plain = [(r.req_id, r["rank"], r.word) for r in Predictor(model, words).predict(req).orderBy("req_id", "rank").collect()]
     cfg = EngineConfig(rerank_alpha=0.0)
