@@ -2,16 +2,19 @@
 
 Every byte that a 400-byte string covers which also starts elsewhere is removed; matches lie inside documents and are judged on the input.
 
-1. Shards. A 400-byte window's key is the smallest hash of its 32-byte grams, so equal windows have equal keys wherever they
-   stand. Neighbouring windows with one key make a fragment. Keys that only one fragment has, with the smallest gram at one place, hold no repeat; the other
+1. Shards. A window of 256 bytes has as key the smallest hash of its 32-byte grams, so equal windows have equal keys wherever they
+   stand. Neighbouring windows with one key make a fragment, which also holds what follows up to 400 bytes from its last window's start. Keys that only
+   one fragment has, with the smallest gram at one place, hold no repeat; the other
    fragments meet by key. Equal fragments collapse to one with a weight first, so thousands of copies travel once.
 2. Induced sorting. Each task sorts the suffixes of its fragments: LMS substrings are named, the reduced string is sorted (by recursion, or in memory once it fits),
    and L- and S-suffixes are induced from it. The scans run over priority queues of (first character, arrival) that carry suffix and
    common-prefix length and go to disk in blocks beyond a memory limit; common prefixes are carried through induction as range minima and cut at 400.
 3. Runs of suffixes with common prefixes of 400 and a weight of 2 or more are the repeats; they go back to documents as ranges of bytes.
+   Runs with common prefixes of 256, as of 51 words with four letters and the blanks between, tell of passages that repeat but stay; their bytes are counted.
 
 Null and empty texts have no bytes. Repeated rows and ids are documents of their own, so two equal rows of 400 bytes or more remove each other. Texts under
-400 bytes keep all. An empty table gives an empty table.
+400 bytes keep all. Very long texts are cut into fragments like others, whole. Other columns of the input are not read, so their names can't clash. An empty
+table gives an empty table. One key's distinct fragments are one task's work: their text, types and ranks are in its memory, the queues of the induction are not.
 """
 
 from __future__ import annotations
@@ -27,10 +30,11 @@ from pyspark.sql import DataFrame, functions as F
 from .common import Scratch, pieces
 
 LENGTH = 400
+SHORT = 256
 GRAM = 32
 MOST_WINDOWS = 1 << 14
 CHUNK_BYTES = 3 << 20
-QUEUE_BYTES = 256 << 20
+QUEUE_BYTES = 16 << 20
 IN_MEMORY = 1 << 25
 _A = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -53,7 +57,7 @@ def gram_hashes(b: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def fragments_of(b: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def fragments_of(b: np.ndarray, length: int = SHORT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(key, first window, last window, whether the smallest gram stands at several places) of each fragment."""
     none = np.empty(0, np.int64)
     if len(b) < length:
@@ -102,7 +106,7 @@ def _scan(docs: DataFrame) -> DataFrame:
 
 
 def _digests(rows: DataFrame) -> DataFrame:
-    """(k, h, a, e, several, dig) of the runs of rows (k, z, runs)."""
+    """(k, h, a, e, several, size, dig) of the runs of rows (k, z, runs); size and digest are of the fragment's bytes."""
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor()
@@ -110,16 +114,18 @@ def _digests(rows: DataFrame) -> DataFrame:
             out = []
             for k, z, runs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = unpack.decompress(z)
-                out += [(k, r["h"], r["a"], r["e"], r["several"], hashlib.blake2b(data[r["a"] : r["e"] + LENGTH], digest_size=16).digest()) for r in runs]
-            cols = list(zip(*out, strict=True)) or [()] * 6
-            kinds = (pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["k", "h", "a", "e", "several", "dig"])
+                for r in runs:
+                    body = data[r["a"] : r["e"] + LENGTH]
+                    out.append((k, r["h"], r["a"], r["e"], r["several"], len(body), hashlib.blake2b(body, digest_size=16).digest()))
+            cols = list(zip(*out, strict=True)) or [()] * 7
+            kinds = (pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["k", "h", "a", "e", "several", "size", "dig"])
 
-    return rows.select("k", "z", "runs").mapInArrow(run, "k binary, h bigint, a int, e int, several boolean, dig binary")
+    return rows.select("k", "z", "runs").mapInArrow(run, "k binary, h bigint, a int, e int, several boolean, size int, dig binary")
 
 
 def _contents(rows: DataFrame) -> DataFrame:
-    """(h, dig, m, body) from rows (z, picks): the bytes of one representative of each distinct fragment."""
+    """(h, dig, m, windows, body) from rows (z, picks): the bytes of one representative of each distinct fragment and how many windows start in it."""
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor()
@@ -127,11 +133,12 @@ def _contents(rows: DataFrame) -> DataFrame:
             out = []
             for z, picks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = unpack.decompress(z)
-                out += [(p["h"], p["dig"], p["m"], data[p["a"] : p["e"] + LENGTH]) for p in picks]
-            cols = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int64(), pa.binary()), strict=True)], ["h", "dig", "m", "body"])
+                out += [(p["h"], p["dig"], p["m"], p["e"] - p["a"] + 1, data[p["a"] : p["e"] + LENGTH]) for p in picks]
+            cols = list(zip(*out, strict=True)) or [()] * 5
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["h", "dig", "m", "windows", "body"])
 
-    return rows.select("z", "picks").mapInArrow(run, "h bigint, dig binary, m bigint, body binary")
+    return rows.select("z", "picks").mapInArrow(run, "h bigint, dig binary, m bigint, windows int, body binary")
 
 
 # --- 2. induced sorting
@@ -196,13 +203,14 @@ def _range_min(x: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray
     return out
 
 
-def _refine(rank: np.ndarray, key: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Ranks (how many are smaller) of the items at `at`, refined in place by a further key; returns those that still tie."""
-    order = np.lexsort((key, rank[at]))
+def _refine(rank: np.ndarray, key: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
+    """Ranks (how many are smaller) of the items at `at`, refined in place by a further key of some bits; returns those that still tie."""
+    key = (rank[at] << bits) | key
+    order = np.argsort(key)
     at, key = at[order], key[order]
-    r = rank[at]
+    r = key >> bits
     new_group = np.r_[True, r[1:] != r[:-1]]
-    new_item = new_group | np.r_[True, key[1:] != key[:-1]]
+    new_item = np.r_[True, key[1:] != key[:-1]]
     place = np.arange(len(at))
     rank[at] = r + np.maximum.accumulate(np.where(new_item, place, 0)) - np.maximum.accumulate(np.where(new_group, place, 0))
     tie = np.zeros(len(at), bool)
@@ -224,9 +232,9 @@ class InducedSorter:
         self.lms = np.flatnonzero(self.s[1:] & ~self.s[:-1]) + 1
         self.words = None
 
-    def prefix(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """Common prefixes of suffixes p and q, cut at depth; by eight characters at a time where they are bytes."""
-        out = np.zeros(len(p), np.int64)
+    def prefix(self, p: np.ndarray, q: np.ndarray, least: np.ndarray | None = None) -> np.ndarray:
+        """Common prefixes of suffixes p and q, cut at depth; by eight characters at a time where they are bytes. least: what they share at the least."""
+        out = np.zeros(len(p), np.int64) if least is None else least.copy()
         live = np.arange(len(p))
         while len(live):
             a, b = p[live] + out[live], q[live] + out[live]
@@ -242,21 +250,54 @@ class InducedSorter:
             live = live[ok & (same == full) & (out[live] < self.depth)]
         return np.minimum(out, self.depth).astype(np.uint16)
 
+    def neighbours(self, seeds: np.ndarray) -> np.ndarray:
+        """Common prefixes of each sorted LMS suffix with the one before it, 0 for the first.
+
+        In the text's order a suffix d characters on shares at least d fewer with its own neighbour, so coarse steps spare fine ones most
+        comparisons. That holds if its neighbour is the earlier one's, d characters on too; else if the earlier two differ within the depth, so that
+        their order is settled, and the later suffix's run of equal characters ends in what they share, so that its kind is.
+        """
+        out = np.zeros(len(seeds), np.int64)
+        order = np.argsort(seeds)  # the text's order; place 0 of the sorted order has no neighbour
+        order = order[order > 0]
+        pos, before = seeds[order], seeds[order - 1]
+        got = np.zeros(len(order), np.int64)
+        change = np.flatnonzero(self.t[:-1] != self.t[1:]) + 1
+        settled = np.r_[change, self.n][np.searchsorted(change, pos, side="right")] - pos + 1
+        for step in (64, 16, 4, 1):
+            at = np.arange(0, len(order), step)
+            if step < 64:
+                at = at[at % (4 * step) != 0]
+            if not len(at):
+                continue
+            least = np.zeros(len(at), np.int64)
+            if step < 64:
+                left = at // (4 * step) * (4 * step)
+                far = pos[at] - pos[left]
+                rest = got[left] - far
+                along = before[at] - before[left] == far  # the same pair of places, further on
+                sure = (got[left] < self.depth) & (rest > settled[at])
+                least = np.where(along | sure, np.maximum(rest, 0), 0)
+            got[at] = self.prefix(pos[at], before[at], least)
+        out[order] = got
+        return out.astype(np.uint16)
+
     def _sorted_lms(self) -> np.ndarray:
         """LMS suffixes in order: names of the substrings between them, then the order of the string of names."""
         lms, m = self.lms, len(self.lms)
         code = (self.t.astype(np.int64) << 1) | self.s
         length = np.diff(lms, append=self.n - 1) + 1
         rank = np.zeros(m, np.int64)
-        wide = max(1, 62 // max(1, int(code.max()).bit_length()))
-        bits = 62 // wide
+        own = m.bit_length()  # of a rank; what is left of 62 bits holds codes
+        bits = int(code.max()).bit_length()
+        wide = max(1, (62 - own) // bits)
         live, at = np.arange(m), 0
         while len(live) and at <= self.depth:
             key = np.zeros(len(live), np.int64)
             for k in range(wide):
                 p = lms[live] + at + k
                 key = (key << bits) | np.where(at + k < length[live], code[np.minimum(p, self.n - 1)], 0)
-            live = _refine(rank, key, live)
+            live = _refine(rank, key, live, wide * bits)
             at += wide
             live = live[length[live] > at]
         if m > self.in_memory and len(np.unique(rank)) < m:
@@ -269,8 +310,8 @@ class InducedSorter:
         live = np.flatnonzero(counts[rank] > 1)
         while len(live) and step <= self.depth:
             after = live + step
-            key = np.where(after < m, rank[np.minimum(after, m - 1)], -1)
-            live = _refine(rank, key.copy(), live)
+            key = np.where(after < m, rank[np.minimum(after, m - 1)] + 1, 0)
+            live = _refine(rank, key, live, own)
             step *= 2
         return lms[np.argsort(rank, kind="stable")]
 
@@ -320,8 +361,7 @@ class InducedSorter:
         seeds = self._sorted_lms()
         if len(seeds) == 0:
             seeds = np.array([self.n - 1])
-        lcp = np.zeros(len(seeds), np.uint16)
-        lcp[1:] = self.prefix(seeds[:-1], seeds[1:])
+        lcp = self.neighbours(seeds)
         top = int(self.t.max()) + 1
         of = self.t[seeds]
         bounds = np.searchsorted(of, np.arange(top + 1))
@@ -348,28 +388,32 @@ class InducedSorter:
             yield np.r_[p, small[::-1]], np.r_[y, tail].astype(np.uint16)
 
 
-def repeated_windows(bodies: list[bytes], weights: list[int], length: int = LENGTH) -> list[np.ndarray]:
-    """For each fragment, which windows have their string elsewhere too: in another fragment or place, or the fragment weighs 2."""
+def repeated_windows(bodies: list[bytes], weights: list[int], windows: list[int], lengths: tuple[int, ...] = (SHORT, LENGTH), **limits) -> list[list[np.ndarray]]:
+    """For each length and fragment, which of the fragment's windows have their first bytes of that length elsewhere too: in another
+    fragment or place, or the fragment weighs 2. Of a window with fewer bytes up to the fragment's end, none are."""
+    depth = max(lengths)
     raw = np.frombuffer(b"\xff".join(bodies) + b"\xff", np.uint8)  # no text in UTF-8 has this byte
     ends = np.cumsum([len(b) + 1 for b in bodies])
     starts = ends - np.array([len(b) + 1 for b in bodies])
     text = np.where(raw == 0xFF, 0, raw.astype(np.int16) + 1)
     weight = np.zeros(len(raw), np.int64)
-    for a, b, w in zip(starts, bodies, weights, strict=True):
-        weight[a : a + len(b) - length + 1] = w
-    sorter = InducedSorter(text, length)
+    for a, n, w in zip(starts, windows, weights, strict=True):
+        weight[a : a + n] = w
+    sorter = InducedSorter(text, depth, **limits)
     x = np.r_[raw, np.full(7, 0xFE, np.uint8)].astype(np.uint64)
     for bits in (8, 16, 32):
         x = x[: -(bits // 8)] | (x[bits // 8 :] << np.uint64(bits))
     sorter.words = x
-    hit = np.zeros(len(raw), bool)
+    hits = [np.zeros(len(raw), bool) for _ in lengths]
     for pos, lcp in sorter.run():
         if len(pos):
-            heads = np.flatnonzero(lcp < length)
-            total = np.add.reduceat(weight[pos], heads)
-            hit[pos] = np.repeat(total, np.diff(heads, append=len(pos))) > 1
-    hit &= weight > 0
-    return [hit[a : a + len(b) - length + 1] for a, b in zip(starts, bodies, strict=True)]
+            own = weight[pos]
+            for hit, length in zip(hits, lengths, strict=True):
+                heads = np.flatnonzero(lcp < length)
+                hit[pos] = np.repeat(np.add.reduceat(own, heads), np.diff(heads, append=len(pos))) > 1
+    room = np.repeat(ends, np.diff(ends, prepend=0)) - 1 - np.arange(len(raw))  # bytes up to the fragment's end
+    hits = [hit & (weight > 0) & (room >= length) for hit, length in zip(hits, lengths, strict=True)]
+    return [[hit[a : a + n] for a, n in zip(starts, windows, strict=True)] for hit in hits]
 
 
 def _ranges(hit: np.ndarray) -> list[tuple[int, int]]:
@@ -377,47 +421,60 @@ def _ranges(hit: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), (edge[1::2] - 1).tolist(), strict=True))
 
 
-def _sort_shards(fragments: DataFrame) -> DataFrame:
-    """(h, dig, ranges) from rows (h, dig, m, body): repeated windows of each fragment, as ranges of their starts."""
+def _sort_shards(fragments: DataFrame, chunk_bytes: int = CHUNK_BYTES, **limits) -> DataFrame:
+    """(h, dig, brief, ranges) from rows (h, dig, m, windows, body): windows of each fragment that repeat over SHORT and over LENGTH bytes, as
+    ranges of their starts."""
+    kind = pa.list_(pa.struct([("x", pa.int32()), ("y", pa.int32())]))
 
     def run(batches):
         def flush(rows):
-            hits = repeated_windows([r[3] for r in rows], [r[2] for r in rows])
-            got = [(r[0], r[1], [{"x": x, "y": y} for x, y in _ranges(h)]) for r, h in zip(rows, hits, strict=True) if h.any()]
-            cols = list(zip(*got, strict=True)) or [()] * 3
-            kind = pa.list_(pa.struct([("x", pa.int32()), ("y", pa.int32())]))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), kind), strict=True)], ["h", "dig", "ranges"])
+            brief, long = repeated_windows([r[4] for r in rows], [r[2] for r in rows], [r[3] for r in rows], **limits)
+            pairs = lambda h: [{"x": x, "y": y} for x, y in _ranges(h)]
+            got = [(r[0], r[1], pairs(b), pairs(h)) for r, b, h in zip(rows, brief, long, strict=True) if b.any()]
+            cols = list(zip(*got, strict=True)) or [()] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), kind, kind), strict=True)], ["h", "dig", "brief", "ranges"])
 
         rows, held = [], 0
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held > CHUNK_BYTES and r[0] != rows[-1][0]:  # a key's fragments stay together
+                if held > chunk_bytes and r[0] != rows[-1][0]:  # a key's fragments stay together
                     yield flush(rows)
                     rows, held = [], 0
                 rows.append(r)
-                held += len(r[3])
+                held += len(r[4])
         if rows:
             yield flush(rows)
 
-    rows = fragments.repartition("h").sortWithinPartitions("h", "dig").select("h", "dig", "m", "body")
-    return rows.mapInArrow(run, "h bigint, dig binary, ranges array<struct<x:int,y:int>>")
+    rows = fragments.repartition("h").sortWithinPartitions("h", "dig").select("h", "dig", "m", "windows", "body")
+    return rows.mapInArrow(run, "h bigint, dig binary, brief array<struct<x:int,y:int>>, ranges array<struct<x:int,y:int>>")
 
 
 # --- 3. documents
 
 
+def _merged(spans: list[dict]) -> list[list[int]]:
+    out: list[list[int]] = []
+    for s in spans:
+        if out and s["x"] <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], s["y"])
+        else:
+            out.append([s["x"], s["y"]])
+    return out
+
+
 def dedup_substrings(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id_col, n_bytes, n_removed, n_spans, kept_sha256, spans) for every row; spans are the removed ranges, ends exclusive."""
+    """(id_col, n_bytes, n_removed, n_spans, kept_sha256, spans, n_repeated) for every row; spans are the removed ranges, ends exclusive, and
+    n_repeated counts bytes of passages of SHORT bytes or more that repeat, removed or not."""
     sc = Scratch(df.sparkSession, "suffix")
     kind = df.schema[id_col].dataType.simpleString()
     docs = sc.save(_scan(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))), "scan")
     runs = docs.select("k", F.explode("runs").alias("r")).select("k", "r.*")
     shared = runs.groupBy("h").agg(F.count("*").alias("c"), F.max("several").alias("s")).where("c > 1 OR s").select("h")
-    # by document, the runs whose key occurs elsewhere; equal rows have one k, and each keeps its own runs
-    marked = runs.distinct().join(shared, "h").groupBy("k").agg(F.collect_list(F.struct("h", "a", "e", "several")).alias("runs"))
+    # by document, the runs whose key occurs elsewhere; equal rows have one k and one set of runs, and each keeps them
+    marked = runs.join(shared, "h").groupBy("k").agg(F.collect_set(F.struct("h", "a", "e", "several")).alias("runs"))
     held = sc.save(docs.select("k", "id", "n_bytes", "z").join(marked, "k"), "held")
     found = sc.save(_digests(held), "found")
-    kinds = found.groupBy("h", "dig").agg(F.count("*").alias("m"), F.max("several").alias("s"), F.min(F.struct("k", "a", "e")).alias("one"))
+    kinds = found.groupBy("h", "dig").agg(F.count("*").alias("m"), F.max("several").alias("s"), F.max("size").alias("size"), F.min(F.struct("k", "a", "e")).alias("one"))
     kinds = sc.save(kinds, "kinds")
     groups = kinds.groupBy("h").agg(F.count("*").alias("d"), F.sum("m").alias("n"), F.max("s").alias("s"))
     many = groups.where("d > 1 OR s").select("h")
@@ -425,32 +482,38 @@ def dedup_substrings(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     bodies = _contents(held.select("k", "z").dropDuplicates(["k"]).join(picks, "k"))
     ranges = sc.save(_sort_shards(bodies), "ranges")
     # a key whose fragments are all equal needs no sorting: one distinct fragment, twice or more
-    alone = kinds.join(groups.where("d = 1 AND NOT s AND n > 1").select("h"), "h").select("h", "dig", F.array(F.struct(F.lit(0).alias("x"), (F.col("one.e") - F.col("one.a")).alias("y"))).alias("ranges"))
-    hits = found.select("k", "h", "dig", "a").distinct().join(ranges.unionByName(alone), ["h", "dig"]).select("k", "a", F.explode("ranges").alias("r"))
-    spans = hits.groupBy("k").agg(F.sort_array(F.collect_list(F.struct((F.col("a") + F.col("r.x")).alias("x"), (F.col("a") + F.col("r.y") + LENGTH).alias("y")))).alias("spans"))
+    alone = kinds.join(groups.where("d = 1 AND NOT s AND n > 1").select("h"), "h")
+    last = F.col("one.e") - F.col("one.a")
+    whole = lambda y: F.array(F.struct(F.lit(0).alias("x"), y.cast("int").alias("y")))
+    none = F.array().cast("array<struct<x:int,y:int>>")
+    alone = alone.select("h", "dig", whole(last).alias("brief"), F.when(F.col("size") >= LENGTH, whole(F.least(last, F.col("size") - LENGTH))).otherwise(none).alias("ranges"))
+    hits = found.select("k", "h", "dig", "a").distinct().join(ranges.unionByName(alone), ["h", "dig"])
+    at = lambda c, length: F.transform(c, lambda r: F.struct((F.col("a") + r["x"]).alias("x"), (F.col("a") + r["y"] + length).alias("y")))
+    hits = hits.select("k", at("brief", SHORT).alias("brief"), at("ranges", LENGTH).alias("ranges"))
+    spans = hits.groupBy("k").agg(*[F.sort_array(F.flatten(F.collect_list(c))).alias(c) for c in ("brief", "ranges")])
     hit = held.select("k", "id", "n_bytes", "z").join(spans, "k")
 
     def cut(batches):
         unpack = zstandard.ZstdDecompressor()
         for batch in pieces(batches):
             out = []
-            for z, spans in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                data, merged = unpack.decompress(z), []
-                for s in spans:
-                    if merged and s["x"] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], s["y"])
-                    else:
-                        merged.append([s["x"], s["y"]])
+            for z, spans, brief in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+                data, merged = unpack.decompress(z), _merged(spans)
                 kept, at = hashlib.sha256(), 0
                 for x, y in merged:
                     kept.update(data[at:x])
                     at = y
                 kept.update(data[at:])
-                out.append((sum(y - x for x, y in merged), len(merged), kept.hexdigest(), ",".join(f"{x}:{y}" for x, y in merged)))
-            cols = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True))], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
-
-    cut_rows = hit.select("id", "n_bytes", "z", "spans").mapInArrow(cut, f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans string")
-    whole = docs.select("k", "id", "n_bytes", "sha").join(spans.select("k"), "k", "left_anti")
-    whole = whole.select("id", "n_bytes", F.lit(0).cast("bigint").alias("n_removed"), F.lit(0).cast("bigint").alias("n_spans"), F.col("sha").alias("kept_sha256"), F.lit("").alias("spans"))
-    return cut_rows.unionByName(whole).withColumnRenamed("id", id_col)
+                removed, repeated = (sum(y - x for x, y in m) for m in (merged, _merged(brief)))
+                out.append((removed, len(merged), kept.hexdigest(), ",".join(f"{x}:{y}" for x, y in merged), repeated))
+            cols = list(zip(*out, strict=True)) or [()] * 5
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+            own = [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *own], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "n_repeated"])
+
+    schema = f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans string, n_repeated bigint"
+    cut_rows = hit.select("id", "n_bytes", "z", F.col("ranges").alias("spans"), "brief").mapInArrow(cut, schema)
+    zero = lambda c: F.lit(0).cast("bigint").alias(c)
+    rest = docs.select("k", "id", "n_bytes", "sha").join(spans.select("k"), "k", "left_anti")
+    rest = rest.select("id", "n_bytes", zero("n_removed"), zero("n_spans"), F.col("sha").alias("kept_sha256"), F.lit("").alias("spans"), zero("n_repeated"))
+    return cut_rows.unionByName(rest).withColumnRenamed("id", id_col)

@@ -32,34 +32,80 @@ def docs(spark, rows):
     return spark.createDataFrame(rows, SCHEMA)
 
 
+def covered(data, length):
+    """By text, which bytes a string of that length covers that starts in two places or more."""
+    seen = Counter(b[i : i + length] for b in data for i in range(len(b) - length + 1))
+    out = []
+    for b in data:
+        m = np.zeros(len(b), bool)
+        for i in range(len(b) - length + 1):
+            if seen[b[i : i + length]] > 1:
+                m[i : i + length] = True
+        out.append(m)
+    return out
+
+
 def test_suffix_dedup(docs, rows):
-    from foresail.llm.suffix_dedup import dedup_substrings
+    from foresail.llm.suffix_dedup import SHORT, dedup_substrings
 
     data = [(r[1] or "").encode() for r in rows]
-    seen = Counter(b[i : i + 400] for b in data for i in range(len(b) - 399))
     want = []
-    for r, b in zip(rows, data, strict=True):
-        m = np.zeros(len(b), bool)
-        for i in range(len(b) - 399):
-            if seen[b[i : i + 400]] > 1:
-                m[i : i + 400] = True
+    for r, b, m, brief in zip(rows, data, covered(data, 400), covered(data, SHORT), strict=True):
         spans = int((np.diff(m.astype(int), prepend=0) == 1).sum())
-        want.append((r[0], len(b), int(m.sum()), spans, hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~m])).hexdigest()))
-    got = [tuple(x)[:5] for x in dedup_substrings(docs, "doc_id", "text").collect()]
+        want.append((r[0], len(b), int(m.sum()), spans, hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~m])).hexdigest(), int(brief.sum())))
+    got = [(*tuple(x)[:5], x.n_repeated) for x in dedup_substrings(docs, "doc_id", "text").collect()]
     assert sorted(map(str, got)) == sorted(map(str, want))
+    assert any(w[5] > w[2] for w in want)
 
 
-def test_induced_sorter():
+@pytest.mark.parametrize("limits", [{}, {"in_memory": 2, "queue_bytes": 32}])
+def test_induced_sorter(limits):
+    """Against a count of all strings; with small limits names are sorted by recursion and queues go to disk."""
     from foresail.llm import suffix_dedup as S
 
     r = random.Random(7)
     for _ in range(60):
-        length, letters = r.choice([3, 8]), r.choice([b"ab", b"a", b"abcdef"])
-        bodies = [bytes(r.choice(letters) for _ in range(r.randint(length, 60))) for _ in range(r.randint(1, 5))]
+        lengths, letters = r.choice([(2, 3), (3, 8)]), r.choice([b"ab", b"a", b"abcdef"])
+        bodies = [bytes(r.choice(letters) for _ in range(r.randint(lengths[0], 60))) for _ in range(r.randint(1, 5))]
         bodies += bodies[:1]
-        c = Counter(b[i : i + length] for b in bodies for i in range(len(b) - length + 1))
-        want = [[c[b[i : i + length]] > 1 for i in range(len(b) - length + 1)] for b in bodies]
-        assert [x.tolist() for x in S.repeated_windows(bodies, [1] * len(bodies), length)] == want
+        windows = [len(b) - lengths[0] + 1 for b in bodies]
+        got = S.repeated_windows(bodies, [1] * len(bodies), windows, lengths, **limits)
+        for length, hits in zip(lengths, got, strict=True):
+            c = Counter(b[i : i + length] for b in bodies for i in range(len(b) - length + 1))
+            assert [x.tolist() for x in hits] == [[i + length <= len(b) and c[b[i : i + length]] > 1 for i in range(n)] for b, n in zip(bodies, windows, strict=True)]
+
+
+def test_neighbours():
+    """Prefixes that start from what coarser steps found are those of plain comparison."""
+    from foresail.llm.suffix_dedup import InducedSorter
+
+    r = random.Random(1)
+    for _ in range(60):
+        letters = r.choice(["aab", "abcdefgh"])
+        base = ["".join(r.choice(letters) for _ in range(r.randint(1, 200))) for _ in range(4)] + ["a" * 90]
+        raw = "".join(r.choice(base) + r.choice(["", "a", "c"]) for _ in range(30)).encode()
+        x = InducedSorter(np.r_[np.frombuffer(raw, np.uint8).astype(np.int16), np.int16(0)], r.choice([5, 40, 400]))
+        seeds = x._sorted_lms()
+        assert x.neighbours(seeds)[1:].tolist() == x.prefix(seeds[:-1], seeds[1:]).tolist()
+
+
+def test_shards_recurse_and_spill(spark, monkeypatch):
+    """Tasks of the operator with small limits really recurse and write blocks; the repeats stay the same."""
+    from foresail.llm import suffix_dedup as S
+
+    r = random.Random(2)
+    bodies = [bytes(r.choice(b"abc") for _ in range(300)) for _ in range(6)]
+    bodies = [*bodies, *(b[:260] + bytes(r.choice(b"xyz") for _ in range(60)) for b in bodies)]
+    frame = spark.createDataFrame([(i % 2, bytes([i]), 1, len(b) - S.SHORT + 1, bytearray(b)) for i, b in enumerate(bodies)], "h bigint, dig binary, m bigint, windows int, body binary")
+    key = lambda d: sorted((x.h, bytes(x.dig), str(x.brief), str(x.ranges)) for x in d.collect())
+    plain = key(S._sort_shards(frame))
+    assert plain and plain == key(S._sort_shards(frame, 500, in_memory=4, queue_bytes=64))
+    calls = []
+    spill, run = S.DiskQueue._spill, S.InducedSorter.run
+    monkeypatch.setattr(S.DiskQueue, "_spill", lambda self: (calls.append("spill"), spill(self))[1])
+    monkeypatch.setattr(S.InducedSorter, "run", lambda self: (calls.append("run"), run(self))[1])
+    S.repeated_windows(bodies, [1] * len(bodies), [len(b) - S.SHORT + 1 for b in bodies], in_memory=4, queue_bytes=64)
+    assert calls.count("run") > 1 and "spill" in calls
 
 
 def test_disk_queue_spills():
