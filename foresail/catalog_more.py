@@ -254,7 +254,7 @@ add(
 def _personalised(b):
     asked, once = _asked(b, users=True)
     p = _predictor(b, users=True)
-    r = p.rank(p.scored(once)).select("user", "ctx", "prefix", big("rank"), F.col("shown").alias("word"), r6("score"), F.when(F.col("of_user") > 0, "user").otherwise("base").alias("source"), "mode")
+    r = p.rank(p.scored(once)).select("user", "ctx", "prefix", big("rank"), F.col("shown").alias("word"), F.round("score", 9).alias("score"), F.when(F.col("of_user") > 0, "user").otherwise("base").alias("source"), "mode")
     return _back(asked, r, "rank", "word", "score", "source", "mode")
 
 
@@ -271,7 +271,7 @@ add(
     f"""lam AS (SELECT "user", {C.lambda_max}::DOUBLE * least(1.0::DOUBLE, sum(len(tokens))::DOUBLE / {C.growth_tokens}) AS lam FROM ret GROUP BY 1)""",
     "mf AS (SELECT mu.*, coalesce(lam, 0) * p_user + (1 - coalesce(lam, 0)) * p_stupid_backoff AS sc FROM mu LEFT JOIN lam USING (\"user\"))",
     f'mr AS (SELECT *, row_number() OVER (PARTITION BY "user", w1, w2, prefix ORDER BY {S.rk("sc")} DESC, w) AS r FROM mf)',
-    select="""SELECT q.conv_id, q.turn, q.state, x.r AS rank, x.w AS word, round(x.sc, 6) AS score, CASE WHEN x.p_user > 0 THEN 'user' ELSE 'base' END AS source, x.mode
+    select="""SELECT q.conv_id, q.turn, q.state, x.r AS rank, x.w AS word, round(x.sc, 9) AS score, CASE WHEN x.p_user > 0 THEN 'user' ELSE 'base' END AS source, x.mode
  FROM rq q JOIN mr x ON x."user" = q.conv_id AND x.w1 = q.w1 AND x.w2 = q.w2 AND x.prefix = q.prefix WHERE x.r <= 3""",
 )
 
