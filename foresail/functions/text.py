@@ -19,7 +19,7 @@ URL = r"\b(?:https?://|www\.)\S+\b|\b\S+\.(?:com|org|net|io|edu)\S*"
 SPACE = r"[\s\x{0085}\p{Z}]+"
 CURLY, STRAIGHT = "‘’“”–— ", "''\"\"-- "
 SENTENCE_END = r"([.!?।॥])\s+"
-CONTRACTIONS = ((r"\b(can)(not)\b", 2), (rf"({WORD_CHAR})(n['’]t)\b", 2), (rf"({WORD_CHAR})(['’](?:s|re|ve|ll|d|m))\b", 2))
+CONTRACTIONS = (r"\b(can)(not)\b", rf"({WORD_CHAR})(n['’]t)\b", rf"({WORD_CHAR})(['’](?:s|re|ve|ll|d|m))\b")
 PUNCTUATION = r"^[^\p{L}\p{N}_]+$"
 
 # Suffix rules for unseen words and the names of tags they suggest, in order of preference.
@@ -76,7 +76,7 @@ def split_sentences(c: Column) -> Column:
 
 def tokenize(c: Column) -> Column:
     """Words with inner apostrophes and hyphens, numbers, and single marks of punctuation, contractions split first."""
-    for pattern, _ in CONTRACTIONS:
+    for pattern in CONTRACTIONS:
         c = F.regexp_replace(c, "(?iU)" + pattern, "$1 $2")
     return F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0))
 

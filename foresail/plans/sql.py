@@ -28,7 +28,7 @@ def pieces(c: str) -> str:
 
 
 def toks(c: str) -> str:
-    for p, _ in T.CONTRACTIONS:
+    for p in T.CONTRACTIONS:
         c = f"regexp_replace({c}, {q(p)}, '\\1 \\2', 'gi')"
     return f"regexp_extract_all({c}, {q(T.TOKEN)})"
 
