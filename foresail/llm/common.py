@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
-
-_OWN_DIR: list[str] = []
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..sources.bundle import shared_dir
 
 BATCH_ROWS = 1000
 
@@ -26,16 +24,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; an own one only where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not _OWN_DIR:
-        _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="foresail-"))
-    return _OWN_DIR[0]
-
-
 class Scratch:
     """Intermediate tables written to the shared folder. They cut lineage, outlive lost executors, and can be dropped."""
 
@@ -66,3 +54,16 @@ def pieces(batches, rows: int = 512):
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+#: a table of verdicts is broadcast up to this many rows, after a count
+FEW_ROWS = 100_000
+SALTS = 32
+
+
+def join_few(rows: DataFrame, few: DataFrame, on: str, spread: str, how: str = "left") -> DataFrame:
+    """rows joined with a saved table that has one row a key. Few are broadcast; more meet the rows by key and salt, so a hot key is many tasks' work."""
+    if few.count() <= FEW_ROWS:
+        return rows.join(F.broadcast(few), on, how)
+    salted = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [on, "__salt"], how).drop("__salt")

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import read_table
 
-TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
-JSON_VOCAB = f"{TOKENIZERS}/byte_bpe_50k.json"
-RANK_VOCAB = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
-#: Fixed value: the pre-tokenizer of byte-level vocabularies of this family.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+JSON_VOCAB = public_tokenizers.path("byte_bpe_50k.json")
+RANK_VOCAB = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PATTERN = public_tokenizers.PATTERN
 
 
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
