@@ -3,9 +3,10 @@
 Each text is measured once; a document fails on its own if it is too short or mostly repeats itself. Failures are summed by
 host, each host's rate is shrunk towards the corpus by a beta prior whose two parameters are fitted to all hosts by moments, and
 hosts whose shrunken rate is above a limit lose their other documents too. Sums by host are partial aggregates, so a
-host with a third of all rows costs no more than another.
+host with a third of all rows costs no more than another; only rejected hosts are joined back.
 
-Null texts have no words and fail. A null host is no host: its documents are judged on their own. An empty table gives an empty table.
+Null and empty texts have no words and fail. A null host is no host: its documents are judged on their own. Repeated rows and ids have a row each and
+count each; ties can't matter. Very long texts are measured whole. Other columns are carried by number, so their names can't clash. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch, pieces, words_of
+from .common import Scratch, join_few, pieces, words_of
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -87,10 +88,11 @@ def host_verdicts(rows: DataFrame, host_col: str, max_rate: float = MAX_HOST_RAT
 def quality_rules(df: DataFrame, id_col: str, text_col: str, host_col: str, max_rate: float = MAX_HOST_RATE) -> DataFrame:
     """(id, measures, base_failed, kept) for every row."""
     spark = df.sparkSession
-    rows = Scratch(spark, "quality").save(_measured(df, text_col, [id_col, host_col]), "rows")
-    hosts = host_verdicts(rows, "keep1", max_rate).where("host_rejected").select(F.col("host").alias("keep1"), "host_rejected")
+    sc = Scratch(spark, "quality")
+    rows = sc.save(_measured(df, text_col, [id_col, host_col]), "rows")
+    hosts = sc.save(host_verdicts(rows, "keep1", max_rate).where("host_rejected").select(F.col("host").alias("keep1"), "host_rejected"), "hosts")
     kept = ~F.col("base_failed") & F.col("host_rejected").isNull()
-    return rows.join(hosts, "keep1", "left").select(F.col("keep0").alias("id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
+    return join_few(rows, hosts, "keep1", "keep0").select(F.col("keep0").alias("id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
 
 
 def keep_good(df: DataFrame, text_col: str, host_col: str, max_rate: float = MAX_HOST_RATE) -> DataFrame:
