@@ -26,7 +26,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch, pieces
+from .common import Scratch, join_few, pieces
 
 SHINGLE = 5
 ROWS = 3
@@ -387,6 +387,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     name = raw.select("id", "n", "cls").join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     name = sc.save(name.select("id", "n", "comp"), "named")
     sc.drop("raw")
-    least = name.where(F.col("comp").isNotNull()).groupBy("comp").agg(F.min("id").alias("least"))
-    out = name.join(least, "comp", "left").withColumn("component_id", F.when(F.col("comp").isNull(), F.col("id")).otherwise(F.col("least")))
+    # classes of one row are their own least; the others' least is broadcast after a count, or meets salted keys
+    least = name.where(F.col("comp").isNotNull()).groupBy("comp").agg(F.min("id").alias("least"), F.count("*").alias("c")).where("c > 1").drop("c")
+    out = join_few(name, sc.save(least, "least"), "comp", "id").withColumn("component_id", F.coalesce("least", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
