@@ -7,13 +7,16 @@ followed until it meets a filled bin; after ``ATTEMPTS`` draws the filled bin wi
 that agree by chance: (m - 2^-b) / (1 - 2^-b), not under 0.
 
 Null texts are empty. Texts without words have the fingerprint of no shingle, an empty string; it is like itself (1) and unlike others (0).
-Equal texts have equal fingerprints. Repeated rows and ties of ids are ordered by their text. Null ids come last in descending order.
+Equal texts have equal fingerprints. Repeated rows and ties of ids are ordered by their text. Null ids come last in descending order. Very long texts are
+hashed whole. Other columns of the input are not read, so their names can't clash. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .common import Scratch
+
 SHINGLE = 5
 BINS = 128
 BITS = 8
@@ -87,12 +90,14 @@ def with_fingerprint(df: DataFrame, text_col: str, out: str) -> DataFrame:
     return df.withColumn(h, shingle_hashes(words(F.coalesce(F.col(text_col), F.lit(""))))).withColumn(m, filled_bins(F.col(h))).withColumn(out, packed(F.col(m))).drop(h, m)
 
 
-def next_in_order(df: DataFrame, id_col: str, text_col: str, carry: list[str], parts: int) -> DataFrame:
+def next_in_order(df: DataFrame, id_col: str, text_col: str, carry: list[str], parts: int, add=lambda d: d) -> DataFrame:
     """Each row with what the next row by descending id carries, after the last the first, as struct column __next.
 
     Ranges of ids between quantiles are dealt to tasks; a window in each range finds all but each range's last, whose next is the first
-    row of the range below it, from a table with one row for each range.
+    row of the range below it, from a table with one row for each range. ``add`` derives what is carried beyond the text from a row's text, so
+    that finding the first rows needs it for these alone.
     """
+    plain, df = df.select(id_col, text_col), add(df)
     bounds = df.agg(F.percentile_approx(id_col, F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(10_000)).alias("b")).first().b if parts > 1 else []
     bounds = sorted(set(bounds or []))
     ids = F.col(id_col)
@@ -102,8 +107,9 @@ def next_in_order(df: DataFrame, id_col: str, text_col: str, carry: list[str], p
     rows = df.withColumn("__part", part.cast("int")).withColumn("__c", F.struct(*carry))
     rows = rows.withColumn("__next", F.lead("__c").over(w)).withColumn("__first", F.row_number().over(w) == 1)
     # ranges that hold rows, with the row each begins with, and the range that comes before in descending order
-    firsts = df.withColumn("__part", part.cast("int")).groupBy("__part").agg(F.max(F.struct(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.col(text_col).isNotNull().alias("k"), *[F.col(c) for c in carry])).alias("m"))
-    firsts = firsts.select("__part", F.struct(*[F.col("m").getField(c).alias(c) for c in carry]).alias("__c"))
+    most = F.max(F.struct(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.col(text_col).alias("own"))).alias("m")
+    firsts = plain.withColumn("__part", part.cast("int")).groupBy("__part").agg(most).select("__part", F.col("m.own").alias(text_col))
+    firsts = Scratch(df.sparkSession, "ranges").save(add(firsts).select("__part", F.struct(*carry).alias("__c")), "firsts")
     heads = firsts.select(F.collect_list(F.struct("__part")).alias("p")).first().p if parts else []
     have = sorted((r["__part"] for r in heads), reverse=True)  # at most one number for each range
     below = [(p, have[(i + 1) % len(have)]) for i, p in enumerate(have)]
@@ -119,8 +125,7 @@ def edited_fingerprints(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spark = df.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = with_fingerprint(rows, "text", "fingerprint")
-    rows = next_in_order(rows, "id", "text", ["text", "fingerprint"], parts)
+    rows = next_in_order(rows, "id", "text", ["text", "fingerprint"], parts, lambda d: with_fingerprint(d, "text", "fingerprint"))
     n = F.length("text")
     rows = rows.withColumn("n_chars", n.cast("bigint")).withColumn("half", F.floor(n / 2).cast("int"))
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - F.col("half")), F.substring(F.col("__next.text"), F.lit(1), F.col("half")))
