@@ -4,9 +4,10 @@ Confirmed toxic texts are the positives; texts whose label isn't looked at are t
 the rates of words and of word beginnings of 4 to 6 letters (stems of words that the positives have in other forms) is trained in numpy on the risk  p R+(positives) + max(0, R-(unlabelled) - p R-(positives)),  p the class prior,
 with the corrected gradient step where the bracket turns negative. The prior is the share of toxic labels in the training folds.
 
-Training takes at most ``max_positive`` and ``max_unlabelled`` rows, those with the smallest hash of their id; every text is scored whole.
+Training takes at most ``max_positive`` and ``max_unlabelled`` distinct rows, those with the smallest hash of id and text; every text is scored whole.
 Labels are learnt only from rows whose crc32(id as text) mod 4 is not 2. Nulls and empty texts get the score of a text
-without words. Without positives the score is 0 everywhere. Repeated ids: each row is scored; of conflicting labels the largest counts.
+without words. Without positives the score is 0 everywhere. Repeated ids: each row is scored; of conflicting labels the largest counts. Ties of the hash go by
+id. Other columns of documents or labels are not read, so their names can't clash. An empty table of documents gives an empty table.
 """
 
 from __future__ import annotations
@@ -83,22 +84,23 @@ def fit_nnpu(positive: list[list[tuple[int, float]]], unlabelled: list[list[tupl
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> tuple[dict[str, float], float] | None:
     """Word weights and the intercept, from a bounded sample; None without positives."""
-    ids = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col)).alias("h")).where(F.col("id").isNotNull() & ~held_out(F.col("id")))
+    ids = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h")).where(F.col("id").isNotNull() & ~held_out(F.col("id")))
     known = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.max("toxic").alias("toxic"))
     share = known.agg(F.avg((F.col("toxic") == 1).cast("double")).alias("p"), F.count("*").alias("n")).first()
     if not share.n or not share.p:
         return None
-    toxic = known.where("toxic = 1").select("id", F.xxhash64("id").alias("h")).orderBy("h").limit(max_positive).drop("h")
-    sample = ids.select("id", "h").orderBy("h", "id").limit(max_unlabelled).select("id").distinct()
-    chosen = toxic.select("id", F.lit(1).alias("y")).unionByName(sample.select("id", F.lit(0).alias("y")))  # bounded by the two limits
+    toxic = ids.select("id", "h").distinct().join(known.where("toxic = 1").select("id"), "id").orderBy("h", "id").limit(max_positive)
+    sample = ids.select("id", "h").distinct().orderBy("h", "id").limit(max_unlabelled)
+    chosen = toxic.select("id", "h", F.lit(1).alias("y")).unionByName(sample.select("id", "h", F.lit(0).alias("y")))  # bounded by the two limits
+    own = ids.join(F.broadcast(chosen), ["id", "h"]).groupBy("id", "h", "y").agg(F.first("text").alias("text"))  # equal rows count once
 
     def words(batches):
         for batch in pieces(batches):
             found = [features(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([list(f) for f in found], pa.list_(pa.string())), pa.array([list(f.values()) for f in found], pa.list_(pa.float64()))], ["y", "words", "rates"])
 
-    got = Scratch(docs.sparkSession, "toxicity").save(ids.join(F.broadcast(chosen), "id").select("text", "y").mapInArrow(words, "y int, words array<string>, rates array<double>"), "sample")
+    got = Scratch(docs.sparkSession, "toxicity").save(own.select("text", "y").mapInArrow(words, "y int, words array<string>, rates array<double>"), "sample")
     n = {r.y: r.n for r in got.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n_p, n_u = n.get(1, 0), n.get(0, 0)
     if not n_p or not n_u:
