@@ -8,7 +8,8 @@ distributed aggregate a step; the driver holds only the dual vector, one number
 systematic rounding in order of size, and what is then missing or too many goes to part of one document of the source.
 
 Null texts have size 0 and take nothing. Null sources form one source, the last. Repeated rows are documents of their own.
-Ties are broken by a hash of the id, so reruns agree. An empty table gives an empty table.
+Ties are broken by a hash of the id, and sums are decimal, so reruns agree. Very long texts are counted whole. Columns of the input with the operator's own names (``OWN``)
+give way to them. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ MAX_COPIES = 2
 WEIGHTS = (5.0, 2.0, 1.0)
 SALTS = 64
 TOLERANCE = 1e-10
+OWN = ("__size", "__source_size", "__target", "__copies", "__taken", "__k", "__h", "__salt", "__rank", "__from", "__rank_of", "__part", "__whole", "__extra")
 STEPS = 80
 
 
@@ -71,7 +73,9 @@ def _solve(hist: DataFrame, totals: list[dict], cap: float) -> dict[str, float]:
             break
         dual = spark.createDataFrame([(k, lam[k]) for k in sorted(open_)], "k string, l double")
         r = F.lit(float(cap)) / (1 + F.exp(-F.col("l") * F.col("z")))
-        rows = hist.join(dual, "k").groupBy("k").agg(F.sum(F.col("n") * F.col("size") * r).alias("g"), F.sum(F.col("n") * F.col("size") * F.col("z") * r * (1 - r / cap)).alias("h")).collect()
+        exact = lambda x: F.sum(x.cast("decimal(38,9)")).cast("double")  # noqa: E731  the same in whatever order tasks end
+        words = F.col("n") * F.col("size")
+        rows = hist.join(dual, "k").groupBy("k").agg(exact(words * r).alias("g"), exact(words * F.col("z") * r * (1 - r / cap)).alias("h")).collect()
         for row in rows:  # one row for each source
             k, gap = row.k, row.g - want[row.k]
             if abs(gap) <= TOLERANCE * want[k]:
@@ -96,6 +100,7 @@ def mix(df: DataFrame, id_col: str, source_col: str, size: Column, part_copies:
     """The input's rows and columns with __size, __source_size, __target, __copies (whole) and __taken (words, parts counted)."""
     spark = df.sparkSession
     sc = Scratch(spark, "mix")
+    df = df.drop(*[c for c in df.columns if c in OWN])
     sized = df.withColumn("__size", size).withColumn("__k", _key(F.col(source_col)))
     hist = sc.save(sized.groupBy(F.col("__k").alias("k"), F.col("__size").alias("size")).agg(F.count("*").alias("n")), "hist0")
     sums = hist.groupBy("k").agg(F.sum(F.col("n") * F.col("size")).alias("size"), F.sum("n").alias("n")).collect()  # one row for each source
