@@ -7,7 +7,8 @@ break whatever stands around it and where the re-encoded tokens agree with the h
 the window is then what one encoding of the whole text gives.
 
 Nulls and empty texts: no tokens, the decoded text is empty. Repeated rows and ids: one output row for each input row.
-A special token's string in a text is that token, as the tokenizers library has it.
+A special token's string in a text is that token, as the tokenizers library has it. Other columns are not read, so their names can't clash. Ties can't matter.
+An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import hashlib
 import json
 from bisect import bisect_left
 from concurrent.futures import ThreadPoolExecutor
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -35,6 +37,14 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _kind(c: str) -> str:
+    """'L' letter, 'N' number, 'O' other mark; nothing for white space and for what tables of characters may not agree on."""
+    if c.isascii():
+        return "" if c.isspace() else "L" if c.isalpha() else "N" if c.isdigit() else "O"
+    kind = unicodedata.category(c)
+    return "" if c.isspace() or kind[0] in "CMZ" or c >= "\U00010000" else kind[0] if kind[0] in "LN" else "O"
+
+
 class TreeEncoder:
     """encode() and decode() of one byte-level vocabulary file in the tokenizers library's JSON format."""
 
@@ -88,8 +98,12 @@ class TreeEncoder:
 
     @staticmethod
     def _sure(text: str, i: int) -> bool:
-        """The pre-tokenizer always breaks before a blank that has ASCII letters on both sides, and starts afresh there."""
-        return text[i] == " " and text[i - 1].isascii() and text[i - 1].isalpha() and text[i + 1].isascii() and text[i + 1].isalpha()
+        """The pre-tokenizer always breaks there and starts afresh: before a blank between two marks, and where letters, digits and other
+        marks meet, but for an apostrophe, which may begin a short form."""
+        before, here = _kind(text[i - 1]), _kind(text[i])
+        if text[i] == " ":
+            return bool(before) and bool(_kind(text[i + 1]))
+        return bool(before) and bool(here) and before != here and text[i - 1] != "'"
 
     def _join(self, text: str, a: int, cut: int, b: int, left: list[int], right: list[int]) -> list[int]:
         ends_l, ends_r = self._ends(left), self._ends(right)
@@ -132,8 +146,8 @@ def encoder(path: str, pattern: str, leaf_chars: int = LEAF_CHARS, window_chars:
     return TreeEncoder(path, pattern, leaf_chars, window_chars)
 
 
-def bpe_encode(df: DataFrame, id_col: str, text_col: str, vocab_path: str, pattern: str, leaf_chars: int = LEAF_CHARS) -> DataFrame:
-    """(id, ids array<int>, decoded string) for every row; a null or empty text has no ids."""
+def bpe_encode(df: DataFrame, id_col: str, text_col: str, vocab_path: str, pattern: str, leaf_chars: int = LEAF_CHARS, decode: bool = True) -> DataFrame:
+    """(id, ids array<int>, decoded string) for every row, the last only if asked for; a null or empty text has no ids."""
 
     def run(batches):
         tree = encoder(vocab_path, pattern, leaf_chars)
@@ -141,13 +155,15 @@ def bpe_encode(df: DataFrame, id_col: str, text_col: str, vocab_path: str, patte
             ids, decoded = [], []
             for t in batch.column(1).to_pylist():
                 own = tree.encode(t)
-                decoded.append(tree.decode(own))
+                if decode:
+                    decoded.append(tree.decode(own))
                 ids.append(np.asarray(own, dtype=np.int32))
             offsets = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids))), pa.array(decoded, pa.string())], ["id", "ids", "decoded"])
+            columns = [batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))]
+            yield pa.RecordBatch.from_arrays([*columns, *([pa.array(decoded, pa.string())] if decode else [])], ["id", "ids", "decoded"][: 2 + decode])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, f"id {kind}, ids array<int>, decoded string")
+    return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, f"id {kind}, ids array<int>" + ", decoded string" * decode)
 
 
 def bpe_digests(df: DataFrame, id_col: str, text_col: str, vocab_path: str, pattern: str, leaf_chars: int = LEAF_CHARS) -> DataFrame:
