@@ -8,7 +8,8 @@ The template opens a turn with ``<turn role>`` and closes it with ``</turn>`` an
 ``\\l`` and ``\\g``; no control string can then stand in a text, and reading back undoes it exactly.
 
 Null texts and roles are empty. Rows that repeat a turn are turns of their own, in order of role and text. A null conv_id
-is a conversation. A linear conversation is a tree whose turns each answer the one before. Orphans (parents that don't exist) are roots; rows in a
+is a conversation, another than one named 'null'. Very long texts are formatted whole. Other columns are not read, so their names can't clash. An empty table
+gives no conversation. Equal sums of scores go to the longer path, then to the smaller leaf. A linear conversation is a tree whose turns each answer the one before. Orphans (parents that don't exist) are roots; rows in a
 cycle have no root and are left out.
 """
 
@@ -44,10 +45,14 @@ def linear_tree(df: DataFrame) -> DataFrame:
     return rows.select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), F.lit(0.0).alias("score"), "role", "text")
 
 
+def tree_key() -> Column:
+    """A tree's name as a string; no name is that of the null tree."""
+    return F.when(F.col("tree").isNull(), F.lit("n")).otherwise(F.concat(F.lit("t"), F.col("tree").cast("string")))
+
+
 def paths(tree: DataFrame, sc: Scratch, most: int = 64) -> DataFrame:
     """(tree, node, root, depth, total, is_leaf) of every node that hangs on a root; log2(depth) self-joins."""
-    key = F.coalesce(F.col("tree").cast("string"), F.lit("null"))
-    nodes = tree.select(key.alias("t"), "node", "parent", "score")
+    nodes = tree.select(tree_key().alias("t"), "node", "parent", "score")
     there = nodes.select("t", F.col("node").alias("parent"), F.lit(True).alias("there"))
     base = nodes.join(there, ["t", "parent"], "left")
     # up: the ancestor so far, null at a root's own; depth and total count the nodes from it (itself left out) to the node
@@ -73,11 +78,17 @@ def chosen_leaves(nodes: DataFrame, best: int = 1) -> DataFrame:
     return nodes.where("is_leaf").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= best).select("t", "root", F.col("node").alias("leaf"), "rank")
 
 
-def on_path(tree: DataFrame, leaves: DataFrame, sc: Scratch, most: int = 64) -> DataFrame:
-    """(t, leaf, rank, node) for every node of every chosen path: sets of ancestors double with each self-join."""
-    jump = tree.select(F.coalesce(F.col("tree").cast("string"), F.lit("null")).alias("t"), "node", F.col("parent").alias("up")).where("up IS NOT NULL")
+def on_path(tree: DataFrame, nodes: DataFrame, leaves: DataFrame, sc: Scratch, most: int = 64) -> DataFrame:
+    """(t, leaf, rank, node) for every node of every chosen path. All nodes under a root with one leaf are its path; elsewhere
+    sets of ancestors double with each self-join."""
+    lone = nodes.where("is_leaf").groupBy("t", "root").agg(F.count("*").alias("c")).where("c = 1").select("t", "root")
+    straight = nodes.join(leaves.join(lone, ["t", "root"]), ["t", "root"]).select("t", "leaf", "rank", "node")
+    leaves = sc.save(leaves.join(lone, ["t", "root"], "left_anti"), "branched")
+    if leaves.isEmpty():
+        return straight
+    jump = tree.select(tree_key().alias("t"), "node", F.col("parent").alias("up")).where("up IS NOT NULL")
     have = sc.save(leaves.select("t", "leaf", "rank", F.col("leaf").alias("node")), "have-0")
-    jump = sc.save(jump, "jump-0")
+    jump = sc.save(jump.join(leaves.select("t").distinct(), "t", "left_semi"), "jump-0")
     for i in range(1, most):
         more = have.join(jump, ["t", "node"]).select("t", "leaf", "rank", F.col("up").alias("node"))
         have = sc.save(have.unionByName(more), f"have-{i}")
@@ -86,7 +97,7 @@ def on_path(tree: DataFrame, leaves: DataFrame, sc: Scratch, most: int = 64) ->
         sc.drop(f"have-{i - 1}", f"jump-{i - 1}")
         if jump.isEmpty():
             break
-    return have
+    return straight.unionByName(have)
 
 
 def format_conversations(tree: DataFrame, best: int = 1) -> DataFrame:
@@ -94,8 +105,8 @@ def format_conversations(tree: DataFrame, best: int = 1) -> DataFrame:
     sc = Scratch(tree.sparkSession, "chat")
     tree = sc.save(tree, "tree")
     nodes = sc.save(paths(tree, sc), "nodes")
-    path = on_path(tree, chosen_leaves(nodes, best), sc)
-    rows = tree.withColumn("t", F.coalesce(F.col("tree").cast("string"), F.lit("null")))
+    path = on_path(tree, nodes, chosen_leaves(nodes, best), sc)
+    rows = tree.withColumn("t", tree_key())
     depth = nodes.select("t", "node", "root", "depth")
     rows = path.join(depth, ["t", "node"]).join(rows.select("t", "tree", "node", "role", "text"), ["t", "node"])
     rows = rows.select("t", "tree", "root", "leaf", "rank", "depth", "role", turn(F.col("role"), F.col("text")).alias("piece"), F.length(escape(F.col("text"))).alias("body"), F.length(escape(F.col("role"))).alias("head"))
