@@ -5,7 +5,8 @@ random-looking: words and identifiers of languages merge into long tokens, keys
 plain numbers and identifiers of one letter case without digits, in words of fewer than 20 letters, are excluded. What a pattern has found already is cut out of a run, and each
 part that is left is tested by itself if it has 20 or more characters.
 
-Null texts are empty and have no spans. Each input row has one output row, repeated rows and ids too. Offsets are code points.
+Null texts are empty and have no spans. Each input row has one output row, repeated rows and ids too. Offsets are code points. Very long texts are read whole.
+Spans that start at one place go by kind. Other columns are not read, so their names can't clash. An empty table gives an empty table.
 """
 
 from __future__ import annotations
