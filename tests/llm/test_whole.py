@@ -40,6 +40,23 @@ def test_html_whole_pages_and_templates(spark):
     assert got[200] == "the article" and all(got[100 + i].endswith(f" plain{i}") for i in range(40))
 
 
+def test_html_by_the_wrapper(spark):
+    """Parts whose names say nothing go if all pages of a host have them; parts of the article stay though their names are those of notices. Both
+    are the wrapper's doing: alone, a page reads otherwise."""
+    from foresail.llm.html_extract import extract
+
+    r = random.Random(11)
+    plain = [f"<body><div class=c1><a>Home</a> <a>News</a></div><div class=c7><p>{prose(r, 30)}</p></div><div class=c9>Follow us on every channel</div><div class=c3>Terms and conditions apply.</div></body>" for _ in range(6)]
+    parts = [(prose(r, 25), prose(r, 30), prose(r, 28)) for _ in range(6)]
+    named = [f"<body><article><p>{a}</p><div class=warning><p>{b}</p></div><div class=related-work><p>{c}</p></div><div class=tags><a>one</a> <a>tag{i}</a></div></article></body>" for i, (a, b, c) in enumerate(parts)]
+    pages = [(i, f"http://plain.example/{i}", x) for i, x in enumerate(plain)] + [(100 + i, f"http://named.example/{i}", x) for i, x in enumerate(named)]
+    got = extracted(spark, pages)
+    for i, x in enumerate(plain):
+        assert got[i] == x.split("<p>")[1].split("</p>")[0] != extract(x, None)
+    for i, x in enumerate(parts):
+        assert got[100 + i] == "\n".join(x) != extract(named[i], None)
+
+
 def test_html_long_middles():
     """Long streams are aligned by their texts; what they share stays outside optional groups."""
     from foresail.llm.html_extract import align, template_texts
@@ -78,13 +95,13 @@ def test_secret_beside_a_pattern():
 
 
 def test_personalised_for_all_users(spark):
-    """The buffers of every user are predicted."""
+    """The turns of every user are predicted, in each state."""
     from foresail import catalog
 
     sf_dir = "/root/testdata/sf0.001"
-    got = {(r.user, r.req_id) for r in catalog.queries()["predict_personalised"](spark, sf_dir).collect()}
+    got = {(r.conv_id, r.state) for r in catalog.queries()["predict_personalised"](spark, sf_dir).collect()}
     users = {r.user for r in catalog.base(spark, sf_dir).observed.select("user").distinct().collect()}
-    assert len(users) > 1 and {u for u, _ in got} == users and all((u, 2) in got for u in users)
+    assert len(users) > 1 and {u for u, _ in got} == users and all((u, 1) in got for u in users)
 
 
 def test_minhash_groups_beyond_one_chunk():
