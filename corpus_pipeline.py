@@ -16,42 +16,56 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules or their host's rate reject go."""
+    """Documents that the rules or their host's rate reject go, those of null or empty texts among them. Repeated rows and ids are judged each for itself."""
     small_batches(spark)
     return keep_good(docs.select(*COLUMNS), "text", "source")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: that with the smallest doc_id."""
+    """One document of each group of near copies stays: that with the smallest doc_id, a null one before all, then the smaller hash of the text.
+
+    Rows that repeat id and text are one document and stay once, with the other columns of one of them. Documents without words stay.
+    """
     small_batches(spark)
-    ids = near_duplicates(docs, "doc_id", "text").groupBy(F.col("doc_id").alias("__id")).agg(F.max("kept").alias("kept"))
+    own = F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
+    rows = docs.select(*COLUMNS).withColumn("__row", own)
+    work = Scratch(spark, "pipeline")
+    verdicts = near_duplicates(rows, "__row", "text").groupBy("__row").agg(F.max("kept").alias("kept"), F.count("*").alias("c"))
     # written first: the planner then sees its true size, and texts are shuffled only if it is above the broadcast threshold
-    gone = Scratch(spark, "pipeline").save(ids.where("NOT kept").select("__id"), "gone")
-    return docs.select(*COLUMNS).join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    odd = work.save(verdicts.where("NOT kept OR c > 1"), "odd").withColumnRenamed("__row", "__of")
+    same = F.col("__row") == F.col("__of")
+    single = rows.join(odd, same, "left_anti")
+    again = odd.where("kept")
+    if not again.isEmpty():
+        once = rows.join(again, same, "left_semi").dropDuplicates(["__row"])
+        single = single.unionByName(once)
+    return single.select(*COLUMNS)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; n_chars follows the text."""
+    """Secrets are replaced by a mark; n_chars follows the text. Null and empty texts stay as they are, each row for itself."""
     small_batches(spark)
     return redact_secrets(docs.select(*COLUMNS), "text", RANK_VOCAB, PATTERN).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it whole."""
-    mixed = mix(docs.select(*COLUMNS), "doc_id", "source", word_count(F.col("text")), part_copies=False)
+    """Each document as many times as the mix takes it whole. Documents without words are taken no times; rows that tie in size, source and id
+    are ordered by their text, so that reruns agree."""
+    rows = docs.select(*COLUMNS).withColumn("__id", F.struct(F.col("doc_id"), F.xxhash64("text")))
+    mixed = mix(rows, "__id", "source", word_count(F.col("text")), part_copies=False)
     return mixed.where("__copies > 0").withColumn("__c", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids)."""
+    """(doc_id, n_tokens, ids) for every row, copies too; no tokens for a null or empty text."""
     small_batches(spark)
-    coded = bpe_encode(docs, "doc_id", "text", JSON_VOCAB, PATTERN)
+    coded = bpe_encode(docs, "doc_id", "text", JSON_VOCAB, PATTERN, decode=False)
     return coded.select(F.col("id").alias("doc_id"), F.size("ids").cast("bigint").alias("n_tokens"), "ids")
 
 
 STAGES = [("quality rules", quality), ("near-duplicates", near_dedup), ("secret scans", secrets), ("mixing", mixture), ("tokens", tokens)]
 
-#: Minhashing, entropy balancing and tokenizing can't be put in SQL; tests/llm hold run() against a brute-force version.
+#: Entropy balancing and tokenizing can't be put in SQL; tests/llm hold every stage against a brute-force version.
 ORACLE_SQL = None
 
 
