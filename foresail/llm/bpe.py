@@ -146,7 +146,9 @@ def encoder(path: str, pattern: str, leaf_chars: int = LEAF_CHARS, window_chars:
     return TreeEncoder(path, pattern, leaf_chars, window_chars)
 
 
-def bpe_encode(df: DataFrame, id_col: str, text_col: str, vocab_path: str, pattern: str, leaf_chars: int = LEAF_CHARS, decode: bool = True) -> DataFrame:
+def bpe_encode(
+    df: DataFrame, id_col: str, text_col: str, vocab_path: str, pattern: str, leaf_chars: int = LEAF_CHARS, decode: bool = True
+) -> DataFrame:
     """(id, ids array<int>, decoded string) for every row, the last only if asked for; a null or empty text has no ids."""
 
     def run(batches):
@@ -160,7 +162,9 @@ def bpe_encode(df: DataFrame, id_col: str, text_col: str, vocab_path: str, patte
                 ids.append(np.asarray(own, dtype=np.int32))
             offsets = np.cumsum([0, *map(len, ids)], dtype=np.int32)
             columns = [batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))]
-            yield pa.RecordBatch.from_arrays([*columns, *([pa.array(decoded, pa.string())] if decode else [])], ["id", "ids", "decoded"][: 2 + decode])
+            yield pa.RecordBatch.from_arrays(
+                [*columns, *([pa.array(decoded, pa.string())] if decode else [])], ["id", "ids", "decoded"][: 2 + decode]
+            )
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, f"id {kind}, ids array<int>" + ", decoded string" * decode)
@@ -178,7 +182,12 @@ def bpe_digests(df: DataFrame, id_col: str, text_col: str, vocab_path: str, patt
                 n.append(len(ids))
                 ids_sha.append(hashlib.sha256(np.asarray(ids, dtype="<u4").tobytes()).hexdigest())
                 text_sha.append(hashlib.sha256(tree.decode(ids).encode("utf-8")).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
+                ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            )
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(
+        run, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    )

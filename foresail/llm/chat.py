@@ -56,7 +56,10 @@ def paths(tree: DataFrame, sc: Scratch, most: int = 64) -> DataFrame:
     there = nodes.select("t", F.col("node").alias("parent"), F.lit(True).alias("there"))
     base = nodes.join(there, ["t", "parent"], "left")
     # up: the ancestor so far, null at a root's own; depth and total count the nodes from it (itself left out) to the node
-    state = base.select("t", "node", F.when(F.col("there"), F.col("parent")).alias("up"), F.col("node").alias("top"), F.lit(1).cast("bigint").alias("depth"), F.coalesce("score", F.lit(0.0)).alias("total"))
+    state = base.select(
+        "t", "node", F.when(F.col("there"), F.col("parent")).alias("up"), F.col("node").alias("top"), F.lit(1).cast("bigint").alias("depth"),
+        F.coalesce("score", F.lit(0.0)).alias("total")
+    )
     # each round joins only the nodes whose ancestor isn't a root yet
     active = sc.save(state, "paths-0")
     done = active.where("up IS NULL")
@@ -64,18 +67,28 @@ def paths(tree: DataFrame, sc: Scratch, most: int = 64) -> DataFrame:
     for i in range(1, most):
         if active.isEmpty():
             break
-        above = done.unionByName(active).select("t", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("top").alias("top2"), F.col("depth").alias("depth2"), F.col("total").alias("total2"))
-        new = active.join(above, ["t", "up"]).select("t", "node", F.col("up2").alias("up"), F.col("top2").alias("top"), (F.col("depth") + F.col("depth2")).alias("depth"), (F.col("total") + F.col("total2")).alias("total"))
+        above = done.unionByName(active).select(
+            "t", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("top").alias("top2"), F.col("depth").alias("depth2"),
+            F.col("total").alias("total2")
+        )
+        new = active.join(above, ["t", "up"]).select(
+            "t", "node", F.col("up2").alias("up"), F.col("top2").alias("top"), (F.col("depth") + F.col("depth2")).alias("depth"),
+            (F.col("total") + F.col("total2")).alias("total")
+        )
         new = sc.save(new, f"paths-{i}")
         done, active = done.unionByName(new.where("up IS NULL")), new.where("up IS NOT NULL")
     parents = base.where("there").select("t", F.col("parent").alias("node")).distinct().withColumn("inner", F.lit(True))
-    return done.join(parents, ["t", "node"], "left").select("t", "node", F.col("top").alias("root"), "depth", "total", F.col("inner").isNull().alias("is_leaf"))
+    return done.join(parents, ["t", "node"], "left").select(
+        "t", "node", F.col("top").alias("root"), "depth", "total", F.col("inner").isNull().alias("is_leaf")
+    )
 
 
 def chosen_leaves(nodes: DataFrame, best: int = 1) -> DataFrame:
     """(t, root, leaf, rank): the best branches of each root, by sum of scores, then the longer, then the smaller leaf."""
     w = Window.partitionBy("t", "root").orderBy(F.col("total").desc(), F.col("depth").desc(), "node")
-    return nodes.where("is_leaf").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= best).select("t", "root", F.col("node").alias("leaf"), "rank")
+    return nodes.where("is_leaf").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= best).select(
+        "t", "root", F.col("node").alias("leaf"), "rank"
+    )
 
 
 def on_path(tree: DataFrame, nodes: DataFrame, leaves: DataFrame, sc: Scratch, most: int = 64) -> DataFrame:
@@ -109,7 +122,10 @@ def format_conversations(tree: DataFrame, best: int = 1) -> DataFrame:
     rows = tree.withColumn("t", tree_key())
     depth = nodes.select("t", "node", "root", "depth")
     rows = path.join(depth, ["t", "node"]).join(rows.select("t", "tree", "node", "role", "text"), ["t", "node"])
-    rows = rows.select("t", "tree", "root", "leaf", "rank", "depth", "role", turn(F.col("role"), F.col("text")).alias("piece"), F.length(escape(F.col("text"))).alias("body"), F.length(escape(F.col("role"))).alias("head"))
+    rows = rows.select(
+        "t", "tree", "root", "leaf", "rank", "depth", "role", turn(F.col("role"), F.col("text")).alias("piece"),
+        F.length(escape(F.col("text"))).alias("body"), F.length(escape(F.col("role"))).alias("head")
+    )
     # where each piece starts in its conversation
     w = Window.partitionBy("t", "root", "leaf").orderBy("depth")
     rows = rows.withColumn("at", F.coalesce(F.sum(F.length("piece")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -125,13 +141,21 @@ def format_conversations(tree: DataFrame, best: int = 1) -> DataFrame:
 def read_back(formatted: Column) -> Column:
     """array<struct<role,text>> from a formatted conversation: turns end at </turn> and a newline, roles at the first >."""
     parts = F.filter(F.split(formatted, "</turn>\n"), lambda p: p != "")
-    return F.transform(parts, lambda p: F.struct(unescape(F.substring_index(F.substring(p, len("<turn ") + 1, 1 << 30), ">", 1)).alias("role"), unescape(F.substring(p, F.instr(p, ">") + 1, F.lit(1 << 30))).alias("text")))
+    return F.transform(
+        parts,
+        lambda p: F.struct(
+            unescape(F.substring_index(F.substring(p, len("<turn ") + 1, 1 << 30), ">", 1)).alias("role"),
+            unescape(F.substring(p, F.instr(p, ">") + 1, F.lit(1 << 30))).alias("text")
+        )
+    )
 
 
 def with_probe(conversations: DataFrame) -> DataFrame:
     """The conversations and a further one whose texts hold control strings."""
     rows = conversations.select("conv_id", "turn", "role", "text")
-    probe = rows.sparkSession.createDataFrame([(PROBE_ID, 0, "user", PROBE_TEXT), (PROBE_ID, 1, "assistant", PROBE_TEXT)], "conv_id bigint, turn bigint, role string, text string")
+    probe = rows.sparkSession.createDataFrame(
+        [(PROBE_ID, 0, "user", PROBE_TEXT), (PROBE_ID, 1, "assistant", PROBE_TEXT)], "conv_id bigint, turn bigint, role string, text string"
+    )
     return rows.unionByName(probe)
 
 
@@ -139,8 +163,13 @@ def conversation_digests(conversations: DataFrame) -> DataFrame:
     """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), all read from the formatted text and its mask."""
     done = format_conversations(linear_tree(conversations))
     turns = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    masked = F.array_join(F.transform("loss", lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
-    rows = done.select(F.col("tree").alias("conv_id"), read_back(F.col("formatted")).alias("turns"), masked.alias("masked"), F.length("formatted").cast("bigint").alias("formatted_chars"))
+    masked = F.array_join(
+        F.transform("loss", lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int")))), ""
+    )
+    rows = done.select(
+        F.col("tree").alias("conv_id"), read_back(F.col("formatted")).alias("turns"), masked.alias("masked"),
+        F.length("formatted").cast("bigint").alias("formatted_chars")
+    )
     return rows.select(
         "conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(turns.cast("binary"), 256).alias("turns_sha256"),
         F.length("masked").cast("bigint").alias("loss_chars"), F.sha2(F.col("masked").cast("binary"), 256).alias("loss_sha256"), "formatted_chars",

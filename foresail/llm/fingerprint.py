@@ -68,7 +68,9 @@ def packed(filled: Column) -> Column:
     def draw(own: Column) -> Column:
         def densified(v: Column, i: Column) -> Column:
             tries = [F.get(own, F.pmod(F.xxhash64(i, F.lit(t)), F.lit(BINS)).cast("int")) for t in range(ATTEMPTS)]
-            rest = F.try_element_at(filled, F.array_min(F.transform(keys, lambda k: F.struct(F.xxhash64(i, k, F.lit(ATTEMPTS)).alias("h"), k.alias("k")))).getField("k"))
+            rest = F.try_element_at(
+                filled, F.array_min(F.transform(keys, lambda k: F.struct(F.xxhash64(i, k, F.lit(ATTEMPTS)).alias("h"), k.alias("k")))).getField("k")
+            )
             return F.coalesce(v, *tries, rest)
 
         return F.transform(own, densified)
@@ -79,7 +81,11 @@ def packed(filled: Column) -> Column:
 def likeness(a: Column, b: Column) -> Column:
     """Share of equal bins of two fingerprints, without what chance gives."""
     step = BITS // 4
-    same = F.size(F.filter(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: F.substring(a, i * step + 1, F.lit(step)) == F.substring(b, i * step + 1, F.lit(step)))) / F.lit(float(BINS))
+    same = F.size(
+        F.filter(
+            F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: F.substring(a, i * step + 1, F.lit(step)) == F.substring(b, i * step + 1, F.lit(step))
+        )
+    ) / F.lit(float(BINS))
     chance = 2.0**-BITS
     return F.when(a == b, F.lit(1.0)).when((a == "") | (b == ""), F.lit(0.0)).otherwise(F.greatest((same - chance) / (1 - chance), F.lit(0.0)))
 
@@ -87,7 +93,9 @@ def likeness(a: Column, b: Column) -> Column:
 def with_fingerprint(df: DataFrame, text_col: str, out: str) -> DataFrame:
     """The table with a fingerprint of one of its texts; steps are columns of their own, so that none is computed twice."""
     h, m = f"__{out}_hashes", f"__{out}_bins"
-    return df.withColumn(h, shingle_hashes(words(F.coalesce(F.col(text_col), F.lit(""))))).withColumn(m, filled_bins(F.col(h))).withColumn(out, packed(F.col(m))).drop(h, m)
+    return df.withColumn(
+        h, shingle_hashes(words(F.coalesce(F.col(text_col), F.lit(""))))
+    ).withColumn(m, filled_bins(F.col(h))).withColumn(out, packed(F.col(m))).drop(h, m)
 
 
 def next_in_order(df: DataFrame, id_col: str, text_col: str, carry: list[str], parts: int, add=lambda d: d) -> DataFrame:
@@ -98,10 +106,14 @@ def next_in_order(df: DataFrame, id_col: str, text_col: str, carry: list[str], p
     that finding the first rows needs it for these alone.
     """
     plain, df = df.select(id_col, text_col), add(df)
-    bounds = df.agg(F.percentile_approx(id_col, F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(10_000)).alias("b")).first().b if parts > 1 else []
+    bounds = df.agg(
+        F.percentile_approx(id_col, F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(10_000)).alias("b")
+    ).first().b if parts > 1 else []
     bounds = sorted(set(bounds or []))
     ids = F.col(id_col)
-    part = F.when(ids.isNull(), F.lit(-1)).otherwise(F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < ids)) if bounds else F.lit(0))
+    part = F.when(ids.isNull(), F.lit(-1)).otherwise(
+        F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < ids)) if bounds else F.lit(0)
+    )
     order = [F.col(id_col).desc_nulls_last(), F.col(text_col).desc_nulls_last()]
     w = Window.partitionBy("__part").orderBy(*order)
     rows = df.withColumn("__part", part.cast("int")).withColumn("__c", F.struct(*carry))
@@ -128,7 +140,9 @@ def edited_fingerprints(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = next_in_order(rows, "id", "text", ["text", "fingerprint"], parts, lambda d: with_fingerprint(d, "text", "fingerprint"))
     n = F.length("text")
     rows = rows.withColumn("n_chars", n.cast("bigint")).withColumn("half", F.floor(n / 2).cast("int"))
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - F.col("half")), F.substring(F.col("__next.text"), F.lit(1), F.col("half")))
+    edited = F.concat(
+        F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - F.col("half")), F.substring(F.col("__next.text"), F.lit(1), F.col("half"))
+    )
     rows = rows.select("id", "n_chars", "fingerprint", F.col("__next.fingerprint").alias("next_fingerprint"), edited.alias("edited"))
     rows = with_fingerprint(rows.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)), "edited", "edited_fingerprint")
     return rows.select(

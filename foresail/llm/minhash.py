@@ -138,7 +138,9 @@ def _keys(docs: DataFrame) -> DataFrame:
                 low = minhashes(s)
                 out.append((len(s), c, first_keys(low).astype(">u4").tobytes(), sketch(low), pack.compress(t.encode("utf-8", "surrogatepass"))))
             n, *rest = zip(*out, strict=True) if out else [()] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in rest)], ["id", "n", "cls", "keys", "sketch", "body"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in rest)], ["id", "n", "cls", "keys", "sketch", "body"]
+            )
 
     kind = docs.schema["id"].dataType.simpleString()
     return docs.select("id", "text").mapInArrow(run, f"id {kind}, n bigint, cls binary, keys binary, sketch binary, body binary")
@@ -184,7 +186,9 @@ def _candidates(n: np.ndarray, sketches: np.ndarray, comp: np.ndarray | None, ke
         for of_key in keys.T if keys is not None else ():
             earlier |= of_key[a:b, None] == of_key[None, :b]
         x, y = n[a:b, None], n[None, :b]
-        ok = second & ~earlier & (shared >= LEAST) & (100 * np.minimum(x, y) >= PERCENT * np.maximum(x, y)) & (np.arange(b)[None, :] < np.arange(a, b)[:, None])
+        ok = second & ~earlier & (shared >= LEAST) & (
+            100 * np.minimum(x, y) >= PERCENT * np.maximum(x, y)
+        ) & (np.arange(b)[None, :] < np.arange(a, b)[:, None])
         if comp is not None:
             ok &= comp[a:b, None] != comp[None, :b]
         yield a, np.where(ok, shared, 0)
@@ -209,7 +213,9 @@ def _best_pairs(buckets: DataFrame) -> DataFrame:
                 best = score.argmax(axis=1)
                 pairs += [(cls[a + i], cls[best[i]]) for i in np.flatnonzero(score.max(axis=1))]
             if pairs:
-                yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs], pa.binary()), pa.array([max(p) for p in pairs], pa.binary())], ["a", "b"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([min(p) for p in pairs], pa.binary()), pa.array([max(p) for p in pairs], pa.binary())], ["a", "b"]
+                )
 
     rows = buckets.repartition("key").sortWithinPartitions("key", "n", "cls").select("key", "cls", "n", "sketch")
     return rows.mapInArrow(run, "a binary, b binary").distinct()
@@ -300,7 +306,9 @@ def _exact_links(members: DataFrame) -> DataFrame:
                             root[max(u, v)] = min(u, v)
                             pairs.append((min(cls[x], cls[y]), max(cls[x], cls[y])))
             if pairs:
-                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], ["a", "b"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], ["a", "b"]
+                )
 
     rows = members.repartition("key").sortWithinPartitions("key", "n", "cls").select("key", "cls", "n", "sketch", "comp", "keys", "body")
     return rows.mapInArrow(run, "a binary, b binary").distinct()
@@ -308,10 +316,14 @@ def _exact_links(members: DataFrame) -> DataFrame:
 
 def _verify(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     """The pairs whose full sets are similar enough. b's text goes to a's place in salted groups, so a popular a is split."""
-    left = pairs.join(bodies.select(F.col("cls").alias("b"), F.col("body").alias("body_b")), "b").withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(8)).cast("int"))
+    left = pairs.join(
+        bodies.select(F.col("cls").alias("b"), F.col("body").alias("body_b")), "b"
+    ).withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(8)).cast("int"))
     used = pairs.select("a", F.pmod(F.xxhash64("b"), F.lit(8)).cast("int").alias("salt")).distinct()
     own = used.join(bodies.select(F.col("cls").alias("a"), F.col("body").alias("body_a")), "a")
-    rows = left.select("a", "salt", "b", F.col("body_b").alias("body")).unionByName(own.select("a", "salt", F.lit(None).cast("binary").alias("b"), F.col("body_a").alias("body")))
+    rows = left.select("a", "salt", "b", F.col("body_b").alias("body")).unionByName(
+        own.select("a", "salt", F.lit(None).cast("binary").alias("b"), F.col("body_a").alias("body"))
+    )
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def run(batches):
@@ -390,4 +402,6 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     # classes of one row are their own least; the others' least is broadcast after a count, or meets salted keys
     least = name.where(F.col("comp").isNotNull()).groupBy("comp").agg(F.min("id").alias("least"), F.count("*").alias("c")).where("c > 1").drop("c")
     out = join_few(name, sc.save(least, "least"), "comp", "id").withColumn("component_id", F.coalesce("least", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")
+    )

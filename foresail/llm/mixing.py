@@ -25,7 +25,10 @@ MAX_COPIES = 2
 WEIGHTS = (5.0, 2.0, 1.0)
 SALTS = 64
 TOLERANCE = 1e-10
-OWN = ("__size", "__source_size", "__target", "__copies", "__taken", "__k", "__h", "__salt", "__rank", "__from", "__rank_of", "__part", "__whole", "__extra")
+OWN = (
+    "__size", "__source_size", "__target", "__copies", "__taken", "__k", "__h", "__salt", "__rank", "__from", "__rank_of", "__part", "__whole",
+    "__extra"
+)
 STEPS = 80
 
 
@@ -96,7 +99,9 @@ def _solve(hist: DataFrame, totals: list[dict], cap: float) -> dict[str, float]:
     return lam
 
 
-def mix(df: DataFrame, id_col: str, source_col: str, size: Column, part_copies: bool = True, weights=WEIGHTS, share: float = SHARE, cap: int = MAX_COPIES) -> DataFrame:
+def mix(
+    df: DataFrame, id_col: str, source_col: str, size: Column, part_copies: bool = True, weights=WEIGHTS, share: float = SHARE, cap: int = MAX_COPIES
+) -> DataFrame:
     """The input's rows and columns with __size, __source_size, __target, __copies (whole) and __taken (words, parts counted)."""
     spark = df.sparkSession
     sc = Scratch(spark, "mix")
@@ -107,23 +112,37 @@ def mix(df: DataFrame, id_col: str, source_col: str, size: Column, part_copies:
     name = lambda k: None if k == "n" else k[1:]
     target = fill_targets([(name(r.k), r["size"]) for r in sums], weights, share, cap)
     totals = [{"k": r.k, "size": r["size"], "mean": r["size"] / r.n if r["size"] else 1.0, "target": float(target[name(r.k)])} for r in sums]
-    by_source = spark.createDataFrame([(t["k"], int(t["size"]), t["mean"], t["target"]) for t in totals], "k string, source_size bigint, mean double, target double")
+    by_source = spark.createDataFrame(
+        [(t["k"], int(t["size"]), t["mean"], t["target"]) for t in totals], "k string, source_size bigint, mean double, target double"
+    )
     hist = hist.join(by_source, "k").withColumn("z", F.col("size") / F.col("mean"))
     lam = _solve(hist, totals, cap)
     dual = spark.createDataFrame(list(lam.items()), "k string, l double")
-    rate = F.when(F.col("l") == math.inf, F.lit(float(cap))).when((F.col("l") == -math.inf) | (F.col("size") == 0), F.lit(0.0)).otherwise(F.lit(float(cap)) / (1 + F.exp(-F.col("l") * F.col("z"))))
+    rate = F.when(F.col("l") == math.inf, F.lit(float(cap))).when(
+        (F.col("l") == -math.inf) | (F.col("size") == 0), F.lit(0.0)
+    ).otherwise(F.lit(float(cap)) / (1 + F.exp(-F.col("l") * F.col("z"))))
     # systematic rounding over the histogram, by source in order of size
     by_size = Window.partitionBy("k").orderBy("size")
-    plan = hist.join(dual, "k").withColumn("rate", rate).withColumn("whole", F.least(F.floor("rate"), F.lit(cap))).withColumn("frac", F.col("rate") - F.col("whole"))
+    plan = hist.join(dual, "k").withColumn("rate", rate).withColumn(
+        "whole", F.least(F.floor("rate"), F.lit(cap))
+    ).withColumn("frac", F.col("rate") - F.col("whole"))
     plan = plan.withColumn("upto", F.sum(F.col("n") * F.col("frac")).over(by_size.rowsBetween(Window.unboundedPreceding, 0)))
     plan = plan.withColumn("before", F.coalesce(F.lag("upto").over(by_size), F.lit(0.0)))
     plan = plan.withColumn("extra", F.least(F.floor(F.col("upto") + 0.5) - F.floor(F.col("before") + 0.5), F.col("n")))
     plan = plan.withColumn("extra", F.when(F.col("whole") >= cap, F.lit(0)).otherwise(F.col("extra")).cast("long"))
     got = F.sum(F.col("size") * (F.col("n") * F.col("whole") + F.col("extra"))).over(Window.partitionBy("k"))
-    plan = sc.save(plan.select("k", "size", "source_size", "target", F.col("whole").cast("long").alias("whole"), "extra", F.col("n"), (F.round("target").cast("long") - got.cast("long")).alias("gap")), "plan")
+    plan = sc.save(
+        plan.select(
+            "k", "size", "source_size", "target", F.col("whole").cast("long").alias("whole"), "extra", F.col("n"),
+            (F.round("target").cast("long") - got.cast("long")).alias("gap")
+        ),
+        "plan"
+    )
     # the m documents of a (source, size) that get one more: ranks by salted groups, then the groups' offsets
     salted = sized.withColumn("__h", F.xxhash64(F.col(id_col))).withColumn("__salt", F.pmod("__h", F.lit(SALTS)))
-    groups = sized.select("__k", "__size", F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALTS)).alias("__salt")).groupBy("__k", "__size", "__salt").agg(F.count("*").alias("c"))
+    groups = sized.select(
+        "__k", "__size", F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALTS)).alias("__salt")
+    ).groupBy("__k", "__size", "__salt").agg(F.count("*").alias("c"))
     offset = F.sum("c").over(Window.partitionBy("__k", "__size").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1))
     groups = groups.withColumn("__from", F.coalesce(offset, F.lit(0)))
     groups = groups.join(plan.withColumnRenamed("k", "__k").withColumnRenamed("size", "__size"), ["__k", "__size"]).drop("c")
@@ -135,14 +154,22 @@ def mix(df: DataFrame, id_col: str, source_col: str, size: Column, part_copies:
     up = F.col("gap") > 0
     at_last = F.when(up, room_last >= room_first).otherwise(spare_last > spare_first)
     could = F.when(up, F.greatest(room_first, room_last)).otherwise(F.greatest(spare_first, spare_last))
-    fix = plan.where("gap <> 0 AND n > 0").groupBy("k").agg(F.max(F.struct(could.alias("could"), F.col("size"), F.when(at_last, F.col("n")).otherwise(F.lit(1)).alias("rank"), F.col("gap"))).alias("f"))
+    fix = plan.where("gap <> 0 AND n > 0").groupBy("k").agg(
+        F.max(F.struct(could.alias("could"), F.col("size"), F.when(at_last, F.col("n")).otherwise(F.lit(1)).alias("rank"), F.col("gap"))).alias("f")
+    )
     part = F.when(F.col("f.gap") > 0, F.least(F.col("f.gap"), F.col("f.could"))).otherwise(-F.least(-F.col("f.gap"), F.col("f.could")))
     fix = fix.select(F.col("k").alias("__k"), F.col("f.size").alias("__size"), F.col("f.rank").alias("__rank_of"), part.alias("__part"))
-    groups = groups.join(fix, ["__k", "__size"], "left") if part_copies else groups.withColumn("__rank_of", F.lit(None).cast("long")).withColumn("__part", F.lit(0).cast("long"))
-    groups = groups.select("__k", "__size", "__salt", "__from", "__rank_of", "__part", *[F.col(c).alias(f"__{c}") for c in ("whole", "extra", "source_size", "target")])
+    groups = groups.join(fix, ["__k", "__size"], "left") if part_copies else groups.withColumn(
+        "__rank_of", F.lit(None).cast("long")
+    ).withColumn("__part", F.lit(0).cast("long"))
+    groups = groups.select(
+        "__k", "__size", "__salt", "__from", "__rank_of", "__part", *[F.col(c).alias(f"__{c}") for c in ("whole", "extra", "source_size", "target")]
+    )
     rank = F.row_number().over(Window.partitionBy("__k", "__size", "__salt").orderBy("__h", F.col(id_col)))
     ranked = salted.withColumn("__rank", rank).join(groups, ["__k", "__size", "__salt"])
     ranked = ranked.withColumn("__rank", F.col("__rank") + F.col("__from"))
     copies = F.col("__whole") + (F.col("__rank") <= F.col("__extra")).cast("long")
     taken = copies * F.col("__size") + F.when(F.col("__rank") == F.col("__rank_of"), F.col("__part")).otherwise(F.lit(0))
-    return ranked.select(*[F.col(f"`{c}`") for c in df.columns], "__size", "__source_size", "__target", copies.alias("__copies"), taken.alias("__taken"))
+    return ranked.select(
+        *[F.col(f"`{c}`") for c in df.columns], "__size", "__source_size", "__target", copies.alias("__copies"), taken.alias("__taken")
+    )

@@ -62,7 +62,9 @@ def _measured(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
         for batch in pieces(batches):
             rows = [measure(t) for t in batch.column(0).to_pylist()]
             cols = [pa.array([r[k] for r in rows], pa.int64()) for k in range(5)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *cols], [*batch.schema.names[1:], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[1:], *cols], [*batch.schema.names[1:], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+            )
 
     kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in slim.schema.fields[1:])
     out = slim.mapInArrow(run, kinds + STATS)
@@ -71,7 +73,9 @@ def _measured(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
 
 def host_verdicts(rows: DataFrame, host_col: str, max_rate: float = MAX_HOST_RATE) -> DataFrame:
     """(host, n_docs, n_failed, host_rate, host_rejected) from rows with base_failed; the prior is fitted over all hosts."""
-    hosts = rows.where(F.col(host_col).isNotNull()).groupBy(F.col(host_col).alias("host")).agg(F.count("*").alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed"))
+    hosts = rows.where(F.col(host_col).isNotNull()).groupBy(F.col(host_col).alias("host")).agg(
+        F.count("*").alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed")
+    )
     p = F.col("n_failed") / F.col("n_docs")
     prior = hosts.agg(
         F.avg(p).alias("m"), F.coalesce(F.var_pop(p), F.lit(0.0)).alias("v"), F.avg(F.lit(1.0) / F.col("n_docs")).alias("inv")
@@ -92,7 +96,9 @@ def quality_rules(df: DataFrame, id_col: str, text_col: str, host_col: str, max_
     rows = sc.save(_measured(df, text_col, [id_col, host_col]), "rows")
     hosts = sc.save(host_verdicts(rows, "keep1", max_rate).where("host_rejected").select(F.col("host").alias("keep1"), "host_rejected"), "hosts")
     kept = ~F.col("base_failed") & F.col("host_rejected").isNull()
-    return join_few(rows, hosts, "keep1", "keep0").select(F.col("keep0").alias("id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
+    return join_few(rows, hosts, "keep1", "keep0").select(
+        F.col("keep0").alias("id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept")
+    )
 
 
 def keep_good(df: DataFrame, text_col: str, host_col: str, max_rate: float = MAX_HOST_RATE) -> DataFrame:

@@ -29,7 +29,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("words"))
     mixed = mix(docs, "doc_id", "source", F.col("words"))
-    return mixed.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__taken").alias("taken"))
+    return mixed.select(
+        "doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"),
+        F.col("__taken").alias("taken")
+    )
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +84,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    own = (op1_suffix_dedup, op2_chat_format, op3_secret_scans, op4_bpe, op5_mixing, op6_quality_rules, op7_minhash_dedup, op8_fingerprints, op9_toxicity, op10_html_text, pipeline)
+    own = (
+        op1_suffix_dedup, op2_chat_format, op3_secret_scans, op4_bpe, op5_mixing, op6_quality_rules, op7_minhash_dedup, op8_fingerprints,
+        op9_toxicity, op10_html_text, pipeline
+    )
     return {f.__name__: f for f in own}
 
 

@@ -87,13 +87,20 @@ def scan_secrets(df: DataFrame, id_col: str, text_col: str, vocab_path: str, pat
             rows = [find_spans(t, enc, max_ratio) for t in batch.column(1).to_pylist()]
             counts = [pa.array([sum(k == i for _, k, _ in r) for r in rows], pa.int64()) for i in range(4)]
             sha = [hashlib.sha256(_joined(s for s in r if s[1] < 3).encode()).hexdigest() for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array(sha, pa.string()), pa.array(list(map(_joined, rows)), pa.string())], ["id", "n_assign", "n_access", "n_hex", "n_entropy", "base_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *counts, pa.array(sha, pa.string()), pa.array(list(map(_joined, rows)), pa.string())],
+                ["id", "n_assign", "n_access", "n_hex", "n_entropy", "base_sha256", "spans"]
+            )
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, f"id {kind}, n_assign bigint, n_access bigint, n_hex bigint, n_entropy bigint, base_sha256 string, spans string")
+    return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(
+        run, f"id {kind}, n_assign bigint, n_access bigint, n_hex bigint, n_entropy bigint, base_sha256 string, spans string"
+    )
 
 
-def redact_secrets(df: DataFrame, text_col: str, vocab_path: str, pattern: str, mark: str = "[SECRET]", max_ratio: float = MAX_CHARS_PER_TOKEN) -> DataFrame:
+def redact_secrets(
+    df: DataFrame, text_col: str, vocab_path: str, pattern: str, mark: str = "[SECRET]", max_ratio: float = MAX_CHARS_PER_TOKEN
+) -> DataFrame:
     """The same rows and columns with every span of the text replaced by a mark; texts without spans stay as they are."""
     at = df.columns.index(text_col)
 

@@ -99,10 +99,18 @@ def _scan(docs: DataFrame) -> DataFrame:
             offsets = np.cumsum([0, *(len(r[0]) for r in runs)], dtype=np.int32)
             cat = lambda i, kind: pa.array(np.concatenate([r[i] for r in runs]).astype(kind))  # noqa: E731, B023
             items = pa.StructArray.from_arrays([cat(0, np.int64), cat(1, np.int32), cat(2, np.int32), cat(3, bool)], ["h", "a", "e", "several"])
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.binary()), ids, pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(z, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), items)], ["k", "id", "n_bytes", "sha", "z", "runs"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(k, pa.binary()), ids, pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(z, pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(offsets), items)
+                ],
+                ["k", "id", "n_bytes", "sha", "z", "runs"]
+            )
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "text").mapInArrow(run, f"k binary, id {kind}, n_bytes bigint, sha string, z binary, runs array<struct<h:bigint,a:int,e:int,several:boolean>>")
+    return docs.select("id", "text").mapInArrow(
+        run, f"k binary, id {kind}, n_bytes bigint, sha string, z binary, runs array<struct<h:bigint,a:int,e:int,several:boolean>>"
+    )
 
 
 def _digests(rows: DataFrame) -> DataFrame:
@@ -119,7 +127,9 @@ def _digests(rows: DataFrame) -> DataFrame:
                     out.append((k, r["h"], r["a"], r["e"], r["several"], len(body), hashlib.blake2b(body, digest_size=16).digest()))
             cols = list(zip(*out, strict=True)) or [()] * 7
             kinds = (pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["k", "h", "a", "e", "several", "size", "dig"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["k", "h", "a", "e", "several", "size", "dig"]
+            )
 
     return rows.select("k", "z", "runs").mapInArrow(run, "k binary, h bigint, a int, e int, several boolean, size int, dig binary")
 
@@ -388,7 +398,9 @@ class InducedSorter:
             yield np.r_[p, small[::-1]], np.r_[y, tail].astype(np.uint16)
 
 
-def repeated_windows(bodies: list[bytes], weights: list[int], windows: list[int], lengths: tuple[int, ...] = (SHORT, LENGTH), **limits) -> list[list[np.ndarray]]:
+def repeated_windows(
+    bodies: list[bytes], weights: list[int], windows: list[int], lengths: tuple[int, ...] = (SHORT, LENGTH), **limits
+) -> list[list[np.ndarray]]:
     """For each length and fragment, which of the fragment's windows have their first bytes of that length elsewhere too: in another
     fragment or place, or the fragment weighs 2. Of a window with fewer bytes up to the fragment's end, none are."""
     depth = max(lengths)
@@ -432,7 +444,9 @@ def _sort_shards(fragments: DataFrame, chunk_bytes: int = CHUNK_BYTES, **limits)
             pairs = lambda h: [{"x": x, "y": y} for x, y in _ranges(h)]
             got = [(r[0], r[1], pairs(b), pairs(h)) for r, b, h in zip(rows, brief, long, strict=True) if b.any()]
             cols = list(zip(*got, strict=True)) or [()] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), kind, kind), strict=True)], ["h", "dig", "brief", "ranges"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), kind, kind), strict=True)], ["h", "dig", "brief", "ranges"]
+            )
 
         rows, held = [], 0
         for batch in batches:
@@ -474,11 +488,15 @@ def dedup_substrings(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     marked = runs.join(shared, "h").groupBy("k").agg(F.collect_set(F.struct("h", "a", "e", "several")).alias("runs"))
     held = sc.save(docs.select("k", "id", "n_bytes", "z").join(marked, "k"), "held")
     found = sc.save(_digests(held), "found")
-    kinds = found.groupBy("h", "dig").agg(F.count("*").alias("m"), F.max("several").alias("s"), F.max("size").alias("size"), F.min(F.struct("k", "a", "e")).alias("one"))
+    kinds = found.groupBy("h", "dig").agg(
+        F.count("*").alias("m"), F.max("several").alias("s"), F.max("size").alias("size"), F.min(F.struct("k", "a", "e")).alias("one")
+    )
     kinds = sc.save(kinds, "kinds")
     groups = kinds.groupBy("h").agg(F.count("*").alias("d"), F.sum("m").alias("n"), F.max("s").alias("s"))
     many = groups.where("d > 1 OR s").select("h")
-    picks = kinds.join(many, "h").select("one.k", F.struct("h", "dig", "m", "one.a", "one.e").alias("p")).groupBy("k").agg(F.collect_list("p").alias("picks"))
+    picks = kinds.join(many, "h").select(
+        "one.k", F.struct("h", "dig", "m", "one.a", "one.e").alias("p")
+    ).groupBy("k").agg(F.collect_list("p").alias("picks"))
     bodies = _contents(held.select("k", "z").dropDuplicates(["k"]).join(picks, "k"))
     ranges = sc.save(_sort_shards(bodies), "ranges")
     # a key whose fragments are all equal needs no sorting: one distinct fragment, twice or more
@@ -486,9 +504,14 @@ def dedup_substrings(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     last = F.col("one.e") - F.col("one.a")
     whole = lambda y: F.array(F.struct(F.lit(0).alias("x"), y.cast("int").alias("y")))
     none = F.array().cast("array<struct<x:int,y:int>>")
-    alone = alone.select("h", "dig", whole(last).alias("brief"), F.when(F.col("size") >= LENGTH, whole(F.least(last, F.col("size") - LENGTH))).otherwise(none).alias("ranges"))
+    alone = alone.select(
+        "h", "dig", whole(last).alias("brief"),
+        F.when(F.col("size") >= LENGTH, whole(F.least(last, F.col("size") - LENGTH))).otherwise(none).alias("ranges")
+    )
     hits = found.select("k", "h", "dig", "a").distinct().join(ranges.unionByName(alone), ["h", "dig"])
-    at = lambda c, length: F.transform(c, lambda r: F.struct((F.col("a") + r["x"]).alias("x"), (F.col("a") + r["y"] + length).alias("y")))
+    at = lambda c, length: F.transform(
+        c, lambda r: F.struct((F.col("a") + r["x"]).alias("x"), (F.col("a") + r["y"] + length).alias("y"))
+    )
     hits = hits.select("k", at("brief", SHORT).alias("brief"), at("ranges", LENGTH).alias("ranges"))
     spans = hits.groupBy("k").agg(*[F.sort_array(F.flatten(F.collect_list(c))).alias(c) for c in ("brief", "ranges")])
     hit = held.select("k", "id", "n_bytes", "z").join(spans, "k")
@@ -509,11 +532,15 @@ def dedup_substrings(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             cols = list(zip(*out, strict=True)) or [()] * 5
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
             own = [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *own], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "n_repeated"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), *own], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "n_repeated"]
+            )
 
     schema = f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans string, n_repeated bigint"
     cut_rows = hit.select("id", "n_bytes", "z", F.col("ranges").alias("spans"), "brief").mapInArrow(cut, schema)
     zero = lambda c: F.lit(0).cast("bigint").alias(c)
     rest = docs.select("k", "id", "n_bytes", "sha").join(spans.select("k"), "k", "left_anti")
-    rest = rest.select("id", "n_bytes", zero("n_removed"), zero("n_spans"), F.col("sha").alias("kept_sha256"), F.lit("").alias("spans"), zero("n_repeated"))
+    rest = rest.select(
+        "id", "n_bytes", zero("n_removed"), zero("n_spans"), F.col("sha").alias("kept_sha256"), F.lit("").alias("spans"), zero("n_repeated")
+    )
     return cut_rows.unionByName(rest).withColumnRenamed("id", id_col)

@@ -54,7 +54,10 @@ def _sigmoid(x):
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def fit_nnpu(positive: list[list[tuple[int, float]]], unlabelled: list[list[tuple[int, float]]], n_words: int, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-3, beta: float = 0.0) -> tuple[np.ndarray, float]:
+def fit_nnpu(
+    positive: list[list[tuple[int, float]]], unlabelled: list[list[tuple[int, float]]], n_words: int, prior: float, steps: int = 400,
+    rate: float = 0.05, decay: float = 1e-3, beta: float = 0.0
+) -> tuple[np.ndarray, float]:
     """Weights and intercept from rows of (feature, value); Adam on the corrected risk with the logistic loss, full batches."""
     rows = positive + unlabelled
     n_p, n_u = len(positive), len(unlabelled)
@@ -82,9 +85,13 @@ def fit_nnpu(positive: list[list[tuple[int, float]]], unlabelled: list[list[tupl
     return w, b
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> tuple[dict[str, float], float] | None:
+def train(
+    docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED
+) -> tuple[dict[str, float], float] | None:
     """Word weights and the intercept, from a bounded sample; None without positives."""
-    ids = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h")).where(F.col("id").isNotNull() & ~held_out(F.col("id")))
+    ids = docs.select(
+        F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h")
+    ).where(F.col("id").isNotNull() & ~held_out(F.col("id")))
     known = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.max("toxic").alias("toxic"))
     share = known.agg(F.avg((F.col("toxic") == 1).cast("double")).alias("p"), F.count("*").alias("n")).first()
@@ -98,9 +105,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_po
     def words(batches):
         for batch in pieces(batches):
             found = [features(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([list(f) for f in found], pa.list_(pa.string())), pa.array([list(f.values()) for f in found], pa.list_(pa.float64()))], ["y", "words", "rates"])
-
-    got = Scratch(docs.sparkSession, "toxicity").save(own.select("text", "y").mapInArrow(words, "y int, words array<string>, rates array<double>"), "sample")
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(1), pa.array([list(f) for f in found], pa.list_(pa.string())),
+                    pa.array([list(f.values()) for f in found], pa.list_(pa.float64()))
+                ],
+                ["y", "words", "rates"]
+            )
+
+    got = Scratch(docs.sparkSession, "toxicity").save(
+        own.select("text", "y").mapInArrow(words, "y int, words array<string>, rates array<double>"), "sample"
+    )
     n = {r.y: r.n for r in got.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n_p, n_u = n.get(1, 0), n.get(0, 0)
     if not n_p or not n_u:
@@ -109,18 +124,33 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_po
     p, u = F.col("p") / n_p, F.col("u") / n_u
     q = (F.col("p") + F.col("u") + 1) / (n_p + n_u + 2)
     z = (p - u) / F.sqrt(q * (1 - q) * (1 / n_p + 1 / n_u))
-    counts = got.select("y", F.explode("words").alias("word")).groupBy("word").agg(F.sum("y").cast("long").alias("p"), F.sum(1 - F.col("y")).cast("long").alias("u"))
-    chosen_words = counts.withColumn("z", z).where((F.col("p") >= min(MIN_TEXTS, n_p)) & (F.col("z") >= MIN_Z)).orderBy(F.col("z").desc(), "word").limit(MAX_WORDS)
+    counts = got.select("y", F.explode("words").alias("word")).groupBy("word").agg(
+        F.sum("y").cast("long").alias("p"), F.sum(1 - F.col("y")).cast("long").alias("u")
+    )
+    chosen_words = counts.withColumn("z", z).where(
+        (F.col("p") >= min(MIN_TEXTS, n_p)) & (F.col("z") >= MIN_Z)
+    ).orderBy(F.col("z").desc(), "word").limit(MAX_WORDS)
     vocab = [r.word for r in chosen_words.select("word").collect()]
     index = {x: i for i, x in enumerate(vocab)}
 
     def code(batches):
         for batch in pieces(batches):
-            rows = [sorted((index[x], v) for x, v in zip(a, b, strict=True) if x in index) for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[i for i, _ in r] for r in rows], pa.list_(pa.int32())), pa.array([[v for _, v in r] for r in rows], pa.list_(pa.float64()))], ["y", "ids", "rates"])
+            rows = [
+                sorted((index[x], v) for x, v in zip(a, b, strict=True) if x in index) for a,
+                b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0), pa.array([[i for i, _ in r] for r in rows], pa.list_(pa.int32())),
+                    pa.array([[v for _, v in r] for r in rows], pa.list_(pa.float64()))
+                ],
+                ["y", "ids", "rates"]
+            )
 
     rows = got.mapInArrow(code, "y int, ids array<int>, rates array<double>").collect()
-    coded = {y: sorted(list(zip(r.ids, r.rates, strict=True)) for r in rows if r.y == y) for y in (0, 1)}  # sorted: sums don't depend on the order of tasks
+    coded = {
+        y: sorted(list(zip(r.ids, r.rates, strict=True)) for r in rows if r.y == y) for y in (0, 1)
+    }  # sorted: sums don't depend on the order of tasks
     w, b = fit_nnpu(coded[1], coded[0], len(vocab), min(max(share.p, 1e-3), 0.999))
     return {x: float(w[i]) for x, i in index.items()}, b
 
@@ -132,10 +162,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str, text_col: st
     def run(batches):
         weights, b = model or ({}, None)
         for batch in pieces(batches):
-            z = [math.fsum([b, *(weights[x] * v for x, v in features(t, weights).items())]) if b is not None else -np.inf for t in batch.column(1).to_pylist()]
+            z = [
+                math.fsum(
+                    [b, *(weights[x] * v for x, v in features(t, weights).items())]
+                ) if b is not None else -np.inf for t in batch.column(1).to_pylist()
+            ]
             s = _sigmoid(np.array(z, dtype=np.float64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], ["id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     scored = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, score double")
-    return scored.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select(
+        F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
+    )
