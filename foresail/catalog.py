@@ -80,7 +80,10 @@ class Base:
         e = self.table("events")
         week = F.date_trunc("week", "ts").cast("date")
         sid = F.col("user_id") * 1000 + F.floor(F.date_diff(week, F.lit("1970-01-05").cast("date")) / 7) % 1000
-        rows = e.select(sid.alias("sid"), "ts", "event_id", F.col("event_type").alias("tag"), F.concat(F.lit("v"), F.floor(F.col("value") / 25).cast("string")).alias("word"))
+        rows = e.select(
+            sid.alias("sid"), "ts", "event_id", F.col("event_type").alias("tag"),
+            F.concat(F.lit("v"), F.floor(F.col("value") / 25).cast("string")).alias("word")
+        )
         w = Window.partitionBy("sid").orderBy("ts", "event_id")
         return materialize(rows.select("sid", (F.row_number().over(w) - 1).alias("pos"), "word", "tag"))
 
@@ -108,7 +111,9 @@ class Base:
     @cached_property
     def shaped(self):
         w = F.col("tok")
-        tag = F.when(~w.rlike(r"[\p{L}\p{N}]"), ".").when(w.rlike(r"\p{Nd}"), "NUM").when(F.endswith(w, F.lit("ly")), "ADV").when(F.endswith(w, F.lit("ing")) | F.endswith(w, F.lit("ed")), "VERB").when(F.length(w) % 3 == 0, "ADJ").otherwise("NOUN")
+        tag = F.when(~w.rlike(r"[\p{L}\p{N}]"), ".").when(w.rlike(r"\p{Nd}"), "NUM").when(F.endswith(w, F.lit("ly")), "ADV").when(
+            F.endswith(w, F.lit("ing")) | F.endswith(w, F.lit("ed")), "VERB"
+        ).when(F.length(w) % 3 == 0, "ADJ").otherwise("NOUN")
         return self.toks.select("sid", "pos", w.alias("word"), tag.alias("tag"))
 
     @cached_property
@@ -123,7 +128,9 @@ class Base:
         c = self.table("conversations").where("role = 'user'")
         c = T.normalize_nfc(c.select("conv_id", "turn", "text"), "text")
         c = c.select(F.col("conv_id").alias("user"), "turn", F.posexplode(T.split_sentences(T.clean_text(F.col("text")))).alias("si", "s"))
-        return materialize(profile.observed(c.select("user", (F.col("turn") * 100_000 + F.col("si")).alias("seq"), T.tokenize(F.col("s")).alias("tokens"))))
+        return materialize(
+            profile.observed(c.select("user", (F.col("turn") * 100_000 + F.col("si")).alias("seq"), T.tokenize(F.col("s")).alias("tokens")))
+        )
 
     @cached_property
     def kept(self):
@@ -172,20 +179,53 @@ def joined(c: str, out: str = "tokens"):
 
 # --- text
 
-add("clean_text", lambda b: T.normalize_nfc(b.table("documents"), "text").select("doc_id", T.clean_text(F.col("text")).alias("c")), select=f"SELECT doc_id, {S.clean('nfc_normalize(text)')} AS c FROM documents")
-add("strip_emails", lambda b: b.table("documents").select("doc_id", T.strip_emails(F.col("text")).alias("c")), select=f"SELECT doc_id, {S.emails('text')} AS c FROM documents")
-add("strip_urls", lambda b: b.table("pages").select("page_id", T.strip_urls(F.col("url")).alias("c")), select=f"SELECT page_id, {S.urls('url')} AS c FROM pages")
+add(
+    "clean_text", lambda b: T.normalize_nfc(b.table("documents"), "text").select("doc_id", T.clean_text(F.col("text")).alias("c")),
+    select=f"SELECT doc_id, {S.clean('nfc_normalize(text)')} AS c FROM documents"
+)
+add(
+    "strip_emails", lambda b: b.table("documents").select("doc_id", T.strip_emails(F.col("text")).alias("c")),
+    select=f"SELECT doc_id, {S.emails('text')} AS c FROM documents"
+)
+add(
+    "strip_urls", lambda b: b.table("pages").select("page_id", T.strip_urls(F.col("url")).alias("c")),
+    select=f"SELECT page_id, {S.urls('url')} AS c FROM pages"
+)
 add("segment_sentences", lambda b: b.sents.select("sid", "sentence"), S.sents(), select="SELECT sid, sentence FROM sents")
-add("script_detect", lambda b: b.table("documents").select("doc_id", T.contains_devanagari(F.col("text")).alias("dev")), select=r"SELECT doc_id, regexp_matches(text, '[\x{0900}-\x{097f}]') AS dev FROM documents")
+add(
+    "script_detect", lambda b: b.table("documents").select("doc_id", T.contains_devanagari(F.col("text")).alias("dev")),
+    select=r"SELECT doc_id, regexp_matches(text, '[\x{0900}-\x{097f}]') AS dev FROM documents"
+)
 add("tokenize", lambda b: b.sents.select("sid", joined("tokens")), S.sents(), select="SELECT sid, array_to_string(tokens, ' ') AS tokens FROM sents")
-add("tokenize_text", lambda b: b.toks.groupBy("sid").agg(F.count("*").alias("n"), F.max("pos").cast("bigint").alias("last")), S.sents(), S.TOKS, select="SELECT sid, count(*) AS n, max(pos)::BIGINT AS last FROM toks GROUP BY sid")
-add("pad_sentences", lambda b: b.sents.select("sid", F.array_join(T.pad(F.col("tokens"), 3, C.bos, C.eos), " ").alias("p")), S.sents(), select="SELECT sid, array_to_string(['<s>', '<s>'] || tokens || ['</s>'], ' ') AS p FROM sents")
-add("corpus_scan_limit", lambda b: b.sents.orderBy("sid").limit(100).select("sid", joined("tokens")), S.sents(), select="SELECT sid, array_to_string(tokens, ' ') AS tokens FROM sents ORDER BY sid LIMIT 100")
-add("preprocess_filter", lambda b: b.sents.where(F.size("tokens") >= 2).select("sid", F.size("tokens").cast("bigint").alias("n")), S.sents(), select="SELECT sid, len(tokens)::BIGINT AS n FROM sents WHERE len(tokens) >= 2")
+add(
+    "tokenize_text", lambda b: b.toks.groupBy("sid").agg(F.count("*").alias("n"), F.max("pos").cast("bigint").alias("last")), S.sents(), S.TOKS,
+    select="SELECT sid, count(*) AS n, max(pos)::BIGINT AS last FROM toks GROUP BY sid"
+)
+add(
+    "pad_sentences", lambda b: b.sents.select("sid", F.array_join(T.pad(F.col("tokens"), 3, C.bos, C.eos), " ").alias("p")), S.sents(),
+    select="SELECT sid, array_to_string(['<s>', '<s>'] || tokens || ['</s>'], ' ') AS p FROM sents"
+)
+add(
+    "corpus_scan_limit", lambda b: b.sents.orderBy("sid").limit(100).select("sid", joined("tokens")), S.sents(),
+    select="SELECT sid, array_to_string(tokens, ' ') AS tokens FROM sents ORDER BY sid LIMIT 100"
+)
+add(
+    "preprocess_filter", lambda b: b.sents.where(F.size("tokens") >= 2).select("sid", F.size("tokens").cast("bigint").alias("n")), S.sents(),
+    select="SELECT sid, len(tokens)::BIGINT AS n FROM sents WHERE len(tokens) >= 2"
+)
 
 
-add("candidate_tags", lambda b: b.toks.select(F.col("tok").alias("w"), (F.col("pos") == 0).alias("f")).distinct().select("w", "f", F.array_join(T.candidate_tags(F.col("w"), F.col("f")), " ").alias("tags")), S.sents(), S.TOKS, select=f"SELECT w, f, {S.CANDIDATE_TAGS} AS tags FROM (SELECT DISTINCT tok AS w, pos = 0 AS f FROM toks)")
-add("suffix_match", lambda b: b.toks.select("tok").distinct().select("tok", T.match_suffix(F.col("tok")).alias("suffix")), S.sents(), S.TOKS, select=f"SELECT tok, {S.suffix_case(T.SUFFIX_RULES, False, 'tok')} AS suffix FROM (SELECT DISTINCT tok FROM toks)")
+add(
+    "candidate_tags",
+    lambda b: b.toks.select(F.col("tok").alias("w"), (F.col("pos") == 0).alias("f")).distinct().select(
+        "w", "f", F.array_join(T.candidate_tags(F.col("w"), F.col("f")), " ").alias("tags")
+    ),
+    S.sents(), S.TOKS, select=f"SELECT w, f, {S.CANDIDATE_TAGS} AS tags FROM (SELECT DISTINCT tok AS w, pos = 0 AS f FROM toks)"
+)
+add(
+    "suffix_match", lambda b: b.toks.select("tok").distinct().select("tok", T.match_suffix(F.col("tok")).alias("suffix")), S.sents(), S.TOKS,
+    select=f"SELECT tok, {S.suffix_case(T.SUFFIX_RULES, False, 'tok')} AS suffix FROM (SELECT DISTINCT tok FROM toks)"
+)
 
 
 def _split_buffers(b):
@@ -200,7 +240,15 @@ add(
     select="""SELECT conv_id, turn, CASE WHEN o THEN t[-1] ELSE '' END AS prefix,
  array_to_string(CASE WHEN o THEN t[greatest(len(t) - 2, 1):len(t) - 1] ELSE t[greatest(len(t) - 1, 1):] END, ' ') AS context FROM o""",
 )
-add("conll_render", lambda b: b.tagged.groupBy("sid").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "word", "tag"))), lambda x: F.concat(x["word"], F.lit("\t"), x["tag"])), "\n").alias("block")), S.TAGGED, select="SELECT sid, string_agg(word || chr(9) || tag, chr(10) ORDER BY pos) AS block FROM tagged GROUP BY sid")
+add(
+    "conll_render",
+    lambda b: b.tagged.groupBy("sid").agg(
+        F.array_join(
+            F.transform(F.sort_array(F.collect_list(F.struct("pos", "word", "tag"))), lambda x: F.concat(x["word"], F.lit("\t"), x["tag"])), "\n"
+        ).alias("block")
+    ),
+    S.TAGGED, select="SELECT sid, string_agg(word || chr(9) || tag, chr(10) ORDER BY pos) AS block FROM tagged GROUP BY sid"
+)
 
 
 def _conll_back(b):
@@ -215,14 +263,28 @@ add("conll_roundtrip", _conll_back, S.TAGGED, select="SELECT sid, pos::BIGINT AS
 # --- corpora
 
 VOC = (S.sents(), S.TOKS, S.VOCAB)
-add("build_vocab", lambda b: corpus.build_vocab(b.sents, max_size=0).select("word", "cnt", "in_vocab"), *VOC, select="SELECT word, cnt, cnt >= 2 AS in_vocab FROM vocab")
-add("build_vocab_capped", lambda b: corpus.build_vocab(b.sents, max_size=1000).where("in_vocab").select("word", "cnt"), *VOC, select="SELECT word, cnt FROM vocab WHERE cnt >= 2 ORDER BY cnt DESC, fs LIMIT 1000")
-add("apply_unk", lambda b: corpus.apply_unk(b.sents.select("sid", "tokens"), b.vocab).select("sid", joined("tokens")), *VOC, f"kept AS (SELECT word FROM vocab WHERE cnt >= 2 ORDER BY cnt DESC, fs LIMIT {C.max_vocab})", select="SELECT sid, string_agg(coalesce(k.word, '<UNK>'), ' ' ORDER BY pos) AS tokens FROM toks LEFT JOIN kept k ON lower(tok) = k.word GROUP BY sid")
+add(
+    "build_vocab", lambda b: corpus.build_vocab(b.sents, max_size=0).select("word", "cnt", "in_vocab"), *VOC,
+    select="SELECT word, cnt, cnt >= 2 AS in_vocab FROM vocab"
+)
+add(
+    "build_vocab_capped", lambda b: corpus.build_vocab(b.sents, max_size=1000).where("in_vocab").select("word", "cnt"), *VOC,
+    select="SELECT word, cnt FROM vocab WHERE cnt >= 2 ORDER BY cnt DESC, fs LIMIT 1000"
+)
+add(
+    "apply_unk", lambda b: corpus.apply_unk(b.sents.select("sid", "tokens"), b.vocab).select("sid", joined("tokens")), *VOC,
+    f"kept AS (SELECT word FROM vocab WHERE cnt >= 2 ORDER BY cnt DESC, fs LIMIT {C.max_vocab})",
+    select="SELECT sid, string_agg(coalesce(k.word, '<UNK>'), ' ' ORDER BY pos) AS tokens FROM toks LEFT JOIN kept k ON lower(tok) = k.word GROUP BY sid"
+)
 TC = """forms AS (SELECT lower(tok) AS lower, tok AS surface, count(*) AS cnt, min({'s': sid, 'p': pos}) AS fs FROM toks WHERE pos > 0 GROUP BY ALL),
 best AS (SELECT *, row_number() OVER (PARTITION BY lower ORDER BY cnt DESC, fs) AS r, max(CASE WHEN surface = lower THEN cnt END) OVER (PARTITION BY lower) AS plain FROM forms),
 truecase AS (SELECT lower, CASE WHEN surface <> lower AND cnt > coalesce(plain, 0) THEN surface ELSE lower END AS surface FROM best WHERE r = 1)"""
 add("truecase_map", lambda b: b.truecase, S.sents(), S.TOKS, TC, select="SELECT lower, surface FROM truecase")
-add("apply_truecase", lambda b: corpus.apply_truecase(b.sents.select("sid", "tokens"), b.truecase).select("sid", joined("tokens")), S.sents(), S.TOKS, TC, select="SELECT sid, string_agg(coalesce(surface, lower(tok)), ' ' ORDER BY pos) AS tokens FROM toks LEFT JOIN truecase t ON lower(tok) = t.lower GROUP BY sid")
+add(
+    "apply_truecase", lambda b: corpus.apply_truecase(b.sents.select("sid", "tokens"), b.truecase).select("sid", joined("tokens")), S.sents(), S.TOKS,
+    TC,
+    select="SELECT sid, string_agg(coalesce(surface, lower(tok)), ' ' ORDER BY pos) AS tokens FROM toks LEFT JOIN truecase t ON lower(tok) = t.lower GROUP BY sid"
+)
 
 
 def _stats_row(df):
@@ -231,10 +293,18 @@ def _stats_row(df):
 
 add("corpus_stats", lambda b: _stats_row(corpus.corpus_stats(b.sents)), S.sents(), S.TOKS, "ty AS (SELECT tok, count(*) AS c FROM toks GROUP BY tok), a AS (SELECT sum(c)::BIGINT AS tokens, count(*) AS types, count(*) FILTER (c = 1) AS hapax FROM ty), n AS (SELECT count(*) AS sentences FROM sents)",
     select="SELECT sentences, tokens, types, round(types / tokens, 6) AS ttr, hapax, round(hapax / types, 6) AS hapax_ratio, round(tokens / sentences, 6) AS mean_len FROM a, n")
-add("frequency_table", lambda b: corpus.frequency_table(b.sents), S.sents(), S.TOKS, select="SELECT tok, cnt FROM (SELECT tok, count(*) AS cnt, min({'s': sid, 'p': pos}) AS fs FROM toks GROUP BY tok ORDER BY cnt DESC, fs LIMIT 20)")
-add("zipf_points", lambda b: corpus.zipf_points(b.sents), S.sents(), S.TOKS, select="SELECT row_number() OVER (ORDER BY cnt DESC) AS rank, cnt FROM (SELECT tok, count(*) AS cnt FROM toks GROUP BY tok)")
+add(
+    "frequency_table", lambda b: corpus.frequency_table(b.sents), S.sents(), S.TOKS,
+    select="SELECT tok, cnt FROM (SELECT tok, count(*) AS cnt, min({'s': sid, 'p': pos}) AS fs FROM toks GROUP BY tok ORDER BY cnt DESC, fs LIMIT 20)"
+)
+add(
+    "zipf_points", lambda b: corpus.zipf_points(b.sents), S.sents(), S.TOKS,
+    select="SELECT row_number() OVER (ORDER BY cnt DESC) AS rank, cnt FROM (SELECT tok, count(*) AS cnt FROM toks GROUP BY tok)"
+)
 add("coverage_curve", lambda b: corpus.coverage_curve(b.sents, (100, 1000, 5000, 20000, 10_000_000)).select("top", r6("coverage")), S.sents(), S.TOKS,
-    "z AS (SELECT row_number() OVER (ORDER BY cnt DESC) AS rank, cnt FROM (SELECT tok, count(*) AS cnt FROM toks GROUP BY tok)), s AS (SELECT * FROM (VALUES (100, 0), (1000, 100), (5000, 1000), (20000, 5000), (10000000, 20000)) v(step, prev)), n AS (SELECT count(*) AS types, sum(cnt) AS mass FROM z)",
+    "z AS (SELECT row_number() OVER (ORDER BY cnt DESC) AS rank, cnt FROM (SELECT tok, count(*) AS cnt FROM toks GROUP BY tok)), s AS (SELECT *"
+    " FROM (VALUES (100, 0), (1000, 100), (5000, 1000), (20000, 5000), (10000000, 20000)) v(step, prev)), n AS (SELECT count(*) AS types, sum(cnt)"
+    " AS mass FROM z)",
     select="SELECT least(step, types)::BIGINT AS top, round(sum(z.cnt) / any_value(mass), 6) AS coverage FROM s, n JOIN z ON true WHERE prev <= types AND rank <= step GROUP BY step, types")
 
 
@@ -250,29 +320,64 @@ def _oov(b):
     return corpus.oov_rate(parts.where("split = 'dev'"), vocab).select(r6("oov_rate"))
 
 
-add("oov_rate", _oov, S.sents(), S.CORPUS, select="SELECT round(avg(CASE WHEN k.word IS NULL THEN 1.0 ELSE 0.0 END), 6) AS oov_rate FROM ptoks p LEFT JOIN kept k ON p.word = k.word WHERE split = 'dev'")
+add(
+    "oov_rate", _oov, S.sents(), S.CORPUS,
+    select="SELECT round(avg(CASE WHEN k.word IS NULL THEN 1.0 ELSE 0.0 END), 6) AS oov_rate FROM ptoks p LEFT JOIN kept k ON p.word = k.word WHERE split = 'dev'"
+)
 
 
 def _known_split(b):
     parts, vocab = _dev_vocab(b)
-    t = corpus.tokens(parts.where("split <> 'train'")).withColumn("word", F.lower("tok")).join(vocab.where("in_vocab").select("word", F.lit(True).alias("k")), "word", "left")
+    t = corpus.tokens(parts.where("split <> 'train'")).withColumn("word", F.lower("tok")).join(
+        vocab.where("in_vocab").select("word", F.lit(True).alias("k")), "word", "left"
+    )
     return t.groupBy(F.col("k").isNotNull().alias("known")).agg(F.count("*").alias("n"), F.count_distinct("word").alias("types"))
 
 
-add("oov_known_split", _known_split, S.sents(), S.CORPUS, select="SELECT k.word IS NOT NULL AS known, count(*) AS n, count(DISTINCT p.word) AS types FROM ptoks p LEFT JOIN kept k ON p.word = k.word WHERE split <> 'train' GROUP BY 1")
-add("train_dev_test_split", lambda b: corpus.assign_split(b.sents).select("sid", "split"), S.sents(), f"x AS (SELECT sid FROM sents), y AS (SELECT * FROM {S.split_case('x', S.THREE)})", select="SELECT sid, split FROM y")
+add(
+    "oov_known_split", _known_split, S.sents(), S.CORPUS,
+    select="SELECT k.word IS NOT NULL AS known, count(*) AS n, count(DISTINCT p.word) AS types FROM ptoks p LEFT JOIN kept k ON p.word = k.word WHERE split <> 'train' GROUP BY 1"
+)
+add(
+    "train_dev_test_split", lambda b: corpus.assign_split(b.sents).select("sid", "split"), S.sents(),
+    f"x AS (SELECT sid FROM sents), y AS (SELECT * FROM {S.split_case('x', S.THREE)})", select="SELECT sid, split FROM y"
+)
 add("train_test_split", lambda b: b.tag_parts.select("sid", "split").distinct(), S.TAGGED, S.TSPLIT, select="SELECT sid, split FROM tsplit")
-add("preprocess_pipeline", lambda b: b.parts.select("sid", "split", joined("tokens")), S.sents(), S.CORPUS, select="SELECT sid, split, array_to_string(tokens, ' ') AS tokens FROM corpus")
+add(
+    "preprocess_pipeline", lambda b: b.parts.select("sid", "split", joined("tokens")), S.sents(), S.CORPUS,
+    select="SELECT sid, split, array_to_string(tokens, ' ') AS tokens FROM corpus"
+)
 
 # --- language model
 
 for _k, _c, _t in ((1, "''", "g1"), (2, "w2", "g2"), (3, "w1 || ' ' || w2", "g3")):
-    add(f"ngram_counts_{_k}", lambda b, k=_k: b.model.grams.where(f"k = {k}").select(joined("ctx", "ctx"), "word", "cnt"), S.LM, select=f"SELECT {_c} AS ctx, w AS word, cnt FROM {_t}")
-add("continuation_counts", lambda b: continuation_counts(b.model.grams).select(F.col("k").cast("bigint").alias("k"), joined("ctx", "ctx"), "word", "cnt"), S.MODEL, select="SELECT 2::BIGINT AS k, w2 AS ctx, w AS word, cnt FROM m2 UNION ALL SELECT 1::BIGINT, '', w, cnt FROM m1")
-add("context_totals", lambda b: context_totals(b.model.grams).select(F.col("k").cast("bigint").alias("k"), joined("ctx", "ctx"), "total", "n_types"), S.MODEL, select="SELECT 3::BIGINT AS k, w1 || ' ' || w2 AS ctx, t::BIGINT AS total, y AS n_types FROM t3 UNION ALL SELECT 2, w2, t::BIGINT, y FROM t2 UNION ALL SELECT 1, '', t1::BIGINT, y1 FROM one")
-add("top_unigrams", lambda b: b.model.top_unigrams().select("word", "cnt"), S.LM, select="SELECT w AS word, cnt FROM (SELECT * FROM g1 ORDER BY cnt DESC, fs LIMIT 500) WHERE w NOT IN ('<s>', '<UNK>')")
-add("model_stats", lambda b: model_stats(b.model.grams, b.model.vocab).select(F.col("k").cast("bigint").alias("k"), "grams", "tokens", "vocab_size"), S.MODEL, select="SELECT k::BIGINT AS k, grams, tokens::BIGINT AS tokens, v3 AS vocab_size FROM one, (SELECT 3 AS k, count(*) AS grams, sum(cnt) AS tokens FROM g3 UNION ALL SELECT 2, count(*), sum(cnt) FROM g2 UNION ALL SELECT 1, count(*), sum(cnt) FROM g1)")
-add("prune_ngrams", lambda b: b.small.grams.where("k > 1").select(F.col("k").cast("bigint").alias("k"), joined("ctx", "ctx"), "word", "cnt"), S.SMALL, select="SELECT 3::BIGINT AS k, w1 || ' ' || w2 AS ctx, w AS word, cnt FROM f3 UNION ALL SELECT 2, w2, w, cnt FROM f2")
+    add(
+        f"ngram_counts_{_k}", lambda b, k=_k: b.model.grams.where(f"k = {k}").select(joined("ctx", "ctx"), "word", "cnt"), S.LM,
+        select=f"SELECT {_c} AS ctx, w AS word, cnt FROM {_t}"
+    )
+add(
+    "continuation_counts",
+    lambda b: continuation_counts(b.model.grams).select(F.col("k").cast("bigint").alias("k"), joined("ctx", "ctx"), "word", "cnt"), S.MODEL,
+    select="SELECT 2::BIGINT AS k, w2 AS ctx, w AS word, cnt FROM m2 UNION ALL SELECT 1::BIGINT, '', w, cnt FROM m1"
+)
+add(
+    "context_totals", lambda b: context_totals(b.model.grams).select(F.col("k").cast("bigint").alias("k"), joined("ctx", "ctx"), "total", "n_types"),
+    S.MODEL,
+    select="SELECT 3::BIGINT AS k, w1 || ' ' || w2 AS ctx, t::BIGINT AS total, y AS n_types FROM t3 UNION ALL SELECT 2, w2, t::BIGINT, y FROM t2 UNION ALL SELECT 1, '', t1::BIGINT, y1 FROM one"
+)
+add(
+    "top_unigrams", lambda b: b.model.top_unigrams().select("word", "cnt"), S.LM,
+    select="SELECT w AS word, cnt FROM (SELECT * FROM g1 ORDER BY cnt DESC, fs LIMIT 500) WHERE w NOT IN ('<s>', '<UNK>')"
+)
+add(
+    "model_stats", lambda b: model_stats(b.model.grams, b.model.vocab).select(F.col("k").cast("bigint").alias("k"), "grams", "tokens", "vocab_size"),
+    S.MODEL,
+    select="SELECT k::BIGINT AS k, grams, tokens::BIGINT AS tokens, v3 AS vocab_size FROM one, (SELECT 3 AS k, count(*) AS grams, sum(cnt) AS tokens FROM g3 UNION ALL SELECT 2, count(*), sum(cnt) FROM g2 UNION ALL SELECT 1, count(*), sum(cnt) FROM g1)"
+)
+add(
+    "prune_ngrams", lambda b: b.small.grams.where("k > 1").select(F.col("k").cast("bigint").alias("k"), joined("ctx", "ctx"), "word", "cnt"), S.SMALL,
+    select="SELECT 3::BIGINT AS k, w1 || ' ' || w2 AS ctx, w AS word, cnt FROM f3 UNION ALL SELECT 2, w2, w, cnt FROM f2"
+)
 ASKED = f"asked AS (SELECT w1, w2, w, count(*) AS n FROM hp GROUP BY ALL), sc AS ({S.score('asked')})"
 
 
@@ -282,7 +387,10 @@ def _probs(b, m):
 
 
 for _m in METHODS:
-    add(f"prob_{_m}", lambda b, m=_m: _probs(b, m), S.MODEL, S.HELD, ASKED, select=f"SELECT w1 || ' ' || w2 AS ctx, w AS word, round(p_{_m}, 9) AS p FROM sc")
+    add(
+        f"prob_{_m}", lambda b, m=_m: _probs(b, m), S.MODEL, S.HELD, ASKED,
+        select=f"SELECT w1 || ' ' || w2 AS ctx, w AS word, round(p_{_m}, 9) AS p FROM sc"
+    )
     add(f"perplexity_{ {'stupid_backoff': 'sb', 'kneser_ney': 'kn'}.get(_m, _m) }", lambda b, m=_m: _ppl(b.model.perplexity(b.parts.where("split = 'dev'"), (m,))), S.MODEL, S.places("(SELECT * FROM corpus WHERE split = 'dev')", "dp"), f"asked AS (SELECT w1, w2, w, count(*) AS n FROM dp GROUP BY ALL), sc AS ({S.score('asked')})",
         select=f"SELECT '{_m}' AS method, min(p_{_m}) <= 0 AS infinite, CASE WHEN min(p_{_m}) > 0 THEN round(exp(-sum(n * ln(CASE WHEN p_{_m} > 0 THEN p_{_m} END)) / sum(n)), 4) END AS perplexity FROM sc")
 
@@ -302,15 +410,24 @@ def _sweep(b):
 
 
 _SW = [f"s{n} AS ({S.score('asked', n)})" for n in (1, 2, 3)]
-_PP = lambda t, n: " UNION ALL ".join(f"SELECT {n}::BIGINT AS n, '{m}' AS method, min(p_{m}) <= 0 AS infinite, CASE WHEN min(p_{m}) > 0 THEN round(exp(-sum(n * ln(CASE WHEN p_{m} > 0 THEN p_{m} END)) / sum(n)), 4) END AS perplexity, {m != 'stupid_backoff'} AS normalized FROM {t}" for m in METHODS)
-add("perplexity_sweep", _sweep, S.MODEL, S.places("(SELECT * FROM corpus WHERE split = 'dev')", "dp"), "asked AS (SELECT w1, w2, w, count(*) AS n FROM dp GROUP BY ALL)", *_SW, select=" UNION ALL ".join(_PP(f"s{n}", n) for n in (1, 2, 3)))
+_PP = lambda t, n: " UNION ALL ".join(
+    f"SELECT {n}::BIGINT AS n, '{m}' AS method, min(p_{m}) <= 0 AS infinite, CASE WHEN min(p_{m}) > 0 THEN round(exp(-sum(n * ln(CASE WHEN p_{m} > 0 THEN p_{m} END)) / sum(n)), 4) END AS perplexity, {m != 'stupid_backoff'} AS normalized FROM {t}" for m in METHODS
+)
+add(
+    "perplexity_sweep", _sweep, S.MODEL, S.places("(SELECT * FROM corpus WHERE split = 'dev')", "dp"),
+    "asked AS (SELECT w1, w2, w, count(*) AS n FROM dp GROUP BY ALL)", *_SW, select=" UNION ALL ".join(_PP(f"s{n}", n) for n in (1, 2, 3))
+)
 
 
 MASSES = (("<s>", "<s>"), ("<s>", "the"), ("no", "such"), ("of", "the"))
 add("distribution_mass", lambda b: b.model.mass(b.spark.createDataFrame([(list(c),) for c in MASSES], "ctx array<string>")).select(joined("ctx", "ctx"), *[r6(f"mass_{m}") for m in METHODS]), S.MODEL,
     f"asked AS (SELECT c.w1, c.w2, v.w FROM (VALUES {', '.join(str(c) for c in MASSES)}) c(w1, w2) CROSS JOIN (SELECT w FROM g1 UNION ALL SELECT '<s>') v), sc AS ({S.score('asked')})", select="SELECT w1 || ' ' || w2 AS ctx, " + ", ".join(f"round(sum(p_{m}), 6) AS mass_{m}" for m in METHODS) + " FROM sc GROUP BY 1")
 _TOP = "SELECT w1 || ' ' || w2 AS ctx, r AS rank, w AS word, round(p_stupid_backoff, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY w1, w2 ORDER BY " + S.rk("p_stupid_backoff") + " DESC, w) AS r FROM cand) WHERE r <= 10"
-add("candidates", lambda b: b.small.candidates(b.contexts, 10).select(joined("ctx", "ctx"), F.col("rank").cast("bigint").alias("rank"), "word", r6("score")), S.SMALL, S.HELD, S.candidates("hp", 10), select=_TOP)
+add(
+    "candidates",
+    lambda b: b.small.candidates(b.contexts, 10).select(joined("ctx", "ctx"), F.col("rank").cast("bigint").alias("rank"), "word", r6("score")),
+    S.SMALL, S.HELD, S.candidates("hp", 10), select=_TOP
+)
 
 # --- lexicon
 
@@ -319,19 +436,40 @@ PREF = "pref AS (SELECT substring(word, 1, i) AS prefix, word, cnt FROM (SELECT
 ASKP = "('th', 'un', 'a', 'zzz', 'que', '')"
 _asked = lambda b: b.spark.createDataFrame([(x,) for x in ("th", "un", "a", "zzz", "que", "")], "asked string")
 add("trie_words", lambda b: b.lexicon, S.LM, LEX, select="SELECT word, cnt FROM lex")
-add("trie_lookup", lambda b: lexicon.lookup(b.lexicon, b.spark.createDataFrame([(x,) for x in ("th", "the", "zzz", "que")], "asked string")), S.LM, LEX, PREF, select="SELECT a AS asked, a IN (SELECT word FROM lex) AS is_word, coalesce((SELECT cnt FROM lex WHERE word = a), 0) AS cnt, a IN (SELECT prefix FROM pref) AS has_prefix FROM (SELECT unnest(['th', 'the', 'zzz', 'que']) AS a)")
-add("trie_words_with_prefix", lambda b: lexicon.words_with_prefix(b.lexicon, _asked(b)), S.LM, LEX, PREF, select=f"SELECT prefix, word, cnt FROM pref WHERE prefix IN {ASKP}")
-add("trie_complete", lambda b: lexicon.complete(b.lexicon, _asked(b), 10).select("prefix", F.col("rank").cast("bigint").alias("rank"), "word", "cnt"), S.LM, LEX, PREF, select=f"SELECT prefix, r AS rank, word, cnt FROM (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY cnt DESC, word) AS r FROM pref WHERE prefix IN {ASKP}) WHERE r <= 10")
+add(
+    "trie_lookup", lambda b: lexicon.lookup(b.lexicon, b.spark.createDataFrame([(x,) for x in ("th", "the", "zzz", "que")], "asked string")), S.LM,
+    LEX, PREF,
+    select="SELECT a AS asked, a IN (SELECT word FROM lex) AS is_word, coalesce((SELECT cnt FROM lex WHERE word = a), 0) AS cnt, a IN (SELECT prefix FROM pref) AS has_prefix FROM (SELECT unnest(['th', 'the', 'zzz', 'que']) AS a)"
+)
+add(
+    "trie_words_with_prefix", lambda b: lexicon.words_with_prefix(b.lexicon, _asked(b)), S.LM, LEX, PREF,
+    select=f"SELECT prefix, word, cnt FROM pref WHERE prefix IN {ASKP}"
+)
+add(
+    "trie_complete", lambda b: lexicon.complete(b.lexicon, _asked(b), 10).select("prefix", F.col("rank").cast("bigint").alias("rank"), "word", "cnt"),
+    S.LM, LEX, PREF,
+    select=f"SELECT prefix, r AS rank, word, cnt FROM (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY cnt DESC, word) AS r FROM pref WHERE prefix IN {ASKP}) WHERE r <= 10"
+)
 add("trie_node_count", lambda b: lexicon.node_count(b.lexicon), S.LM, LEX, PREF, select="SELECT count(DISTINCT prefix) AS nodes FROM pref")
 
 # --- profiles
 
 _US = lambda cap=C.profile_cap: S.USERS.replace("CAPPED", str(cap))
-add("user_ring_buffer", lambda b: profile.retained(b.observed, USER_CAP).select("user", "seq", joined("tokens")), _US(USER_CAP), select="SELECT \"user\", seq, array_to_string(tokens, ' ') AS tokens FROM ret")
+add(
+    "user_ring_buffer", lambda b: profile.retained(b.observed, USER_CAP).select("user", "seq", joined("tokens")), _US(USER_CAP),
+    select="SELECT \"user\", seq, array_to_string(tokens, ' ') AS tokens FROM ret"
+)
 add("user_profile_stats", lambda b: profile.stats(b.observed).select("user", "tokens", "sentences", "vocabulary", r6("weight")), _US(), 'v AS (SELECT "user", count(DISTINCT w) AS vocabulary FROM (SELECT "user", unnest(tokens) AS w FROM obs) GROUP BY 1), k AS (SELECT "user", sum(len(tokens))::BIGINT AS tokens, count(*) AS sentences FROM ret GROUP BY 1)',
     select=f'SELECT v."user", coalesce(tokens, 0)::BIGINT AS tokens, coalesce(sentences, 0) AS sentences, vocabulary, round({C.lambda_max} * least(1.0, coalesce(tokens, 0) / {C.growth_tokens}.0), 6) AS weight FROM v LEFT JOIN k ON v."user" = k."user"')
-add("user_weight", lambda b: profile.stats(b.observed).select("user", r6("weight")), _US(), select=f'SELECT "user", round({C.lambda_max} * least(1.0, sum(len(tokens)) / {C.growth_tokens}.0), 6) AS weight FROM ret GROUP BY 1')
-add("user_ngram_counts", lambda b: b.user_grams.select("user", F.col("k").cast("bigint").alias("k"), joined("ctx", "ctx"), "word", "cnt"), _US(), S.USER_GRAMS, select="SELECT \"user\", 3::BIGINT AS k, w1 || ' ' || w2 AS ctx, w AS word, cnt FROM ug3 UNION ALL SELECT \"user\", 2, w2, w, cnt FROM ug2 UNION ALL SELECT \"user\", 1, '', w, cnt FROM ug1")
+add(
+    "user_weight", lambda b: profile.stats(b.observed).select("user", r6("weight")), _US(),
+    select=f'SELECT "user", round({C.lambda_max} * least(1.0, sum(len(tokens)) / {C.growth_tokens}.0), 6) AS weight FROM ret GROUP BY 1'
+)
+add(
+    "user_ngram_counts", lambda b: b.user_grams.select("user", F.col("k").cast("bigint").alias("k"), joined("ctx", "ctx"), "word", "cnt"), _US(),
+    S.USER_GRAMS,
+    select="SELECT \"user\", 3::BIGINT AS k, w1 || ' ' || w2 AS ctx, w AS word, cnt FROM ug3 UNION ALL SELECT \"user\", 2, w2, w, cnt FROM ug2 UNION ALL SELECT \"user\", 1, '', w, cnt FROM ug1"
+)
 
 
 def _user_asked(b):
@@ -342,11 +480,15 @@ def _user_asked(b):
 _UA = """ua AS (SELECT DISTINCT "user", p[i-2] AS w1, p[i-1] AS w2, p[i] AS w FROM (SELECT "user", p, unnest(range(3, len(p) + 1)) AS i
  FROM (SELECT "user", ['<s>', '<s>'] || tokens || ['</s>'] AS p FROM obs)))"""
 add(
-    "user_prob", lambda b: profile.user_prob(_user_asked(b), b.user_grams).select("user", joined("ctx", "ctx"), "word", r6("p_user")), _US(), S.USER_GRAMS, _UA,
+    "user_prob", lambda b: profile.user_prob(_user_asked(b), b.user_grams).select(
+        "user", joined("ctx", "ctx"), "word", r6("p_user")
+    ), _US(), S.USER_GRAMS, _UA,
     select=f"SELECT \"user\", w1 || ' ' || w2 AS ctx, w AS word, round(p_user, 6) AS p_user FROM ({S.user_score('ua')})",
 )
 add(
-    "user_candidates", lambda b: profile.user_candidates(_user_asked(b), b.user_grams, 10).select("user", joined("ctx", "ctx"), F.col("rank").cast("bigint").alias("rank"), "word", r6("p_user")),
+    "user_candidates", lambda b: profile.user_candidates(_user_asked(b), b.user_grams, 10).select(
+        "user", joined("ctx", "ctx"), F.col("rank").cast("bigint").alias("rank"), "word", r6("p_user")
+    ),
     _US(), S.USER_GRAMS, _UA, f"uas AS (SELECT DISTINCT \"user\", w1, w2 FROM ua), {S.user_candidates('uas', 10)}",
     select="SELECT \"user\", w1 || ' ' || w2 AS ctx, r AS rank, w AS word, round(p_user, 6) AS p_user FROM ucr",
 )
@@ -361,7 +503,8 @@ def _user_complete(b):
 
 
 add(
-    "user_complete", _user_complete, _US(), "w AS (SELECT \"user\", word, count(*) AS cnt FROM (SELECT \"user\", unnest(tokens) AS word FROM obs) GROUP BY ALL)",
+    "user_complete", _user_complete, _US(), "w AS (SELECT \"user\", word, count(*) AS cnt FROM (SELECT \"user\", unnest(tokens) AS word FROM obs)"
+    " GROUP BY ALL)",
     "p AS (SELECT DISTINCT \"user\", word, cnt, unnest([substring(word, 1, 1), substring(word, 1, 2)]) AS prefix FROM w)",
     select="SELECT \"user\", prefix, r AS rank, word, cnt FROM (SELECT *, row_number() OVER (PARTITION BY \"user\", prefix ORDER BY cnt DESC, word) AS r FROM p) WHERE r <= 3",
 )
@@ -373,10 +516,22 @@ add("hmm_start_counts", lambda b: b.tagger.tag_counts.select("tag", "starts"), S
 add("hmm_final_counts", lambda b: b.tagger.tag_counts.select("tag", "finals"), S.HMM, select="SELECT tag, finals FROM tc")
 add("hmm_transition_counts", lambda b: b.tagger.transitions, S.HMM, select="SELECT prev, tag, cnt FROM trc")
 add("hmm_emission_counts", lambda b: b.tagger.emissions.select("word", "tag", "cnt"), S.HMM, select="SELECT word, tag, cnt FROM emc")
-_tags = lambda b, xs: b.spark.createDataFrame([(t, float(x)) for t, x in zip(b.tagger.tags, xs, strict=True)], "tag string, lp double").select("tag", r6("lp"))
-for _n, _a, _t in (("hmm_initial", "log_initial", "h_init"), ("hmm_final", "log_final", "h_final"), ("hmm_unk_laplace", "unk_laplace", "h_lap"), ("hmm_hapax_prior", "unk_hapax", "h_hap")):
+_tags = lambda b, xs: b.spark.createDataFrame(
+    [(t, float(x)) for t, x in zip(b.tagger.tags, xs, strict=True)], "tag string, lp double"
+).select("tag", r6("lp"))
+for _n, _a, _t in (
+    ("hmm_initial", "log_initial", "h_init"), ("hmm_final", "log_final", "h_final"), ("hmm_unk_laplace", "unk_laplace", "h_lap"),
+    ("hmm_hapax_prior", "unk_hapax", "h_hap")
+):
     add(_n, lambda b, a=_a: _tags(b, getattr(b.tagger, a)), S.HMM, select=f"SELECT tag, round(lp, 6) AS lp FROM {_t}")
-add("hmm_transition", lambda b: b.spark.createDataFrame([(p, t, b.tagger.log_transition[i][j]) for i, p in enumerate(b.tagger.tags) for j, t in enumerate(b.tagger.tags)], "prev string, tag string, lp double").select("prev", "tag", r6("lp")), S.HMM, select="SELECT prev, tag, round(lp, 6) AS lp FROM h_trans")
+add(
+    "hmm_transition",
+    lambda b: b.spark.createDataFrame(
+        [(p, t, b.tagger.log_transition[i][j]) for i, p in enumerate(b.tagger.tags) for j, t in enumerate(b.tagger.tags)],
+        "prev string, tag string, lp double"
+    ).select("prev", "tag", r6("lp")),
+    S.HMM, select="SELECT prev, tag, round(lp, 6) AS lp FROM h_trans"
+)
 
 
 def _long(b, df, *keys):
@@ -387,40 +542,80 @@ def _long(b, df, *keys):
 add("hmm_emission", lambda b: _long(b, b.tagger.emission_table(), "word"), S.HMM, select="SELECT word, tag, round(lp, 6) AS lp FROM h_emit")
 add("hmm_emission_lookup", lambda b: _long(b, b.tagger.with_emissions(b.tag_test.select("sid", "pos", "word")).select("word", "known", "emit").distinct(), "word", "known"), S.HMM,
     select="SELECT w.word, e.lp IS NOT NULL AS known, h.tag, round(coalesce(e.lp, h.lp), 6) AS lp FROM (SELECT DISTINCT word FROM te) w CROSS JOIN h_hap h LEFT JOIN h_emit e ON e.word = w.word AND e.tag = h.tag")
-add("hmm_most_frequent_tag", lambda b: b.spark.createDataFrame([(b.tagger.most_frequent,)], "tag string"), S.HMM, select="SELECT tag FROM (SELECT tag, count(*) AS c, min({'s': sid, 'p': pos}) AS fs FROM tr GROUP BY tag ORDER BY c DESC, fs LIMIT 1)")
+add(
+    "hmm_most_frequent_tag", lambda b: b.spark.createDataFrame([(b.tagger.most_frequent,)], "tag string"), S.HMM,
+    select="SELECT tag FROM (SELECT tag, count(*) AS c, min({'s': sid, 'p': pos}) AS fs FROM tr GROUP BY tag ORDER BY c DESC, fs LIMIT 1)"
+)
 BASELINE = "bl AS (SELECT lower, tag FROM (SELECT *, row_number() OVER (PARTITION BY lower ORDER BY c DESC, fs) AS r FROM (SELECT lower(word) AS lower, tag, count(*) AS c, min({'s': sid, 'p': pos}) AS fs FROM tr GROUP BY ALL)) WHERE r = 1)"
 add("mft_baseline", lambda b: hmm.baseline(b.tag_train), S.HMM, BASELINE, select="SELECT lower, tag FROM bl")
 add("mft_predict", lambda b: b.tag_test.withColumn("lower", F.lower("word")).join(hmm.baseline(b.tag_train).withColumnRenamed("tag", "pred"), "lower", "left").select("sid", F.col("pos").cast("bigint").alias("pos"), F.coalesce("pred", F.lit(b.tagger.most_frequent)).alias("pred")), S.HMM, BASELINE,
     "mf AS (SELECT tag FROM (SELECT tag, count(*) AS c, min({'s': sid, 'p': pos}) AS fs FROM tr GROUP BY tag ORDER BY c DESC, fs LIMIT 1))", select="SELECT sid, pos::BIGINT AS pos, coalesce(b.tag, (SELECT tag FROM mf)) AS pred FROM te LEFT JOIN bl b ON lower(te.word) = b.lower")
-add("viterbi", lambda b: b.tagger.decode(b.tag_test.select("sid", "pos", "word")).select("sid", joined("path", "path")), S.HMM, S.viterbi("te"), select="SELECT sid, string_agg(tag, ' ' ORDER BY pos) AS path FROM path GROUP BY sid", recursive=True)
-add("viterbi_score", lambda b: b.tagger.decode(b.tag_test.select("sid", "pos", "word")).select("sid", r6("score")), S.HMM, S.viterbi("te"), select="SELECT sid, round(score, 6) AS score FROM fin", recursive=True)
+add(
+    "viterbi", lambda b: b.tagger.decode(b.tag_test.select("sid", "pos", "word")).select("sid", joined("path", "path")), S.HMM, S.viterbi("te"),
+    select="SELECT sid, string_agg(tag, ' ' ORDER BY pos) AS path FROM path GROUP BY sid", recursive=True
+)
+add(
+    "viterbi_score", lambda b: b.tagger.decode(b.tag_test.select("sid", "pos", "word")).select("sid", r6("score")), S.HMM, S.viterbi("te"),
+    select="SELECT sid, round(score, 6) AS score FROM fin", recursive=True
+)
 
 
 def _trellis(b):
     names = F.array(*map(F.lit, b.tagger.tags))
     d = b.tagger.trellis(b.tag_test.select("sid", "pos", "word")).select("sid", F.posexplode("trellis").alias("pos", "col"))
-    return d.select("sid", "pos", F.posexplode("col").alias("i", "score")).select("sid", F.col("pos").cast("bigint").alias("pos"), F.get(names, F.col("i")).alias("tag"), r6("score"))
+    return d.select("sid", "pos", F.posexplode("col").alias("i", "score")).select(
+        "sid", F.col("pos").cast("bigint").alias("pos"), F.get(names, F.col("i")).alias("tag"), r6("score")
+    )
 
 
 add("trellis_column", _trellis, S.HMM, S.viterbi("te"), select="SELECT sid, pos::BIGINT AS pos, tag, round(score, 6) AS score FROM v", recursive=True)
 PREDS = "preds AS (SELECT te.sid, te.pos, te.word, te.tag AS gold, p.tag AS pred, te.word IN (SELECT word FROM wds) AS known FROM te JOIN path p ON p.sid = te.sid AND p.pos = te.pos)"
-add("tag_predictions", lambda b: b.preds.select("sid", F.col("pos").cast("bigint").alias("pos"), "word", "gold", "pred", "known"), S.HMM, S.viterbi("te"), PREDS, select="SELECT sid, pos::BIGINT AS pos, word, gold, pred, known FROM preds", recursive=True)
+add(
+    "tag_predictions", lambda b: b.preds.select("sid", F.col("pos").cast("bigint").alias("pos"), "word", "gold", "pred", "known"), S.HMM,
+    S.viterbi("te"), PREDS, select="SELECT sid, pos::BIGINT AS pos, word, gold, pred, known FROM preds", recursive=True
+)
 _EV = "SELECT count(*) AS tokens, round(avg((gold = pred)::INT), 6) AS accuracy, round(coalesce(avg((gold = pred)::INT) FILTER (known), 0), 6) AS known_accuracy, round(coalesce(avg((gold = pred)::INT) FILTER (NOT known), 0), 6) AS unknown_accuracy, round(avg((NOT known)::INT), 6) AS oov_rate FROM preds"
 _ev = lambda df: df.select("tokens", *[r6(c) for c in ("accuracy", "known_accuracy", "unknown_accuracy", "oov_rate")])
 add("tagger_eval", lambda b: _ev(hmm.evaluate(b.preds)), S.HMM, S.viterbi("te"), PREDS, select=_EV, recursive=True)
-add("tagger_eval_per_tag", lambda b: b.preds.groupBy("gold").agg(F.count_if(F.col("gold") == F.col("pred")).alias("correct"), F.count("*").alias("total")), S.HMM, S.viterbi("te"), PREDS, select="SELECT gold, count(*) FILTER (gold = pred) AS correct, count(*) AS total FROM preds GROUP BY gold", recursive=True)
-add("confusion_matrix", lambda b: hmm.confusion(b.preds), S.HMM, S.viterbi("te"), PREDS, select="SELECT gold, pred, count(*) AS cnt FROM preds GROUP BY ALL", recursive=True)
-add("confusion_pairs", lambda b: hmm.confusion(b.preds).where("gold <> pred").orderBy(F.col("cnt").desc(), "gold", "pred").limit(10), S.HMM, S.viterbi("te"), PREDS, select="SELECT gold, pred, count(*) AS cnt FROM preds WHERE gold <> pred GROUP BY ALL ORDER BY cnt DESC, gold, pred LIMIT 10", recursive=True)
-add("without_oov", lambda b: b.preds.groupBy("sid").agg(F.every("known").alias("ok")).where("ok").select("sid"), S.HMM, select="SELECT sid FROM te GROUP BY sid HAVING bool_and(word IN (SELECT word FROM wds))")
+add(
+    "tagger_eval_per_tag",
+    lambda b: b.preds.groupBy("gold").agg(F.count_if(F.col("gold") == F.col("pred")).alias("correct"), F.count("*").alias("total")), S.HMM,
+    S.viterbi("te"), PREDS, select="SELECT gold, count(*) FILTER (gold = pred) AS correct, count(*) AS total FROM preds GROUP BY gold", recursive=True
+)
+add(
+    "confusion_matrix", lambda b: hmm.confusion(b.preds), S.HMM, S.viterbi("te"), PREDS,
+    select="SELECT gold, pred, count(*) AS cnt FROM preds GROUP BY ALL", recursive=True
+)
+add(
+    "confusion_pairs", lambda b: hmm.confusion(b.preds).where("gold <> pred").orderBy(F.col("cnt").desc(), "gold", "pred").limit(10), S.HMM,
+    S.viterbi("te"), PREDS,
+    select="SELECT gold, pred, count(*) AS cnt FROM preds WHERE gold <> pred GROUP BY ALL ORDER BY cnt DESC, gold, pred LIMIT 10", recursive=True
+)
+add(
+    "without_oov", lambda b: b.preds.groupBy("sid").agg(F.every("known").alias("ok")).where("ok").select("sid"), S.HMM,
+    select="SELECT sid FROM te GROUP BY sid HAVING bool_and(word IN (SELECT word FROM wds))"
+)
 add("sequence_logprob", lambda b: b.tagger.sequence_logprob(b.tag_test).select("sid", r6("logprob")), S.HMM,
     "x AS (SELECT *, lag(tag) OVER (PARTITION BY sid ORDER BY pos) AS p, lead(tag) OVER (PARTITION BY sid ORDER BY pos) AS nx FROM te)",
     select="SELECT x.sid, round(sum(coalesce(t.lp, i.lp) + coalesce(e.lp, h.lp) + CASE WHEN nx IS NULL THEN f.lp ELSE 0 END), 6) AS logprob FROM x LEFT JOIN h_trans t ON t.prev = x.p AND t.tag = x.tag JOIN h_init i ON i.tag = x.tag JOIN h_final f ON f.tag = x.tag JOIN h_hap h ON h.tag = x.tag LEFT JOIN h_emit e ON e.word = x.word AND e.tag = x.tag GROUP BY x.sid")
-add("punctuation_tag", lambda b: hmm.punctuation_tag(b.shaped), S.SHAPED, select="SELECT coalesce((SELECT tag FROM (SELECT tag, count(*) AS c, min({'s': sid, 'p': pos}) AS fs FROM tagged WHERE NOT regexp_matches(word, '[\\p{L}\\p{N}]') GROUP BY tag ORDER BY c DESC, fs LIMIT 1)), '.') AS tag")
-add("clean_tagged", lambda b: hmm.clean_tagged(b.shaped).select("sid", F.col("pos").cast("bigint").alias("pos"), "word", "tag"), S.SHAPED, select="SELECT sid, pos::BIGINT AS pos, word, tag FROM tagged")
-add("tagged_corpus_stats", lambda b: hmm.tagged_stats(b.tagged).select("sentences", "tokens", "types", r6("ttr"), r6("mean_len"), "tags", "most_common_tag"), S.TAGGED, select="SELECT count(DISTINCT sid) AS sentences, count(*) AS tokens, count(DISTINCT word) AS types, round(count(DISTINCT word) / count(*), 6) AS ttr, round(count(*) / count(DISTINCT sid), 6) AS mean_len, count(DISTINCT tag) AS tags, (SELECT tag FROM (SELECT tag, count(*) AS c, min({'s': sid, 'p': pos}) AS fs FROM tagged GROUP BY tag ORDER BY c DESC, fs LIMIT 1)) AS most_common_tag FROM tagged")
+add(
+    "punctuation_tag", lambda b: hmm.punctuation_tag(b.shaped), S.SHAPED,
+    select="SELECT coalesce((SELECT tag FROM (SELECT tag, count(*) AS c, min({'s': sid, 'p': pos}) AS fs FROM tagged WHERE NOT regexp_matches(word, '[\\p{L}\\p{N}]') GROUP BY tag ORDER BY c DESC, fs LIMIT 1)), '.') AS tag"
+)
+add(
+    "clean_tagged", lambda b: hmm.clean_tagged(b.shaped).select("sid", F.col("pos").cast("bigint").alias("pos"), "word", "tag"), S.SHAPED,
+    select="SELECT sid, pos::BIGINT AS pos, word, tag FROM tagged"
+)
+add(
+    "tagged_corpus_stats",
+    lambda b: hmm.tagged_stats(b.tagged).select("sentences", "tokens", "types", r6("ttr"), r6("mean_len"), "tags", "most_common_tag"), S.TAGGED,
+    select="SELECT count(DISTINCT sid) AS sentences, count(*) AS tokens, count(DISTINCT word) AS types, round(count(DISTINCT word) / count(*), 6) AS ttr, round(count(*) / count(DISTINCT sid), 6) AS mean_len, count(DISTINCT tag) AS tags, (SELECT tag FROM (SELECT tag, count(*) AS c, min({'s': sid, 'p': pos}) AS fs FROM tagged GROUP BY tag ORDER BY c DESC, fs LIMIT 1)) AS most_common_tag FROM tagged"
+)
 _RULES = ", ".join(f"({S.q(s)}, {list(t)})" for s, t in (*T.SUFFIX_RULES, *T.DEVANAGARI_RULES))
 add("suffix_rule_report", lambda b: hmm.suffix_report(b.shaped).select("suffix", "types", "correct", r6("purity")), S.SHAPED, "gold AS (SELECT word, tag FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY c DESC, fs) AS r FROM (SELECT word, tag, count(*) AS c, min({'s': sid, 'p': pos}) AS fs FROM tagged GROUP BY ALL)) WHERE r = 1)",
-    f"rules AS (SELECT * FROM (VALUES {_RULES}) v(suffix, tags))", f"hit AS (SELECT word, tag, CASE WHEN regexp_matches(word, '[\\x{{0900}}-\\x{{097f}}]') THEN {S.suffix_case(T.DEVANAGARI_RULES, False, 'word')} ELSE {S.suffix_case(T.SUFFIX_RULES, False, 'word')} END AS suffix FROM gold)",
+    f"rules AS (SELECT * FROM (VALUES {_RULES}) v(suffix, tags))", f"hit AS (SELECT word, tag, CASE"
+    f" WHEN regexp_matches(word, '[\\x{{0900}}-\\x{{097f}}]') THEN {S.suffix_case(T.DEVANAGARI_RULES, False, 'word')}"
+    f" ELSE {S.suffix_case(T.SUFFIX_RULES, False, 'word')} END AS suffix FROM gold)",
     select="SELECT h.suffix, count(*) AS types, count(*) FILTER (list_contains(r.tags, h.tag)) AS correct, round(count(*) FILTER (list_contains(r.tags, h.tag)) / count(*), 6) AS purity FROM hit h JOIN rules r USING (suffix) GROUP BY h.suffix")
 # --- prediction
 
@@ -433,7 +628,11 @@ def _percentiles(b):
     return h.groupBy("event_type").agg(*out)
 
 
-add("percentile_nearest_rank", _percentiles, "s AS (SELECT event_type, list(value ORDER BY value) AS v FROM events WHERE value IS NOT NULL GROUP BY 1)", select="SELECT event_type, " + ", ".join(f"v[least(len(v) - 1, len(v) * {p} // 100) + 1] AS p{p}" for p in (50, 95, 99)) + " FROM s")
+add(
+    "percentile_nearest_rank", _percentiles,
+    "s AS (SELECT event_type, list(value ORDER BY value) AS v FROM events WHERE value IS NOT NULL GROUP BY 1)",
+    select="SELECT event_type, " + ", ".join(f"v[least(len(v) - 1, len(v) * {p} // 100) + 1] AS p{p}" for p in (50, 95, 99)) + " FROM s"
+)
 
 
 from . import catalog_more  # noqa: E402  adds its queries to these

@@ -33,7 +33,9 @@ def _pruning(b):
         row = K._ppl(p.perplexity(dev, ("stupid_backoff", "kneser_ney")))
         size = F.octet_length(F.array_join("ctx", " ")) + F.octet_length("word") + 8
         row = row.crossJoin(p.grams.agg(F.count("*").alias("grams"), F.sum(size).alias("bytes")))
-        row = row.select(F.lit(least).cast("bigint").alias("min_count"), F.lit(most).cast("bigint").alias("most"), "grams", "bytes", "method", "perplexity")
+        row = row.select(
+            F.lit(least).cast("bigint").alias("min_count"), F.lit(most).cast("bigint").alias("most"), "grams", "bytes", "method", "perplexity"
+        )
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -45,8 +47,13 @@ def _pruning_sql() -> str:
         cut = lambda keys, g: f"""(SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY cnt DESC, fs) AS r FROM {g} WHERE cnt >= {least}) WHERE r <= {most or 1 << 40})"""  # noqa: E731, B023
         size = """SELECT count(*) AS grams, sum(b)::BIGINT AS bytes FROM (SELECT strlen(w) + 8 AS b FROM g1 UNION ALL SELECT strlen(w2) + strlen(w) + 8 FROM f2
  UNION ALL SELECT strlen(w1) + 1 + strlen(w2) + strlen(w) + 8 FROM f3)"""
-        rows = " UNION ALL ".join(f"SELECT {least}::BIGINT AS min_count, {most}::BIGINT AS most, grams, bytes, '{m}' AS method, round(exp(-sum(n * ln(p_{m})) / sum(n)), 4) AS perplexity FROM sc, sz GROUP BY grams, bytes" for m in ("stupid_backoff", "kneser_ney"))
-        parts.append(f"SELECT * FROM (WITH {S.LM},\nf3 AS {cut('w1, w2', 'g3')}, f2 AS {cut('w2', 'g2')},\n{S.derived('f3', 'f2')},\n{dev}, sz AS ({size}), sc AS ({S.score('asked', 3, 'f3', 'f2')}) {rows})")
+        rows = " UNION ALL ".join(
+            f"SELECT {least}::BIGINT AS min_count, {most}::BIGINT AS most, grams, bytes, '{m}' AS method, round(exp(-sum(n * ln(p_{m})) / sum(n)), 4) AS perplexity FROM sc, sz GROUP BY grams, bytes" for m in ("stupid_backoff", "kneser_ney")
+        )
+        parts.append(
+            f"SELECT * FROM (WITH {S.LM},\nf3 AS {cut('w1, w2', 'g3')}, f2 AS {cut('w2', 'g2')},\n{S.derived('f3', 'f2')},\n{dev}, sz AS ({size}),"
+            f" sc AS ({S.score('asked', 3, 'f3', 'f2')}) {rows})"
+        )
     return "\nUNION ALL ".join(parts)
 
 
@@ -120,7 +127,9 @@ def _unknown_grid(b):
 
 
 add(
-    "unknown_word_ablation", _unknown_grid, S.HMM, *[f"{S.decoded('te', str(i), prior=p, strategy=s)},\n{_preds(str(i))}" for i, (p, s) in enumerate(GRID)],
+    "unknown_word_ablation", _unknown_grid, S.HMM, *[
+        f"{S.decoded('te', str(i), prior=p, strategy=s)},\n{_preds(str(i))}" for i, (p, s) in enumerate(GRID)
+    ],
     select=" UNION ALL ".join(f"SELECT '{p}' AS prior, '{s}' AS strategy, {_EV3} FROM preds{i}" for i, (p, s) in enumerate(GRID)), recursive=True,
 )
 
@@ -155,7 +164,9 @@ def _languages(b):
         base = test.withColumn("lower", F.lower("word")).join(hmm.baseline(train).withColumnRenamed("tag", "best"), "lower", "left")
         hit = (F.coalesce("best", F.lit(t.most_frequent)) == F.col("tag")).cast("double")
         base = base.agg(F.round(F.avg(hit), 6).alias("baseline_accuracy"))
-        sizes = split.agg(F.count_if(F.col("split") == "train").alias("train_sentences"), F.count_if(F.col("split") == "test").alias("test_sentences"))
+        sizes = split.agg(
+            F.count_if(F.col("split") == "train").alias("train_sentences"), F.count_if(F.col("split") == "test").alias("test_sentences")
+        )
         scores = K._ev(hmm.evaluate(t.predictions(test))).drop("tokens")
         stats = hmm.tagged_stats(tagged).select(F.lit(lang).alias("language"), "sentences", "tokens", "types", r6("ttr"), "tags")
         row = stats.crossJoin(sizes).crossJoin(scores).crossJoin(base)  # one row each
@@ -185,7 +196,9 @@ add("language_comparison", _languages, select=_languages_sql())
 
 def _buffers(b):
     """(conv_id, turn, state, buffer): the whole turn, with a blank after it, and without its last three characters."""
-    c = b.table("conversations").where("role = 'user'").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"), F.explode(F.array(*map(F.lit, (0, 1, 2)))).alias("state"))
+    c = b.table("conversations").where("role = 'user'").select(
+        "conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"), F.explode(F.array(*map(F.lit, (0, 1, 2)))).alias("state")
+    )
     typed = F.when(F.col("state") == 0, F.col("text")).when(F.col("state") == 1, F.concat("text", F.lit(" ")))
     typed = typed.otherwise(F.substring("text", F.lit(1), F.greatest(F.length("text") - 3, F.lit(0))))
     return c.select("conv_id", "turn", F.col("state").cast("bigint").alias("state"), typed.alias("buffer"))
@@ -193,7 +206,9 @@ def _buffers(b):
 
 def _asked(b, users=False):
     """Requests by turn and state, and the distinct ones of them, which are predicted once."""
-    rows = _buffers(b).withColumn("req_id", F.struct("conv_id", "turn", "state")).withColumn("user", F.col("conv_id") if users else F.lit(None).cast("bigint"))
+    rows = _buffers(b).withColumn("req_id", F.struct("conv_id", "turn", "state")).withColumn(
+        "user", F.col("conv_id") if users else F.lit(None).cast("bigint")
+    )
     asked = predict.requests_from_buffers(rows)
     once = asked.select("user", "ctx", "prefix").distinct().withColumn("req_id", F.struct("user", "ctx", "prefix"))
     return asked.select("req_id.*", "user", "ctx", "prefix"), once
@@ -240,13 +255,16 @@ SHOWN = "SELECT q.conv_id, q.turn, q.state, x.r AS rank, {} FROM rq q JOIN {} x
 def _suggest(b):
     asked, once = _asked(b)
     p = _predictor(b, truecase=True)
-    r = p.rank(p.scored(once)).select("user", "ctx", "prefix", big("rank"), F.col("shown").alias("word"), r6("score"), F.lit("base").alias("source"), "mode")
+    r = p.rank(p.scored(once)).select(
+        "user", "ctx", "prefix", big("rank"), F.col("shown").alias("word"), r6("score"), F.lit("base").alias("source"), "mode"
+    )
     return _back(asked, r, "rank", "word", "score", "source", "mode")
 
 
 add(
     "suggest", _suggest, *BOTH, S.TOKS, K.TC,
-    f"rr AS (SELECT *, row_number() OVER (PARTITION BY w1, w2, prefix ORDER BY {S.rk('p')} DESC, shown) AS r FROM (SELECT rc.*, coalesce(surface, w) AS shown FROM rc LEFT JOIN truecase t ON t.lower = w))",
+    f"rr AS (SELECT *, row_number() OVER (PARTITION BY w1, w2, prefix ORDER BY {S.rk('p')} DESC, shown) AS r"
+    f" FROM (SELECT rc.*, coalesce(surface, w) AS shown FROM rc LEFT JOIN truecase t ON t.lower = w))",
     select=SHOWN.format("x.shown AS word, round(x.p, 6) AS score, 'base' AS source, x.mode", "rr"),
 )
 
@@ -254,7 +272,10 @@ add(
 def _personalised(b):
     asked, once = _asked(b, users=True)
     p = _predictor(b, users=True)
-    r = p.rank(p.scored(once)).select("user", "ctx", "prefix", big("rank"), F.col("shown").alias("word"), F.round("score", 9).alias("score"), F.when(F.col("of_user") > 0, "user").otherwise("base").alias("source"), "mode")
+    r = p.rank(p.scored(once)).select(
+        "user", "ctx", "prefix", big("rank"), F.col("shown").alias("word"), F.round("score", 9).alias("score"),
+        F.when(F.col("of_user") > 0, "user").otherwise("base").alias("source"), "mode"
+    )
     return _back(asked, r, "rank", "word", "score", "source", "mode")
 
 
@@ -304,13 +325,21 @@ def _reranked(b, *cols):
     return _back(asked, r, "rank", "word", *[c for c in r.columns if c not in ("user", "ctx", "prefix", "rank", "word")])
 
 
-RERANK = (*BOTH, _tagged("rc", "rg"), f"rr AS (SELECT *, row_number() OVER (PARTITION BY w1, w2, prefix ORDER BY round(fin, 9) DESC, w) AS r FROM (SELECT *, {_FINAL.format(C.rerank_alpha)} AS fin FROM rg))")
+RERANK = (
+    *BOTH, _tagged("rc", "rg"),
+    f"rr AS (SELECT *, row_number() OVER (PARTITION BY w1, w2, prefix ORDER BY round(fin, 9) DESC, w) AS r"
+    f" FROM (SELECT *, {_FINAL.format(C.rerank_alpha)} AS fin FROM rg))"
+)
 add(
-    "predict_reranked", lambda b: _reranked(b, r6("final", "score")), *RERANK, select=SHOWN.format("x.w AS word, round(x.fin, 6) AS score, x.mode, x.tag", "rr"), recursive=True,
+    "predict_reranked", lambda b: _reranked(b, r6("final", "score")), *RERANK, select=SHOWN.format(
+        "x.w AS word, round(x.fin, 6) AS score, x.mode, x.tag", "rr"
+    ), recursive=True,
 )
 add(
     "predict_explain", lambda b: _reranked(b, r6("base"), r6("pos"), r6("final", "total"), "ctx_tag", "known"), *RERANK,
-    select=SHOWN.format("x.w AS word, round(x.p, 6) AS base, round(x.pos, 6) AS pos, round(x.fin, 6) AS total, x.ctx_tag, x.known, x.mode, x.tag", "rr"), recursive=True,
+    select=SHOWN.format(
+        "x.w AS word, round(x.p, 6) AS base, round(x.pos, 6) AS pos, round(x.fin, 6) AS total, x.ctx_tag, x.known, x.mode, x.tag", "rr"
+    ), recursive=True,
 )
 
 # --- evaluation over held-out text: requests by context
@@ -318,30 +347,40 @@ add(
 
 def _all_next(b, cfg=C):
     asked = predict.asked_positions(b.held)
-    req = asked.select("ctx").distinct().select(F.struct("ctx").alias("req_id"), F.lit(None).cast("bigint").alias("user"), "ctx", F.lit("").alias("prefix"))
+    req = asked.select("ctx").distinct().select(
+        F.struct("ctx").alias("req_id"), F.lit(None).cast("bigint").alias("user"), "ctx", F.lit("").alias("prefix")
+    )
     p = _predictor(b, cfg=cfg)
     return p.rank(p.scored(req)).select(joined("ctx", "ctx"), big("rank"), "word", r6("score"))
 
 
-NEXT = (S.SMALL, S.HELD, S.candidates("hp", C.pool), POOL, f"pn AS (SELECT *, row_number() OVER (PARTITION BY w1, w2 ORDER BY {S.rk('p')} DESC, w) AS r FROM pool)")
+NEXT = (
+    S.SMALL, S.HELD, S.candidates("hp", C.pool), POOL,
+    f"pn AS (SELECT *, row_number() OVER (PARTITION BY w1, w2 ORDER BY {S.rk('p')} DESC, w) AS r FROM pool)"
+)
 _ASKN = f"an AS (SELECT w1, w2, w FROM hp WHERE w NOT IN {SPECIAL})"
 _NX = "SELECT w1 || ' ' || w2 AS ctx, r AS rank, w AS word, round(p, 6) AS score FROM {} WHERE r <= 3 AND (w1, w2) IN (SELECT (w1, w2) FROM an)"
 _HITS = ", ".join(f"round(avg((coalesce(r, 99) <= {k})::INT), 6) AS hit_{k}" for k in (1, 3, 5))
 add("predict_next_word", _all_next, *NEXT, _ASKN, select=_NX.format("pn"))
 add(
     "predict_no_punct", lambda b: _all_next(b, C.override(suggest_punctuation=False)), *NEXT, _ASKN,
-    f"np AS (SELECT w1, w2, w, p, row_number() OVER (PARTITION BY w1, w2 ORDER BY {S.rk('p')} DESC, w) AS r FROM pn WHERE NOT regexp_matches(w, {S.q(T.PUNCTUATION)}))",
+    f"np AS (SELECT w1, w2, w, p, row_number() OVER (PARTITION BY w1, w2 ORDER BY {S.rk('p')} DESC, w) AS r FROM pn"
+    f" WHERE NOT regexp_matches(w, {S.q(T.PUNCTUATION)}))",
     select=_NX.format("np"),
 )
 add(
-    "hit_at_k_next_word", lambda b: _predictor(b).hit_at_k(predict.asked_positions(b.held)).select("positions", *[r6(f"hit_{k}") for k in (1, 3, 5)]), *NEXT, _ASKN,
+    "hit_at_k_next_word", lambda b: _predictor(b).hit_at_k(predict.asked_positions(b.held)).select(
+        "positions", *[r6(f"hit_{k}") for k in (1, 3, 5)]
+    ), *NEXT, _ASKN,
     select=f"SELECT count(*) AS positions, {_HITS} FROM an LEFT JOIN pn ON pn.w1 = an.w1 AND pn.w2 = an.w2 AND pn.w = an.w",
 )
 
 
 def _all_complete(b):
     asked = predict.asked_positions(b.held, prefix_len=2)
-    req = asked.select("ctx", "prefix").distinct().select(F.struct("ctx", "prefix").alias("req_id"), F.lit(None).cast("bigint").alias("user"), "ctx", "prefix")
+    req = asked.select("ctx", "prefix").distinct().select(
+        F.struct("ctx", "prefix").alias("req_id"), F.lit(None).cast("bigint").alias("user"), "ctx", "prefix"
+    )
     p = _predictor(b)
     return p.rank(p.scored(req)).select(joined("ctx", "ctx"), "prefix", big("rank"), "word", r6("score"))
 
@@ -354,19 +393,28 @@ def _completed(asked: str, out: str) -> str:
 COMP = (S.SMALL, S.HELD, K.LEX, K.PREF)
 _A2 = f"ac AS (SELECT w1, w2, w, substring(w, 1, 2) AS prefix FROM hp WHERE w NOT IN {SPECIAL} AND length(w) > 2)"
 _ON = "ON {0}.w1 = ac.w1 AND {0}.w2 = ac.w2 AND {0}.prefix = ac.prefix AND {0}.w = ac.w"
-add("predict_completion", _all_complete, *COMP, _A2, _completed("ac", "pc"), select="SELECT w1 || ' ' || w2 AS ctx, prefix, r AS rank, w AS word, round(p, 6) AS score FROM pc WHERE r <= 3")
 add(
-    "completion_hit_at_k", lambda b: _predictor(b).hit_at_k(predict.asked_positions(b.held, prefix_len=2)).select("positions", *[r6(f"hit_{k}") for k in (1, 3, 5)]),
+    "predict_completion", _all_complete, *COMP, _A2, _completed("ac", "pc"),
+    select="SELECT w1 || ' ' || w2 AS ctx, prefix, r AS rank, w AS word, round(p, 6) AS score FROM pc WHERE r <= 3"
+)
+add(
+    "completion_hit_at_k", lambda b: _predictor(b).hit_at_k(predict.asked_positions(b.held, prefix_len=2)).select(
+        "positions", *[r6(f"hit_{k}") for k in (1, 3, 5)]
+    ),
     *COMP, _A2, _completed("ac", "pc"), select=f"SELECT count(*) AS positions, {_HITS} FROM ac LEFT JOIN pc {_ON.format('pc')}",
 )
 add(
-    "keystroke_savings", lambda b: _predictor(b).keystroke_savings(predict.asked_positions(b.held).select("ctx", "target")).select("words", "baseline", "cost", "accepted", r6("savings")), *COMP,
+    "keystroke_savings", lambda b: _predictor(b).keystroke_savings(
+        predict.asked_positions(b.held).select("ctx", "target")
+    ).select("words", "baseline", "cost", "accepted", r6("savings")), *COMP,
     f"""ak AS (SELECT w1, w2, w, n, substring(w, 1, i) AS prefix, i FROM (SELECT *, unnest(range(1, length(w))) AS i
  FROM (SELECT w1, w2, w, count(*) AS n FROM hp WHERE w NOT IN {SPECIAL} GROUP BY ALL)))""",
     _completed("ak", "pk"),
-    "hitk AS (SELECT ak.w1, ak.w2, ak.w, min(i) AS i FROM ak JOIN pk ON pk.w1 = ak.w1 AND pk.w2 = ak.w2 AND pk.prefix = ak.prefix AND pk.w = ak.w WHERE r <= 3 GROUP BY ALL)",
+    "hitk AS (SELECT ak.w1, ak.w2, ak.w, min(i) AS i FROM ak JOIN pk ON pk.w1 = ak.w1 AND pk.w2 = ak.w2 AND pk.prefix = ak.prefix AND pk.w = ak.w"
+    " WHERE r <= 3 GROUP BY ALL)",
     f"al AS (SELECT w1, w2, w, count(*) AS n FROM hp WHERE w NOT IN {SPECIAL} GROUP BY ALL)",
-    "ks AS (SELECT n, length(al.w) + 1 AS whole, CASE WHEN i IS NOT NULL THEN i + 1 ELSE length(al.w) + 1 END AS keys, i IS NOT NULL AS hit FROM al LEFT JOIN hitk h ON h.w1 = al.w1 AND h.w2 = al.w2 AND h.w = al.w)",
+    "ks AS (SELECT n, length(al.w) + 1 AS whole, CASE WHEN i IS NOT NULL THEN i + 1 ELSE length(al.w) + 1 END AS keys, i IS NOT NULL AS hit FROM al"
+    " LEFT JOIN hitk h ON h.w1 = al.w1 AND h.w2 = al.w2 AND h.w = al.w)",
     select="""SELECT sum(n)::BIGINT AS words, sum(n * whole)::BIGINT AS baseline, sum(n * keys)::BIGINT AS cost, sum(CASE WHEN hit THEN n ELSE 0 END)::BIGINT AS accepted,
  round(1 - sum(n * keys) / sum(n * whole), 6) AS savings FROM ks""",
 )
@@ -398,7 +446,8 @@ def _ablation(b):
 HELD_BOTH = (
     S.SMALL, S.HELD, K.LEX, K.PREF, S.candidates("hp", C.pool), POOL, _A2, _completions("ac", "comp"),
     "hc AS (SELECT 'next_word' AS mode, w1, w2, '' AS prefix, w, p FROM pool UNION ALL SELECT 'completion', w1, w2, prefix, w, p FROM comp)",
-    f"ha AS (SELECT 'next_word' AS mode, w1, w2, '' AS prefix, w FROM hp WHERE w NOT IN {SPECIAL} UNION ALL SELECT 'completion', w1, w2, prefix, w FROM ac)",
+    f"ha AS (SELECT 'next_word' AS mode, w1, w2, '' AS prefix, w FROM hp WHERE w NOT IN {SPECIAL} UNION ALL SELECT 'completion', w1, w2, prefix, w"
+    f" FROM ac)",
     _tagged("hc", "hg"),
 )
 
@@ -416,7 +465,10 @@ add(
     select=f"""SELECT CASE WHEN alpha = 0 THEN 'off' ELSE 'on' END AS arm, mode, positions, hit_1, hit_3, hit_5 FROM hk
  UNION ALL SELECT 'delta', a.mode, a.positions, {_HD} FROM hk a JOIN hk b USING (mode) WHERE a.alpha = 0 AND b.alpha > 0""", recursive=True,
 )
-add("alpha_sweep", lambda b: _arms(b, ALPHAS), *HELD_BOTH, _hits_sql(ALPHAS), select="SELECT alpha, mode, positions, hit_1, hit_3, hit_5 FROM hk", recursive=True)
+add(
+    "alpha_sweep", lambda b: _arms(b, ALPHAS), *HELD_BOTH, _hits_sql(ALPHAS), select="SELECT alpha, mode, positions, hit_1, hit_3, hit_5 FROM hk",
+    recursive=True
+)
 _SHAPE_TABLES = f"{S.TOKS}, {S.SHAPE}, {S.TSPLIT},\n{S.hmm_tables()}"
 _WORDS = f"lw AS (SELECT w AS word, false AS f FROM g1 WHERE w NOT IN {SPECIAL})"
 add(
@@ -434,12 +486,15 @@ def _unknown_emissions(b):
     words = b.table("benchmark").select(F.col("item_id").alias("sid"), F.posexplode(T.tokenize(F.col("text"))).alias("pos", "word"))
     t = b.shape_tagger
     rows = t.with_emissions(words).where("NOT known").select("word", (F.col("pos") == 0).alias("is_first"), "emit").distinct()
-    return rows.select("word", "is_first", F.posexplode("emit").alias("i", "lp")).select("word", "is_first", F.get(t.names(), F.col("i")).alias("tag"), r6("lp"))
+    return rows.select("word", "is_first", F.posexplode("emit").alias("i", "lp")).select(
+        "word", "is_first", F.get(t.names(), F.col("i")).alias("tag"), r6("lp")
+    )
 
 
 add(
     "hmm_unknown_emission", _unknown_emissions, S.sents(), _SHAPE_TABLES,
-    f"bw AS (SELECT DISTINCT word, pos = 0 AS f FROM (SELECT generate_subscripts(t, 1) - 1 AS pos, unnest(t) AS word FROM (SELECT {S.toks('text')} AS t FROM benchmark)))",
+    f"bw AS (SELECT DISTINCT word, pos = 0 AS f FROM (SELECT generate_subscripts(t, 1) - 1 AS pos, unnest(t) AS word"
+    f" FROM (SELECT {S.toks('text')} AS t FROM benchmark)))",
     S.emissions("bw"), select="SELECT word, f AS is_first, tag, round(lp, 6) AS lp FROM emis WHERE NOT known",
 )
 
@@ -468,17 +523,27 @@ def _windows(b):
     t = _predictor(b, tagger=True)
     names, best = t.tagger.names(), F.col("c")
     at = lambda x: F.get(names, (F.array_position(x, F.array_max(x)) - 1).cast("int"))
-    prefix = t.tagger.trellis(_held_rows(b)).select("sid", F.posexplode("trellis").alias("pos", "c")).select("sid", "pos", at(best).alias("by_prefix"))
+    prefix = t.tagger.trellis(_held_rows(b)).select(
+        "sid", F.posexplode("trellis").alias("pos", "c")
+    ).select("sid", "pos", at(best).alias("by_prefix"))
     whole = t.tagger.decode(_held_rows(b)).select("sid", F.posexplode("path").alias("pos", "by_sentence"))
     places = b.held.select("sid", "tokens", F.posexplode("tokens").alias("pos", "w")).where(F.col("pos") < F.size("tokens") - 1)
-    places = bundle.materialize(places.select("sid", "pos", F.slice("tokens", F.greatest(F.col("pos") - max(WINDOWS) + 2, F.lit(1)), F.least(F.col("pos") + 1, F.lit(max(WINDOWS)))).alias("ctx")).join(prefix, ["sid", "pos"]).join(whole, ["sid", "pos"]))
+    places = bundle.materialize(
+        places.select(
+            "sid", "pos",
+            F.slice("tokens", F.greatest(F.col("pos") - max(WINDOWS) + 2, F.lit(1)), F.least(F.col("pos") + 1, F.lit(max(WINDOWS)))).alias("ctx")
+        ).join(prefix, ["sid", "pos"]).join(whole, ["sid", "pos"])
+    )
     out = None
     for s in WINDOWS:
         short = F.slice("ctx", F.greatest(F.size("ctx") - s + 1, F.lit(1)), F.lit(s))
         rows = places.withColumn("ctx", short)
         rows = rows.join(t.context_tags(rows.select("ctx").distinct(), s), "ctx")
         share = lambda c: F.round(F.avg((F.col("ctx_tag") != F.col(c)).cast("double")), 6)
-        r = rows.agg(F.lit(s).cast("bigint").alias("window"), F.count("*").alias("positions"), share("by_prefix").alias("vs_prefix"), share("by_sentence").alias("vs_sentence"))
+        r = rows.agg(
+            F.lit(s).cast("bigint").alias("window"), F.count("*").alias("positions"), share("by_prefix").alias("vs_prefix"),
+            share("by_sentence").alias("vs_sentence")
+        )
         out = r if out is None else out.unionByName(r)
     return out
 
@@ -490,7 +555,8 @@ add(
  FROM (SELECT sid, tokens, unnest(range(0, len(tokens) - 1)) AS i FROM held) h CROSS JOIN (SELECT unnest({list(WINDOWS)}) AS size))""",
     "wk AS (SELECT DISTINCT array_to_string(win, chr(1)) AS sid, win FROM pl)",
     "wrows AS (SELECT sid, generate_subscripts(win, 1) - 1 AS pos, unnest(win) AS word FROM wk)", S.decoded("wrows", "w"),
-    "bp AS (SELECT sid, pos, tag FROM (SELECT sid, pos, tag, row_number() OVER (PARTITION BY sid, pos ORDER BY score DESC, tag) AS r FROM v) WHERE r = 1)",
+    "bp AS (SELECT sid, pos, tag FROM (SELECT sid, pos, tag, row_number() OVER (PARTITION BY sid, pos ORDER BY score DESC, tag) AS r FROM v)"
+    " WHERE r = 1)",
     select="""SELECT size::BIGINT AS window, count(*) AS positions, round(avg((l.tag <> b.tag)::INT), 6) AS vs_prefix, round(avg((l.tag <> p.tag)::INT), 6) AS vs_sentence
  FROM pl JOIN lastvw l ON l.sid = array_to_string(pl.win, chr(1)) JOIN bp b ON b.sid = pl.sid AND b.pos = pl.pos JOIN path p ON p.sid = pl.sid AND p.pos = pl.pos GROUP BY size""", recursive=True,
 )
@@ -507,7 +573,10 @@ def _guesses(b):
 def _agreement(b):
     hit = (F.col("best") == F.col("tag")).cast("double")
     known = F.coalesce(F.avg(F.when(F.col("known"), hit)), F.lit(0.0))
-    return _guesses(b).agg(F.count("*").alias("tokens"), F.round(F.coalesce(F.avg(hit), F.lit(0.0)), 6).alias("agreement"), F.round(known, 6).alias("known_agreement"), F.count_if(~F.col("known")).alias("unknown_tokens"))
+    return _guesses(b).agg(
+        F.count("*").alias("tokens"), F.round(F.coalesce(F.avg(hit), F.lit(0.0)), 6).alias("agreement"), F.round(known, 6).alias("known_agreement"),
+        F.count_if(~F.col("known")).alias("unknown_tokens")
+    )
 
 
 _GUESS = (S.LM, S.HELD, _SHAPE_TABLES, _HROWS, "gw AS (SELECT DISTINCT word, pos = 0 AS f FROM hrows UNION SELECT DISTINCT word, false FROM hrows)", S.emissions("gw"), _TYPICAL,
@@ -519,7 +588,9 @@ add(
  count(*) FILTER (NOT known) AS unknown_tokens FROM gu""",
 )
 add(
-    "typical_tag_confusions", lambda b: _guesses(b).where("best <> tag").groupBy(F.col("best").alias("in_context"), F.col("tag").alias("guess")).agg(F.count("*").alias("cnt")).orderBy(F.col("cnt").desc(), "in_context", "guess").limit(10),
+    "typical_tag_confusions", lambda b: _guesses(b).where("best <> tag").groupBy(
+        F.col("best").alias("in_context"), F.col("tag").alias("guess")
+    ).agg(F.count("*").alias("cnt")).orderBy(F.col("cnt").desc(), "in_context", "guess").limit(10),
     *_GUESS, select="SELECT best AS in_context, tag AS guess, count(*) AS cnt FROM gu WHERE best <> tag GROUP BY ALL ORDER BY cnt DESC, in_context, guess LIMIT 10", recursive=True,
 )
 
@@ -534,12 +605,16 @@ def _text_files(b):
     """Benchmark texts written as files, loaded as a corpus of text files."""
     at = _folder(b)
     b.table("benchmark").select("item_id", "text").write.partitionBy("item_id").option("lineSep", "\x1e").text(at)
-    return corpora.load_sentences(b.spark, at).select("si", "sentence", F.size("tokens").cast("bigint").alias("n")).withColumn("si", F.col("si").cast("bigint"))
+    return corpora.load_sentences(b.spark, at).select(
+        "si", "sentence", F.size("tokens").cast("bigint").alias("n")
+    ).withColumn("si", F.col("si").cast("bigint"))
 
 
 add("load_text_files", _text_files, S.sents("benchmark", "item_id"), select="SELECT si::BIGINT AS si, sentence, len(tokens) AS n FROM sents")
 add(
-    "load_corpus_sentences", lambda b: corpora.load_sentences(b.spark, f"{b.dir}/no-such-corpus.parquet", limit=200, fallback=f"{b.dir}/documents.parquet").select("sid", joined("tokens")),
+    "load_corpus_sentences", lambda b: corpora.load_sentences(
+        b.spark, f"{b.dir}/no-such-corpus.parquet", limit=200, fallback=f"{b.dir}/documents.parquet"
+    ).select("sid", joined("tokens")),
     S.sents(), select="SELECT sid, array_to_string(tokens, ' ') AS tokens FROM sents ORDER BY sid LIMIT 200",
 )
 
@@ -551,10 +626,15 @@ def _load_tagged(b):
     at = _folder(b)
     write_conll(b.tagged, at)
     rows = corpora.load_tagged(b.spark, at)
-    return rows.groupBy("word", "tag").agg(F.count("*").alias("cnt"), F.count_distinct("sid").alias("sentences"), F.count_if(F.col("pos") == 0).alias("firsts"))
+    return rows.groupBy("word", "tag").agg(
+        F.count("*").alias("cnt"), F.count_distinct("sid").alias("sentences"), F.count_if(F.col("pos") == 0).alias("firsts")
+    )
 
 
-add("load_tagged_sentences", _load_tagged, S.TAGGED, select="SELECT word, tag, count(*) AS cnt, count(DISTINCT sid) AS sentences, count(*) FILTER (pos = 0) AS firsts FROM tagged GROUP BY ALL")
+add(
+    "load_tagged_sentences", _load_tagged, S.TAGGED,
+    select="SELECT word, tag, count(*) AS cnt, count(DISTINCT sid) AS sentences, count(*) FILTER (pos = 0) AS firsts FROM tagged GROUP BY ALL"
+)
 
 
 def _corpus_back(b):
@@ -562,7 +642,9 @@ def _corpus_back(b):
     bundle.save_corpus(b.corpus, at)
     back = bundle.load_corpus(b.spark, at)
     kept = back.vocab.where("in_vocab").agg(F.count("*").alias("vocab"))
-    return back.sentences.groupBy("split").agg(F.count("*").alias("sentences"), F.sum(F.size("tokens")).alias("tokens")).crossJoin(kept).crossJoin(back.truecase.agg(F.count("*").alias("truecase")))
+    return back.sentences.groupBy("split").agg(
+        F.count("*").alias("sentences"), F.sum(F.size("tokens")).alias("tokens")
+    ).crossJoin(kept).crossJoin(back.truecase.agg(F.count("*").alias("truecase")))
 
 
 add(
@@ -579,7 +661,10 @@ def _model_back(b):
     return m.grams.select(F.col("k").cast("bigint").alias("k"), joined("ctx", "ctx"), "word", "cnt")
 
 
-add("model_save_load", _model_back, S.SMALL, select="SELECT 3::BIGINT AS k, w1 || ' ' || w2 AS ctx, w AS word, cnt FROM f3 UNION ALL SELECT 2, w2, w, cnt FROM f2 UNION ALL SELECT 1, '', w, cnt FROM g1")
+add(
+    "model_save_load", _model_back, S.SMALL,
+    select="SELECT 3::BIGINT AS k, w1 || ' ' || w2 AS ctx, w AS word, cnt FROM f3 UNION ALL SELECT 2, w2, w, cnt FROM f2 UNION ALL SELECT 1, '', w, cnt FROM g1"
+)
 
 
 def _tagger_back(b):
@@ -590,7 +675,9 @@ def _tagger_back(b):
 
 add("tagger_save_load", _tagger_back, S.HMM, S.decoded("te"), _preds(), select=K._EV, recursive=True)
 add(
-    "tagger_inspect", lambda b: b.spark.createDataFrame([(k, float(v)) for k, v in b.tagger.inspect().items() if not isinstance(v, str)], "name string, value double"), S.HMM,
+    "tagger_inspect", lambda b: b.spark.createDataFrame(
+        [(k, float(v)) for k, v in b.tagger.inspect().items() if not isinstance(v, str)], "name string, value double"
+    ), S.HMM,
     select=f"""SELECT unnest(['tags', 'words', 'sentences', 'tokens', 'k']) AS name, unnest([nt, nw, ns, total, {C.hmm_k}]::DOUBLE[]) AS value FROM dims""",
 )
 
@@ -619,21 +706,28 @@ def _profile_reset(b):
     return profile.stats(store.observed()).select("user", "tokens", "sentences", "vocabulary", r6("weight"))
 
 
-add("profile_reset", _profile_reset, K._US(), 'odd AS (SELECT * FROM ret WHERE "user" % 2 = 1)', select=STATS.format(C.lambda_max, C.growth_tokens, "odd"))
+add(
+    "profile_reset", _profile_reset, K._US(), 'odd AS (SELECT * FROM ret WHERE "user" % 2 = 1)',
+    select=STATS.format(C.lambda_max, C.growth_tokens, "odd")
+)
 
 
 def _learned(b):
     """User turns are observed, then the answers that came back are learned; the grams of both."""
     store = bundle.ProfileStore(b.spark, _folder(b))
     store.observe(b.observed)
-    texts = b.table("conversations").where("role = 'assistant'").select(F.col("conv_id").alias("user"), (F.col("turn") + 1_000_000).alias("seq"), "text")
+    texts = b.table("conversations").where("role = 'assistant'").select(
+        F.col("conv_id").alias("user"), (F.col("turn") + 1_000_000).alias("seq"), "text"
+    )
     _predictor(b).learn(store, texts)
     return profile.user_grams(store.retained()).where("k = 2").select("user", joined("ctx", "ctx"), "word", "cnt")
 
 
 add(
     "predict_learn", _learned,
-    K._US().replace("WHERE role = 'user'", "WHERE role IN ('user', 'assistant')").replace("turn * 100000", "(turn + CASE role WHEN 'user' THEN 0 ELSE 1000000 END) * 100000").replace("SELECT conv_id, turn, ", "SELECT conv_id, turn, role, "),
+    K._US().replace("WHERE role = 'user'", "WHERE role IN ('user', 'assistant')").replace(
+        "turn * 100000", "(turn + CASE role WHEN 'user' THEN 0 ELSE 1000000 END) * 100000"
+    ).replace("SELECT conv_id, turn, ", "SELECT conv_id, turn, role, "),
     S.USER_GRAMS, select='SELECT "user", w2 AS ctx, w AS word, cnt FROM ug2',
 )
 
@@ -649,6 +743,7 @@ def _loaded(b):
 
 
 add(
-    "predict_from_paths", _loaded, *BOTH, f"rr AS (SELECT *, row_number() OVER (PARTITION BY w1, w2, prefix ORDER BY {S.rk('p')} DESC, w) AS r FROM rc)",
+    "predict_from_paths", _loaded, *BOTH, f"rr AS (SELECT *, row_number() OVER (PARTITION BY w1, w2, prefix ORDER BY {S.rk('p')} DESC, w) AS r"
+    " FROM rc)",
     select=SHOWN.format("x.w AS word, round(x.p, 6) AS score", "rr"),
 )

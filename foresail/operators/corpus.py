@@ -60,8 +60,13 @@ def apply_unk(sents: DataFrame, vocab: DataFrame, cfg: EngineConfig = DEFAULT) -
 
 def truecase_map(sents: DataFrame) -> DataFrame:
     """(lower, surface): the most frequent form beyond first places; a cased form must beat the lower-case one."""
-    forms = tokens(sents).where("pos > 0").groupBy(F.lower("tok").alias("lower"), F.col("tok").alias("surface")).agg(F.count("*").alias("cnt"), first_seen().alias("seen"))
-    best = forms.groupBy("lower").agg(F.max(F.when(F.col("surface") == F.col("lower"), F.col("cnt"))).alias("plain"), F.min(F.struct((-F.col("cnt")).alias("n"), "seen", "surface")).alias("b"))
+    forms = tokens(sents).where("pos > 0").groupBy(
+        F.lower("tok").alias("lower"), F.col("tok").alias("surface")
+    ).agg(F.count("*").alias("cnt"), first_seen().alias("seen"))
+    best = forms.groupBy("lower").agg(
+        F.max(F.when(F.col("surface") == F.col("lower"), F.col("cnt"))).alias("plain"),
+        F.min(F.struct((-F.col("cnt")).alias("n"), "seen", "surface")).alias("b")
+    )
     keep = (F.col("b.surface") != F.col("lower")) & (-F.col("b.n") > F.coalesce("plain", F.lit(0)))
     return best.select("lower", F.when(keep, F.col("b.surface")).otherwise(F.col("lower")).alias("surface"))
 
@@ -144,7 +149,10 @@ def corpus_stats(sents: DataFrame) -> DataFrame:
     t = types.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("tokens"), F.count("*").alias("types"), F.count_if(F.col("c") == 1).alias("hapax"))
     s = sents.agg(F.count("*").alias("sentences"))
     div = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
-    return s.crossJoin(t).select("sentences", "tokens", "types", div("types", "tokens").alias("ttr"), "hapax", div("hapax", "types").alias("hapax_ratio"), div("tokens", "sentences").alias("mean_len"))
+    return s.crossJoin(t).select(
+        "sentences", "tokens", "types", div("types", "tokens").alias("ttr"), "hapax", div("hapax", "types").alias("hapax_ratio"),
+        div("tokens", "sentences").alias("mean_len")
+    )
 
 
 def frequency_table(sents: DataFrame, top: int = 20) -> DataFrame:

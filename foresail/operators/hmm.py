@@ -26,7 +26,9 @@ class HMMTagger:
         self.tagged, self.cfg = tagged, cfg
         last = Window.partitionBy("sid")
         rows = tagged.withColumn("prev", _prev("tag")).withColumn("end", F.col("pos") == F.max("pos").over(last))
-        self.tag_counts = rows.groupBy("tag").agg(F.count("*").alias("cnt"), F.count_if(F.col("prev").isNull()).alias("starts"), F.count_if("end").alias("finals"))
+        self.tag_counts = rows.groupBy("tag").agg(
+            F.count("*").alias("cnt"), F.count_if(F.col("prev").isNull()).alias("starts"), F.count_if("end").alias("finals")
+        )
         self.transitions = rows.where("prev IS NOT NULL").groupBy("prev", "tag").agg(F.count("*").alias("cnt"))
         self.emissions = tagged.groupBy("word", "tag").agg(F.count("*").alias("cnt"), F.min(F.struct("sid", "pos")).alias("seen"))
 
@@ -115,9 +117,14 @@ class HMMTagger:
         """rows (sid, pos, word) with emit and known: the exact form, the lower-case form, else the unseen-word model."""
         table = self.emission_table()
         kinds = rows.select("word", (F.col("pos") == 0).alias("f")).distinct().withColumn("low", F.lower("word"))
-        kinds = kinds.join(table.withColumnRenamed("emit", "e1"), "word", "left").join(table.select(F.col("word").alias("low"), F.col("emit").alias("e2")), "low", "left")
+        kinds = kinds.join(table.withColumnRenamed("emit", "e1"), "word", "left").join(
+            table.select(F.col("word").alias("low"), F.col("emit").alias("e2")), "low", "left"
+        )
         seen = F.coalesce("e1", "e2")
-        kinds = kinds.select("word", "f", F.coalesce(seen, self.unknown_emission(F.col("word"), F.col("f"), strategy, prior)).alias("emit"), seen.isNotNull().alias("known"))
+        kinds = kinds.select(
+            "word", "f", F.coalesce(seen, self.unknown_emission(F.col("word"), F.col("f"), strategy, prior)).alias("emit"),
+            seen.isNotNull().alias("known")
+        )
         return rows.withColumn("f", F.col("pos") == 0).join(kinds, ["word", "f"]).drop("f")
 
     def _fold(self, emits: Column, keep: str = "", linear: bool = False) -> Column:
@@ -147,7 +154,9 @@ class HMMTagger:
             inner = F.aggregate(part, F.struct(acc["s"].alias("s"), none.alias("x")), step)
             return F.struct(inner["s"].alias("s"), F.concat(acc["x"], F.array(inner["x"])).alias("x"))
 
-        starts = F.when(F.size(emits) > 1, F.sequence(F.lit(2), F.greatest(F.size(emits), F.lit(2)), F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
+        starts = F.when(
+            F.size(emits) > 1, F.sequence(F.lit(2), F.greatest(F.size(emits), F.lit(2)), F.lit(BLOCK))
+        ).otherwise(F.array().cast("array<int>"))
         head = F.array(F.array(first)) if keep == "trellis" else F.array().cast("array<array<array<int>>>")
         return F.aggregate(starts, F.struct(first.alias("s"), head.alias("x")), block)
 
@@ -171,7 +180,9 @@ class HMMTagger:
 
         def back(acc, blocks):
             own = F.struct(acc["i"].alias("i"), F.array().cast("array<int>").alias("p"))
-            inner = F.aggregate(F.reverse(blocks), own, lambda a, b: F.struct(F.get(b, a["i"]).alias("i"), F.concat(a["p"], F.array(F.get(b, a["i"]))).alias("p")))
+            inner = F.aggregate(
+                F.reverse(blocks), own, lambda a, b: F.struct(F.get(b, a["i"]).alias("i"), F.concat(a["p"], F.array(F.get(b, a["i"]))).alias("p"))
+            )
             return F.struct(inner["i"].alias("i"), F.concat(acc["p"], F.array(inner["p"])).alias("p"))
 
         start = F.struct(F.col("last").alias("i"), F.array(F.array("last")).alias("p"))
@@ -210,7 +221,9 @@ class HMMTagger:
 
     def known(self, words: DataFrame) -> DataFrame:
         seen = self.emissions.select("word").distinct()
-        a = words.withColumn("low", F.lower("word")).join(seen.withColumn("k1", F.lit(True)), "word", "left").join(seen.select(F.col("word").alias("low"), F.lit(True).alias("k2")), "low", "left")
+        a = words.withColumn("low", F.lower("word")).join(seen.withColumn("k1", F.lit(True)), "word", "left").join(
+            seen.select(F.col("word").alias("low"), F.lit(True).alias("k2")), "low", "left"
+        )
         return a.select("word", F.coalesce("k1", "k2", F.lit(False)).alias("known"))
 
     def sequence_logprob(self, gold: DataFrame) -> DataFrame:
@@ -218,7 +231,9 @@ class HMMTagger:
         ix = F.create_map(*[x for i, t in enumerate(self.tags) for x in (F.lit(t), F.lit(i))])
         rows = self.with_emissions(gold.select("sid", "pos", "word", "tag")).withColumn("t", F.try_element_at(ix, F.col("tag")))
         w = Window.partitionBy("sid").orderBy("pos")
-        rows = rows.withColumn("p", F.lag("t").over(w)).withColumn("end", F.lead("pos").over(w).isNull()).withColumn("first", F.lag("pos").over(w).isNull())
+        rows = rows.withColumn("p", F.lag("t").over(w)).withColumn("end", F.lead("pos").over(w).isNull()).withColumn(
+            "first", F.lag("pos").over(w).isNull()
+        )
         lit = lambda xs: F.array(*map(F.lit, xs))
         flat = lit([x for row in self.log_transition for x in row])
         into = F.when(F.col("first"), F.get(lit(self.log_initial), F.col("t"))).otherwise(F.get(flat, F.col("p") * len(self.tags) + F.col("t")))
@@ -231,8 +246,12 @@ def evaluate(preds: DataFrame) -> DataFrame:
     ok = F.col("gold") == F.col("pred")
     div = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     return preds.agg(
-        F.count("*").alias("tokens"), div(F.count_if(ok), F.count("*")).alias("accuracy"), div(F.count_if(ok & F.col("known")), F.count_if("known")).alias("known_accuracy"),
-        div(F.count_if(ok & ~F.col("known")), F.count_if(~F.col("known"))).alias("unknown_accuracy"), div(F.count_if(~F.col("known")), F.count("*")).alias("oov_rate"),
+        F.count("*").alias("tokens"), div(F.count_if(ok), F.count("*")).alias("accuracy"), div(
+            F.count_if(ok & F.col("known")), F.count_if("known")
+        ).alias("known_accuracy"),
+        div(
+            F.count_if(ok & ~F.col("known")), F.count_if(~F.col("known"))
+        ).alias("unknown_accuracy"), div(F.count_if(~F.col("known")), F.count("*")).alias("oov_rate"),
     )
 
 
@@ -265,7 +284,9 @@ def clean_tagged(tagged: DataFrame, nfc: bool = True) -> DataFrame:
     stem = F.rtrim("word", F.lit("।॥"))
     tail = F.substring(F.col("word"), F.length(stem) + 1, F.length("word"))
     parts = F.concat(
-        F.when(stem != "", F.array(F.struct(stem.alias("word"), F.col("tag").alias("tag")))).otherwise(F.array().cast("array<struct<word:string,tag:string>>")),
+        F.when(
+            stem != "", F.array(F.struct(stem.alias("word"), F.col("tag").alias("tag")))
+        ).otherwise(F.array().cast("array<struct<word:string,tag:string>>")),
         F.transform(F.filter(F.split(tail, ""), lambda c: c != ""), lambda c: F.struct(c.alias("word"), F.col("mark").alias("tag"))),
     )
     rows = rows.select("sid", "pos", F.posexplode(parts).alias("j", "x"))
@@ -273,10 +294,15 @@ def clean_tagged(tagged: DataFrame, nfc: bool = True) -> DataFrame:
 
 
 def tagged_stats(tagged: DataFrame) -> DataFrame:
-    s = tagged.agg(F.count_distinct("sid").alias("sentences"), F.count("*").alias("tokens"), F.count_distinct("word").alias("types"), F.count_distinct("tag").alias("tags"))
+    s = tagged.agg(
+        F.count_distinct("sid").alias("sentences"), F.count("*").alias("tokens"), F.count_distinct("word").alias("types"),
+        F.count_distinct("tag").alias("tags")
+    )
     s = s.crossJoin(modal_tag(tagged).withColumnRenamed("tag", "most_common_tag"))
     div = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
-    return s.select("sentences", "tokens", "types", div("types", "tokens").alias("ttr"), div("tokens", "sentences").alias("mean_len"), "tags", "most_common_tag")
+    return s.select(
+        "sentences", "tokens", "types", div("types", "tokens").alias("ttr"), div("tokens", "sentences").alias("mean_len"), "tags", "most_common_tag"
+    )
 
 
 def suffix_report(tagged: DataFrame) -> DataFrame:
@@ -286,5 +312,9 @@ def suffix_report(tagged: DataFrame) -> DataFrame:
     rules = {s: t for s, t in (*T.SUFFIX_RULES, *T.DEVANAGARI_RULES)}
     suffix = F.when(T.contains_devanagari(F.col("word")), T.match_suffix(F.col("word"), T.DEVANAGARI_RULES)).otherwise(T.match_suffix(F.col("word")))
     names = F.create_map(*[x for s, t in rules.items() for x in (F.lit(s), F.array(*map(F.lit, t)))])
-    rows = types.withColumn("suffix", suffix).where("suffix IS NOT NULL").withColumn("ok", F.array_contains(F.element_at(names, F.col("suffix")), F.col("gold")))
-    return rows.groupBy("suffix").agg(F.count("*").alias("types"), F.count_if("ok").alias("correct")).withColumn("purity", F.col("correct") / F.col("types"))
+    rows = types.withColumn("suffix", suffix).where("suffix IS NOT NULL").withColumn(
+        "ok", F.array_contains(F.element_at(names, F.col("suffix")), F.col("gold"))
+    )
+    return rows.groupBy("suffix").agg(
+        F.count("*").alias("types"), F.count_if("ok").alias("correct")
+    ).withColumn("purity", F.col("correct") / F.col("types"))

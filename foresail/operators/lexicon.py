@@ -12,14 +12,19 @@ def words_of_counts(counts: DataFrame) -> DataFrame:
 
 def prefixes(words: DataFrame) -> DataFrame:
     """(prefix, word, cnt) for each prefix of each word, the empty one too."""
-    return words.select(F.explode(F.transform(F.sequence(F.lit(0), F.length("word")), lambda i: F.substring("word", F.lit(1), i))).alias("prefix"), "word", "cnt")
+    return words.select(
+        F.explode(F.transform(F.sequence(F.lit(0), F.length("word")), lambda i: F.substring("word", F.lit(1), i))).alias("prefix"), "word", "cnt"
+    )
 
 
 def lookup(words: DataFrame, asked: DataFrame) -> DataFrame:
     """(asked, is_word, cnt, has_prefix) of asked strings."""
     own = words.select(F.col("word").alias("asked"), "cnt")
     inner = asked.join(prefixes(words).select(F.col("prefix").alias("asked"), F.lit(True).alias("p")).distinct(), "asked", "left")
-    return inner.join(own, "asked", "left").select("asked", F.col("cnt").isNotNull().alias("is_word"), F.coalesce("cnt", F.lit(0)).alias("cnt"), F.coalesce("p", F.lit(False)).alias("has_prefix"))
+    return inner.join(own, "asked", "left").select(
+        "asked", F.col("cnt").isNotNull().alias("is_word"), F.coalesce("cnt", F.lit(0)).alias("cnt"),
+        F.coalesce("p", F.lit(False)).alias("has_prefix")
+    )
 
 
 def words_with_prefix(words: DataFrame, asked: DataFrame) -> DataFrame:

@@ -17,7 +17,10 @@ def positions(sents: DataFrame, order: int, cfg: EngineConfig = DEFAULT) -> Data
     """(sid, pos, ctx, word): every predicted place with its order - 1 padded tokens before it."""
     p = sents.select("sid", pad(F.col("tokens"), order, cfg.bos, cfg.eos).alias("p"))
     p = p.select("sid", "p", F.explode(F.sequence(F.lit(order), F.size("p"))).alias("i"))
-    return p.select("sid", (F.col("i") - order).alias("pos"), F.slice("p", F.col("i") - (order - 1), order - 1).alias("ctx"), F.get("p", F.col("i") - 1).alias("word"))
+    return p.select(
+        "sid", (F.col("i") - order).alias("pos"), F.slice("p", F.col("i") - (order - 1), order - 1).alias("ctx"),
+        F.get("p", F.col("i") - 1).alias("word")
+    )
 
 
 def count_grams(sents: DataFrame, order: int, cfg: EngineConfig = DEFAULT) -> DataFrame:
@@ -26,7 +29,11 @@ def count_grams(sents: DataFrame, order: int, cfg: EngineConfig = DEFAULT) -> Da
     tables = [top.select(F.lit(order).alias("k"), "ctx", "word", "cnt", "first_seen")]
     for k in range(order - 1, 0, -1):
         up = tables[-1].withColumn("ctx", F.slice("ctx", 2, k - 1) if k > 1 else F.array().cast("array<string>"))
-        tables.append(up.groupBy("ctx", "word").agg(F.sum("cnt").alias("cnt"), F.min("first_seen").alias("first_seen")).select(F.lit(k).alias("k"), "ctx", "word", "cnt", "first_seen"))
+        tables.append(
+            up.groupBy("ctx", "word").agg(
+                F.sum("cnt").alias("cnt"), F.min("first_seen").alias("first_seen")
+            ).select(F.lit(k).alias("k"), "ctx", "word", "cnt", "first_seen")
+        )
     return reduce(DataFrame.unionByName, tables)
 
 
@@ -72,7 +79,10 @@ class NgramModel:
         return cls(count_grams(sents, order, cfg), model_vocab(sents, order, cfg), order, cfg)
 
     def pruned(self, min_count: int | None = None, most: int | None = None) -> NgramModel:
-        return NgramModel(prune(self.grams, min_count or self.cfg.prune_min_count, self.cfg.prune_max_continuations if most is None else most), self.vocab, self.order, self.cfg)
+        return NgramModel(
+            prune(self.grams, min_count or self.cfg.prune_min_count, self.cfg.prune_max_continuations if most is None else most), self.vocab,
+            self.order, self.cfg
+        )
 
     def cached(self) -> NgramModel:
         return NgramModel(materialize(self.grams), materialize(self.vocab), self.order, self.cfg)
@@ -83,12 +93,16 @@ class NgramModel:
         kn = "kneser_ney" in methods
         cont = continuation_counts(self.grams)
         known = self.vocab.select(F.col("word").alias("__w"), F.lit(True).alias("__in"))
-        rows = asked.join(known, F.col("word") == F.col("__w"), "left").withColumn("__word", F.when(F.col("__in"), F.col("word")).otherwise(cfg.unk)).drop("__w", "__in")
+        rows = asked.join(known, F.col("word") == F.col("__w"), "left").withColumn(
+            "__word", F.when(F.col("__in"), F.col("word")).otherwise(cfg.unk)
+        ).drop("__w", "__in")
         for k in range(n, 0, -1):
             rows = rows.withColumn(f"__c{k}", F.slice("ctx", F.lit(n - k + 1), F.lit(k - 1)) if k > 1 else F.array().cast("array<string>"))
         for k in range(n, 1, -1):
             g = self.grams.where(f"k = {k}")
-            rows = rows.join(g.select(F.col("ctx").alias(f"__c{k}"), F.col("word").alias("__word"), F.col("cnt").alias(f"n{k}")), [f"__c{k}", "__word"], "left")
+            rows = rows.join(
+                g.select(F.col("ctx").alias(f"__c{k}"), F.col("word").alias("__word"), F.col("cnt").alias(f"n{k}")), [f"__c{k}", "__word"], "left"
+            )
             t = context_totals(g).select(F.col("ctx").alias(f"__c{k}"), F.col("total").alias(f"t{k}"), F.col("n_types").alias(f"y{k}"))
             rows = rows.join(t, f"__c{k}", "left")
         g1 = self.grams.where("k = 1")
@@ -96,7 +110,10 @@ class NgramModel:
         if kn:
             for k in range(n - 1, 0, -1):
                 g = cont.where(f"k = {k}")
-                rows = rows.join(g.select(*([F.col("ctx").alias(f"__c{k}")] if k > 1 else []), F.col("word").alias("__word"), F.col("cnt").alias(f"m{k}")), [f"__c{k}", "__word"] if k > 1 else ["__word"], "left")
+                rows = rows.join(
+                    g.select(*([F.col("ctx").alias(f"__c{k}")] if k > 1 else []), F.col("word").alias("__word"), F.col("cnt").alias(f"m{k}")),
+                    [f"__c{k}", "__word"] if k > 1 else ["__word"], "left"
+                )
                 if k > 1:
                     t = context_totals(g).select(F.col("ctx").alias(f"__c{k}"), F.col("total").alias(f"u{k}"), F.col("n_types").alias(f"z{k}"))
                     rows = rows.join(t, f"__c{k}", "left")
@@ -130,8 +147,13 @@ class NgramModel:
         scored = self.score(asked, methods)
         parts = [F.struct(F.lit(m).alias("method"), F.col(f"p_{m}").alias("p")) for m in methods]
         long = scored.select("w", F.explode(F.array(*parts)).alias("x")).select("w", "x.*")
-        agg = long.groupBy("method").agg(F.min("p").alias("least"), F.sum("w").alias("n"), F.sum(F.col("w") * F.when(F.col("p") > 0, F.ln("p"))).alias("ll"))
-        return agg.select("method", F.when((F.col("least") <= 0) | (F.col("n") == 0), F.lit(float("inf"))).otherwise(F.exp(-F.col("ll") / F.col("n"))).alias("perplexity"))
+        agg = long.groupBy("method").agg(
+            F.min("p").alias("least"), F.sum("w").alias("n"), F.sum(F.col("w") * F.when(F.col("p") > 0, F.ln("p"))).alias("ll")
+        )
+        return agg.select(
+            "method",
+            F.when((F.col("least") <= 0) | (F.col("n") == 0), F.lit(float("inf"))).otherwise(F.exp(-F.col("ll") / F.col("n"))).alias("perplexity")
+        )
 
     def mass(self, contexts: DataFrame, methods=("mle", "laplace", "stupid_backoff", "kneser_ney")) -> DataFrame:
         """(ctx, mass_<method>): the sum over the vocabulary; the number of contexts is the caller's."""
@@ -164,7 +186,9 @@ class NgramModel:
         t1 = single.agg(F.sum("cnt").alias("t"))
         uni = self.top_unigrams(unigrams) if unigrams else single
         uni = uni.where(~F.col("word").isin(*blocked)).crossJoin(F.broadcast(t1))  # one row
-        uni = uni.select("word", F.lit(self.order - 1).alias("prio"), (-F.col("cnt")).alias("neg"), "first_seen", (F.col("cnt") / F.col("t")).alias("p"))
+        uni = uni.select(
+            "word", F.lit(self.order - 1).alias("prio"), (-F.col("cnt")).alias("neg"), "first_seen", (F.col("cnt") / F.col("t")).alias("p")
+        )
         if quota:
             uni = uni.orderBy("neg", "first_seen").limit(most)
         # at most 500 unigrams, or 5k; only without both bounds is it the whole vocabulary, which Spark then deals with as it can
@@ -195,9 +219,13 @@ class NgramModel:
         nb = F.ceil(F.sum("types").over(own) / BUCKET_TYPES)
         parts = parts.select("k", "ctx", "h", before.alias("before"), F.sum("m").over(own).alias("total"), nb.alias("nb"))
         run = F.sum("cnt").over(Window.partitionBy("k", "ctx", "h").orderBy("word").rowsBetween(Window.unboundedPreceding, 0))
-        rows = g.withColumn("run", run).join(parts, ["k", "ctx", "h"]).withColumn("hi", F.col("before") + F.col("run")).withColumn("lo", F.col("hi") - F.col("cnt"))
+        rows = g.withColumn("run", run).join(parts, ["k", "ctx", "h"]).withColumn(
+            "hi", F.col("before") + F.col("run")
+        ).withColumn("lo", F.col("hi") - F.col("cnt"))
         at = lambda x: F.floor(x * F.col("nb") / F.col("total"))
-        return rows.select("k", F.col("ctx").alias("c"), "word", "lo", "hi", "total", "nb", F.explode(F.sequence(at(F.col("lo")), at(F.col("hi") - 1))).alias("b"))
+        return rows.select(
+            "k", F.col("ctx").alias("c"), "word", "lo", "hi", "total", "nb", F.explode(F.sequence(at(F.col("lo")), at(F.col("hi") - 1))).alias("b")
+        )
 
     def generate(self, start: DataFrame, length: int, seed: int = 0) -> DataFrame:
         """(ctx, generated): words drawn by digests of context and step from the longest context seen, until an end mark or the length.

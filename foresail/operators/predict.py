@@ -22,7 +22,10 @@ def requests_from_buffers(buffers: DataFrame, cfg: EngineConfig = DEFAULT) -> Da
 
 
 class Predictor:
-    def __init__(self, model: NgramModel, words: DataFrame, truecase: DataFrame | None = None, grams: DataFrame | None = None, user_words: DataFrame | None = None, user_stats: DataFrame | None = None, tagger: HMMTagger | None = None, cfg: EngineConfig = DEFAULT):
+    def __init__(
+        self, model: NgramModel, words: DataFrame, truecase: DataFrame | None = None, grams: DataFrame | None = None,
+        user_words: DataFrame | None = None, user_stats: DataFrame | None = None, tagger: HMMTagger | None = None, cfg: EngineConfig = DEFAULT
+    ):
         self.model, self.words, self.truecase, self.cfg = model, words, truecase, cfg
         self.grams, self.user_words, self.user_stats, self.tagger = grams, user_words, user_stats, tagger
 
@@ -118,7 +121,9 @@ class Predictor:
         e = t.with_emissions(words.select(F.lit(0).cast("bigint").alias("sid"), F.lit(1).alias("pos"), "word"))
         post = F.zip_with("emit", F.array(*map(F.lit, t.log_prior)), lambda a, b: a + b)
         e = e.withColumn("post", post)
-        return e.select("word", F.get(F.array(*map(F.lit, t.tags)), (F.array_position("post", F.array_max("post")) - 1).cast("int")).alias("tag"), "known")
+        return e.select(
+            "word", F.get(F.array(*map(F.lit, t.tags)), (F.array_position("post", F.array_max("post")) - 1).cast("int")).alias("tag"), "known"
+        )
 
     def context_tags(self, contexts: DataFrame, window: int | None = None) -> DataFrame:
         """(ctx, ctx_tag): the tag of the last token, by decoding the window before it; null without context."""
@@ -135,7 +140,9 @@ class Predictor:
         t = self.tagger
         ix = F.create_map(*[x for i, n in enumerate(t.tags) for x in (F.lit(n), F.lit(i))])
         flat = F.array(*[F.lit(x) for row in t.log_transition for x in row])
-        s = F.when(prev.isNull(), F.get(F.array(*map(F.lit, t.log_initial)), F.element_at(ix, tag))).otherwise(F.get(flat, F.try_element_at(ix, prev) * len(t.tags) + F.element_at(ix, tag)))
+        s = F.when(
+            prev.isNull(), F.get(F.array(*map(F.lit, t.log_initial)), F.element_at(ix, tag))
+        ).otherwise(F.get(flat, F.try_element_at(ix, prev) * len(t.tags) + F.element_at(ix, tag)))
         return s + F.when(known, 0.0).otherwise(self.cfg.unknown_tag_penalty)
 
     # evaluation
@@ -182,4 +189,6 @@ def asked_positions(sents: DataFrame, cfg: EngineConfig = DEFAULT, prefix_len: i
     rows = positions(low, cfg.order, cfg).where(~F.col("word").isin(cfg.bos, cfg.eos, cfg.unk))
     if prefix_len:
         rows = rows.where(F.length("word") > prefix_len)
-    return rows.select("ctx", F.substring("word", 1, prefix_len).alias("prefix") if prefix_len else F.lit("").alias("prefix"), F.col("word").alias("target"))
+    return rows.select(
+        "ctx", F.substring("word", 1, prefix_len).alias("prefix") if prefix_len else F.lit("").alias("prefix"), F.col("word").alias("target")
+    )

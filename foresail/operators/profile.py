@@ -32,7 +32,9 @@ def stats(obs: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """(user, tokens, sentences, vocabulary, weight); the vocabulary is of all that was ever observed."""
     kept = retained(obs, cfg.profile_cap).groupBy("user").agg(F.sum(F.size("tokens")).alias("tokens"), F.count("*").alias("sentences"))
     vocab = obs.select("user", F.explode("tokens").alias("w")).groupBy("user").agg(F.count_distinct("w").alias("vocabulary"))
-    out = vocab.join(kept, "user", "left").select("user", F.coalesce("tokens", F.lit(0)).cast("bigint").alias("tokens"), F.coalesce("sentences", F.lit(0)).alias("sentences"), "vocabulary")
+    out = vocab.join(kept, "user", "left").select(
+        "user", F.coalesce("tokens", F.lit(0)).cast("bigint").alias("tokens"), F.coalesce("sentences", F.lit(0)).alias("sentences"), "vocabulary"
+    )
     return out.withColumn("weight", weight(F.col("tokens"), cfg))
 
 
@@ -46,8 +48,12 @@ def user_grams(kept: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     parts = []
     for k in range(1, n + 1):
         ctx = F.slice("p", F.col("i") - (k - 1), k - 1) if k > 1 else F.array().cast("array<string>")
-        parts.append(p.select("user", F.lit(k).alias("k"), ctx.alias("ctx"), F.get("p", F.col("i") - 1).alias("word"), "sid", (F.col("i") - n).alias("pos")))
-    return reduce(DataFrame.unionByName, parts).groupBy("user", "k", "ctx", "word").agg(F.count("*").alias("cnt"), F.min(F.struct("sid", "pos")).alias("first_seen"))
+        parts.append(
+            p.select("user", F.lit(k).alias("k"), ctx.alias("ctx"), F.get("p", F.col("i") - 1).alias("word"), "sid", (F.col("i") - n).alias("pos"))
+        )
+    return reduce(DataFrame.unionByName, parts).groupBy("user", "k", "ctx", "word").agg(
+        F.count("*").alias("cnt"), F.min(F.struct("sid", "pos")).alias("first_seen")
+    )
 
 
 def user_prob(asked: DataFrame, grams: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
@@ -58,7 +64,9 @@ def user_prob(asked: DataFrame, grams: DataFrame, cfg: EngineConfig = DEFAULT) -
         g = grams.where(f"k = {k}")
         c = F.slice("ctx", F.lit(n - k + 1), F.lit(k - 1)) if k > 1 else F.array().cast("array<string>")
         t = g.groupBy("user", "ctx").agg(F.sum("cnt").alias(f"t{k}")).withColumnRenamed("ctx", "__c")
-        rows = rows.withColumn("__c", F.transform(c, lambda x: F.lower(x))).join(g.select("user", F.col("ctx").alias("__c"), "word", F.col("cnt").alias(f"n{k}")), ["user", "__c", "word"], "left").join(t, ["user", "__c"], "left").drop("__c")
+        rows = rows.withColumn("__c", F.transform(c, lambda x: F.lower(x))).join(
+            g.select("user", F.col("ctx").alias("__c"), "word", F.col("cnt").alias(f"n{k}")), ["user", "__c", "word"], "left"
+        ).join(t, ["user", "__c"], "left").drop("__c")
         out = F.when(F.coalesce(f"n{k}", F.lit(0)) > 0, cfg.backoff_alpha ** (n - k) * F.col(f"n{k}") / F.col(f"t{k}")).otherwise(out)
     return rows.select(*[F.col(c) for c in asked.columns], out.alias("p_user"))
 
@@ -77,14 +85,20 @@ def user_candidates(asked: DataFrame, grams: DataFrame, k: int, cfg: EngineConfi
     parts = []
     for o in range(n, 1, -1):
         c = F.transform(F.slice("ctx", F.lit(n - o + 1), F.lit(o - 1)), lambda x: F.lower(x))
-        own = g.where(f"k = {o}").select("user", F.col("ctx").alias("__c"), "word", F.lit(o).alias("o"), (cfg.backoff_alpha ** (n - o) * F.col("p")).alias("p_user"))
+        own = g.where(f"k = {o}").select(
+            "user", F.col("ctx").alias("__c"), "word", F.lit(o).alias("o"), (cfg.backoff_alpha ** (n - o) * F.col("p")).alias("p_user")
+        )
         parts.append(a.withColumn("__c", c).join(own, ["user", "__c"]).select("user", "ctx", "word", "o", "p_user"))
     none = a.select("user", "ctx", F.lit(None).cast("string").alias("word"), F.lit(0).alias("o"), F.lit(None).cast("double").alias("p_user")).limit(0)
-    higher = reduce(DataFrame.unionByName, parts, none).groupBy("user", "ctx", "word").agg(F.max_by("p_user", "o").alias("p_user"), F.max("o").alias("o"))
+    higher = reduce(DataFrame.unionByName, parts, none).groupBy("user", "ctx", "word").agg(
+        F.max_by("p_user", "o").alias("p_user"), F.max("o").alias("o")
+    )
     m = a.join(higher.groupBy("user", "ctx").agg(F.count("*").alias("m")), ["user", "ctx"], "left")
     places = m.select("user", "ctx", F.explode(F.sequence(F.lit(1), F.coalesce("m", F.lit(0)).cast("int") + k)).alias("place"))
     w = Window.partitionBy("user").orderBy(F.col("cnt").desc(), "word")
-    single = g.where("k = 1").withColumn("place", F.row_number().over(w)).select("user", "place", "word", (cfg.backoff_alpha ** (n - 1) * F.col("p")).alias("p_user"))
+    single = g.where("k = 1").withColumn("place", F.row_number().over(w)).select(
+        "user", "place", "word", (cfg.backoff_alpha ** (n - 1) * F.col("p")).alias("p_user")
+    )
     low = places.join(single, ["user", "place"]).select("user", "ctx", "word", F.lit(1).alias("o"), "p_user")
     all_ = higher.unionByName(low).groupBy("user", "ctx", "word").agg(F.max_by("p_user", "o").alias("p_user"))
     w = Window.partitionBy("user", "ctx").orderBy(rank_key(F.col("p_user")).desc(), "word")

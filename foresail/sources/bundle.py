@@ -181,7 +181,9 @@ class ProfileStore:
 
         rows = T.normalize_nfc(texts.select("user", "seq", "text"), "text")
         rows = rows.select("user", "seq", F.posexplode(T.split_sentences(T.clean_text(F.col("text")))).alias("si", "s"))
-        return self.observe(rows.select("user", (F.col("seq") * 100_000 + F.col("si")).cast("bigint").alias("seq"), T.tokenize(F.col("s")).alias("tokens")))
+        return self.observe(
+            rows.select("user", (F.col("seq") * 100_000 + F.col("si")).cast("bigint").alias("seq"), T.tokenize(F.col("s")).alias("tokens"))
+        )
 
     def retained(self) -> DataFrame:
         from ..operators.profile import retained
@@ -204,7 +206,9 @@ class ProfileStore:
         delete(self.spark, old)
 
 
-def load_predictor(spark: SparkSession, model_path: str, corpus_path: str | None = None, profile_path: str | None = None, tagger_path: str | None = None, **overrides):
+def load_predictor(
+    spark: SparkSession, model_path: str, corpus_path: str | None = None, profile_path: str | None = None, tagger_path: str | None = None, **overrides
+):
     """A predictor from saved parts: the model with its lexicon, and where given the truecase map of a corpus, user profiles and a tagger."""
     from ..operators import lexicon, predict, profile
 
@@ -215,7 +219,10 @@ def load_predictor(spark: SparkSession, model_path: str, corpus_path: str | None
     users = {}
     if store:
         kept = store.retained()
-        users = {"grams": profile.user_grams(kept, store.cfg), "user_words": profile.user_words(store.observed()), "user_stats": profile.stats(store.observed(), store.cfg)}
+        users = {
+            "grams": profile.user_grams(kept, store.cfg), "user_words": profile.user_words(store.observed()),
+            "user_stats": profile.stats(store.observed(), store.cfg)
+        }
     return predict.Predictor(
         model, lexicon.words_of_counts(words.select("word", "cnt")), truecase=load_corpus(spark, corpus_path).truecase if corpus_path else None,
         tagger=load_tagger(spark, tagger_path) if tagger_path else None, cfg=cfg, **users,

@@ -32,5 +32,7 @@ def read_conll(spark: SparkSession, path: str) -> DataFrame:
 
 def write_conll(tagged: DataFrame, path: str) -> None:
     """Sentences (sid, pos, word, tag) in order of sid, a blank line after each."""
-    block = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "word", "tag"))), lambda x: F.concat(x["word"], F.lit("\t"), x["tag"])), "\n")
+    block = F.array_join(
+        F.transform(F.sort_array(F.collect_list(F.struct("pos", "word", "tag"))), lambda x: F.concat(x["word"], F.lit("\t"), x["tag"])), "\n"
+    )
     tagged.groupBy("sid").agg(block.alias("value")).orderBy("sid").select("value").write.option("lineSep", "\n\n").mode("overwrite").text(path)
