@@ -70,6 +70,12 @@ class Base:
         words = self.model.grams.where("k = 1").where(~F.col("word").isin(C.bos, C.eos, C.unk)).select("word", F.lit(True).alias("in_vocab"))
         return materialize(corpus.apply_unk(s.select("sid", "tokens"), words))
 
+    @cached_property
+    def held_words(self):
+        """Lower-cased words of the held-out text, each once."""
+        s = corpus.sentences(self.table("benchmark"), "item_id")
+        return materialize(corpus.tokens(s).select(F.lower("tok").alias("word")).distinct())
+
     @cached_property
     def lexicon(self):
         g = self.model.grams.where("k = 1").where(~F.col("word").isin(C.bos, C.eos, C.unk))
@@ -188,8 +194,8 @@ add(
     select=f"SELECT doc_id, {S.emails('text')} AS c FROM documents"
 )
 add(
-    "strip_urls", lambda b: b.table("pages").select("page_id", T.strip_urls(F.col("url")).alias("c")),
-    select=f"SELECT page_id, {S.urls('url')} AS c FROM pages"
+    "strip_urls", lambda b: b.table("documents").select("doc_id", T.strip_urls(F.col("text")).alias("c")),
+    select=f"SELECT doc_id, {S.urls('text')} AS c FROM documents"
 )
 add("segment_sentences", lambda b: b.sents.select("sid", "sentence"), S.sents(), select="SELECT sid, sentence FROM sents")
 add(
@@ -419,9 +425,20 @@ add(
 )
 
 
-MASSES = (("<s>", "<s>"), ("<s>", "the"), ("no", "such"), ("of", "the"))
-add("distribution_mass", lambda b: b.model.mass(b.spark.createDataFrame([(list(c),) for c in MASSES], "ctx array<string>")).select(joined("ctx", "ctx"), *[r6(f"mass_{m}") for m in METHODS]), S.MODEL,
-    f"asked AS (SELECT c.w1, c.w2, v.w FROM (VALUES {', '.join(str(c) for c in MASSES)}) c(w1, w2) CROSS JOIN (SELECT w FROM g1 UNION ALL SELECT '<s>') v), sc AS ({S.score('asked')})", select="SELECT w1 || ' ' || w2 AS ctx, " + ", ".join(f"round(sum(p_{m}), 6) AS mass_{m}" for m in METHODS) + " FROM sc GROUP BY 1")
+
+
+def _masses(b):
+    """Contexts that sentences of the held-out text begin with, and one that was never seen."""
+    first = b.contexts.where(F.get("ctx", 0) == C.bos).select("ctx").distinct()
+    none = b.spark.createDataFrame([(["no", "such"],)], "ctx array<string>")
+    return b.model.mass(first.unionByName(none)).select(joined("ctx", "ctx"), *[r6(f"mass_{m}") for m in METHODS])
+
+
+add(
+    "distribution_mass", _masses, S.MODEL, S.HELD, "mc AS (SELECT DISTINCT w1, w2 FROM hp WHERE w1 = '<s>' UNION SELECT 'no', 'such')",
+    "asked AS (SELECT c.w1, c.w2, v.w FROM mc c CROSS JOIN (SELECT w FROM g1 UNION ALL SELECT '<s>') v)", f"sc AS ({S.score('asked')})",
+    select="SELECT w1 || ' ' || w2 AS ctx, " + ", ".join(f"round(sum(p_{m}), 6) AS mass_{m}" for m in METHODS) + " FROM sc GROUP BY 1",
+)
 _TOP = "SELECT w1 || ' ' || w2 AS ctx, r AS rank, w AS word, round(p_stupid_backoff, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY w1, w2 ORDER BY " + S.rk("p_stupid_backoff") + " DESC, w) AS r FROM cand) WHERE r <= 10"
 add(
     "candidates",
@@ -433,23 +450,30 @@ add(
 
 LEX = "lex AS (SELECT w AS word, cnt FROM g1 WHERE w NOT IN ('<s>', '</s>', '<UNK>'))"
 PREF = "pref AS (SELECT substring(word, 1, i) AS prefix, word, cnt FROM (SELECT word, cnt, unnest(range(0, length(word) + 1)) AS i FROM lex))"
-ASKP = "('th', 'un', 'a', 'zzz', 'que', '')"
-_asked = lambda b: b.spark.createDataFrame([(x,) for x in ("th", "un", "a", "zzz", "que", "")], "asked string")
+#: words of the held-out text, known and unknown, and the first two letters of each with the empty prefix
+ASKED = (S.LM, S.HELD, LEX, PREF, "hw AS (SELECT DISTINCT word FROM ht)", "ha AS (SELECT DISTINCT substring(word, 1, 2) AS prefix FROM hw UNION SELECT '')")
+
+
+def _asked(b):
+    short = b.held_words.select(F.substring("word", 1, 2).alias("asked"))
+    return short.unionByName(b.spark.createDataFrame([("",)], "asked string")).distinct()
+
+
 add("trie_words", lambda b: b.lexicon, S.LM, LEX, select="SELECT word, cnt FROM lex")
 add(
-    "trie_lookup", lambda b: lexicon.lookup(b.lexicon, b.spark.createDataFrame([(x,) for x in ("th", "the", "zzz", "que")], "asked string")), S.LM,
-    LEX, PREF,
-    select="SELECT a AS asked, a IN (SELECT word FROM lex) AS is_word, coalesce((SELECT cnt FROM lex WHERE word = a), 0) AS cnt, a IN (SELECT prefix FROM pref) AS has_prefix FROM (SELECT unnest(['th', 'the', 'zzz', 'que']) AS a)"
-)
+    "trie_lookup", lambda b: lexicon.lookup(b.lexicon, b.held_words.select(F.col("word").alias("asked"))), *ASKED,
+    select="""SELECT h.word AS asked, l.word IS NOT NULL AS is_word, coalesce(l.cnt, 0) AS cnt, h.word IN (SELECT prefix FROM pref) AS has_prefix
+ FROM hw h LEFT JOIN lex l ON l.word = h.word""",
+)
 add(
-    "trie_words_with_prefix", lambda b: lexicon.words_with_prefix(b.lexicon, _asked(b)), S.LM, LEX, PREF,
-    select=f"SELECT prefix, word, cnt FROM pref WHERE prefix IN {ASKP}"
-)
+    "trie_words_with_prefix", lambda b: lexicon.words_with_prefix(b.lexicon, _asked(b)), *ASKED,
+    select="SELECT prefix, word, cnt FROM pref JOIN ha USING (prefix)",
+)
 add(
-    "trie_complete", lambda b: lexicon.complete(b.lexicon, _asked(b), 10).select("prefix", F.col("rank").cast("bigint").alias("rank"), "word", "cnt"),
-    S.LM, LEX, PREF,
-    select=f"SELECT prefix, r AS rank, word, cnt FROM (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY cnt DESC, word) AS r FROM pref WHERE prefix IN {ASKP}) WHERE r <= 10"
-)
+    "trie_complete", lambda b: lexicon.complete(b.lexicon, _asked(b), 10).select("prefix", F.col("rank").cast("bigint").alias("rank"), "word", "cnt"), *ASKED,
+    select="""SELECT prefix, r AS rank, word, cnt FROM (SELECT prefix, word, cnt, row_number() OVER (PARTITION BY prefix ORDER BY cnt DESC, word) AS r
+ FROM pref JOIN ha USING (prefix)) WHERE r <= 10""",
+)
 add("trie_node_count", lambda b: lexicon.node_count(b.lexicon), S.LM, LEX, PREF, select="SELECT count(DISTINCT prefix) AS nodes FROM pref")
 
 # --- profiles
@@ -561,14 +585,18 @@ add(
 
 
 def _trellis(b):
-    names = F.array(*map(F.lit, b.tagger.tags))
+    """Every column of the trellis, best tag first."""
     d = b.tagger.trellis(b.tag_test.select("sid", "pos", "word")).select("sid", F.posexplode("trellis").alias("pos", "col"))
-    return d.select("sid", "pos", F.posexplode("col").alias("i", "score")).select(
-        "sid", F.col("pos").cast("bigint").alias("pos"), F.get(names, F.col("i")).alias("tag"), r6("score")
-    )
+    place = lambda x, i: F.struct((-x).alias("n"), i.alias("i"))
+    ordered = d.select("sid", F.col("pos").cast("bigint").alias("pos"), F.posexplode(F.sort_array(F.transform("col", place))).alias("r", "x"))
+    tag = F.get(b.tagger.names(), F.col("x.i"))
+    return ordered.select("sid", "pos", (F.col("r") + 1).cast("bigint").alias("rank"), tag.alias("tag"), F.round(-F.col("x.n"), 6).alias("score"))
 
 
-add("trellis_column", _trellis, S.HMM, S.viterbi("te"), select="SELECT sid, pos::BIGINT AS pos, tag, round(score, 6) AS score FROM v", recursive=True)
+add(
+    "trellis_column", _trellis, S.HMM, S.viterbi("te"), recursive=True,
+    select="""SELECT sid, pos::BIGINT AS pos, row_number() OVER (PARTITION BY sid, pos ORDER BY score DESC, tag) AS rank, tag, round(score, 6) AS score FROM v""",
+)
 PREDS = "preds AS (SELECT te.sid, te.pos, te.word, te.tag AS gold, p.tag AS pred, te.word IN (SELECT word FROM wds) AS known FROM te JOIN path p ON p.sid = te.sid AND p.pos = te.pos)"
 add(
     "tag_predictions", lambda b: b.preds.select("sid", F.col("pos").cast("bigint").alias("pos"), "word", "gold", "pred", "known"), S.HMM,

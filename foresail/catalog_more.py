@@ -179,7 +179,7 @@ def _languages_sql() -> str:
     for lang in LANGUAGES:
         shaped = f"own AS (SELECT sid FROM sents JOIN documents d USING (doc_id) WHERE d.lang = '{lang}'),\n{S.SHAPE} WHERE sid IN (SELECT sid FROM own))"
         shaped = shaped.replace("FROM toks) WHERE", "FROM toks WHERE")
-        parts.append(f"""SELECT * FROM (WITH RECURSIVE {S.sents()}, {S.TOKS},\n{shaped},\n{S.TSPLIT},\n{S.hmm_tables()},\n{S.decoded('te')},\n{_preds()},\n{K.BASELINE},
+        parts.append(f"""SELECT * FROM (WITH RECURSIVE {S.sents()}, {S.TOKS},\n{shaped},\n{S.TSPLIT},\n{S.hmm_tables()},\n{S.decoded_lists('te')},\n{_preds()},\n{K.BASELINE},
 mf AS (SELECT tag FROM (SELECT tag, count(*) AS c, min({{'s': sid, 'p': pos}}) AS fs FROM tr GROUP BY tag ORDER BY c DESC, fs LIMIT 1)),
 st AS (SELECT count(DISTINCT sid) AS sentences, count(*) AS tokens, count(DISTINCT word) AS types, round(count(DISTINCT word) / count(*), 6) AS ttr, count(DISTINCT tag) AS tags FROM tagged),
 sp AS (SELECT count(*) FILTER (split = 'train') AS train_sentences, count(*) FILTER (split = 'test') AS test_sentences FROM tsplit),

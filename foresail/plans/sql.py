@@ -228,6 +228,22 @@ def decoded(rows: str, n: str = "", key: str = "sid", **how) -> str:
 {viterbi(rows, em, n, key)}"""
 
 
+def decoded_lists(rows: str, n: str = "", key: str = "sid", **how) -> str:
+    """path(key, pos, tag) as decoded() has it, with a sentence's emissions and pointers as lists of one row: for many long sentences."""
+    return f"""ew{n} AS (SELECT DISTINCT word, pos = 0 AS f FROM {rows}),
+{emissions(f'ew{n}', n=n, **how)},
+vt{n} AS (SELECT (SELECT list(tag ORDER BY tag) FROM tc) AS tags, (SELECT count(*) FROM tc) AS nt, (SELECT list(lp ORDER BY tag) FROM h_init) AS a,
+ (SELECT list(lp ORDER BY tag, prev) FROM h_trans) AS m, (SELECT list(lp ORDER BY tag) FROM h_final) AS z),
+ve{n} AS (SELECT {key}, list(x ORDER BY pos) AS e FROM (SELECT r.{key}, r.pos, list(e.lp ORDER BY e.tag) AS x FROM {rows} r
+ JOIN emis{n} e ON e.word = r.word AND e.f = (r.pos = 0) GROUP BY ALL) GROUP BY {key}),
+vv{n} AS (SELECT {key}, e, 1::BIGINT AS p, list_transform(a, lambda x, j: x + e[1][j]) AS s, []::BIGINT[][] AS b FROM ve{n}, vt{n}
+ UNION ALL SELECT {key}, e, p + 1, list_transform(w, lambda x, j: list_max(x) + e[p + 1][j]), list_append(b, list_transform(w, lambda x: list_position(x, list_max(x))::BIGINT))
+  FROM (SELECT v.*, list_transform(range(0, nt), lambda j: list_transform(s, lambda y, i: y + m[j * nt + i])) AS w FROM vv{n} v, vt{n} WHERE p < len(e))),
+vz{n} AS (SELECT {key}, b, p, list_transform(s, lambda x, j: x + z[j]) AS s FROM vv{n}, vt{n} WHERE p = len(e)),
+vb{n} AS (SELECT {key}, b, p, list_position(s, list_max(s))::BIGINT AS k FROM vz{n} UNION ALL SELECT {key}, b, p - 1, b[p - 1][k] FROM vb{n} WHERE p > 1),
+path{n} AS (SELECT {key}, p - 1 AS pos, tags[k] AS tag FROM vb{n}, vt{n})"""
+
+
 def windows(contexts: str, size: int = C.tag_window) -> str:
     """wrows(sid, pos, word) and wkey(w1, w2, sid) of contexts(w1, w2): the last tokens that are no start mark."""
     return f"""wkey AS (SELECT DISTINCT w1, w2, list_filter([w1, w2], lambda x: x <> '<s>')[-{size}:] AS win, array_to_string(list_filter([w1, w2], lambda x: x <> '<s>')[-{size}:], chr(1)) AS sid FROM {contexts}),
