@@ -119,9 +119,16 @@ def format_conversations(tree: DataFrame, best: int = 1) -> DataFrame:
     tree = sc.save(tree, "tree")
     nodes = sc.save(paths(tree, sc), "nodes")
     path = on_path(tree, nodes, chosen_leaves(nodes, best), sc)
-    rows = tree.withColumn("t", tree_key())
-    depth = nodes.select("t", "node", "root", "depth")
-    rows = path.join(depth, ["t", "node"]).join(rows.select("t", "tree", "node", "role", "text"), ["t", "node"])
+    path = path.join(nodes.select("t", "node", "root", "depth"), ["t", "node"])
+    # texts meet their places on paths inside the partitions of their tree, so they are dealt once; what follows is by tree too
+    none = {c: F.lit(None).cast(tree.schema[c].dataType).alias(c) for c in ("tree", "role", "text")}
+    texts = tree.select(
+        tree_key().alias("t"), "node", *[F.lit(None).cast(path.schema[c].dataType).alias(c) for c in ("root", "leaf", "rank", "depth")], "tree",
+        F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
+    )
+    both = path.select("t", "node", "root", "leaf", "rank", "depth", *none.values()).unionByName(texts).repartition("t")
+    own = Window.partitionBy("t", "node")
+    rows = both.select("t", "root", "leaf", "rank", "depth", *[F.max(c).over(own).alias(c) for c in ("tree", "role", "text")]).where("leaf IS NOT NULL")
     rows = rows.select(
         "t", "tree", "root", "leaf", "rank", "depth", "role", turn(F.col("role"), F.col("text")).alias("piece"),
         F.length(escape(F.col("text"))).alias("body"), F.length(escape(F.col("role"))).alias("head")
