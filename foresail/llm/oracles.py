@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat import PROBE_ID, PROBE_TEXT
 from .minhash import PERCENT, SHINGLE
 from .quality import MAX_HOST_RATE, MAX_REPEAT_PERCENT, MIN_WORDS
+from .suffix_dedup import LENGTH, SHORT
 
 WORD = r"'[^\x20\x09-\x0D]+'"
 
@@ -65,4 +66,28 @@ SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, doc_id IS N
 FROM d JOIN comp ON comp.a = d.r LEFT JOIN n ON n.r = d.r
 """
 
-SQL: dict[str, str] = {"op2_chat_format": CHAT, "op6_quality_rules": QUALITY, "op7_minhash_dedup": NEAR}
+def _covered(name: str, length: int) -> str:
+    """name(rid, x, z): maximal runs of bytes that strings of that length cover which start in two places; texts are in hexadecimal, in blocks."""
+    return f"""{name}_m AS (SELECT rid, i, md5(substr(y, 2 * (i - o) + 1, {2 * length})) AS m FROM
+ (SELECT rid, n, y, o, unnest(range(o, least(o + 2048, n - {length - 1}))) AS i FROM blocks WHERE o < n - {length - 1})),
+{name}_r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY m) AS c FROM {name}_m) WHERE c > 1),
+{name} AS (SELECT rid, min(i) AS x, max(i) + {length} AS z FROM (SELECT rid, i, sum(fresh) OVER (PARTITION BY rid ORDER BY i) AS g
+ FROM (SELECT rid, i, CASE WHEN i <= lag(i) OVER (PARTITION BY rid ORDER BY i) + {length} THEN 0 ELSE 1 END AS fresh FROM {name}_r)) GROUP BY rid, g)"""
+
+
+SUBSTRINGS = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+bytes AS (SELECT rid, doc_id, h, length(h) // 2 AS n FROM d),
+blocks AS (SELECT rid, n, o, substr(h, 2 * o + 1, {2 * (2048 + LENGTH)}) AS y FROM (SELECT rid, h, n, unnest(range(0, n, 2048)) AS o FROM bytes)),
+{_covered('gone', LENGTH)},
+{_covered('twice', SHORT)},
+edges AS (SELECT rid, x, z, coalesce(lag(z) OVER (PARTITION BY rid ORDER BY x), 0) AS a FROM gone
+ UNION ALL SELECT b.rid, b.n, b.n, coalesce((SELECT max(z) FROM gone g WHERE g.rid = b.rid), 0) FROM bytes b),
+kept AS (SELECT rid, string_agg(substr(h, 2 * a + 1, 2 * (x - a)), '' ORDER BY a, x) AS k FROM edges JOIN bytes USING (rid) GROUP BY rid),
+g AS (SELECT rid, sum(z - x)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(x || ':' || z, ',' ORDER BY x) AS spans FROM gone GROUP BY rid),
+t AS (SELECT rid, sum(z - x)::BIGINT AS n_repeated FROM twice GROUP BY rid)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(k)) AS kept_sha256,
+ coalesce(spans, '') AS spans, coalesce(n_repeated, 0) AS n_repeated
+FROM bytes LEFT JOIN kept USING (rid) LEFT JOIN g USING (rid) LEFT JOIN t USING (rid)"""
+
+SQL: dict[str, str] = {"op1_suffix_dedup": SUBSTRINGS, "op2_chat_format": CHAT, "op6_quality_rules": QUALITY, "op7_minhash_dedup": NEAR}
