@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from foresail.llm.bpe import bpe_encode
-from foresail.llm.common import Scratch, read_table, small_batches
+from foresail.llm.common import Scratch, join_few, read_table, small_batches
 from foresail.llm.minhash import near_duplicates
 from foresail.llm.mixing import mix, word_count
 from foresail.llm.quality import keep_good
@@ -31,14 +31,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = docs.select(*COLUMNS).withColumn("__row", own)
     work = Scratch(spark, "pipeline")
     verdicts = near_duplicates(rows, "__row", "text").groupBy("__row").agg(F.max("kept").alias("kept"), F.count("*").alias("c"))
-    # written first: the planner then sees its true size, and texts are shuffled only if it is above the broadcast threshold
-    odd = work.save(verdicts.where("NOT kept OR c > 1"), "odd").withColumnRenamed("__row", "__of")
-    same = F.col("__row") == F.col("__of")
-    single = rows.join(odd, same, "left_anti")
-    again = odd.where("kept")
+    # the rows that go or stay once, fewer than those that simply stay: broadcast after a count, so that texts are shuffled only if they are many
+    odd = work.save(verdicts.where("NOT kept OR c > 1"), "odd")
+    single = join_few(rows, odd.select("__row"), "__row", "doc_id", "left_anti")
+    again = work.save(odd.where("kept").select("__row"), "again")
     if not again.isEmpty():
-        once = rows.join(again, same, "left_semi").dropDuplicates(["__row"])
-        single = single.unionByName(once)
+        single = single.unionByName(join_few(rows, again, "__row", "doc_id", "left_semi").dropDuplicates(["__row"]))
     return single.select(*COLUMNS)
 
 
