@@ -115,3 +115,19 @@ def test_minhash_groups_beyond_one_chunk():
     body = pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, size], np.int32)), pa.py_buffer(np.zeros(size, np.uint8))])
     batches = [pa.RecordBatch.from_arrays([pa.array([k], pa.binary()), body], ["key", "body"]) for k in (b"a", b"b", b"b", b"b", b"c")]
     assert [g.num_rows for g in _groups(iter(batches))] == [1, 3, 1]
+
+
+def test_salted_copies_are_not_broadcast(spark, monkeypatch):
+    """Above the count that is broadcast, no planner's threshold sends the salted copies to the driver; rows stay what they are by brute force."""
+    from pyspark.sql import functions as F
+
+    from foresail.llm import common
+
+    own = F.struct(F.col("id").alias("id"), F.xxhash64("id").alias("h")).alias("k")
+    rows, few = spark.range(200).select("id", own), spark.range(0, 200, 3).select(own)
+    assert "BroadcastHashJoin" in common.join_few(rows, few, "k", "id")._jdf.queryExecution().toString()
+    monkeypatch.setattr(common, "FEW_ROWS", 66)
+    for how in ("left_anti", "left_semi"):
+        got = common.join_few(rows, few, "k", "id", how)
+        assert sorted(r.id for r in got.collect()) == [i for i in range(200) if (i % 3 == 0) == (how == "left_semi")]
+        assert "Broadcast" not in got._jdf.queryExecution().toString()
