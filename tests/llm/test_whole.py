@@ -131,3 +131,17 @@ def test_salted_copies_are_not_broadcast(spark, monkeypatch):
         got = common.join_few(rows, few, "k", "id", how)
         assert sorted(r.id for r in got.collect()) == [i for i in range(200) if (i % 3 == 0) == (how == "left_semi")]
         assert "Broadcast" not in got._jdf.queryExecution().toString()
+
+
+def test_near_duplicates_of_many_groups(spark, monkeypatch):
+    """With more groups than are broadcast, op7's smallest ids meet the rows without a broadcast, and each group has its own."""
+    from foresail.llm import common
+    from foresail.llm.minhash import near_duplicates
+
+    monkeypatch.setattr(common, "FEW_ROWS", 0)
+    r = random.Random(12)
+    texts = [prose(r, 30) for _ in range(8)]
+    docs = spark.createDataFrame([(i, texts[i % 8] if i < 24 else prose(r, 30)) for i in range(32)], "doc_id bigint, text string")
+    got = near_duplicates(docs, "doc_id", "text")
+    assert {x.doc_id: x.component_id for x in got.collect()} == {i: i % 8 if i < 24 else i for i in range(32)}
+    assert "Broadcast" not in got._jdf.queryExecution().toString()
