@@ -145,3 +145,30 @@ def test_near_duplicates_of_many_groups(spark, monkeypatch):
     got = near_duplicates(docs, "doc_id", "text")
     assert {x.doc_id: x.component_id for x in got.collect()} == {i: i % 8 if i < 24 else i for i in range(32)}
     assert "Broadcast" not in got._jdf.queryExecution().toString()
+
+
+def test_html_figures_over_all_pages(spark):
+    """What few pages of a large group have, or lack, counts: no sample of six would tell. Repeated rows count once."""
+    r = random.Random(13)
+    own = [[prose(r, 20) for _ in range(3)] for _ in range(120)]
+    line, menu = "<div class=c1>As agreed by all of us here</div>", "<div class=c2>Home and news</div>"
+    page = lambda i, x: f"<body>{menu}<article><h1>T{i}</h1>{line if i != 7 else ''}<p>{x[0]}</p>{f'<p class=warning>{x[1]}</p>' if i % 40 == 5 else ''}<p>{x[2]}</p>{menu}</article></body>"
+    pages = [(i, f"http://large.example/{i}", page(i, x)) for i, x in enumerate(own)]
+    pages += [(1000 + i, "http://large.example/5", page(5, own[5])) for i in range(30)]
+    got = extracted(spark, pages)
+    for i, x in enumerate(own):
+        assert got[i].split("\n") == [f"T{i}", *(["As agreed by all of us here"] if i != 7 else []), x[0], *([x[1]] if i % 40 == 5 else []), x[2]], i
+    assert {got[1000 + i] for i in range(30)} == {got[5]}
+
+
+def test_html_wrapper_of_wrappers():
+    """Wrappers of parts of the pages join to one that has optional what any part lacks, wherever JSON took them."""
+    import json
+
+    from foresail.llm.html_extract import joined, template_texts, tuples
+
+    page = lambda *keys: [("tag", "<body "), *(x for k in keys for x in (("tag", "<div "), ("text", k), ("tag", ">div"))), ("tag", ">body")]
+    parts = [joined([page("a", "b", "c"), page("a", "c")]), joined([page("a", "b", "c"), page("b", "c")])]
+    assert [template_texts(x) for x in parts] == [{"a", "c"}, {"b", "c"}]
+    whole = joined([list(tuples(json.loads(json.dumps(x)))) for x in parts])
+    assert template_texts(whole) == {"c"}
