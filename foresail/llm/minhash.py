@@ -26,7 +26,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch, join_few, pieces
+from .common import Scratch, join_few, join_many, pieces
 
 SHINGLE = 5
 ROWS = 3
@@ -316,11 +316,11 @@ def _exact_links(members: DataFrame) -> DataFrame:
 
 def _verify(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     """The pairs whose full sets are similar enough. b's text goes to a's place in salted groups, so a popular a is split."""
-    left = pairs.join(
-        bodies.select(F.col("cls").alias("b"), F.col("body").alias("body_b")), "b"
+    left = join_many(
+        pairs, bodies.select(F.col("cls").alias("b"), F.col("body").alias("body_b")), "b"
     ).withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(8)).cast("int"))
     used = pairs.select("a", F.pmod(F.xxhash64("b"), F.lit(8)).cast("int").alias("salt")).distinct()
-    own = used.join(bodies.select(F.col("cls").alias("a"), F.col("body").alias("body_a")), "a")
+    own = join_many(used, bodies.select(F.col("cls").alias("a"), F.col("body").alias("body_a")), "a")
     rows = left.select("a", "salt", "b", F.col("body_b").alias("body")).unionByName(
         own.select("a", "salt", F.lit(None).cast("binary").alias("b"), F.col("body_a").alias("body"))
     )
@@ -353,13 +353,13 @@ def components(links: DataFrame, sc: Scratch, tag: str) -> DataFrame:
     label = sc.save(label, f"{tag}-0")
     i = 0
     while True:
-        near = both.join(label.select(F.col("v").alias("b"), "l"), "b").groupBy(F.col("a").alias("v")).agg(F.min("l").alias("m"))
+        near = join_many(both, label.select(F.col("v").alias("b"), "l"), "b").groupBy(F.col("a").alias("v")).agg(F.min("l").alias("m"))
         # every node takes the smallest label around it; the root of its old label takes it as well
-        step = label.join(near, "v").select("v", "l", F.least("l", "m").alias("m"))
+        step = join_many(label, near, "v").select("v", "l", F.least("l", "m").alias("m"))
         hook = step.groupBy(F.col("l").alias("v")).agg(F.min("m").alias("h"))
-        new = step.join(hook, "v", "left").select("v", F.col("l").alias("old"), F.least("m", F.coalesce("h", "m")).alias("l"))
+        new = join_many(step, hook, "v", "left").select("v", F.col("l").alias("old"), F.least("m", F.coalesce("h", "m")).alias("l"))
         jump = new.select(F.col("v").alias("l"), F.col("l").alias("j"))
-        new = new.join(jump, "l", "left").select("v", "old", F.least("l", F.coalesce("j", "l")).alias("l"))
+        new = join_many(new, jump, "l", "left").select("v", "old", F.least("l", F.coalesce("j", "l")).alias("l"))
         i += 1
         after = sc.save(new, f"{tag}-{i}")
         changed = after.where("old <> l").limit(1).count()
@@ -382,22 +382,22 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     # keys are counted, and met, by slim rows; sketches and all keys join only what has met
     by_key = classes.select("cls", F.explode(F.array(*map(key, range(BANDS)))).alias("key"))
     met = by_key.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    buckets = sc.save(by_key.join(met, "key").join(classes, "cls").select("key", "cls", "n", "keys", "sketch"), "buckets")
+    buckets = sc.save(join_many(join_many(by_key, met, "key"), classes, "cls").select("key", "cls", "n", "keys", "sketch"), "buckets")
     sc.drop("classes")
-    bodies = own.select("cls", "body").join(buckets.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("body").alias("body"))
+    bodies = join_many(own.select("cls", "body"), buckets.select("cls").distinct(), "cls", "left_semi")
+    bodies = bodies.groupBy("cls").agg(F.first("body").alias("body"))
     bodies = sc.save(bodies, "bodies")
     links = sc.save(_verify(sc.save(_best_pairs(buckets), "pairs"), bodies), "good")
     comp = components(links, sc, "c0")
-    placed = lambda rows: rows.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    placed = lambda rows: join_many(rows, comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     still = sc.save(_open_members(placed(buckets)), "open")
     if not still.isEmpty():
-        members = placed(still.join(buckets, ["key", "cls"])).join(bodies, "cls")
+        members = join_many(placed(join_many(still, buckets, ["key", "cls"])), bodies, "cls")
         more = sc.save(_exact_links(members), "more")
         if not more.isEmpty():
             comp = components(links.unionByName(more), sc, "c1")
     sc.drop("bodies", "buckets")
-    name = raw.select("id", "n", "cls").join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    name = sc.save(name.select("id", "n", "comp"), "named")
+    name = sc.save(placed(raw.select("id", "n", "cls")).select("id", "n", "comp"), "named")
     sc.drop("raw")
     # classes of one row are their own least; the others' least is broadcast after a count, or meets salted keys
     least = name.where(F.col("comp").isNotNull()).groupBy("comp").agg(F.min("id").alias("least"), F.count("*").alias("c")).where("c > 1").drop("c")

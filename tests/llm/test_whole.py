@@ -172,3 +172,29 @@ def test_html_wrapper_of_wrappers():
     assert [template_texts(x) for x in parts] == [{"a", "c"}, {"b", "c"}]
     whole = joined([list(tuples(json.loads(json.dumps(x)))) for x in parts])
     assert template_texts(whole) == {"c"}
+
+
+def test_near_duplicates_broadcast_no_table_that_grows(spark, monkeypatch):
+    """No step of op7 leaves a table that grows with the input to the planner's threshold; near copies in chains are found in all its steps."""
+    from foresail.llm import common
+    from foresail.llm.minhash import near_duplicates
+
+    plans, save = {}, common.Scratch.save
+
+    def kept(self, df, name):
+        plans[name] = df._jdf.queryExecution().toString()
+        return save(self, df, name)
+
+    monkeypatch.setattr(common.Scratch, "save", kept)
+    r = random.Random(13)
+    rows, want = [], {}
+    for g in range(6):
+        words = prose(r, 200).split()
+        for k in range(5):  # 0.9 alike with the one before, the first and the last 0.66
+            words[k * 12], words[k * 12 + 6] = f"other{g}x{k}", f"more{g}x{k}"
+            rows.append((10 * g + k, " ".join(words)))
+            want[10 * g + k] = 10 * g
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text")
+    assert {x.doc_id: x.component_id for x in got.collect()} == want
+    assert {"buckets", "bodies", "good", "c0-1", "open", "named"} <= plans.keys()
+    assert [name for name, plan in plans.items() if "Broadcast" in plan] == []
