@@ -305,3 +305,73 @@ def test_catalog_has_callables():
 
     q, s = E.queries(), E.oracle_sql()
     assert set(s) <= set(q) and len(q) > 90
+
+
+def test_sentences_are_tokenized_once(spark):
+    docs = spark.createDataFrame([(1, "It is done. ___ Cannot go!", "en"), (2, None, "en")], "doc_id bigint, text string, lang string")
+    s = corpus.sentences(docs)
+    assert s._jdf.queryExecution().executedPlan().toString().count("regexp_extract_all(") == 1
+    assert sorted((r.sid, r.tokens) for r in s.collect()) == [(1_000_000, ["It", "is", "done", "."]), (1_000_001, ["Can", "not", "go", "!"])]
+
+
+def test_guarded_cleaning_is_the_plain_one(spark):
+    """Odd texts, against the patterns applied everywhere."""
+    odd = ["a@b.c d", "@", "HTTPS://X.y z", "httpſ://a.b c", "see a.ıo/x or b.İO and c.COM, d.edU!", "www.x", "wWw.y.", "a  b", "a\t b", "  x  y ", "‘q’ – “r” — s", "cannot CANNOT Cannot. can’t DON'T it’s we'll", "x'ſ y", "", "1.5,3 a-b-c d’e’f ñandú étude-x_y ½ ५ ९.१ 🙂a"]
+    df = spark.createDataFrame([(x,) for x in [*odd, None]], "t string")
+    t = F.col("t")
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, T.CONTROL, " "), "(?U)" + T.EMAIL, " "), "(?iU)" + T.URL, " ")
+    plain = F.trim(F.regexp_replace(F.translate(plain, T.CURLY, T.STRAIGHT), T.SPACE, " "))
+    words = t
+    for p in T.CONTRACTIONS:
+        words = F.regexp_replace(words, "(?iU)" + p, "$1 $2")
+    words = F.regexp_extract_all(words, F.lit(T.TOKEN), F.lit(0))
+    for r in df.select("t", plain.alias("a"), T.clean_text(t).alias("b"), words.alias("c"), T.tokenize(t).alias("d"), T.has_token(t).alias("e")).collect():
+        assert (r.a, r.c) == (r.b, r.d) and (r.e is None if r.c is None else r.e == bool(r.c)), r.t
+
+
+def test_numbered_grams_are_those_of_arrays(spark, monkeypatch):
+    from foresail.operators import lm
+
+    text = sents(spark, [*LINES, "x", "our our our our"]).unionByName(spark.createDataFrame([(-5, []), (1 << 40, ["our", "boat"]), (7, None)], "sid bigint, tokens array<string>"))
+    key = lambda g: sorted((r.k, tuple(r.ctx), r.word, r["cnt"], tuple(r.first_seen)) for r in g.collect())
+    for order in (1, 2, 3, 4):
+        monkeypatch.undo()
+        got = lm.count_grams(text, order)
+        assert "mapInArrow" in got._jdf.queryExecution().logical().toString() or "MapInArrow" in got._jdf.queryExecution().logical().toString()
+        monkeypatch.setattr(lm, "few_words", lambda words: None)
+        want = lm.count_grams(text, order)
+        assert key(got) == key(want) and got.schema.simpleString() == want.schema.simpleString()
+
+
+def test_unknown_words_in_place_and_by_a_join(spark, monkeypatch):
+    text = spark.createDataFrame([(1, "a", ["Our", "boat", "sank", None]), (2, "b", []), (3, "c", ["our"])], "sid bigint, split string, tokens array<string>")
+    vocab = spark.createDataFrame([("our", True), ("boat", True), ("sank", False)], "word string, in_vocab boolean")
+    got = sorted(map(tuple, corpus.apply_unk(text, vocab).select("sid", "split", "tokens").collect()))
+    monkeypatch.setattr(corpus, "MOST_WORDS", 1)
+    assert got == sorted(map(tuple, corpus.apply_unk(text, vocab).select("sid", "split", "tokens").collect()))
+    assert got == [(1, "a", ["our", "boat", "<UNK>", "<UNK>"]), (3, "c", ["our"])]
+
+
+def test_tagger_of_words(spark):
+    text = sents(spark, [*LINES, "boat"])
+    tag = lambda w: F.when(w.isin("our", "her", "the"), "DET").otherwise(F.concat(F.lit("L"), F.length(w).cast("string")))
+    rows = corpus.tokens(text).select("sid", "pos", F.col("tok").alias("word"), tag(F.col("tok")).alias("tag"))
+    a, b = hmm.HMMTagger(rows).load(), hmm.HMMTagger.of_words(text, tag).load()
+    for name in ("tags", "totals", "starts", "finals", "trans", "n_words", "hapax", "most_frequent", "log_transition", "unk_hapax"):
+        assert getattr(a, name) == getattr(b, name)
+    key = lambda t: sorted((r.word, r.tag, r["cnt"], tuple(r.seen)) for r in t.emissions.collect())
+    assert key(a) == key(b)
+
+
+@pytest.mark.parametrize("name", ["trie_words", "typical_tag", "context_tag", "tag_score", "tag_window_disagreement", "typical_tag_agreement", "typical_tag_confusions"])
+def test_words_and_tags_need_no_grams(spark, monkeypatch, name):
+    """Queries of words and tags alone count no n-grams, at any size."""
+    from foresail import catalog
+
+    def none(self):
+        raise AssertionError("counts n-grams")
+
+    monkeypatch.setattr(catalog.Base, "model", property(none))
+    monkeypatch.setattr(catalog.Base, "corpus", property(none))
+    rows = catalog.queries()[name](spark, "/root/testdata/sf0.001")
+    assert rows.count() or name == "typical_tag_confusions"
