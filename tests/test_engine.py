@@ -375,3 +375,20 @@ def test_words_and_tags_need_no_grams(spark, monkeypatch, name):
     monkeypatch.setattr(catalog.Base, "corpus", property(none))
     rows = catalog.queries()[name](spark, "/root/testdata/sf0.001")
     assert rows.count() or name == "typical_tag_confusions"
+
+
+def test_generate_makes_stretches_of_asked_contexts_alone(spark, model, monkeypatch):
+    made, whole = [], NgramModel.sampling_table
+    monkeypatch.setattr(NgramModel, "sampling_table", lambda self, grams=None: made.append(grams) or whole(self, grams))
+    ctx = spark.createDataFrame([(["the", "crew"],), (["no", "such"],)], "ctx array<string>")
+    assert {tuple(r.ctx): r.generated for r in model.generate(ctx, 2).collect()}[("the", "crew")] == ["slept", "</s>"]
+    assert len(made) == 3 and None not in made
+    assert {tuple(r.ctx) for r in made[1].collect()} == {("the", "crew"), ("crew",)}
+
+
+def test_backoff_alone_is_that_of_all_methods_in_fewer_joins(spark, model):
+    asked = spark.createDataFrame([(["our", "boat"], "left"), (["the", "crew"], "home"), (["no", "such"], "word"), (["<s>", "<s>"], "<s>"), (["our", "our"], "boat")], "ctx array<string>, word string")
+    one = model.score(asked, ("stupid_backoff",))
+    want = {(tuple(r.ctx), r.word): r.p_stupid_backoff for r in model.score(asked, ("mle", "stupid_backoff")).collect()}
+    assert {(tuple(r.ctx), r.word): r.p_stupid_backoff for r in one.collect()} == pytest.approx(want)
+    assert one._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") <= model.order + 1
