@@ -392,3 +392,11 @@ def test_backoff_alone_is_that_of_all_methods_in_fewer_joins(spark, model):
     want = {(tuple(r.ctx), r.word): r.p_stupid_backoff for r in model.score(asked, ("mle", "stupid_backoff")).collect()}
     assert {(tuple(r.ctx), r.word): r.p_stupid_backoff for r in one.collect()} == pytest.approx(want)
     assert one._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") <= model.order + 1
+
+
+def test_one_ranking_serves_all_prunings(spark, model):
+    from foresail.operators.lm import prune_ranked, ranked
+
+    grams, key = ranked(model.grams), lambda g: sorted((r.k, tuple(r.ctx), r.word, r["cnt"]) for r in g.collect())
+    for least, most in ((1, 0), (1, 1), (2, 0), (2, 1), (3, 2)):
+        assert key(prune_ranked(grams, least, most)) == key(prune(model.grams, least, most))
